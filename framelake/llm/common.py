@@ -34,17 +34,17 @@ def schema_with(df: DataFrame, fields: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset (a test)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (a test) a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
