@@ -9,10 +9,14 @@
 3. Two signatures that agree in LEAST_MATCHES coordinates share a key among the
    c - LEAST_MATCHES + 1 rarest of the c keys that either shares with anyone
    (prefix filter).  Documents with c < LEAST_MATCHES are skipped altogether.
-4. Candidates: first every posting is compared with one member of its list (a
-   star, linear in the postings); after those links are merged, only pairs
-   that share a prefix key and lie in different components remain.  Signatures
-   are counted against LEAST_MATCHES, and what is left is confirmed on full sets.
+4. Candidates: first every posting is compared with two members of its list, the
+   most central one and one chosen by a hash (stars, linear in the postings).
+   After those links are merged, only documents whose prefix keys several
+   components post remain.  A document that has too few shingles in common with
+   all other components together cannot be linked with any and leaves; of the
+   rest, every pair that shares one of its rarest such shingles (a prefix filter
+   on the full sets, without loss) is tried.  Signatures are counted against
+   LEAST_MATCHES, and what is left is confirmed on full sets.
 5. Components of the links, and the result back to every document.
 
 With 96 coordinates and 52 matches a pair of similarity 0.75 is missed with a
@@ -159,7 +163,7 @@ def _prefixes(origin: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
     reps = answers.column("rep").drop_null().to_numpy()
     blobs = answers.filter(answers.column("keys").is_valid())
     mine = rows.filter(np.isin(rows.column("_id").to_numpy(), reps)) if len(reps) else rows.slice(0, 0)
-    out: dict[str, list] = {"rep": [], "n": [], "signature": [], "prefix": []}
+    out: dict[str, list] = {"rep": [], "n": [], "central": [], "signature": [], "prefix": []}
     if len(mine) and len(blobs):
         known = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.column("keys").to_pylist()])
         total = np.concatenate([np.frombuffer(x, np.int64) for x in blobs.column("counts").to_pylist()])
@@ -174,9 +178,10 @@ def _prefixes(origin: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
             rare = shared[np.lexsort((keys[i, shared], counts[i, shared]))][: len(shared) - LEAST_MATCHES + 1]
             out["rep"].append(ids[i])
             out["n"].append(sizes[i])
+            out["central"].append(float(np.log1p(counts[i]).sum().round(6)))
             out["signature"].append(marks[i])
             out["prefix"].append(keys[i, rare].view(np.int64).tolist())
-    return pa.table({"rep": pa.array(out["rep"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "signature": pa.array(out["signature"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))})
+    return pa.table({"rep": pa.array(out["rep"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "central": pa.array(out["central"], pa.float64()), "signature": pa.array(out["signature"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))})
 
 
 def _count_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +204,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, component, n, v binary) to a row a shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            codes = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
+            same = lambda c: pa.array(np.full(len(codes), batch.column(c)[i].as_py(), np.int64))  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(codes)], names=["rep", "component", "code"])
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, v): the shingle sets of the wanted documents only."""
 
@@ -229,7 +243,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     posted = rows.cogroup(reps.groupBy("origin")).applyInArrow(_post(bits), "block int, origin long, keys binary, counts binary")
     answers = posted.groupBy("block").applyInArrow(_answer, "origin long, keys binary, counts binary")
     both = reps.select("origin", "rep", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts")).unionByName(answers.withColumn("rep", F.lit(None).cast("long")))
-    found = cut(rows.cogroup(both.groupBy("origin")).applyInArrow(_prefixes, "rep long, n long, signature binary, prefix array<long>"))
+    found = cut(rows.cogroup(both.groupBy("origin")).applyInArrow(_prefixes, "rep long, n long, central double, signature binary, prefix array<long>"))
 
     marks = found.select("rep", "signature")
     sets = cut(_full_sets(plain, found))
@@ -247,11 +261,17 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         """(rep, n, prefix, component): of every representative with a prefix."""
         return found.join(cut(components(links)).select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("component"))
 
-    # The star: each posting against one member of its list, chosen by a hash that differs from key to key.
-    stars = found.select(F.explode(F.slice("prefix", 1, STAR_KEYS)).alias("k"), "rep", "n")
-    centre = stars.groupBy("k").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("k", "rep")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    paired = stars.join(centre, "k").where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
-    tried = cut(scored(paired.where(close).select("x", "y").distinct()))
+    # The stars: each posting against the most central member of its list, and the rarest also against one by a hash.
+    posts = found.select(F.posexplode("prefix").alias("i", "k"), "rep", "n", "central")
+    hashed = F.min_by(F.struct("rep", "n"), F.xxhash64("k", "rep")).alias("c")
+    central = F.max_by(F.struct("rep", "n"), F.struct("central", F.negative("rep"))).alias("c")
+
+    def stars(rows: DataFrame, centre) -> DataFrame:
+        middle = rows.groupBy("k").agg(centre, F.count(F.lit(1)).alias("m")).where("m > 1")
+        paired = rows.join(middle, "k").where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
+        return paired.where(close).select("x", "y").distinct()
+
+    tried = cut(scored(stars(posts, central).unionByName(stars(posts.where(f"i < {STAR_KEYS}"), hashed)).distinct()))
     ends = tried.select("x", "y", "matches").unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y"), "matches"))
     best = ends.groupBy("x").agg(F.max_by("y", F.struct("matches", F.negative("y"))).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = cut(confirmed(best))
@@ -266,12 +286,31 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     label = cut(labelled(links))
 
     # What remains: pairs that share any prefix key and lie in different components.
-    posts = label.select(F.explode("prefix").alias("k"), "rep", "n", "component")
-    mixed = posts.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-    open_posts = cut(posts.join(mixed, "k", "left_semi"))
-    one = open_posts.select("k", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    two = open_posts.select("k", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    left = one.join(two, "k").where("x < y AND cx <> cy").where(close).select("x", "y").distinct().join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    def mixed(rows: DataFrame) -> DataFrame:
+        spread = rows.select(F.explode("prefix").alias("k"), "component").groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        return spread.where("lo <> hi").select("k")
+
+    def posted_under(rows: DataFrame) -> DataFrame:
+        """Postings of the keys that rows of several components have; least: the smallest set under the key."""
+        all_posts = rows.select(F.explode("prefix").alias("k"), *rows.columns)
+        return all_posts.join(mixed(rows), "k", "left_semi")
+
+    under = posted_under(label.select("rep", "n", "component", "prefix"))
+    least = under.groupBy("k").agg(F.min("n").alias("least"))
+    rest = cut(under.select("k", "rep", "n", "component").join(least, "k").groupBy("rep", "n", "component").agg(F.min("least").alias("least")))
+    codes = cut(rest.join(sets, "rep").select("rep", "component", "n", "v").mapInArrow(_exploded, "rep long, component long, code long"))
+    common = codes.groupBy("code").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code", "f")
+    ordered = codes.join(common, "code").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "code"))).alias("codes"))
+    # similarity >= s needs an intersection >= s / (1 + s) * (nx + ny); u shingles are common with others
+    needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))) * SIMILAR / (100 + SIMILAR)).cast("int")
+    alive = rest.join(ordered, "rep").withColumns({"u": F.size("codes"), "needed": needed}).where("u >= needed")
+    alive = cut(alive.select("rep", "n", "component", "u", F.slice("codes", 1, F.col("u") - F.col("needed") + 1).alias("rare")))
+    posted_rare = alive.select(F.explode("rare").alias("k"), "*")
+    side = lambda a: posted_rare.select("k", *(F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "u", "component", "rare")))
+    once = "k = array_min(array_intersect(rarex, rarey))"
+    fits = f"{100 + SIMILAR} * least(ux, uy) >= {SIMILAR} * (nx + ny)"
+    left = side("x").join(side("y"), "k").where("repx < repy AND componentx <> componenty").where(close).where(fits).where(once)
+    left = left.select(F.col("repx").alias("x"), F.col("repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
     links = cut(links.unionByName(confirmed(scored(left))))
 
     named = classes.join(cut(components(links)).select(F.col("id").alias("rep"), "component"), "rep", "left")
