@@ -82,14 +82,25 @@ def surely_not_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     )
 
 
+def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose non-null key is in wanted: all others but a few stay where they are read.
+
+    A plain semi-join would be pushed below the bitmap and shuffle every row, so
+    the exact test is an inner join with distinct keys; it always shuffles, at any size.
+    """
+    ids = cut(wanted.where(F.col(key).isNotNull()).select(key).distinct())
+    bitmap = cut(presence(ids.select(F.xxhash64(key).alias("_h")), "_h"))
+    return possibly_in(rows.withColumn("_h", F.xxhash64(key)), "_h", bitmap).drop("_h").join(ids.hint("merge"), key).select(*rows.columns)
+
+
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less those whose key is in dropped; only rows that may match are shuffled."""
     spread = F.xxhash64(F.col(key))
-    ids = cut(dropped.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_h", spread))
+    ids = cut(dropped.where(F.col(key).isNotNull()).select(key).distinct().withColumns({"_h": spread, "_gone": F.lit(True)}))
     bitmap = cut(presence(ids, "_h"))
     marked = docs.withColumn("_h", F.when(F.col(key).isNotNull(), spread))
     names = docs.columns
-    doubtful = possibly_in(marked, "_h", bitmap).join(ids.select(key), key, "left_anti")
+    doubtful = possibly_in(marked, "_h", bitmap).join(ids.select(key, "_gone").hint("merge"), key, "left").where("_gone IS NULL")
     return surely_not_in(marked, "_h", bitmap).select(*names).unionByName(doubtful.select(*names))
 
 

@@ -86,7 +86,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     by_bytes = routed.groupBy("_print", "_text").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = cut(
         by_bytes.where(F.col("group_size") > 1)
-        .join(repeated.select(F.col("fingerprint").alias("_print")), "_print", "left_semi")
+        .join(repeated.select(F.col("fingerprint").alias("_print")), "_print")
         .select("_print", F.sha2("_text", 256).alias("_sha"), "keep_id", "group_size")
     )
     joined = join_with_hot_keys(prints, groups, ["_print", "_sha"], "group_size", total)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_with_hot_keys, possibly_in, presence
+from .common import cut, join_with_hot_keys, only
 from .components import components
 from .kernels import TextChunk, chunks, mix64, seeded, windows
 
@@ -222,9 +222,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = [s.tobytes() for s in shingle_sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raw)), pa.array(raw, pa.binary())], names=["rep", "v"])
 
-    ids = wanted.select("rep", F.xxhash64("rep").alias("_h"))
-    maybe = possibly_in(docs.withColumn("_h", F.xxhash64("_id")), "_h", cut(presence(ids, "_h")))
-    return maybe.join(ids.select(F.col("rep").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(sets, "rep long, v binary")
+    found = only(docs, wanted.select(F.col("rep").alias("_id")), "_id")
+    return found.select("_id", "_text").mapInArrow(sets, "rep long, v binary")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

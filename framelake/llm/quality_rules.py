@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, possibly_in, presence, schema_with
+from .common import only, schema_with
 from .kernels import TextChunk, any_twin, chunks, earlier_twin, mix64, row_sums, windows
 
 WIDTH, BUCKETS, SMOOTHING = 4, 1 << 16, 1.0
@@ -103,8 +103,7 @@ def _vector(counts: DataFrame) -> np.ndarray:
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """log p_target / p_raw of every bucket, over all rows of docs; trusted_ids: a column ``key``."""
-    ids = cut(trusted_ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_h", F.xxhash64(key)))
-    trusted = possibly_in(docs.select(key, text).withColumn("_h", F.xxhash64(key)), "_h", cut(presence(ids, "_h"))).join(ids.select(key), key, "left_semi")
+    trusted = only(docs.select(key, text), trusted_ids, key)
     raw, target = _vector(_gram_counts(docs, text)), _vector(_gram_counts(trusted, text))
     if not target.sum():
         return np.zeros(BUCKETS)
