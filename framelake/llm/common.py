@@ -94,14 +94,16 @@ def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs less those whose key is in dropped; only rows that may match are shuffled."""
+    """docs less those whose key is in dropped; only rows that may match are shuffled.
+
+    Rows travel as one struct, so no column of theirs can clash with a helper's.
+    """
     spread = F.xxhash64(F.col(key))
-    ids = cut(dropped.where(F.col(key).isNotNull()).select(key).distinct().withColumns({"_h": spread, "_gone": F.lit(True)}))
+    ids = cut(dropped.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().withColumns({"_h": F.xxhash64("_key"), "_gone": F.lit(True)}))
     bitmap = cut(presence(ids, "_h"))
-    marked = docs.withColumn("_h", F.when(F.col(key).isNotNull(), spread))
-    names = docs.columns
-    doubtful = possibly_in(marked, "_h", bitmap).join(ids.select(key, "_gone").hint("merge"), key, "left").where("_gone IS NULL")
-    return surely_not_in(marked, "_h", bitmap).select(*names).unionByName(doubtful.select(*names))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.when(F.col(key).isNotNull(), spread).alias("_h"))
+    doubtful = possibly_in(marked, "_h", bitmap).join(ids.select("_key", "_gone").hint("merge"), "_key", "left").where("_gone IS NULL")
+    return surely_not_in(marked, "_h", bitmap).select("_row.*").unionByName(doubtful.select("_row.*"))
 
 
 def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

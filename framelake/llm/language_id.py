@@ -132,7 +132,7 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str = "text") -> Data
 
 def _counts(rows: DataFrame, by: list[str], size: int) -> DataFrame:
     """Text decisions by language, as array n and their total."""
-    sums = rows.groupBy(*by).agg(*(F.sum((F.col("_vote") == i).cast("long")).alias(f"_n{i}") for i in range(size)))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)), *(F.sum((F.col("_vote") == i).cast("long")).alias(f"_n{i}") for i in range(size)))
     return sums.select(*by, F.array(*(F.col(f"_n{i}") for i in range(size))).alias("n"))
 
 
@@ -148,7 +148,7 @@ def host_priors(voted: DataFrame, base: list[float]) -> DataFrame:
     addressed = voted.where("host IS NOT NULL AND _vote IS NOT NULL")
     hosts = _counts(addressed, ["host"], k).withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))))
     hosts = cut(hosts)
-    add_up = lambda by: hosts.groupBy(*by).agg(*(F.sum(F.col("n")[i]).alias(f"_n{i}") for i in range(k))).select(*by, F.array(*(F.col(f"_n{i}") for i in range(k))).alias("n"))
+    add_up = lambda by: hosts.groupBy(*by).agg(F.count(F.lit(1)), *(F.sum(F.col("n")[i]).alias(f"_n{i}") for i in range(k))).select(*by, F.array(*(F.col(f"_n{i}") for i in range(k))).alias("n"))
     corpus = F.array(*map(F.lit, base)) if k else F.array().cast("array<double>")
     suffixes = add_up(["suffix"]).select("suffix", _smoothed(corpus).alias("_suffix_prior"))
     domains = add_up(["domain", "suffix"]).join(suffixes, "suffix").select("domain", _smoothed(F.col("_suffix_prior")).alias("_domain_prior"))
@@ -176,7 +176,7 @@ def identify(rows: DataFrame, model: TextModel, min_posterior: float = MIN_POSTE
     total = F.zip_with(F.zip_with("loglik", said, lambda a, b: a + b), F.transform(F.coalesce("prior", corpus), lambda x: F.log(x)), lambda a, b: a + b)
     fused = joined.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
     fused = fused.withColumn("_mass", F.aggregate("_sum", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))))
-    posterior = F.round(1 / F.col("_mass"), 6)
+    posterior = F.round(F.when(F.col("_mass") > 0, 1 / F.col("_mass")), 6)
     out = fused.select(
         *[c for c in rows.columns if c not in ("text", "host", "declared")],
         F.get(names, (F.array_position("_sum", F.col("_top")) - 1).cast("int")).alias("language"),

@@ -87,10 +87,11 @@ def _thresholds(items: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
     raise AssertionError
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _size, the number of words, and _hash, 60 bits of a digest of the id."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.withColumns({"_size": words, "_hash": hex_mask(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 15)})
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> list:
+    """Columns _source, _size (the number of words) and _hash (60 bits of a digest of the id)."""
+    words = F.coalesce(F.regexp_count(docs[text], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    hashed = hex_mask(F.md5(F.coalesce(docs[key].cast("string"), F.lit("")).cast("binary")), 15)
+    return [docs[source].alias("_source"), words.alias("_size"), hashed.alias("_hash")]
 
 
 class Mixture:
@@ -143,13 +144,13 @@ class Mixture:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, size long, source_size long, target double, repeats int, taken long) of every row."""
-    items = cut(measured(docs, key, text).select(F.col(key).alias("_id"), F.col(source).alias("_source"), "_size", "_hash"))
+    items = cut(docs.select(docs[key].alias("_id"), *measured(docs, key, text, source)))
     final = Mixture(items, weights, most).repeats(items)
     return final.select(F.col("_id").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", F.col("_repeats").alias("repeats"), (F.col("_size") * F.col("_repeats")).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs, each row as often as the mixture takes it; texts are filtered where they are read, not shuffled."""
-    rows = measured(docs, key, text).withColumn("_source", F.col(source))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *measured(docs, key, text, source))
     mixture = Mixture(cut(rows.select("_source", "_size", "_hash")), weights, most)
-    return mixture.repeats(rows).where("_repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).select(*docs.columns)
+    return mixture.repeats(rows).where("_repeats > 0").select("_row", F.explode(F.sequence(F.lit(1), "_repeats"))).select("_row.*")

@@ -315,5 +315,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     named = classes.join(cut(components(links)).select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = cut(named.select("p0", "p1", "size", F.coalesce("component", "rep").alias("component")))
     out = join_with_hot_keys(small, named, ["p0", "p1"], "size", total)
-    component = F.coalesce("component", "_id")
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
     return out.select(F.col("_id").cast(docs.schema[key].dataType).alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))

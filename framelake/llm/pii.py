@@ -219,9 +219,11 @@ def pseudonym(x: Column, kind: Column, secret: str) -> Column:
 
 def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, and counts n_<kind> long of what was."""
-    column = F.col(text)
-    hits = F.when(column.rlike("[0-9@]"), F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn("_hits", F.transform(F.coalesce(hits, F.array().cast("array<string>")), lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind"))))
+    column = F.col("_text")
+    none = F.array().cast("array<string>")
+    hits = F.when(column.rlike("[0-9@]"), F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs[text].alias("_text"))
+    found = rows.withColumn("_hits", F.transform(F.coalesce(hits, none), lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind"))))
     new = F.transform("_hits", lambda h: pseudonym(h["x"], h["kind"], secret))
     between = F.split(column, PATTERN, -1)
     merged = F.array_join(F.flatten(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
@@ -231,4 +233,5 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
 
     counts = {f"n_{kind}": count(kind) for kind in KINDS}
     changed = F.exists("_hits", lambda h: h["kind"].isNotNull())
-    return found.withColumns({text: F.when(changed, merged).otherwise(column), **counts}).drop("_hits")
+    kept = [F.when(changed, merged).otherwise(column).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c not in counts]
+    return found.select(*kept, *(c.alias(name) for name, c in counts.items()))
