@@ -157,7 +157,7 @@ def conversion_path(edges: dict[str, set[str]], source: str, target: str) -> lis
         path = paths.pop(0)
         if path[-1] == target:
             return path
-        for step in sorted(edges.get(path[-1], ()) - seen):
+        for step in sorted(edges.get(path[-1], set()) - seen):
             seen.add(step)
             paths.append([*path, step])
     return None
