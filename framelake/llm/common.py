@@ -59,8 +59,12 @@ def presence(keys: DataFrame, key: str) -> DataFrame:
 
 
 def possibly_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """Rows whose key may be in the set behind the bitmap; few others pass."""
-    slot = F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64))
+    """Rows whose key may be in the set behind the bitmap; few others pass.
+
+    The slot is never null: else Spark would test the key for null by itself and
+    compute it, however costly, once more for that.
+    """
+    slot = F.coalesce(F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64)), F.lit(-1))
     return (
         df.withColumn("_slot", slot)
         .withColumn("_word", F.shiftright("_slot", 6).cast("int"))

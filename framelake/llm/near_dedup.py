@@ -46,7 +46,7 @@ WIDTH, COORDINATES, LEAST_MATCHES = 5, 96, 52
 #: Similarity in hundredths: a link needs 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
 #: Representatives of an origin, keys of a block, keys of a document in the first, linear comparison.
-ORIGIN_ROWS, BLOCK_KEYS, STAR_KEYS = 512, 1 << 21, 8
+ORIGIN_ROWS, BLOCK_KEYS, STAR_KEYS = 512, 1 << 20, 8
 _A, _B = seeded(COORDINATES, 11) | np.uint64(1), seeded(COORDINATES, 12)
 _COORDINATE = seeded(COORDINATES, 13)
 
@@ -307,7 +307,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     posted_rare = alive.select(F.explode("rare").alias("k"), "*")
     side = lambda a: posted_rare.select("k", *(F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "u", "component", "rare")))
     once = "k = array_min(array_intersect(rarex, rarey))"
-    fits = f"{100 + SIMILAR} * least(ux, uy) >= {SIMILAR} * (nx + ny)"
+    # k is the rarest code in common, so no more than what follows it in either list can be
+    fits = f"{100 + SIMILAR} * least(ux - array_position(rarex, k) + 1, uy - array_position(rarey, k) + 1) >= {SIMILAR} * (nx + ny)"
     left = side("x").join(side("y"), "k").where("repx < repy AND componentx <> componenty").where(close).where(fits).where(once)
     left = left.select(F.col("repx").alias("x"), F.col("repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
     links = cut(links.unionByName(confirmed(scored(left))))

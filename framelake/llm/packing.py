@@ -47,9 +47,8 @@ class TextTokenizer:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(tokenizer_path or public_tokenizers.path(f"{VOCABULARY}.json"))
+        self.path, self.slow = tokenizer_path or public_tokenizers.path(f"{VOCABULARY}.json"), None
         with open(ranks_path or public_tokenizers.path(f"{VOCABULARY}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -57,6 +56,10 @@ class TextTokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         if "<|" in text or self.unusual.search(text):
+            if self.slow is None:  # loaded only where it is needed
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             found = self.slow.encode(text, add_special_tokens=False).ids
         else:
             found = self.fast.encode_ordinary(text)
