@@ -136,3 +136,45 @@ def tone(n: int, rate: int) -> np.ndarray:
     x = 0.5 * np.sin(2 * np.pi * 440 * t) + 0.3 * chirp
     x[rate : rate + 5] += 0.8
     return np.trunc(np.clip(x, -1, 1) * 30000).astype(np.int16)
+
+
+def reconcile_format(cached: Column, plane_bytes: Column, samples: Column, channels: Column) -> Column:
+    """The cached sample format if the first plane is long enough for it, else the one that its size fits.
+
+    Planar stays planar and float stays float; a size that no format has keeps the cached one.
+    """
+    planar, floating = cached.endswith("P"), cached.startswith("F")
+    width = F.substring(F.regexp_extract(cached, "([0-9]+)", 1), 1, 2).cast("int") / 8
+    per_plane = F.when(planar, plane_bytes).otherwise(F.floor(plane_bytes / F.greatest(channels, F.lit(1))))
+    each = F.greatest(F.floor(per_plane / F.when(samples > 0, samples)), F.lit(1))
+    base = F.when(each == 1, "U8").when(each == 2, "S16").when((each == 3) & ~planar, "S24").when((each == 4) & floating, "F32").when(each == 4, "S32").when(each == 8, "F64")
+    fitted = F.coalesce(F.concat(base, F.when(planar, "P").otherwise("")), cached)
+    return F.when((samples == 0) | F.coalesce(plane_bytes == 0, F.lit(True)) | (per_plane >= samples * width), cached).otherwise(fitted)
+
+
+#: Parts of device names that tell headphones.
+HEADPHONE_HINTS = ("airpods", "airpod", "beats", "powerbeats", "bose", "sony wh-", "sony wf-", "sennheiser", "jabra", "jbl", "skullcandy", "soundcore", "anker", "headphone", "headset", "earphone", "earbud", "buds")
+
+
+def headphones(transport: Column, jack: Column, name: Column) -> Column:
+    """yes, no or unknown from how a device is attached (its transport and jack) and what it is called."""
+    low = F.lower(name)
+    hint = F.exists(F.array(*map(F.lit, HEADPHONE_HINTS)), lambda h: F.contains(low, h))
+    by_name = F.when(name.isNotNull(), F.when(hint, "yes").otherwise("no"))
+    built_in = F.when(jack == "headphones", "yes").when(jack == "speaker", "no").otherwise(F.coalesce(by_name, F.lit("no")))
+    return (
+        F.when(transport.isin("hdmi", "displayport", "airplay", "avb", "thunderbolt"), "no")
+        .when(transport == "builtin", built_in)
+        .when(transport.isin("bluetooth", "bluetooth-le"), F.coalesce(by_name, F.lit("yes")))
+        .otherwise(F.coalesce(by_name, F.lit("unknown")))
+    )
+
+
+def headroom(vacant: Column, channels: Column) -> Column:
+    """Whole frames that still fit."""
+    return F.floor(vacant / F.greatest(channels, F.lit(1))).cast("long")
+
+
+def fill(rate: Column, queued: Column) -> Column:
+    """Samples missing to a buffer of four seconds."""
+    return F.greatest(4 * rate - queued, F.lit(0)).cast("long")

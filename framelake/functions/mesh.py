@@ -31,3 +31,14 @@ def uv_transform(u: Column, v: Column, offset_u: float, offset_v: float, rotatio
     su, sv = u * scale_u, v * scale_v
     c, s = F.cos(F.lit(rotation)), F.sin(F.lit(rotation))
     return F.struct((c * su + s * sv + offset_u).alias("u"), (-s * su + c * sv + offset_v).alias("v"))
+
+
+def fbx_metres(properties: Column) -> Column:
+    """Metres per unit from array<struct<name, value>>: the unit scale factor, 1 if there is none, over 100."""
+    named = F.filter(properties, lambda p: p["name"] == "UnitScaleFactor")
+    return F.coalesce(F.get(named, 0)["value"].cast("double"), F.lit(1.0)) / 100
+
+
+def morph_weights(node: Column, mesh: Column) -> Column:
+    """A node's own weights override its mesh's."""
+    return F.coalesce(node, mesh)

@@ -71,3 +71,31 @@ def over(src: Column, src_alpha: Column, dst: Column, dst_alpha: Column) -> Colu
     alpha = src_alpha + dst_alpha * (1 - src_alpha)
     value = F.when(alpha > 0, (src * src_alpha + dst * dst_alpha * (1 - src_alpha)) / alpha).otherwise(0.0)
     return F.struct(value.alias("value"), alpha.alias("alpha"))
+
+
+def letterbox_uniform(w: Column, h: Column, out_w: Column, out_h: Column) -> Column:
+    """struct(sx, sy, ox, oy): scale and offset that fit a picture's aspect into a surface."""
+    surface, content = out_w / F.greatest(out_h, F.lit(1)), w / F.greatest(h, F.lit(1))
+    wide = content > surface
+    part = F.when(wide, surface / content).otherwise(content / surface)
+    one, rest = F.lit(1.0), (1 - part) / 2
+    return F.struct(
+        F.when(wide, one).otherwise(1 / part).alias("sx"),
+        F.when(wide, 1 / part).otherwise(one).alias("sy"),
+        F.when(wide, 0.0).otherwise(rest).alias("ox"),
+        F.when(wide, rest).otherwise(0.0).alias("oy"),
+    )
+
+
+def plane_tight(data: Column, stride: Column, w: Column, h: Column) -> Column:
+    """A plane without the padding of its rows; rows that the data does not hold are left out."""
+    whole = F.least(h, F.when(F.octet_length(data) >= w, F.floor((F.octet_length(data) - w) / F.greatest(stride, F.lit(1))) + 1).otherwise(0)).cast("int")
+    rows = F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda r: F.substring(data, r * stride + 1, w))).otherwise(F.array().cast("array<binary>"))
+    return F.aggregate(rows, F.lit(b""), lambda a, x: F.concat(a, x))
+
+
+def planes_or_gray(planes: Column, w: Column, h: Column) -> Column:
+    """The three planes of 4:2:0, or mid-gray ones where a conversion failed (null)."""
+    gray = lambda n: F.unhex(F.repeat(F.lit("80"), n.cast("int")))
+    chroma = F.floor(w / 2) * F.floor(h / 2)
+    return F.coalesce(planes, F.array(gray(w * h), gray(chroma), gray(chroma)))

@@ -29,3 +29,38 @@ def capability_matrix(demuxers: DataFrame, muxers: DataFrame, name: str = "name"
 def latest_factory(registrations: DataFrame, name: str, seq: str, factory: str) -> DataFrame:
     """For names in any case, the factory registered last."""
     return registrations.groupBy(F.lower(name).alias("id")).agg(F.max_by(factory, seq).alias("factory"), F.count(F.lit(1)).alias("registrations"))
+
+
+#: Option kinds and what their text must look like; an enum lists its variants instead.
+OPTION_KINDS = {"bool": r"^(true|false)$", "u32": r"^[0-9]{1,10}$", "i32": r"^-?[0-9]{1,10}$", "f32": r"^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$", "string": r"(?s)^.*$"}
+
+
+def checked_options(params: DataFrame, schema: DataFrame) -> DataFrame:
+    """(codec, name, value, problem): given options joined to their schema, defaults filled in.
+
+    params: codec, name, value text; schema: codec, name, kind, variants, default.
+    """
+    both = schema.join(params, ["codec", "name"], "full")
+    wrong = F.lit(False)
+    for kind, pattern in OPTION_KINDS.items():
+        wrong = wrong | ((F.col("kind") == kind) & ~F.col("value").rlike(pattern))
+    wrong = wrong | ((F.col("kind") == "enum") & ~F.array_contains("variants", F.col("value")))
+    problem = F.when(F.col("kind").isNull(), "unknown option").when(F.col("value").isNotNull() & wrong, F.concat(F.lit("not a "), "kind"))
+    return both.select("codec", "name", F.coalesce("value", "default").alias("value"), problem.alias("problem"))
+
+
+def stale_probes(listing: DataFrame, cache: DataFrame) -> DataFrame:
+    """Files whose (path, mtime, size) the cache does not know."""
+    return listing.join(cache, ["path", "mtime", "size"], "left_anti")
+
+
+def flattened_nodes(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
+    """(node, root, depth) of a scene graph given as (node, parent): one join a level, ended by the deepest."""
+    level = nodes.where("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    out = level
+    for depth in range(1, most_depth + 1):
+        level = nodes.join(level.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(depth).alias("depth"))
+        if not level.limit(1).count():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"scene graph deeper than {most_depth}, or not a tree")

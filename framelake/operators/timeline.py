@@ -73,3 +73,13 @@ def interpolate(rows: DataFrame, by: str, t: str, value: str, tie: str) -> DataF
     rows = rows.withColumns({"_a": a, "_b": b, "_ta": ta, "_tb": tb})
     line = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col(t) - F.col("_ta")) / F.nullif(F.col("_tb") - F.col("_ta"), F.lit(0))
     return rows.withColumn(value, F.coalesce(value, line, "_a", "_b")).drop("_a", "_b", "_ta", "_tb")
+
+
+def fill_gaps(rows: DataFrame, by: str, t: str, step: int) -> DataFrame:
+    """Rows every ``step`` between those of a stream, with concealed set on the added ones."""
+    w = Window.partitionBy(by).orderBy(t)
+    ahead = F.coalesce(F.lead(t).over(w), F.col(t) + step)
+    spread = rows.withColumn("_ahead", ahead).withColumn("_at", F.explode(F.sequence(F.col(t), F.greatest(F.col("_ahead") - 1, F.col(t)), F.lit(step))))
+    added = F.col("_at") != F.col(t)
+    kept = [F.when(~added, F.col(c)).alias(c) for c in rows.columns if c not in (by, t)]
+    return spread.select(by, F.col("_at").alias(t), *kept, added.alias("concealed"))

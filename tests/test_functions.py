@@ -103,3 +103,31 @@ def test_mesh(spark):
     assert tuple(got[0]) == pytest.approx((0.01, 0.03, 0.02)) and got[1:] == (True, False)
     moved = mesh.morph(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.array(F.lit(2.0), F.lit(0.0))), F.array(F.lit(0.25)))
     assert one(spark, moved)[0] == [1.5, 1.0]
+
+
+def test_reconcile_format(spark):
+    rows = [("F32", 400, 100, 1, "F32"), ("F32", 200, 100, 1, "S16"), ("F32P", 200, 100, 2, "S16P"), ("S16", 100, 100, 1, "U8"), ("F64", 400, 100, 1, "F32"), ("S32", 300, 100, 1, "S24"), ("F64P", 300, 100, 1, "F64P"), ("F32", 0, 100, 1, "F32"), ("F32", 100, 0, 1, "F32")]
+    frame = spark.createDataFrame(rows, "c string, b int, n int, ch int, want string")
+    for r in frame.withColumn("got", audio.reconcile_format(F.col("c"), F.col("b"), F.col("n"), F.col("ch"))).collect():
+        assert r.got == r.want, r
+
+
+def test_headphones(spark):
+    rows = [("hdmi", None, "AirPods", "no"), ("builtin", "headphones", None, "yes"), ("builtin", "speaker", "buds", "no"), ("builtin", None, None, "no"), ("bluetooth", None, None, "yes"), ("bluetooth", None, "Car", "no"), ("usb", None, "Jabra 75", "yes"), ("usb", None, None, "unknown"), (None, None, None, "unknown")]
+    frame = spark.createDataFrame(rows, "t string, j string, n string, want string")
+    for r in frame.withColumn("got", audio.headphones(F.col("t"), F.col("j"), F.col("n"))).collect():
+        assert r.got == r.want, r
+    assert one(spark, audio.headroom(F.lit(7), F.lit(2)), audio.fill(F.lit(10), F.lit(50))) == (3, 0)
+
+
+def test_planes(spark):
+    tight = lambda data, stride, w, h: bytes(one(spark, pixel.plane_tight(F.lit(data), F.lit(stride), F.lit(w), F.lit(h)))[0])
+    assert tight(b"ab..cd..", 4, 2, 2) == b"abcd" and tight(b"ab..c", 4, 2, 2) == b"ab" and tight(b"abcd", 2, 2, 2) == b"abcd" and tight(b"", 4, 2, 2) == b""
+    planes = one(spark, pixel.planes_or_gray(F.lit(None).cast("array<binary>"), F.lit(4), F.lit(2)))[0]
+    assert [bytes(p) for p in planes] == [b"\x80" * 8, b"\x80" * 2, b"\x80" * 2]
+    assert tuple(one(spark, pixel.letterbox_uniform(F.lit(200.0), F.lit(100.0), F.lit(100.0), F.lit(100.0)))[0]) == (1.0, 2.0, 0.0, 0.25)
+
+
+def test_scene_values(spark):
+    props = F.array(F.struct(F.lit("UnitScaleFactor").alias("name"), F.lit("2.54").alias("value")))
+    assert one(spark, mesh.fbx_metres(props), mesh.fbx_metres(F.slice(props, 1, 0)), mesh.morph_weights(F.lit(None).cast("double"), F.lit(0.25))) == pytest.approx((0.0254, 0.01, 0.25))
