@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int = 8) -> DataFrame:
     """(id, component) of every id in links (a, b), component the smallest id reachable.
 
     Every round is a grouped minimum and a join; no component is gathered anywhere.
     Loops and repeated links are allowed; ids without a link are not returned.
+    parts: tasks that the links are dealt to between shuffles, by their number.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(parts).distinct().coalesce(parts))
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -23,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))

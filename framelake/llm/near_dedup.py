@@ -11,7 +11,7 @@
    (prefix filter).  Documents with c < LEAST_MATCHES are skipped altogether.
 4. Candidates: first every posting is compared with two members of its list, the
    most central one and one chosen by a hash (stars, linear in the postings).
-   After those links are merged, only documents whose prefix keys several
+   After their links are merged, only documents whose prefix keys several
    components post remain.  A document that has too few shingles in common with
    all other components together cannot be linked with any and leaves; of the
    rest, every pair that shares one of its rarest such shingles (a prefix filter
@@ -47,6 +47,8 @@ WIDTH, COORDINATES, LEAST_MATCHES = 5, 96, 52
 SIMILAR = 75
 #: Representatives of an origin, keys of a block, keys of a document in the first, linear comparison.
 ORIGIN_ROWS, BLOCK_KEYS, STAR_KEYS = 512, 1 << 20, 8
+#: Candidates dealt to a task.
+PART_ROWS = 1000
 _A, _B = seeded(COORDINATES, 11) | np.uint64(1), seeded(COORDINATES, 12)
 _COORDINATE = seeded(COORDINATES, 13)
 
@@ -244,21 +246,20 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     both = reps.select("origin", "rep", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts")).unionByName(answers.withColumn("rep", F.lit(None).cast("long")))
     found = cut(rows.cogroup(both.groupBy("origin")).applyInArrow(_prefixes, "rep long, n long, central double, signature binary, prefix array<long>"))
 
+    # From here on there are candidates only: few rows for the tasks that all documents took.
+    parts = max(8, found.count() // PART_ROWS)
+    found = found.coalesce(parts)
     marks = found.select("rep", "signature")
-    sets = cut(_full_sets(plain, found))
+    sets = cut(_full_sets(plain, found).coalesce(parts))
     close = f"100 * least(nx, ny) >= {SIMILAR} * greatest(nx, ny)"
 
     def scored(pairs: DataFrame) -> DataFrame:
         sided = pairs.join(marks.select(F.col("rep").alias("x"), F.col("signature").alias("sx")), "x").join(marks.select(F.col("rep").alias("y"), F.col("signature").alias("sy")), "y")
-        return sided.select("x", "y", "sx", "sy").mapInArrow(_count_matches, "x long, y long, matches int")
+        return sided.select("x", "y", "sx", "sy").mapInArrow(_count_matches, "x long, y long, matches int").coalesce(parts)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sided = pairs.select("x", "y").join(sets.select(F.col("rep").alias("y"), F.col("v").alias("vy")), "y").join(sets.select(F.col("rep").alias("x"), F.col("v").alias("vx")), "x")
-        return sided.select("x", "y", "vx", "vy").mapInArrow(_confirm, "a long, b long")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        """(rep, n, prefix, component): of every representative with a prefix."""
-        return found.join(cut(components(links)).select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("component"))
+        return sided.select("x", "y", "vx", "vy").mapInArrow(_confirm, "a long, b long").coalesce(parts)
 
     # The stars: each posting against the most central member of its list, and the rarest also against one by a hash.
     posts = found.select(F.posexplode("prefix").alias("i", "k"), "rep", "n", "central")
@@ -268,42 +269,24 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def stars(rows: DataFrame, centre) -> DataFrame:
         middle = rows.groupBy("k").agg(centre, F.count(F.lit(1)).alias("m")).where("m > 1")
         paired = rows.join(middle, "k").where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
-        return paired.where(close).select("x", "y").distinct()
+        return paired.where(close).select("x", "y").coalesce(parts).distinct().coalesce(parts)
 
     tried = cut(scored(stars(posts, central).unionByName(stars(posts.where(f"i < {STAR_KEYS}"), hashed)).distinct()))
-    ends = tried.select("x", "y", "matches").unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y"), "matches"))
-    best = ends.groupBy("x").agg(F.max_by("y", F.struct("matches", F.negative("y"))).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = cut(confirmed(best))
-    label = cut(labelled(links))
-
-    def across(pairs: DataFrame) -> DataFrame:
-        one = label.select(F.col("rep").alias("x"), F.col("component").alias("cx"))
-        two = label.select(F.col("rep").alias("y"), F.col("component").alias("cy"))
-        return pairs.join(one, "x").join(two, "y").where("cx <> cy").select("x", "y")
-
-    links = cut(links.unionByName(confirmed(across(tried))))
-    label = cut(labelled(links))
+    links = cut(confirmed(tried))
+    joined = components(links, parts).select(F.col("id").alias("rep"), "component")
+    label = cut(found.join(joined, "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("component")).coalesce(parts))
 
     # What remains: pairs that share any prefix key and lie in different components.
-    def mixed(rows: DataFrame) -> DataFrame:
-        spread = rows.select(F.explode("prefix").alias("k"), "component").groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return spread.where("lo <> hi").select("k")
-
-    def posted_under(rows: DataFrame) -> DataFrame:
-        """Postings of the keys that rows of several components have; least: the smallest set under the key."""
-        all_posts = rows.select(F.explode("prefix").alias("k"), *rows.columns)
-        return all_posts.join(mixed(rows), "k", "left_semi")
-
-    under = posted_under(label.select("rep", "n", "component", "prefix"))
-    least = under.groupBy("k").agg(F.min("n").alias("least"))
-    rest = cut(under.select("k", "rep", "n", "component").join(least, "k").groupBy("rep", "n", "component").agg(F.min("least").alias("least")))
-    codes = cut(rest.join(sets, "rep").select("rep", "component", "n", "v").mapInArrow(_exploded, "rep long, component long, code long"))
+    posted_by = label.select(F.explode("prefix").alias("k"), "rep", "n", "component")
+    mixed = posted_by.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("k", "least")
+    rest = cut(posted_by.join(mixed, "k").groupBy("rep", "n", "component").agg(F.min("least").alias("least")).coalesce(parts))
+    codes = cut(rest.join(sets, "rep").select("rep", "component", "n", "v").mapInArrow(_exploded, "rep long, component long, code long").coalesce(parts))
     common = codes.groupBy("code").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code", "f")
     ordered = codes.join(common, "code").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "code"))).alias("codes"))
     # similarity >= s needs an intersection >= s / (1 + s) * (nx + ny); u shingles are common with others
     needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))) * SIMILAR / (100 + SIMILAR)).cast("int")
     alive = rest.join(ordered, "rep").withColumns({"u": F.size("codes"), "needed": needed}).where("u >= needed")
-    alive = cut(alive.select("rep", "n", "component", "u", F.slice("codes", 1, F.col("u") - F.col("needed") + 1).alias("rare")))
+    alive = cut(alive.select("rep", "n", "component", "u", F.slice("codes", 1, F.col("u") - F.col("needed") + 1).alias("rare")).coalesce(parts))
     posted_rare = alive.select(F.explode("rare").alias("k"), "*")
     side = lambda a: posted_rare.select("k", *(F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "u", "component", "rare")))
     once = "k = array_min(array_intersect(rarex, rarey))"
@@ -311,9 +294,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     fits = f"{100 + SIMILAR} * least(ux - array_position(rarex, k) + 1, uy - array_position(rarey, k) + 1) >= {SIMILAR} * (nx + ny)"
     left = side("x").join(side("y"), "k").where("repx < repy AND componentx <> componenty").where(close).where(fits).where(once)
     left = left.select(F.col("repx").alias("x"), F.col("repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    links = cut(links.unionByName(confirmed(scored(left))))
+    links = links.unionByName(confirmed(scored(left.coalesce(parts))))
 
-    named = classes.join(cut(components(links)).select(F.col("id").alias("rep"), "component"), "rep", "left")
+    named = classes.join(components(links, parts).select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = cut(named.select("p0", "p1", "size", F.coalesce("component", "rep").alias("component")))
     out = join_with_hot_keys(small, named, ["p0", "p1"], "size", total)
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
