@@ -19,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import only, schema_with
 from .kernels import TextChunk, any_twin, chunks, earlier_twin, mix64, row_sums, windows
 
 WIDTH, BUCKETS, SMOOTHING = 4, 1 << 16, 1.0
+#: Buckets of one message, and first-step groups a chunk.
+CHUNK, SALTS = 1 << 12, 256
 #: Documents with a lower mean log ratio are dropped.
 THRESHOLD = -0.35
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -80,31 +83,38 @@ def text_counts(chunk: TextChunk) -> dict[str, np.ndarray]:
     }
 
 
-def _gram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(bucket, n) over all n-grams of all texts; each task sends one row a bucket at most."""
+def _gram_counts(docs: DataFrame, text: str) -> np.ndarray:
+    """Count of every bucket over all n-grams of all texts.
+
+    Each task sends its vector in BUCKETS / CHUNK pieces; they are added up in two
+    steps, so that even very many tasks make no large group.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 total += np.bincount(gram_buckets(data, offsets)[0], minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
-
-    return docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        pieces = total.reshape(-1, CHUNK)
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces)), pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["chunk", "salt", "counts"])
 
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
+        return rows.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
 
-def _vector(counts: DataFrame) -> np.ndarray:
+    schema = "chunk int, salt int, counts binary"
+    sums = docs.select(text).mapInArrow(count, schema).groupBy("chunk", "salt").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     out = np.zeros(BUCKETS)
-    for bucket, n in counts.collect():  # BUCKETS rows at most
-        out[bucket] = n
+    for chunk, _, counts in sums.collect():  # BUCKETS / CHUNK rows at most
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(counts), np.int64)
     return out
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """log p_target / p_raw of every bucket, over all rows of docs; trusted_ids: a column ``key``."""
     trusted = only(docs.select(key, text), trusted_ids, key)
-    raw, target = _vector(_gram_counts(docs, text)), _vector(_gram_counts(trusted, text))
+    raw, target = _gram_counts(docs, text), _gram_counts(trusted, text)
     if not target.sum():
         return np.zeros(BUCKETS)
     share = lambda x: (x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS)
