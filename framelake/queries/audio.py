@@ -137,3 +137,34 @@ def frame_digest(spark, sf_dir):
     """An ordered fold per stream: beyond SQL, tested against known vectors."""
     p = tables.packets(spark, sf_dir).select("stream_key", "ordinal", "pts", F.col("props").cast("binary").alias("payload"))
     return stream_digests(p, "stream_key", "ordinal")
+
+
+_FORMATS = ("F32", "F32P", "S16", "S32", "F64", "S24", "U8", "F64P")
+
+
+@query("""
+SELECT p_partkey, f AS cached, CASE WHEN n = 0 OR per >= n * w THEN f ELSE coalesce(CASE WHEN e = 1 THEN 'U8' WHEN e = 2 THEN 'S16' WHEN e = 3 AND p = '' THEN 'S24' WHEN e = 4 AND starts_with(f, 'F') THEN 'F32' WHEN e = 4 THEN 'S32' WHEN e = 8 THEN 'F64' END || p, f) END AS format
+FROM (SELECT *, greatest(per // nullif(n, 0), 1) AS e FROM (
+  SELECT p_partkey, f, n, w, CASE WHEN f LIKE '%P' THEN 'P' ELSE '' END AS p, CASE WHEN f LIKE '%P' THEN b ELSE b // c END AS per FROM (
+    SELECT p_partkey, ['F32', 'F32P', 'S16', 'S32', 'F64', 'S24', 'U8', 'F64P'][(p_partkey % 8)::INT + 1] AS f, [4, 4, 2, 4, 8, 3, 1, 8][(p_partkey % 8)::INT + 1] AS w, p_size::BIGINT * 8 AS b, (p_partkey % 13)::BIGINT AS n, (p_partkey % 2 + 1)::BIGINT AS c FROM part)))""")
+def reconcile_formats(spark, sf_dir):
+    """Declared sample formats against the bytes that are there."""
+    part = tables.table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, _FORMATS)), (F.col("p_partkey") % 8).cast("int")).alias("cached"), (F.col("p_size").cast("long") * 8).alias("b"), (F.col("p_partkey") % 13).alias("n"), (F.col("p_partkey") % 2 + 1).alias("c"))
+    return part.select("p_partkey", "cached", audio.reconcile_format(F.col("cached"), F.col("b"), F.col("n"), F.col("c")).alias("format"))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN t = 'hdmi' THEN 'no' WHEN t = 'builtin' THEN CASE j WHEN 'headphones' THEN 'yes' WHEN 'speaker' THEN 'no' ELSE coalesce(n, 'no') END WHEN t = 'bluetooth' THEN coalesce(n, 'yes') ELSE coalesce(n, 'unknown') END AS verdict
+FROM (SELECT s_suppkey, ['hdmi', 'builtin', 'bluetooth', 'usb', NULL][(s_suppkey % 5)::INT + 1] AS t, ['headphones', 'speaker', NULL][(s_suppkey % 3)::INT + 1] AS j, CASE (s_suppkey % 4)::INT WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'yes' END AS n FROM supplier)""")
+def headphone_verdicts(spark, sf_dir):
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("s_suppkey") % n).cast("int"))
+    verdict = audio.headphones(pick(("hdmi", "builtin", "bluetooth", "usb", None), 5), pick(("headphones", "speaker", None), 3), pick(("Sony WH-1000", "Car radio", "My EarBuds", None), 4))
+    return tables.table(spark, sf_dir, "supplier").select("s_suppkey", verdict.alias("verdict"))
+
+
+@query("SELECT event_id, (floor(value)::BIGINT // 2) AS headroom, greatest(4 * 50 - event_id % 300, 0)::BIGINT AS fill, floor(value)::BIGINT // 2 < 50 / 4 OR event_id % 300 >= 240 AS throttled FROM events")
+def drain_gate(spark, sf_dir):
+    """Room in a two-channel buffer, what is missing to four seconds, and whether to wait."""
+    room = audio.headroom(F.floor("value"), F.lit(2))
+    queued = F.col("event_id") % 300
+    return tables.table(spark, sf_dir, "events").select("event_id", room.alias("headroom"), audio.fill(F.lit(50), queued).alias("fill"), ((room < 50 / 4) | (queued >= 240)).alias("throttled"))

@@ -93,3 +93,31 @@ def pcm_bitrate(spark, sf_dir):
     width = F.get(F.array(*map(F.lit, (1, 2, 3, 4, 8))), (F.col("p_partkey") % 5).cast("int"))
     kbps = F.expr("cast(p_size as long) * 1000 * c * b * 8 div 1000")
     return tables.table(spark, sf_dir, "part").withColumns({"c": (F.col("p_partkey") % 6 + 1).cast("int"), "b": width}).select("p_partkey", kbps.alias("kbps"))
+
+
+@query("""
+SELECT node, root, depth FROM (
+  SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS root, 0 AS depth FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+def scene_hierarchy(spark, sf_dir):
+    """A graph of nodes flattened to its roots, one join a level."""
+    text_of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    region, nation, supplier = (tables.table(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
+    nodes = region.select(text_of("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    nodes = nodes.unionByName(nation.select(text_of("n", "n_nationkey").alias("node"), text_of("r", "n_regionkey").alias("parent")))
+    nodes = nodes.unionByName(supplier.select(text_of("s", "s_suppkey").alias("node"), text_of("n", "s_nationkey").alias("parent")))
+    return op.flattened_nodes(nodes)
+
+
+@query("""
+SELECT codec, name, coalesce(value, d) AS value, CASE WHEN k IS NULL THEN 'unknown option' WHEN value IS NOT NULL AND NOT regexp_full_match(value, '[0-9]{1,10}') THEN 'not a u32' END AS problem FROM (
+  SELECT coalesce(g.codec, s.codec) AS codec, coalesce(g.name, s.name) AS name, g.value, s.d, s.k FROM (SELECT p_type AS codec, p_brand AS name, any_value(CASE WHEN p_partkey % 3 = 0 THEN 'x' || p_partkey ELSE p_partkey::VARCHAR END ORDER BY p_partkey) AS value FROM part WHERE p_size > 40 GROUP BY 1, 2) g
+  FULL JOIN (SELECT DISTINCT p_type AS codec, p_brand AS name, 'u32' AS k, '7' AS d FROM part WHERE p_size <= 20) s ON g.codec = s.codec AND g.name = s.name)""")
+def option_schema(spark, sf_dir):
+    """Options given for codecs, checked against their schema, with defaults."""
+    part = tables.table(spark, sf_dir, "part").withColumnsRenamed({"p_type": "codec", "p_brand": "name"})
+    value = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
+    given = part.where("p_size > 40").groupBy("codec", "name").agg(F.min_by(value, "p_partkey").alias("value"))
+    schema = part.where("p_size <= 20").select("codec", "name", F.lit("u32").alias("kind"), F.lit(None).cast("array<string>").alias("variants"), F.lit("7").alias("default")).distinct()
+    return op.checked_options(given, schema)

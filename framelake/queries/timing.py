@@ -154,3 +154,28 @@ def sliding_meters(spark, sf_dir):
     e = e.withColumn("crossed", (F.col("value") >= 0) != (F.lag("value").over(order) >= 0))
     crest = F.max(F.abs("value")).over(w) / F.nullif(F.sqrt(F.avg(F.col("value") * F.col("value")).over(w)), F.lit(0.0))
     return e.select("event_id", F.round(crest, 4).alias("crest"), F.count_if("crossed").over(w).alias("crossings"))
+
+
+@query(f"""
+WITH {_P}, s AS (SELECT user_id, pts // 60000000 AS slot, max(value) AS value FROM p WHERE user_id < 20 GROUP BY 1, 2), g AS (SELECT *, lead(slot) OVER (PARTITION BY user_id ORDER BY slot) AS nxt FROM s)
+SELECT user_id, pos AS slot, CASE WHEN pos = slot THEN value END AS value, pos <> slot AS concealed FROM (SELECT *, unnest(range(slot, coalesce(nxt, slot + 1), 1)) AS pos FROM g)""")
+def loss_concealment(spark, sf_dir):
+    """Missing minutes between a user's first and last, filled in and marked."""
+    p = tables.packets(spark, sf_dir).where("asset_id < 20")
+    slots = p.groupBy(F.col("asset_id").alias("user_id"), F.expr("pts div 60000000").alias("slot")).agg(F.max("value").alias("value"))
+    return op.fill_gaps(slots, "user_id", "slot", 1)
+
+
+@query("SELECT event_type AS section, count(*)::BIGINT AS iterations, round(count(*) / sum(value), 6) AS rate FROM events GROUP BY 1")
+def bench_rate(spark, sf_dir):
+    return tables.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("section")).agg(F.count(F.lit(1)).alias("iterations"), F.round(F.count(F.lit(1)) / F.sum("value"), 6).alias("rate"))
+
+
+@query("""
+SELECT user_id, origin, seq, event_id FROM (
+  SELECT user_id, 0 AS origin, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events WHERE event_type = 'click'
+  UNION ALL SELECT user_id, 1, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) FROM events WHERE event_type = 'view')""")
+def event_merge(spark, sf_dir):
+    """Driver events before terminal ones, each in its own order."""
+    e = tables.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')").select("user_id", F.when(F.col("event_type") == "click", 0).otherwise(1).alias("origin"), "event_id")
+    return e.withColumn("seq", F.row_number().over(Window.partitionBy("user_id", "origin").orderBy("event_id")).cast("long"))
