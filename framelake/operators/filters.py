@@ -191,3 +191,63 @@ def median_cut(colours: DataFrame, by: str, size: int) -> DataFrame:
 
     kind = colours.select(by).schema[0].dataType.simpleString()
     return counted.groupBy(by).applyInArrow(cut, f"{by} {kind}, slot int, r double, g double, b double")
+
+
+def sinc_taps(source_rate: int, target_rate: int, half: int = 16) -> tuple[np.ndarray, int, int]:
+    """(taps by phase, up, down) of a windowed-sinc resampler with 2 * half taps a phase."""
+    g = int(np.gcd(source_rate, target_rate))
+    up, down = target_rate // g, source_rate // g
+    cutoff = min(1.0, up / down)
+    offset = np.arange(-half + 1, half + 1)[None, :] - np.arange(up)[:, None] / up
+    window = np.cos(np.pi * offset / (2 * (half + 1))) ** 2
+    taps = cutoff * np.sinc(cutoff * offset) * window
+    return taps / taps.sum(1, keepdims=True), up, down
+
+
+def resample(samples: DataFrame, by: str, order: str, source_rate: int, target_rate: int, half: int = 16, block: int = 4096) -> DataFrame:
+    """(by, order, value) at the target rate, by polyphase windowed sinc; the input is silent outside its samples.
+
+    An output block needs the input under it and ``half`` samples more on each side,
+    so samples are dealt to the blocks that need them: the result depends neither on
+    partitions nor on the block size.
+    """
+    taps, up, down = sinc_taps(source_rate, target_rate, half)
+    last_out = lambda c: F.floor((c + half) * up / down)
+    first_out = lambda c: F.greatest(F.floor((c - half) * up / down), F.lit(0))
+    n = F.col(order)
+    ends = samples.groupBy(by).agg((F.max(order) + 1).alias("_n"))
+    dealt = samples.select(by, order, F.col("value").cast("double").alias("value"), F.explode(F.sequence(F.floor(first_out(n) / block), F.floor(last_out(n) / block))).alias("_block"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        start = key[1].as_py() * block
+        at = np.arange(start, min(start + block, -(-int(rows.column("_n")[0].as_py()) * up // down)))
+        base, phase = at * down // up, at * down % up
+        low = int(base[0]) - half + 1 if len(at) else 0
+        line = np.zeros((int(base[-1]) + half + 1 - low) if len(at) else 0)
+        where = rows.column(order).to_numpy() - low
+        inside = (where >= 0) & (where < len(line))
+        line[where[inside]] = rows.column("value").to_numpy()[inside]
+        reach = np.arange(2 * half)
+        out = (line[(base - low - half + 1)[:, None] + reach] * taps[phase]).sum(1) if len(at) else np.empty(0)
+        return pa.table({by: pa.array([key[0].as_py()] * len(at), key[0].type), order: pa.array(at), "value": pa.array(out)})
+
+    kind = samples.select(by).schema[0].dataType.simpleString()
+    return dealt.join(ends, by).groupBy(by, "_block").applyInArrow(run, f"{by} {kind}, {order} long, value double")
+
+
+def morphology(pixels: DataFrame, by: str, kind: str, reach: int = 1) -> DataFrame:
+    """dilate (maximum) or erode (minimum) over the neighbours within ``reach`` that exist."""
+    steps = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
+    moved = pixels.select(by, "x", "y", "value", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
+    moved = moved.select(by, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "value")
+    best = {"dilate": F.max, "erode": F.min}[kind]
+    return moved.groupBy(by, "x", "y").agg(best("value").alias("value")).join(pixels.select(by, "x", "y"), [by, "x", "y"])
+
+
+def tone_map(level: F.Column, kind: str = "reinhard", white: float = 4.0) -> F.Column:
+    """Light of any size as a level from 0 to 1."""
+    if kind == "reinhard":
+        return level * (1 + level / (white * white)) / (1 + level)
+    if kind == "gamma":
+        return F.pow(F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)), F.lit(1 / 2.2))
+    raise ValueError(f"unknown tone map {kind}")

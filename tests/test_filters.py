@@ -125,3 +125,22 @@ def test_meshes(spark):
     with pytest.raises(meshes.TopologyError):
         meshes.write_stl(np.zeros((2, 4, 3)))
     assert {(r.nx, r.ny, r.nz) for r in meshes.normals(obj).collect()} == {(0.0, 0.0, 1.0)}
+
+
+def test_sinc_resampling_does_not_depend_on_blocks(spark):
+    x = np.sin(2 * np.pi * 50 * np.arange(900) / 3000)
+    out = {b: values(filters.resample(stream(spark, x), "s", "n", 3000, 4000, block=b)) for b in (4096, 100)}
+    assert len(out[100]) == 1200 and out[100] == pytest.approx(out[4096], abs=1e-12)
+    want = np.sin(2 * np.pi * 50 * np.arange(1200) / 4000)
+    assert np.abs(np.array(out[100]) - want)[60:-60].max() < 2e-3
+    down = values(filters.resample(stream(spark, x), "s", "n", 3000, 1000))
+    assert len(down) == 300 and np.abs(np.array(down) - np.sin(2 * np.pi * 50 * np.arange(300) / 1000))[30:-30].max() < 2e-2
+
+
+def test_morphology_and_tone_maps(spark):
+    grid = np.zeros((4, 4))
+    grid[1, 2] = 5
+    frame = picture(spark, grid)
+    assert grid_of(filters.morphology(frame, "p", "dilate"), (4, 4)).sum() == 45 and grid_of(filters.morphology(frame, "p", "erode"), (4, 4)).sum() == 0
+    got = spark.range(1).select(filters.tone_map(F.lit(4.0)), filters.tone_map(F.lit(0.0)), filters.tone_map(F.lit(1.0), "gamma")).first()
+    assert tuple(got) == pytest.approx((1.0, 0.0, 1.0))

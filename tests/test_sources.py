@@ -130,3 +130,24 @@ def test_line_subtitles(spark):
     assert cues(subtitles.parse_mpl2, "[10][25]x") == [(1, 1_000_000, 2_500_000, "x")]
     assert cues(subtitles.parse_vplayer, "00:00:01:a\n00:00:03:b") == [(1, 1_000_000, 3_000_000, "a"), (2, 3_000_000, 7_000_000, "b")]
     assert cues(subtitles.parse_mpsub, "1 2\na\n\n0.5 1\nb") == [(1, 1_000_000, 3_000_000, "a"), (2, 3_500_000, 4_500_000, "b")]
+
+
+def id3(frames, version=3):
+    size = (lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])) if version == 4 else (lambda n: struct.pack(">I", n))
+    body = b"".join(name + size(len(data)) + b"\0\0" + data for name, data in frames)
+    n = len(body)
+    return b"ID3" + bytes([version, 0, 0, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + body
+
+
+def test_tags(spark):
+    from framelake.sources import tags
+
+    two = id3([(b"TIT2", b"\x03T\xc3\xa9st"), (b"TPE1", b"\x01" + "Ärt".encode("utf-16")), (b"APIC", b"\0" * 200), (b"COMM", b"\0eng\0hello")], 4)
+    assert tags.id3v2(two) == [("title", "Tést"), ("artist", "Ärt"), ("comment", "hello")]
+    assert tags.id3v2(id3([(b"TALB", b"\0Album")])) == [("album", "Album")] and tags.id3v2(two[:30]) == [("title", "Tést")] and tags.id3v2(b"") == []
+    one = b"TAG" + b"Song".ljust(30, b"\0") + b"Me".ljust(30, b"\0") + b"\0" * 30 + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07\x01"
+    assert tags.id3v1(b"x" * 50 + one) == [("title", "Song"), ("artist", "Me"), ("date", "1999"), ("comment", "note"), ("track", "7")]
+    block = struct.pack("<I", 1) + b"v" + struct.pack("<I", 2) + struct.pack("<I", 7) + b"TITLE=a" + struct.pack("<I", 3) + b"K=b"
+    assert tags.vorbis_comments(block) == [("title", "a"), ("k", "b")]
+    rows = tags.tags(spark.createDataFrame([("a", bytearray(two)), ("b", bytearray(one)), ("c", None)], "uri string, data binary")).collect()
+    assert [(r.uri, r.ord, r.k) for r in rows][:4] == [("a", 0, "title"), ("a", 1, "artist"), ("a", 2, "comment"), ("b", 0, "title")]
