@@ -287,13 +287,17 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))) * SIMILAR / (100 + SIMILAR)).cast("int")
     alive = rest.join(ordered, "rep").withColumns({"u": F.size("codes"), "needed": needed}).where("u >= needed")
     alive = cut(alive.select("rep", "n", "component", "u", F.slice("codes", 1, F.col("u") - F.col("needed") + 1).alias("rare")).coalesce(parts))
+    # Under each code the members of its largest component are compared with the others only, never among themselves.
     posted_rare = alive.select(F.explode("rare").alias("k"), "*")
-    side = lambda a: posted_rare.select("k", *(F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "u", "component", "rare")))
+    members = posted_rare.groupBy("k", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = members.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "main")
+    placed = posted_rare.join(largest, "k").withColumn("major", F.col("component") == F.col("main"))
+    side = lambda a: placed.select("k", *(F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "u", "component", "rare", "major")))
     once = "k = array_min(array_intersect(rarex, rarey))"
     # k is the rarest code in common, so no more than what follows it in either list can be
     fits = f"{100 + SIMILAR} * least(ux - array_position(rarex, k) + 1, uy - array_position(rarey, k) + 1) >= {SIMILAR} * (nx + ny)"
-    left = side("x").join(side("y"), "k").where("repx < repy AND componentx <> componenty").where(close).where(fits).where(once)
-    left = left.select(F.col("repx").alias("x"), F.col("repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    left = side("x").join(side("y").where("NOT majory"), "k").where("(majorx OR repx < repy) AND componentx <> componenty").where(close).where(fits).where(once)
+    left = left.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
     links = links.unionByName(confirmed(scored(left.coalesce(parts))))
 
     named = classes.join(components(links, parts).select(F.col("id").alias("rep"), "component"), "rep", "left")
