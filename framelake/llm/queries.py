@@ -47,7 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet")
     model = language_id.TextModel.learn(docs, "lang", "doc_id", "text")
     rows = language_id.document_rows(docs).unionByName(language_id.page_rows(pages), allowMissingColumns=True)
-    return language_id.identify(rows, model)
+    return language_id.identify(rows, model).withColumnRenamed("accepted", "kept")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
