@@ -47,6 +47,7 @@ WIDTH, COORDINATES, LEAST_MATCHES = 5, 96, 52
 SIMILAR = 75
 #: Representatives of an origin, keys of a block, keys of a document in the first, linear comparison.
 ORIGIN_ROWS, BLOCK_KEYS, STAR_KEYS = 512, 1 << 20, 8
+KEY_BITS = 48
 #: Candidates dealt to a task.
 PART_ROWS = 1000
 _A, _B = seeded(COORDINATES, 11) | np.uint64(1), seeded(COORDINATES, 12)
@@ -88,7 +89,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _keys(signature: np.ndarray) -> np.ndarray:
-    return mix64((signature + _COORDINATE[None, :]).ravel()).reshape(signature.shape)
+    """KEY_BITS-bit keys of (coordinate, value) pairs; two pairs of one key only look shared where they are not."""
+    return (mix64((signature + _COORDINATE[None, :]).ravel()) >> np.uint64(64 - KEY_BITS)).reshape(signature.shape)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    short = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = short
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -122,15 +135,15 @@ def _post(bits: int):
         if not len(mine):
             return pa.table({"block": pa.array([], pa.int32()), "origin": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
         keys, counts = np.unique(_keys(_matrix(mine.column("signature"))), return_counts=True)
-        block = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        block = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
         bounds = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
         spans = list(zip(bounds[:-1], bounds[1:]))
         return pa.table(
             {
                 "block": pa.array(block[bounds[:-1]], pa.int32()),
                 "origin": pa.array([origin[0].as_py()] * len(spans), pa.int64()),
-                "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
+                "keys": pa.array([_packed(keys[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([np.minimum(counts[a:b], 255).astype(np.uint8).tobytes() for a, b in spans], pa.binary()),
             }
         )
 
@@ -138,11 +151,14 @@ def _post(bits: int):
 
 
 def _answer(block: tuple, posted: pa.Table) -> pa.Table:
-    """To each origin, its keys that more than one representative has, with their counts."""
-    keys = [np.frombuffer(x, np.uint64) for x in posted.column("keys").to_pylist()]
+    """To each origin, its keys that more than one representative has, with their counts.
+
+    Counts only order keys by rarity, alike for all, so an origin's part above 255 may be cut.
+    """
+    keys = [_unpacked(x) for x in posted.column("keys").to_pylist()]
     lengths = [len(k) for k in keys]
     joined = np.concatenate(keys)
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in posted.column("counts").to_pylist()]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in posted.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(joined, kind="stable")
     ordered = joined[order]
     at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -155,8 +171,8 @@ def _answer(block: tuple, posted: pa.Table) -> pa.Table:
         more = total[a:b] > 1
         if more.any():
             out["origin"].append(origin)
-            out["keys"].append(joined[a:b][more].tobytes())
-            out["counts"].append(total[a:b][more].tobytes())
+            out["keys"].append(_packed(joined[a:b][more]))
+            out["counts"].append(np.minimum(total[a:b][more], 2**32 - 1).astype(np.uint32).tobytes())
     return pa.table({"origin": pa.array(out["origin"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
 
@@ -167,8 +183,8 @@ def _prefixes(origin: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
     mine = rows.filter(np.isin(rows.column("_id").to_numpy(), reps)) if len(reps) else rows.slice(0, 0)
     out: dict[str, list] = {"rep": [], "n": [], "central": [], "signature": [], "prefix": []}
     if len(mine) and len(blobs):
-        known = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.column("keys").to_pylist()])
-        total = np.concatenate([np.frombuffer(x, np.int64) for x in blobs.column("counts").to_pylist()])
+        known = np.concatenate([_unpacked(x) for x in blobs.column("keys").to_pylist()])
+        total = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs.column("counts").to_pylist()]).astype(np.int64)
         order = np.argsort(known)
         known, total = known[order], total[order]
         keys = _keys(_matrix(mine.column("signature")))
