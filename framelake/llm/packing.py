@@ -31,7 +31,7 @@ from .common import cut, schema_with
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-ROUNDS, STEP = 240, 0.25
+ROUNDS, EVERY, STEP, LONGER = 1000, 100, 2.0, 0.02
 
 
 class TextTokenizer:
@@ -95,24 +95,40 @@ def best_configuration(prices: np.ndarray, capacity: int = CAPACITY) -> np.ndarr
     return out
 
 
-def fractional(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """(configuration, number of sequences) near the program's optimum, by multiplicative weights."""
-    capacity = len(histogram) - 1
-    here = histogram > 0
-    weights = np.where(here, 1.0, 0.0)
-    need = np.maximum(histogram, 1).astype(float)
-    least = histogram @ np.arange(capacity + 1) / capacity
-    share = need / max(least, 1.0)  # of each length in a mean sequence
+def fractional(histogram: np.ndarray, rounds: int = ROUNDS, every: int = EVERY) -> Iterator[list[tuple[np.ndarray, float]]]:
+    """Lists of (configuration, number of sequences), one each ``every`` rounds, by multiplicative weights.
+
+    Every round takes the configuration of the highest price as often as its
+    scarcest length allows; a length's weight falls with the share of its pieces
+    that is covered.  Prices grow a little faster than lengths, so that of equal
+    fillings the one with the longest pieces is taken.
+    """
+    size = np.arange(len(histogram)) / (len(histogram) - 1)
+    here, need = histogram > 0, np.maximum(histogram, 1).astype(float)
+    weights, covered = np.where(here, 1.0, 0.0), np.zeros(len(histogram))
     found: dict[bytes, list] = {}
-    for _ in range(rounds):
-        prices = np.where(here, weights * np.arange(capacity + 1) / capacity, 0.0)
-        config = best_configuration(prices, capacity)
-        entry = found.setdefault(config.tobytes(), [config, 0])
-        entry[1] += 1
-        weights *= np.exp(-STEP * np.minimum(config / share, 20.0) * np.minimum(share, 1.0))
-        top = weights.max()
-        weights = np.where(here, np.maximum(weights / top, 1e-9), 0.0)
-    return [(config, n / rounds * least) for config, n in found.values()]
+    for done in range(1, (rounds if here.any() else 0) + 1):
+        config = best_configuration(weights * size * (1 + LONGER * size), len(histogram) - 1)
+        some = config > 0
+        amount = float((need[some] / config[some]).min())
+        found.setdefault(config.tobytes(), [config, 0.0])[1] += amount
+        covered += amount * config / need
+        weights = np.where(here, np.exp(-STEP * (covered - covered[here].min())), 0.0)
+        weights = np.where(here, np.maximum(weights, 1e-9), 0.0)
+        if done % every == 0:
+            yield [(config, n) for config, n in found.values()]
+
+
+def rounded(histogram: np.ndarray, solution: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
+    """Whole packing of a histogram: the solution rounded down, most used configurations first, and the rest best fit."""
+    left, out = histogram.copy(), []
+    for config, n in sorted(solution, key=lambda x: -x[1]):
+        some = config > 0
+        times = min(int(n), int((left[some] // config[some]).min()))
+        if times:
+            out.append((config, times))
+            left -= times * config
+    return out + best_fit(left)
 
 
 def best_fit(histogram: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -139,17 +155,10 @@ def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Ranges of ordinals sorted by (length, first): all pieces of a range go to successive sequences at one offset."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    used: list[tuple[np.ndarray, int]] = []
     full = int(left[-1])
     left[-1] = 0
-    if left.sum() > 4 * len(left):
-        for config, n in sorted(fractional(left, rounds), key=lambda x: -x[1]):
-            some = config > 0
-            times = min(int(n), int((left[some] // config[some]).min())) if some.any() else 0
-            if times:
-                used.append((config, times))
-                left -= times * config
-    used += best_fit(left)
+    # Longer runs cover more with the program and leave less to best fit; which rounds best is known only afterwards.
+    used = min((rounded(left, solution) for solution in fractional(left, rounds)), key=lambda u: sum(n for _, n in u), default=best_fit(left))
     if full:
         config = np.zeros_like(left)
         config[-1] = 1
