@@ -26,7 +26,7 @@ KINDS = ("email", "date", "ip", "card", "ssn", "phone")
 _FREE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "date": rf"{_FREE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_END}",
+    "date": rf"{_FREE}(?:" + "|".join(rf"[0-9]{{4}}{s}[0-9]{{2}}{s}[0-9]{{2}}|[0-9]{{2}}{s}[0-9]{{2}}{s}[0-9]{{4}}" for s in ("-", "/", "[.]")) + f"){_END}",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "card": rf"{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?: [0-9]{{4}}){{3}}|[0-9]{{4}}(?:-[0-9]{{4}}){{3}}|[0-9]{{4}} [0-9]{{6}} [0-9]{{5}}|[0-9]{{4}}-[0-9]{{6}}-[0-9]{{5}}){_END}",
     "ssn": rf"{_FREE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
@@ -155,27 +155,38 @@ def _ssn(secret: str, x: Column) -> Column:
     return _let(pair, shown)
 
 
-def _month_first(x: Column) -> Column:
-    iso = F.when(F.contains(x, F.lit("-")), x).otherwise(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2)))
-    return iso.try_cast("date")
+def _year_first(x: Column) -> Column:
+    return x.rlike("^[0-9]{4}")
+
+
+def _read(x: Column, month_at: int, day_at: int) -> Column:
+    """The date of a text that ends in its year, or null."""
+    return F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, month_at, 2), F.substring(x, day_at, 2)).try_cast("date")
+
+
+def _day_first(x: Column) -> Column:
+    """Whether the day comes before the month: with points where it can, else only where it must."""
+    pointed = F.contains(x, F.lit("."))
+    return F.when(pointed, _read(x, 4, 1).isNotNull()).otherwise(_read(x, 1, 4).isNull())
 
 
 def _as_date(x: Column) -> Column:
-    day_first = F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))
-    return F.coalesce(_month_first(x), F.when(F.contains(x, F.lit("/")), day_first.try_cast("date")))
+    iso = F.regexp_replace(x, "[/.]", "-").try_cast("date")
+    return F.when(_year_first(x), iso).when(_day_first(x), _read(x, 4, 1)).otherwise(_read(x, 1, 4))
 
 
 def _date(secret: str, x: Column) -> Column:
-    """Only what cannot be month-first is read and written day-first."""
+    """Order and separators stay."""
     index = F.datediff(_as_date(x), F.lit(_FIRST_DAY).cast("date"))
     pair = _feistel_numbers(secret, F.floor(index / _DAY_LOW), index % _DAY_LOW, _DAY_HIGH, _DAY_LOW)
+    mark = F.regexp_extract(x, "[^0-9]", 0)
 
     def shown(s: Column) -> Column:
         day = F.date_add(F.lit(_FIRST_DAY).cast("date"), (s["h"] * _DAY_LOW + s["l"]).cast("int"))
-        slashed = F.when(_month_first(x).isNull(), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
-        return F.when(F.contains(x, F.lit("-")), F.date_format(day, "yyyy-MM-dd")).otherwise(slashed)
+        y, m, d = (F.date_format(day, f) for f in ("yyyy", "MM", "dd"))
+        return F.when(_year_first(x), F.concat_ws("|", y, m, d)).when(_day_first(x), F.concat_ws("|", d, m, y)).otherwise(F.concat_ws("|", m, d, y))
 
-    return _let(pair, shown)
+    return F.replace(_let(pair, shown), F.lit("|"), mark)
 
 
 def _email(secret: str, x: Column) -> Column:

@@ -390,6 +390,12 @@ def test_pii(spark, docs, empty):
     assert pseudonymise(many, "k1").select("text").distinct().count() == 3000
     days = spark.range(3000).selectExpr("id AS doc_id", "cast(date_add(date'1950-01-01', cast(id * 17 as int)) as string) AS text")
     assert pseudonymise(days, "k1").select("text").distinct().count() == 3000
+    dates = ["2024-02-29", "2024/02/29", "2024.02.29", "29.02.2024", "02/29/2024", "29/02/2024", "29-02-2024", "12.31.1999", "30.02.2024", "2024-13-01"]
+    shown = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(dates)), "doc_id long, text string"), "k1").collect()}
+    parts = [re.split(r"[-/.]", shown[i]) for i in range(7)]
+    y, m, d = parts[0]
+    assert [shown[i] for i in range(7)] == [f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{y}.{m}.{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{d}/{m}/{y}", f"{d}-{m}-{y}"]
+    assert shown[7] != dates[7] and [shown[8], shown[9]] == dates[8:]
     out = pseudonymise(docs, "k1")
     assert out.count() == docs.count() and out.columns[: 2] == ["doc_id", "text"] and "_hits" in out.columns and out.where("_text <> 7").count() == 0
     assert pseudonymise(empty, "k1").count() == 0
