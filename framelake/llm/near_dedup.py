@@ -273,7 +273,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         sided = pairs.join(marks.select(F.col("rep").alias("x"), F.col("signature").alias("sx")), "x").join(marks.select(F.col("rep").alias("y"), F.col("signature").alias("sy")), "y")
         return sided.select("x", "y", "sx", "sy").mapInArrow(_count_matches, "x long, y long, matches int").coalesce(parts)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         sided = pairs.select("x", "y").join(sets.select(F.col("rep").alias("y"), F.col("v").alias("vy")), "y").join(sets.select(F.col("rep").alias("x"), F.col("v").alias("vx")), "x")
         return sided.select("x", "y", "vx", "vy").mapInArrow(_confirm, "a long, b long").coalesce(parts)
 
@@ -288,7 +288,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return paired.where(close).select("x", "y").coalesce(parts).distinct().coalesce(parts)
 
     tried = cut(scored(stars(posts, central).unionByName(stars(posts.where(f"i < {STAR_KEYS}"), hashed)).distinct()))
-    links = cut(confirmed(tried))
+    links = cut(confirmed(tried, sets))
     joined = components(links, parts).select(F.col("id").alias("rep"), "component")
     label = cut(found.join(joined, "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("component")).coalesce(parts))
 
@@ -314,7 +314,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     fits = f"{100 + SIMILAR} * least(ux - array_position(rarex, k) + 1, uy - array_position(rarey, k) + 1) >= {SIMILAR} * (nx + ny)"
     left = side("x").join(side("y").where("NOT majory"), "k").where("(majorx OR repx < repy) AND componentx <> componenty").where(close).where(fits).where(once)
     left = left.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    links = links.unionByName(confirmed(scored(left.coalesce(parts))))
+    last = cut(scored(left.coalesce(parts)))  # few pairs, so few of the sets are moved for them
+    ends = last.select(F.col("x").alias("rep")).unionByName(last.select(F.col("y").alias("rep")))
+    links = links.unionByName(confirmed(last, only(sets, ends, "rep")))
 
     named = classes.join(components(links, parts).select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = cut(named.select("p0", "p1", "size", F.coalesce("component", "rep").alias("component")))
