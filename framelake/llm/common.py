@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 BITMAP_WORDS = 1 << 18
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
+BATCH_BYTES = 8 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 
 # Executors need no copy of this package: its functions travel with the tasks.
@@ -29,6 +30,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of the session held to BATCH_BYTES unless they are smaller.
+
+    Whole texts travel in these batches, on both sides and in several copies.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def schema_with(df: DataFrame, fields: str) -> StructType:
     """df's columns and those of a DDL string."""
     return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])

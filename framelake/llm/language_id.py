@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_with_hot_keys, schema_with
+from .common import cut, join_with_hot_keys, schema_with, small_batches
 from .kernels import chunks, row_sums
 
 BUCKETS, MOST_ROWS = 1 << 14, 20_000
@@ -81,7 +81,7 @@ class TextModel:
     @classmethod
     def learn(cls, rows: DataFrame, language: str, key: str, text: str, most_rows: int = MOST_ROWS) -> TextModel:
         """From labelled rows, or a hash sample of about most_rows of them."""
-        labelled = rows.where(F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key), F.lit("sample")).alias("_h"))
+        labelled = small_batches(rows).where(F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key), F.lit("sample")).alias("_h"))
         share = min(1.0, most_rows / max(1, labelled.count()))
         sample = labelled.where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
 
@@ -110,7 +110,7 @@ class TextModel:
 def text_evidence(rows: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
     """rows without their text, with grams long and loglik array<double>, tempered to EFFECTIVE_GRAMS."""
     shared = rows.sparkSession.sparkContext.broadcast(model.logs)
-    source = rows.select(*[c for c in rows.columns if c != text], F.col(text).alias("_text"))
+    source = small_batches(rows).select(*[c for c in rows.columns if c != text], F.col(text).alias("_text"))
     schema = schema_with(source.drop("_text"), "grams long, loglik array<double>")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

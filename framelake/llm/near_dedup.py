@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_with_hot_keys, only
+from .common import cut, join_with_hot_keys, only, small_batches
 from .components import components
 from .kernels import TextChunk, chunks, mix64, seeded, windows
 
@@ -246,7 +246,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles long, component_id, kept boolean) of every row."""
-    plain = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    plain = small_batches(docs).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     signed = cut(_signed(plain))
     small = signed.select("_id", "n_shingles", "p0", "p1")
     usable = signed.where("n_shingles > 0 AND _id IS NOT NULL")

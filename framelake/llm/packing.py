@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import cut, schema_with
+from .common import cut, schema_with, small_batches
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k"
@@ -179,7 +179,7 @@ def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """(key, piece, start, length, ids_crc32, task, rank): rank counts a task's pieces of one length."""
-    source = docs.select(F.col(key), F.col(text).alias("_text"))
+    source = small_batches(docs).select(F.col(key), F.col(text).alias("_text"))
     names = ["piece", "start", "length", "ids_crc32", "task", "rank"]
     schema = schema_with(source.select(key), "piece int, start long, length long, ids_crc32 long, task int, rank long")
 

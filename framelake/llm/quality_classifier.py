@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import schema_with, small_batches
 from .kernels import TextChunk, chunks, mix64, row_sums
 
 BUCKETS = 1 << 18
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = MOST_
     share = min(1.0, most_rows / max(1, labels.count()))
     order = F.xxhash64(F.col(key), F.lit("order"))
     few = labels.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))  # about most_rows rows, so broadcast is bounded
-    chosen = docs.select(key, text).join(F.broadcast(few), key).select("_label", F.col(text), order.alias("_order"))
+    chosen = small_batches(docs).select(key, text).join(F.broadcast(few), key).select("_label", F.col(text), order.alias("_order"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = MOST_
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score double) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    source = docs.select(F.col(key), F.col(text).alias("_text"))
+    source = small_batches(docs).select(F.col(key), F.col(text).alias("_text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

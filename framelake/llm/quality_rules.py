@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import only, schema_with
+from .common import only, schema_with, small_batches
 from .kernels import TextChunk, any_twin, chunks, earlier_twin, mix64, row_sums, windows
 
 WIDTH, BUCKETS, SMOOTHING = 4, 1 << 16, 1.0
@@ -123,6 +123,7 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", tex
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, the five counts long, base_failed boolean, llr double, kept boolean) of every row."""
+    docs = small_batches(docs)
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted_ids, key, text))
     source = docs.select(F.col(key), F.col(text).alias("_text"))
     schema = schema_with(source.select(key), ", ".join(f"{name} long" for name in COUNTS) + ", base_failed boolean, llr double, kept boolean")

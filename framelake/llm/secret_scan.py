@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import schema_with, small_batches
 from .kernels import chunks
 from .trigram import Segment, query_of, trigrams_of
 
@@ -66,7 +66,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
     queries = [query_of(r.pattern) for r in rules]
     vocabulary = sorted(set().union(*map(trigrams_of, queries)))
     kinds = [r.kind for r in rules]
-    source = docs.select(F.col(key), F.col(text).alias("_text"))
+    source = small_batches(docs).select(F.col(key), F.col(text).alias("_text"))
     schema = schema_with(source.select(key), f"spans array<{SPAN}>")
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
