@@ -43,8 +43,8 @@ WITH {_V}, p AS (SELECT a.vec_id, a.s AS a, b.s AS b FROM v a JOIN v b ON b.vec_
 r AS (SELECT vec_id, lag::INT AS lag, sqrt(list_sum(list_transform(list_zip(a[lag + 1:], b[1:64 - lag]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / (64 - lag)) AS rms FROM p, range(0, 9) g(lag))
 SELECT vec_id, arg_min(lag, rms) AS lag, round(min(rms), 5) AS rms FROM r GROUP BY 1""")
 def best_lag(spark, sf_dir):
-    """A grid of nine lags for the frames below 100, the search's own window."""
-    found = metrics.best_lag(_pairs(spark, sf_dir).where("vec_id < 100"), "a", "b", 8)
+    """The best of nine lags, the search's own window, for every frame against the next."""
+    found = metrics.best_lag(_pairs(spark, sf_dir), "a", "b", 8)
     return found.select("vec_id", "lag", F.round("rms", 5).alias("rms"))
 
 
