@@ -5,15 +5,17 @@ a bounded sample of labelled rows.  The markup's declared language gives another
 through a confusion table counted on all rows.  The prior comes from the address:
 counts of text decisions, grouped by host, are smoothed towards those of its
 domain, these towards the address suffix and these towards the whole corpus.  The
-three are multiplied and normalised.  A row is accepted when it has enough text
-and its best language a posterior of MIN_POSTERIOR.
+three are multiplied and normalised.  A row is accepted when it has enough text,
+its best language a posterior of MIN_POSTERIOR, and its trigrams are likelier under
+that language than under an unknown one, in which all buckets are equally likely.
+Text of no learnt language has no vote in the priors and no text_language.
 
 A row without an address may give any other origin as its host (a source name);
 a row without either falls back on the corpus.  Hot hosts join by broadcast, of
 which there are fewer than 1,000; other hosts by shuffle.
 
 Cases: a null or empty text, or one with fewer than LEAST_GRAMS trigrams of
-letters, is not accepted and its language comes from the other evidence; a null
+letters or of no learnt language, is not accepted and its language comes from the other evidence; a null
 declared language or host is no evidence; repeated rows give repeated results;
 other columns are ignored; with no labelled rows every language is null.
 """
@@ -34,6 +36,8 @@ from .kernels import chunks, row_sums
 BUCKETS, MOST_ROWS = 1 << 14, 20_000
 #: Trigrams that count as independent evidence, at most; trigrams a text needs; the prior rows of a parent level.
 EFFECTIVE_GRAMS, LEAST_GRAMS, PARENT_ROWS, MIN_POSTERIOR = 60.0, 1, 10.0, 0.5
+#: Share of each language's mass spread evenly over the buckets, so that an unseen trigram weighs the same in all; the log probability of a trigram in an unknown language.
+UNSEEN, UNKNOWN_LOG = 0.01, -math.log(BUCKETS)
 _FOLD = np.full(256, 32, np.uint8)  # letters as they are, A-Z lower-cased, the rest a space
 _FOLD[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 _FOLD[65:91] = np.arange(97, 123)
@@ -101,10 +105,10 @@ class TextModel:
 
         counted = sample.select("lang", "_text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x BUCKETS rows at most
         languages = sorted({r.lang for r in counted})
-        table = np.full((BUCKETS, len(languages)), 0.5)
+        table = np.zeros((BUCKETS, len(languages)))
         for lang, bucket, n in counted:
             table[bucket, languages.index(lang)] += n
-        return cls(languages, np.log(table / table.sum(0)))
+        return cls(languages, np.log((1 - UNSEEN) * table / table.sum(0) + UNSEEN / BUCKETS))
 
 
 def text_evidence(rows: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
@@ -159,7 +163,8 @@ def identify(rows: DataFrame, model: TextModel, min_posterior: float = MIN_POSTE
     """rows (any key columns, text, host, declared) with language, posterior, text_language, grams, accepted in place of text."""
     languages, k = model.languages, len(model.languages)
     weighed = text_evidence(rows, model)
-    vote = F.when(F.col("grams") >= LEAST_GRAMS, F.array_position("loglik", F.array_max("loglik")).cast("int") - 1)
+    unknown = F.least("grams", F.lit(EFFECTIVE_GRAMS)) * UNKNOWN_LOG
+    vote = F.when((F.col("grams") >= LEAST_GRAMS) & (F.array_max("loglik") > unknown), F.array_position("loglik", F.array_max("loglik")).cast("int") - 1)
     weighed = cut(weighed.withColumn("_vote", vote))
     names = F.array(*map(F.lit, languages)) if k else F.array().cast("array<string>")
     known = F.when(F.col("declared").isin(*languages), F.col("declared")) if k else F.lit(None).cast("string")
@@ -177,13 +182,14 @@ def identify(rows: DataFrame, model: TextModel, min_posterior: float = MIN_POSTE
     fused = joined.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
     fused = fused.withColumn("_mass", F.aggregate("_sum", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))))
     posterior = F.round(F.when(F.col("_mass") > 0, 1 / F.col("_mass")), 6)
+    best = (F.array_position("_sum", F.col("_top")) - 1).cast("int")
     out = fused.select(
         *[c for c in rows.columns if c not in ("text", "host", "declared")],
-        F.get(names, (F.array_position("_sum", F.col("_top")) - 1).cast("int")).alias("language"),
+        F.get(names, best).alias("language"),
         posterior.alias("posterior"),
         F.get(names, F.col("_vote")).alias("text_language"),
         "grams",
-        F.coalesce((F.col("grams") >= LEAST_GRAMS) & (posterior >= min_posterior), F.lit(False)).alias("accepted"),
+        F.coalesce((F.col("grams") >= LEAST_GRAMS) & (posterior >= min_posterior) & (F.get("loglik", best) > unknown), F.lit(False)).alias("accepted"),
     )
     return out
 

@@ -1,6 +1,7 @@
 """Every operator against brute force on awkward rows, and on an empty table."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -242,6 +243,31 @@ def test_language_id(spark, docs, empty):
     assert all(r.language is None and not r.accepted for r in l.identify(l.document_rows(docs), none).collect())
 
 
+def test_language_id_rejects_unknown_languages(spark):
+    from framelake.llm import language_id as l
+
+    known = {
+        "en": "all people are born free and equal in dignity and rights and the house of the old man stands on the hill near the river",
+        "de": "alle menschen sind frei und gleich an würde geboren und das haus des alten mannes steht auf dem hügel nahe dem fluss",
+        "fr": "tous les hommes naissent libres et égaux en dignité et la maison du vieil homme se trouve sur la colline près du fleuve",
+        "es": "todos los hombres nacen libres e iguales en dignidad y la casa del hombre viejo se encuentra en la colina junto al río",
+    }
+    times = {"en": 300, "de": 60, "fr": 60, "es": 2}
+    train = [(i, known[lang], lang) for i, lang in enumerate(lang for lang, n in times.items() for _ in range(n))]
+    model = l.TextModel.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"), "lang", "doc_id", "text")
+    assert len({tuple(x) for x in model.logs.min(0, keepdims=True).round(9).T}) == 1  # an unseen trigram weighs the same everywhere
+    rng = random.Random(7)
+    gibberish = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(40))
+    other = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ", "Jeg liker ikke å gå på skolen når det regner, men i dag er det sol", "人人生而自由,在尊严和权利上一律平等。", gibberish]
+    own = [("The old man and the people of the house are free", "en"), ("Das alte Haus steht nahe dem Fluss und alle sind frei", "de"), ("La maison du vieil homme est près du fleuve", "fr"), ("La casa del hombre viejo se encuentra junto al río", "es")]
+    rows = [(i, t, "web") for i, t in enumerate([*other, *(t for t, _ in own)] * 30)]
+    got = {r.doc_id: r for r in l.identify(l.document_rows(spark.createDataFrame(rows, "doc_id long, text string, source string")), model).collect()}
+    for i, r in got.items():
+        at = i % (len(other) + len(own)) - len(other)
+        assert (r.accepted, r.text_language) == ((True, own[at][1]) if at >= 0 else (False, None)), rows[i]
+        assert at < 0 or r.language == own[at][1]
+
+
 def test_language_model_by_hand(spark):
     """Host priors are smoothed from host to domain to suffix to corpus."""
     from framelake.llm import language_id as l
