@@ -219,20 +219,17 @@ def _ssn(secret: str, x: Column) -> Column:
 
 def _parts(x: Column) -> Column:
     """struct(day, order): the date of a text, or null, and the order of its parts."""
-    part = lambda i: F.split_part(F.translate(x, "/.", "--"), F.lit("-"), F.lit(i))
 
-    def read(year: int, month: int, day: int) -> Column:
-        return F.concat_ws("-", part(year), F.lpad(part(month), 2, "0"), F.lpad(part(day), 2, "0")).try_cast("date")
+    def read(given: Column, order: str) -> Column:
+        day = F.concat_ws("-", *(given[order.index(c)] for c in "ymd")).try_cast("date")
+        return F.when(day.isNotNull(), F.struct(day.alias("day"), F.lit(order).alias("order")))
 
-    orders = {"ymd": read(1, 2, 3), "dmy": read(3, 2, 1), "mdy": read(3, 1, 2)}
-    first = F.when(x.rlike("^[0-9]{4}"), "ymd").when(F.contains(x, F.lit(".")), "dmy").otherwise("mdy")
-    other = F.when(first == "dmy", "mdy").when(first == "mdy", "dmy").otherwise(first)
+    def body(given: Column) -> Column:
+        first, second = read(given, "dmy"), read(given, "mdy")
+        pointed = F.when(F.contains(x, F.lit(".")), F.coalesce(first, second)).otherwise(F.coalesce(second, first))
+        return F.when(F.length(given[0]) == 4, read(given, "ymd")).otherwise(pointed)
 
-    def day(order: Column) -> Column:
-        return F.coalesce(*(F.when(order == name, value) for name, value in orders.items()))
-
-    chosen = _let(first, lambda o: F.when(day(o).isNotNull(), o).otherwise(other))
-    return _let(chosen, lambda o: F.struct(day(o).alias("day"), o.alias("order")))
+    return _let(F.split(x, "[-/.]"), body)
 
 
 def _as_date(x: Column) -> Column:
@@ -301,7 +298,7 @@ def _valid(kind: str, x: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255)
     if kind == "date":
-        return _as_date(x).between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date"))
+        return _let(_as_date(x), lambda day: day.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")))
     if kind == "ssn":
         return _area(x).between(1, 899) & (_area(x) != 666) & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000")
     if kind == "phone":
