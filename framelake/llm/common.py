@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 BITMAP_WORDS = 1 << 18
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
+#: Keys of fewer rows are never hot.
+HOT_ROWS = 1000
 BATCH_BYTES = 8 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -124,13 +126,15 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """df left-joined with groups, one row a key at most; ``size`` is the key's number of rows.
+    """df left-joined with groups, one row a key at most; ``size`` is the key's number of rows, ``total`` that of df.
 
     Keys that hold more than total / HOT_SHARE rows, of which there are fewer
     than HOT_SHARE, go by broadcast; the others by shuffle, none of them large.
     Both inputs are read twice, so they should be checkpointed or cheap.
     """
-    hot = F.col(size) > F.lit(max(1000, total // HOT_SHARE))
+    if total <= HOT_ROWS:  # no key can be hot
+        return df.join(groups.hint("merge"), keys, "left")
+    hot = F.col(size) > F.lit(max(HOT_ROWS, total // HOT_SHARE))
     few, many = groups.where(hot), groups.where(~hot)
     heavy = df.join(F.broadcast(few), keys)
     light = df.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many.hint("merge"), keys, "left")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT_ROWS, cut, join_with_hot_keys
 
 
 def components(links: DataFrame, parts: int = 8) -> DataFrame:
     """(id, component) of every id in links (a, b), component the smallest id reachable.
 
-    Every round is a grouped minimum and a join; no component is gathered anywhere.
+    Every round is a grouped minimum and a join; no component is gathered anywhere,
+    and an id with very many links meets its minimum by broadcast.
     Loops and repeated links are allowed; ids without a link are not returned.
     parts: tasks that the links are dealt to between shuffles, by their number.
     """
@@ -21,10 +22,11 @@ def components(links: DataFrame, parts: int = 8) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        state = now
+        state, total = now, 2 * now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_with_hot_keys(both.where("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        large = cut(large) if total > HOT_ROWS else large  # it is read four times then
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_with_hot_keys(large, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))

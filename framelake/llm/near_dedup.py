@@ -12,11 +12,14 @@
 4. Candidates: first every posting is compared with two members of its list, the
    most central one and one chosen by a hash (stars, linear in the postings).
    After their links are merged, only documents whose prefix keys several
-   components post remain.  A document that has too few shingles in common with
-   all other components together cannot be linked with any and leaves; of the
-   rest, every pair that shares one of its rarest such shingles (a prefix filter
-   on the full sets, without loss) is tried.  Signatures are counted against
-   LEAST_MATCHES, and what is left is confirmed on full sets.
+   components post remain.  The shingles that a document has in common with other
+   components bound the size of what it can be linked with; where that leaves no
+   size it leaves.  Of the rest, pairs are tried that share one of their rarest such
+   shingles (a prefix filter on the full sets, without loss), the smaller one being
+   posted under the classes of size that its bound reaches, the larger one under its
+   own.  Signatures are counted against LEAST_MATCHES, and what is left is confirmed
+   on full sets.  Keys of many postings go by broadcast or are dealt to squares of
+   SQUARE_ROWS a side, so no task owns one.
 5. Components of the links, and the result back to every document.
 
 With 96 coordinates and 52 matches a pair of similarity 0.75 is missed with a
@@ -50,6 +53,10 @@ ORIGIN_ROWS, BLOCK_KEYS, STAR_KEYS = 512, 1 << 20, 8
 KEY_BITS = 48
 #: Candidates dealt to a task.
 PART_ROWS = 1000
+#: Postings of one key that meet in a task, on either side.
+SQUARE_ROWS = 1000
+#: Each class of sizes ends at this multiple of where it begins.
+SIZE_STEP = 1.05
 _A, _B = seeded(COORDINATES, 11) | np.uint64(1), seeded(COORDINATES, 12)
 _COORDINATE = seeded(COORDINATES, 13)
 
@@ -244,6 +251,34 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("_id", "_text").mapInArrow(sets, "rep long, v binary")
 
 
+def _pairs_of_sizes(alive: DataFrame) -> DataFrame:
+    """(x, y), x < y, of documents of different components that share a rare code and fit in size.
+
+    alive: rep, n, component, u codes in common with others, the largest partner
+    ``most``, and ``rare``, the prefix of its codes in ascending order of (f, code).
+    """
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(SIZE_STEP)))
+    posted = alive.select("rep", "n", "component", "u", "most", F.posexplode("rare").alias("at", "k"))
+    # Under each code the members of its largest component are compared with the others only, never among themselves.
+    members = posted.groupBy("k", "component").agg(F.count(F.lit(1)).alias("m"))
+    known = members.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("m")).where("c > 1").select("k", "main", "m")
+    rows = alive.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
+    placed = join_with_hot_keys(posted, known, ["k"], "m", rows).where("main IS NOT NULL").withColumn("major", F.col("component") == F.col("main"))
+    # Postings of a code are dealt to squares: the larger documents by row, the smaller ones by column.
+    placed = placed.withColumn("squares", F.floor(F.col("m") / SQUARE_ROWS)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("squares") + 1)).drop("main", "m")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("squares")))
+    named = lambda a: (F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "component", "u", "most", "at", "major"))
+    larger = placed.select("k", size_class(F.col("n")).alias("size"), F.col("own").alias("row"), every.alias("column"), *named("x"))
+    smaller = placed.where("most >= n").select("k", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("most")))).alias("size"), F.col("own").alias("column"), "squares", *named("y"))
+    smaller = smaller.select("*", every.alias("row")).drop("squares")
+    keys = ["k", "size", "row", "column"]
+    met = larger.join(smaller.where("NOT majory"), keys).unionByName(larger.where("NOT majorx").join(smaller.where("majory"), keys))
+    right = "(nx > ny OR nx = ny AND repx > repy) AND componentx <> componenty AND nx <= mosty AND ny <= mostx"
+    # what follows a common code in either list bounds the intersection, if no code before it is common too; a pair passes at its first one
+    fits = f"{100 + SIMILAR} * least(ux - atx, uy - aty) >= {SIMILAR} * (nx + ny)"
+    return met.where(right).where(fits).select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct()
+
+
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles long, component_id, kept boolean) of every row."""
     plain = small_batches(docs).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
@@ -279,12 +314,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     # The stars: each posting against the most central member of its list, and the rarest also against one by a hash.
     posts = found.select(F.posexplode("prefix").alias("i", "k"), "rep", "n", "central")
+    postings = found.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     hashed = F.min_by(F.struct("rep", "n"), F.xxhash64("k", "rep")).alias("c")
     central = F.max_by(F.struct("rep", "n"), F.struct("central", F.negative("rep"))).alias("c")
 
     def stars(rows: DataFrame, centre) -> DataFrame:
         middle = rows.groupBy("k").agg(centre, F.count(F.lit(1)).alias("m")).where("m > 1")
-        paired = rows.join(middle, "k").where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
+        paired = join_with_hot_keys(rows, middle, ["k"], "m", postings).where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
         return paired.where(close).select("x", "y").coalesce(parts).distinct().coalesce(parts)
 
     tried = cut(scored(stars(posts, central).unionByName(stars(posts.where(f"i < {STAR_KEYS}"), hashed)).distinct()))
@@ -294,26 +330,17 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     # What remains: pairs that share any prefix key and lie in different components.
     posted_by = label.select(F.explode("prefix").alias("k"), "rep", "n", "component")
-    mixed = posted_by.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("k", "least")
-    rest = cut(posted_by.join(mixed, "k").groupBy("rep", "n", "component").agg(F.min("least").alias("least")).coalesce(parts))
+    mixed = posted_by.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("k", "least", "m")
+    rest = cut(join_with_hot_keys(posted_by, mixed, ["k"], "m", postings).where("least IS NOT NULL").groupBy("rep", "n", "component").agg(F.min("least").alias("least")).coalesce(parts))
     codes = cut(rest.join(sets, "rep").select("rep", "component", "n", "v").mapInArrow(_exploded, "rep long, component long, code long").coalesce(parts))
     common = codes.groupBy("code").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code", "f")
-    ordered = codes.join(common, "code").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "code"))).alias("codes"))
+    ordered = join_with_hot_keys(codes, common, ["code"], "f", codes.count()).where("f IS NOT NULL").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "code"))).alias("codes"))
     # similarity >= s needs an intersection >= s / (1 + s) * (nx + ny); u shingles are common with others
     needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))) * SIMILAR / (100 + SIMILAR)).cast("int")
     alive = rest.join(ordered, "rep").withColumns({"u": F.size("codes"), "needed": needed}).where("u >= needed")
-    alive = cut(alive.select("rep", "n", "component", "u", F.slice("codes", 1, F.col("u") - F.col("needed") + 1).alias("rare")).coalesce(parts))
-    # Under each code the members of its largest component are compared with the others only, never among themselves.
-    posted_rare = alive.select(F.explode("rare").alias("k"), "*")
-    members = posted_rare.groupBy("k", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = members.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "main")
-    placed = posted_rare.join(largest, "k").withColumn("major", F.col("component") == F.col("main"))
-    side = lambda a: placed.select("k", *(F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "u", "component", "rare", "major")))
-    once = "k = array_min(array_intersect(rarex, rarey))"
-    # k is the rarest code in common, so no more than what follows it in either list can be
-    fits = f"{100 + SIMILAR} * least(ux - array_position(rarex, k) + 1, uy - array_position(rarey, k) + 1) >= {SIMILAR} * (nx + ny)"
-    left = side("x").join(side("y").where("NOT majory"), "k").where("(majorx OR repx < repy) AND componentx <> componenty").where(close).where(fits).where(once)
-    left = left.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    alive = alive.withColumn("most", F.floor(F.least((100 + SIMILAR) * F.col("u") / SIMILAR - F.col("n"), 100 * F.col("n") / SIMILAR)))
+    alive = cut(alive.select("rep", "n", "component", "u", "most", F.slice("codes", 1, F.col("u") - F.col("needed") + 1).alias("rare")).coalesce(parts))
+    left = _pairs_of_sizes(alive).join(tried.select("x", "y"), ["x", "y"], "left_anti")
     last = cut(scored(left.coalesce(parts)))  # few pairs, so few of the sets are moved for them
     ends = last.select(F.col("x").alias("rep")).unionByName(last.select(F.col("y").alias("rep")))
     links = links.unionByName(confirmed(last, only(sets, ends, "rep")))
