@@ -1,8 +1,8 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 A source's target is its weighted share of all tokens, limited to ``most`` times
-its own tokens; what goes beyond is shared anew by weight (water filling, solved by
-prefix sums over the sources).  Every document is taken floor(target / size)
+its own tokens; what goes beyond is shared anew by weight (water filling, by a few
+sums over the sources).  Every document is taken floor(target / size)
 times.  The rest of the budget is met by a threshold on a hash of doc_id: tokens
 are summed by source and hash bucket, the bucket in which the budget runs out is
 found, and only that bucket is refined by the next DIGIT bits, until it holds one
@@ -27,6 +27,8 @@ PASSES = 3
 WEIGHTS, MOST = (1, 2, 3), 3
 #: A per-source table of more rows is not broadcast but spread over SALTS copies.
 MOST_BROADCAST, SALTS = 100_000, 64
+#: Ranges of sources that are numbered apart.
+RANGES = 32
 
 
 def with_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
@@ -37,26 +39,42 @@ def with_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
     return rows.withColumn("_salt", F.pmod("_hash", F.lit(SALTS)).cast("int")).join(salted, ["_s", "_salt"]).drop("_salt")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with _rank, the source's place by code point from 0, null last.
+
+    Sources are dealt to ranges, counted by range and numbered within each; at most
+    RANGES counts meet in one task.
+    """
+    order = F.col("source").asc_nulls_last()
+    dealt = cut(sizes.repartitionByRange(RANGES, order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return dealt.withColumn("_in", within).join(F.broadcast(firsts), "_range").withColumn("_rank", F.col("_first") + F.col("_in")).drop("_range", "_first", "_in")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, target double) from (source, source_size): one row a source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    """(source, source_size, target double, _rank) from (source, source_size): one row a source.
+
+    The water level rises from the plain share: each round takes out the sources that
+    it covers and shares their excess, by two sums over the sources, until none follows.
+    """
     exact = lambda c: c.cast("decimal(38,0)")
-    rows = sizes.withColumn("_w", exact(weight)).withColumn("_z", exact(F.col("source_size")))
-    everything = Window.partitionBy()
-    fill = Window.orderBy((F.col("_z") / F.col("_w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = exact(F.lit(0))
-    rows = (
-        rows.withColumn("_all", F.sum("_z").over(everything))
-        .withColumn("_weights", F.sum("_w").over(everything))
-        .withColumn("_z0", F.coalesce(F.sum("_z").over(fill), zero))
-        .withColumn("_w0", F.coalesce(F.sum("_w").over(fill), zero))
-        .withColumn("_capped", most * F.col("_z") * (F.col("_weights") - F.col("_w0")) <= F.col("_w") * (F.col("_all") - most * F.col("_z0")))
-        .withColumn("_zc", F.coalesce(F.sum(F.when(F.col("_capped"), F.col("_z"))).over(everything), zero))
-        .withColumn("_wc", F.coalesce(F.sum(F.when(F.col("_capped"), F.col("_w"))).over(everything), zero))
-    )
-    shared = (F.col("_w") * (F.col("_all") - most * F.col("_zc"))).cast("double") / (F.col("_weights") - F.col("_wc")).cast("double")
-    return rows.select("source", "source_size", F.when(F.col("_capped"), (most * F.col("_z")).cast("double")).otherwise(shared).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = cut(_ranked(sizes).withColumns({"_w": exact(weight), "_z": exact(F.col("source_size"))}))
+    total = lambda df: [int(x or 0) for x in df.agg(F.sum("_z"), F.sum("_w")).first()]
+    everything, all_weights = total(rows)
+    full, full_weights = 0, 0
+    while True:
+        rest, free = everything - most * full, all_weights - full_weights
+        number = lambda x: exact(F.lit(str(x)))
+        capped = most * F.col("_z") * number(free) <= F.col("_w") * number(rest)
+        now = total(rows.where(capped))
+        if free == 0 or now == [full, full_weights]:
+            break
+        full, full_weights = now
+    shared = (F.col("_w") * number(rest)).cast("double") / number(max(free, 1)).cast("double")
+    return rows.select("source", "source_size", F.when(capped, (most * F.col("_z")).cast("double")).otherwise(shared).alias("target"), "_rank")
 
 
 def _thresholds(items: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
@@ -101,7 +119,7 @@ class Mixture:
         """items: _source, _size, _hash of every row, read several times."""
         sizes = items.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
         # Sources are numbered, so that later joins need no null-safe keys.
-        aims = targets(sizes, weights, most).withColumn("_s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+        aims = targets(sizes, weights, most).withColumnRenamed("_rank", "_s")
         times = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
         aims = aims.withColumn("_times", times.cast("int"))
         rest = F.when(F.col("_times") < most, F.floor(F.col("target") - F.col("_times") * F.col("source_size"))).otherwise(0)
@@ -143,10 +161,11 @@ class Mixture:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, size long, source_size long, target double, repeats int, taken long) of every row."""
+    """(key, size long, source_size long, target double, taken long, source, repeats int) of every row."""
     items = cut(docs.select(docs[key].alias("_id"), *measured(docs, key, text, source)))
     final = Mixture(items, weights, most).repeats(items)
-    return final.select(F.col("_id").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", F.col("_repeats").alias("repeats"), (F.col("_size") * F.col("_repeats")).cast("long").alias("taken"))
+    taken = (F.col("_size") * F.col("_repeats")).cast("long").alias("taken")
+    return final.select(F.col("_id").alias(key), F.col("_size").alias("size"), "source_size", "target", taken, F.col("_source").alias("source"), F.col("_repeats").alias("repeats"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
