@@ -122,11 +122,11 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", tex
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, the five counts long, base_failed boolean, llr double, kept boolean) of every row."""
+    """(key, the five counts long, base_failed boolean, kept boolean, llr double) of every row."""
     docs = small_batches(docs)
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted_ids, key, text))
     source = docs.select(F.col(key), F.col(text).alias("_text"))
-    schema = schema_with(source.select(key), ", ".join(f"{name} long" for name in COUNTS) + ", base_failed boolean, llr double, kept boolean")
+    schema = schema_with(source.select(key), ", ".join(f"{name} long" for name in COUNTS) + ", base_failed boolean, kept boolean, llr double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
             got = {name: np.concatenate(v) if v else np.empty(0) for name, v in found.items()}
             failed = (got["n_words"] < LEAST_WORDS) | (100 * got["n_repeat_words"] > MOST_REPEATED * got["n_words"])
             score = np.round(got["llr"], 6)
-            columns = [batch.column(0), *(pa.array(got[n].astype(np.int64)) for n in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
+            columns = [batch.column(0), *(pa.array(got[n].astype(np.int64)) for n in COUNTS), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(judge, schema)
