@@ -7,20 +7,23 @@ depend on the number of documents.
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Words of the presence bitmap; 2 ** 18 rows of 64 bits are broadcast at most.
-BITMAP_WORDS = 1 << 18
+#: Bits of a membership bitmap for each of its keys, bits of a block (one row of 4 KB), bits broadcast at once.
+BITS_A_KEY, BLOCK_BITS, MOST_BITS = 16, 1 << 15, 1 << 30
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 #: Keys of fewer rows are never hot.
-HOT_ROWS = 1000
+HOT_ROWS = 100
 BATCH_BYTES = 8 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -50,11 +53,17 @@ def schema_with(df: DataFrame, fields: str) -> StructType:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset (a test)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset, a temporary one, if the session runs on this machine alone.
+    """
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return folder or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,42 +72,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def presence(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the 64-bit keys, as rows (word, mask): at most BITMAP_WORDS of them."""
-    slot = F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64))
-    return (
-        keys.select(slot.alias("_slot"))
-        .groupBy(F.shiftright("_slot", 6).cast("int").alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_mask"))
-    )
-
+class Members:
+    """Bitmaps of a set of evenly spread 64-bit keys, sized by their number.
 
-def possibly_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """Rows whose key may be in the set behind the bitmap; few others pass.
-
-    The slot is never null: else Spark would test the key for null by itself and
-    compute it, however costly, once more for that.
+    With BITS_A_KEY bits a key, 1 - exp(-1 / BITS_A_KEY) of other keys (6.1 %) pass by
+    chance, however many keys there are.  Beyond MOST_BITS bits the keys are dealt to
+    ranges, each with a bitmap of its own and a reading of the rows of its own.
     """
-    slot = F.coalesce(F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64)), F.lit(-1))
-    return (
-        df.withColumn("_slot", slot)
-        .withColumn("_word", F.shiftright("_slot", 6).cast("int"))
-        .join(F.broadcast(bitmap), "_word")
-        .where(F.expr("getbit(_mask, cast(_slot & 63 as int))") == 1)
-        .drop("_word", "_mask", "_slot")
-    )
-
-
-def surely_not_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """The rows that possibly_in() leaves out, rows with a null key included."""
-    slot = F.coalesce(F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64)), F.lit(-1))
-    return (
-        df.withColumn("_slot", slot)
-        .withColumn("_word", F.shiftright("_slot", 6).cast("int"))
-        .join(F.broadcast(bitmap), "_word", "left")
-        .where(F.col("_mask").isNull() | (F.expr("getbit(_mask, cast(_slot & 63 as int))") == 0))
-        .drop("_word", "_mask", "_slot")
-    )
+
+    def __init__(self, keys: DataFrame, key: str):
+        """keys: a checkpointed or cheap table with distinct keys in column ``key``."""
+        wanted = max(BLOCK_BITS, keys.count() * BITS_A_KEY)
+        self.ranges = -(-wanted // MOST_BITS)
+        self.bits = min(MOST_BITS, 1 << (-(-wanted // self.ranges) - 1).bit_length())
+
+        def fill(block: tuple, table: pa.Table) -> pa.Table:
+            bits = np.zeros(BLOCK_BITS, np.uint8)
+            bits[table.column("_bit").to_numpy()] = 1
+            return pa.table({"_part": table.column("_part").slice(0, 1), "_block": table.column("_block").slice(0, 1), "_mask": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        slots = self._placed(keys.select(F.col(key).alias("_member")), "_member").select("_part", "_block", "_bit")
+        self.masks = cut(slots.groupBy("_part", "_block").applyInArrow(fill, "_part int, _block int, _mask binary"))
+
+    def _placed(self, df: DataFrame, key: str) -> DataFrame:
+        """df with _part, _block and _bit of the key, none of them ever null.
+
+        A null would let Spark test the key for null by itself and compute it, however costly, once more for that.
+        """
+        slot = F.coalesce(F.pmod(F.col(key), F.lit(self.bits)), F.lit(-1))
+        part = F.coalesce(F.pmod(F.shiftrightunsigned(F.col(key), 32), F.lit(self.ranges)), F.lit(0)).cast("int")
+        placed = df.withColumn("_slot", slot).withColumn("_part", part if self.ranges > 1 else F.lit(0))
+        return placed.withColumns({"_block": F.floor(F.col("_slot") / BLOCK_BITS).cast("int"), "_bit": F.pmod("_slot", F.lit(BLOCK_BITS)).cast("int")}).drop("_slot")
+
+    def _split(self, df: DataFrame, key: str, inside: bool) -> DataFrame:
+        byte = F.conv(F.hex(F.substring("_mask", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("long")
+        hit = F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1
+        rows, out = self._placed(df, key), None
+        for part in range(self.ranges):
+            mask = F.broadcast(self.masks.where(F.col("_part") == part).select("_block", "_mask"))
+            mine = rows.where(F.col("_part") == part) if self.ranges > 1 else rows
+            some = mine.join(mask, "_block").where(hit) if inside else mine.join(mask, "_block", "left").where(F.col("_mask").isNull() | ~hit)
+            out = some if out is None else out.unionByName(some)
+        return out.drop("_part", "_block", "_bit", "_mask")
+
+    def possibly(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows whose key may be in the set; few others pass."""
+        return self._split(df, key, True)
+
+    def surely_not(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows that possibly() leaves out, rows with a null key included."""
+        return self._split(df, key, False)
 
 
 def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -108,8 +131,8 @@ def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     the exact test is an inner join with distinct keys; it always shuffles, at any size.
     """
     ids = cut(wanted.where(F.col(key).isNotNull()).select(key).distinct())
-    bitmap = cut(presence(ids.select(F.xxhash64(key).alias("_h")), "_h"))
-    return possibly_in(rows.withColumn("_h", F.xxhash64(key)), "_h", bitmap).drop("_h").join(ids.hint("merge"), key).select(*rows.columns)
+    members = Members(ids.select(F.xxhash64(key).alias("_h")), "_h")
+    return members.possibly(rows.withColumn("_h", F.xxhash64(key)), "_h").drop("_h").join(ids.hint("merge"), key).select(*rows.columns)
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -119,10 +142,10 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     """
     spread = F.xxhash64(F.col(key))
     ids = cut(dropped.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().withColumns({"_h": F.xxhash64("_key"), "_gone": F.lit(True)}))
-    bitmap = cut(presence(ids, "_h"))
+    members = Members(ids, "_h")
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.when(F.col(key).isNotNull(), spread).alias("_h"))
-    doubtful = possibly_in(marked, "_h", bitmap).join(ids.select("_key", "_gone").hint("merge"), "_key", "left").where("_gone IS NULL")
-    return surely_not_in(marked, "_h", bitmap).select("_row.*").unionByName(doubtful.select("_row.*"))
+    doubtful = members.possibly(marked, "_h").join(ids.select("_key", "_gone").hint("merge"), "_key", "left").where("_gone IS NULL")
+    return members.surely_not(marked, "_h").select("_row.*").unionByName(doubtful.select("_row.*"))
 
 
 def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

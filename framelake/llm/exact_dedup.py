@@ -6,8 +6,8 @@
    by their high bits.  The filters of a block merge losslessly by their sorted
    remainders.  A text that a third of all rows share is one entry in each filter.
 3. Texts whose fingerprint counts above one go on to byte verification: a second
-   pass passes only rows whose fingerprint is in a bitmap of bounded size, joins
-   them to the repeated fingerprints' groups and groups them by the text's bytes,
+   pass passes only rows whose fingerprint is in a bitmap sized by the number of
+   repeated fingerprints (beyond a bound one pass for each range of them), joins them to the repeated fingerprints' groups and groups them by the text's bytes,
    with partial aggregation before the shuffle.
 4. Results join back to the rows by fingerprint and digest; the fewer than 1,000
    possible hot groups by broadcast, the others by shuffle.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, join_with_hot_keys, possibly_in, presence
+from .common import SPACES, Members, cut, join_with_hot_keys
 from .cqf import CountingQuotientFilter
 
 #: Fingerprints that a task gathers before it closes a filter, and those meant for a merge block.
@@ -82,7 +82,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     prints = cut(marked.select("_id", "_sha", "_print"))
     total = prints.count()
     repeated = cut(repeated_fingerprints(prints, "_print", total))
-    routed = possibly_in(marked, "_print", cut(presence(repeated, "fingerprint")))
+    routed = Members(repeated, "fingerprint").possibly(marked, "_print")
     by_bytes = routed.groupBy("_print", "_text").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = cut(
         by_bytes.where(F.col("group_size") > 1)

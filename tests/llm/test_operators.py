@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -476,6 +477,38 @@ def test_mixing_refines_to_single_hashes(spark):
     assert all(0 <= r["max(target)"] - r["sum(taken)"] < 22 for r in sums), sums
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    """Sources too many to broadcast are spread over salts, with the same result."""
+    from framelake.llm import mixing
+
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    copies = Counter(key(r.doc_id) for r in mixing.mixed_rows(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+    assert Counter(key(r.doc_id) for r in mixing.mixed_rows(docs).collect()) == copies
+
+
+def test_targets_of_a_thousand_sources(spark):
+    """Exact water filling in plain Python, over several ranges and rounds."""
+    from fractions import Fraction
+
+    from framelake.llm.mixing import targets
+
+    sizes = {None if i == 7 else f"s{i:04d}": (i * i * 7919) % 10_007 * (1 if i % 10 else 1000) * (i != 9) for i in range(1000)}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    want, free, rest = {}, set(order), sum(sizes.values())
+    while free:
+        level = Fraction(rest, sum(weight[s] for s in free))
+        over = {s for s in free if level * weight[s] >= 3 * sizes[s]}
+        want |= {s: float(3 * sizes[s]) for s in over} or {s: float(level * weight[s]) for s in free}
+        rest -= sum(3 * sizes[s] for s in over)
+        free = free - over if over else set()
+    rows = targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()
+    assert [order[r._rank] for r in rows] == [r.source for r in rows] and len(rows) == 1000
+    assert all(r.target == pytest.approx(want[r.source], rel=1e-12) for r in rows)
+
+
 def test_membership_helpers(spark, docs):
     from framelake.llm.common import only, without
 
@@ -486,6 +519,42 @@ def test_membership_helpers(spark, docs):
     assert Counter(r.doc_id for r in only(docs.select("doc_id", "text"), drop, "doc_id").collect()) == Counter(r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id % 2 == 0)
 
 
+def test_membership_bitmaps_grow_with_their_keys(spark, monkeypatch):
+    """More keys than bits in one bitmap: every key passes, and few others do."""
+    from framelake.llm import common
+
+    keys = common.cut(spark.range(40_000).select(F.xxhash64("id").alias("h")))
+    others = common.cut(spark.range(40_000, 240_000).select(F.xxhash64("id").alias("h")).unionByName(spark.createDataFrame([(None,)], "h long")))
+    for most, ranges in ((1 << 30, 1), (1 << 15, 20)):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        members = common.Members(keys, "h")
+        assert members.ranges == ranges
+        assert members.possibly(keys, "h").count() == 40_000 and members.surely_not(keys, "h").count() == 0
+        passed = members.possibly(others, "h").count()
+        assert passed < 0.07 * 200_000 and members.surely_not(others, "h").count() == 200_001 - passed
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 1500) AS text")
+    from framelake.llm.exact_dedup import exact_dedup
+
+    monkeypatch.setattr(common, "BLOCK_BITS", 1 << 10)
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 12)
+    assert sorted(r.doc_id for r in exact_dedup(docs).where("kept").collect()) == list(range(1500))
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from framelake.llm.common import shared_folder
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda f: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: folder))
+
+    assert shared_folder(session("spark://host:7077", "/shared")) == "/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
+
+
 def test_join_with_hot_keys(spark):
     from framelake.llm.common import join_with_hot_keys
 
