@@ -148,16 +148,17 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     return members.surely_not(marked, "_h").select("_row.*").unionByName(doubtful.select("_row.*"))
 
 
-def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = HOT_ROWS) -> DataFrame:
     """df left-joined with groups, one row a key at most; ``size`` is the key's number of rows, ``total`` that of df.
 
-    Keys that hold more than total / HOT_SHARE rows, of which there are fewer
-    than HOT_SHARE, go by broadcast; the others by shuffle, none of them large.
+    Keys that hold more than total / HOT_SHARE rows (and more than ``least``), of
+    which there are fewer than HOT_SHARE, go by broadcast; the others by shuffle,
+    none of them large.
     Both inputs are read twice, so they should be checkpointed or cheap.
     """
-    if total <= HOT_ROWS:  # no key can be hot
+    if total <= least:  # no key can be hot
         return df.join(groups.hint("merge"), keys, "left")
-    hot = F.col(size) > F.lit(max(HOT_ROWS, total // HOT_SHARE))
+    hot = F.col(size) > F.lit(max(least, total // HOT_SHARE))
     few, many = groups.where(hot), groups.where(~hot)
     heavy = df.join(F.broadcast(few), keys)
     light = df.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many.hint("merge"), keys, "left")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, cut, join_with_hot_keys
+from .common import cut, join_with_hot_keys
+
+#: Ids of fewer links meet their minimum by shuffle.
+HUB_LINKS = 20_000
 
 
 def components(links: DataFrame, parts: int = 8) -> DataFrame:
@@ -25,8 +28,8 @@ def components(links: DataFrame, parts: int = 8) -> DataFrame:
         state, total = now, 2 * now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_with_hot_keys(both.where("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
-        large = cut(large) if total > HOT_ROWS else large  # it is read four times then
+        large = join_with_hot_keys(both.where("v > u"), least, ["u"], "n", total, HUB_LINKS).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        large = cut(large) if total > HUB_LINKS else large  # it is read four times then
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_with_hot_keys(large, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_with_hot_keys(large, least, ["u"], "n", total, HUB_LINKS).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))

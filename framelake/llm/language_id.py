@@ -146,17 +146,21 @@ def _smoothed(parent: Column) -> Column:
 
 
 def host_priors(voted: DataFrame, base: list[float]) -> DataFrame:
-    """(host, hits, prior array<double>) by grouped aggregation, smoothed host < domain < suffix < corpus."""
+    """(host, hits, prior array<double>) by grouped aggregation, smoothed host < domain < suffix < corpus.
+
+    A host of one label has no suffix and one of two is its own domain, so no count enters twice.
+    """
     k = len(base)
     labels = F.split("host", r"\.")
     addressed = voted.where("host IS NOT NULL AND _vote IS NOT NULL")
-    hosts = _counts(addressed, ["host"], k).withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))))
-    hosts = cut(hosts)
-    add_up = lambda by: hosts.groupBy(*by).agg(F.count(F.lit(1)), *(F.sum(F.col("n")[i]).alias(f"_n{i}") for i in range(k))).select(*by, F.array(*(F.col(f"_n{i}") for i in range(k))).alias("n"))
+    above = {"suffix": F.when(F.size(labels) > 1, F.element_at(labels, -1)), "domain": F.when(F.size(labels) > 2, F.concat_ws(".", F.slice(labels, -2, 2)))}
+    hosts = cut(_counts(addressed, ["host"], k).withColumns(above))
+    add_up = lambda by: hosts.where(F.col(by[0]).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)), *(F.sum(F.col("n")[i]).alias(f"_n{i}") for i in range(k))).select(*by, F.array(*(F.col(f"_n{i}") for i in range(k))).alias("n"))
     corpus = F.array(*map(F.lit, base)) if k else F.array().cast("array<double>")
     suffixes = add_up(["suffix"]).select("suffix", _smoothed(corpus).alias("_suffix_prior"))
     domains = add_up(["domain", "suffix"]).join(suffixes, "suffix").select("domain", _smoothed(F.col("_suffix_prior")).alias("_domain_prior"))
-    return hosts.join(domains, "domain").select("host", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"), _smoothed(F.col("_domain_prior")).alias("prior"))
+    known = hosts.join(suffixes, "suffix", "left").join(domains, "domain", "left").withColumn("_above", F.coalesce("_domain_prior", "_suffix_prior", corpus))
+    return known.select("host", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"), _smoothed(F.col("_above")).alias("prior"))
 
 
 def identify(rows: DataFrame, model: TextModel, min_posterior: float = MIN_POSTERIOR) -> DataFrame:

@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from .conftest import words
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -219,6 +221,51 @@ def test_components(spark):
     assert got == {5: 3, 9: 3, 12: 3, 3: 3, 20: 20, 21: 20, **{100 + i: 100 for i in range(41)}}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Ids with very many links meet their minimum by broadcast."""
+    from framelake.llm import components as module
+
+    rng = random.Random(2)
+    links = [(7 if i % 2 else 5000, i) for i in range(100, 1500)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(150)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(3)
+    want = {r.id: r.component for r in module.components(frame).collect()}
+    monkeypatch.setattr(module, "HUB_LINKS", 50)
+    got = {r.id: r.component for r in module.components(frame).collect()}
+    near = defaultdict(set)
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    least = {}
+    for start in sorted(near):
+        todo = [start] if start not in least else []
+        while todo:
+            x = todo.pop()
+            if x not in least:
+                least[x] = start
+                todo += near[x]
+    assert got == want == least
+
+
+def test_near_dedup_of_a_template_family(spark, monkeypatch):
+    """Members just below the similarity, a short document, and copies: the pairs of every size and square, none lost."""
+    from framelake.llm import near_dedup as n
+
+    rng = random.Random(11)
+    template = words(rng, 130).split()
+    texts = {}
+    for i in range(90):
+        blocks = [template[j : j + 13] for j in range(0, 130, 13) if rng.random() < 0.95]
+        texts[i] = " ".join(sum(blocks, []) + words(rng, rng.choice((6, 16, 24, 34, 40))).split())
+    texts |= {200: " ".join(template[:90]), 201: " ".join(template[:100]), 202: " ".join(template), 203: None, 204: texts[3]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = components_of({i: shingles(t) for i, t in texts.items()})
+    assert 5 < len(set(want.values())) < len(texts)
+    for rows in (1000, 7):
+        monkeypatch.setattr(n, "SQUARE_ROWS", rows)
+        assert {r.doc_id: r.component_id for r in n.near_dedup(frame).collect()} == want
+
+
 def test_language_id(spark, docs, empty):
     from framelake.llm import language_id as l
 
@@ -332,6 +379,42 @@ def test_sharding(docs, empty):
     assert all(grown[p] in (free[p], 8) for p in loads)
 
 
+@pytest.mark.parametrize("shards", [3, 8])
+def test_sharding_with_bounds_by_hand(spark, shards):
+    """Every position by walking the ring clockwise, heaviest first, past full shards."""
+    from framelake.llm import sharding
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "x" * rng.choice((0, 3, 50, 4000 if i % 97 == 0 else 9))) for i in range(6000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in sharding.shard_documents(docs, shards).collect()}
+    position = {r.doc_id: r.p for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - sharding.POSITION_BITS).alias("p")).collect()}
+    loads = Counter()
+    for i, r in rows.items():
+        loads[position[i]] += r.size
+    nodes = sorted((int(hashlib.md5(f"shard {s} node {v}".encode()).hexdigest()[:8], 16) % 65536, s) for s in range(shards) for v in range(128))
+    most, filled, want = 1.0005 * sum(loads.values()) / shards, [0] * shards, {}
+    for p, load in sorted(loads.items(), key=lambda x: (-x[1], x[0])):
+        walk = [s for q, s in nodes if q >= p] + [s for q, s in nodes if q < p]
+        shard = next((s for s in walk if filled[s] + load <= most), None)
+        shard = min(range(shards), key=lambda s: (filled[s], s)) if shard is None else shard
+        filled[shard] += load
+        want[p] = shard
+    assert all(r.shard == want[position[i]] for i, r in rows.items())
+    assert max(filled) - min(filled) < 0.02 * sum(filled) / shards
+
+
+def test_sharding_moves_little():
+    """One more shard takes about its own share; a tenth more data moves a small part of what was there."""
+    from framelake.llm.sharding import POSITIONS, assign
+
+    rng = random.Random(9)
+    loads = {p: rng.randint(500, 1500) for p in range(POSITIONS)}
+    before, total = assign(loads, 8), sum(loads.values())
+    moved = lambda after: sum(loads[p] for p in loads if before[p] != after[p]) / total
+    assert moved(assign(loads, 9)) < 0.2  # the new shard's own share is 0.111
+    assert moved(assign({p: n + (100 if p < 600 else 0) for p, n in loads.items()}, 8)) < 0.05
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -4,52 +4,17 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
-import numpy as np
 import pytest
 
+from .test_language import identify_by_hand
 from .test_operators import SPACE, WORD, components_of, key, shingles
 
 
-def trigram_buckets(text):
-    data = (text or "").encode()
-    fold = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in data)
-    return [(int.from_bytes(fold[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 18 for i in range(len(fold) - 2) if sum(c != 32 for c in fold[i : i + 3]) >= 2]
-
-
 def accepted_by_hand(rows):
-    from framelake.llm import language_id as l
-
-    languages = sorted({r.lang for r in rows if r.lang is not None})
-    table = {lang: np.full(l.BUCKETS, 0.5) for lang in languages}
-    for r in rows:
-        if r.lang is not None:
-            np.add.at(table[r.lang], trigram_buckets(r.text), 1)
-    logs = {lang: np.log(t / t.sum()) for lang, t in table.items()}
-    found = []
-    for r in rows:
-        grams = trigram_buckets(r.text)
-        scale = min(len(grams), l.EFFECTIVE_GRAMS) / max(len(grams), 1)
-        sums = [logs[lang][grams].sum() * scale for lang in languages]
-        found.append((r, len(grams), sums, int(np.argmax(sums)) if len(grams) >= l.LEAST_GRAMS else None))
-    base = np.array([sum(v == i for *_, v in found) + 1.0 for i in range(len(languages))])
-    base /= base.sum()
-    counts = defaultdict(lambda: np.zeros(len(languages)))
-    for r, _, _, vote in found:
-        if r.source is not None and vote is not None:
-            counts[r.source][vote] += 1
-    out = []
-    for r, grams, sums, _ in found:
-        prior = base
-        if r.source in counts:
-            n = counts[r.source]
-            for _ in range(3):  # a source without dots is its own suffix and domain
-                prior = (n + l.PARENT_ROWS * prior) / (n.sum() + l.PARENT_ROWS)
-        total = np.array(sums) + np.log(prior)
-        posterior = 1 / np.exp(total - total.max()).sum()
-        out.append(grams >= l.LEAST_GRAMS and round(posterior, 6) >= l.MIN_POSTERIOR)
-    return [r for r, ok in zip(rows, out) if ok or r.doc_id is None]
+    found = identify_by_hand([(r.text, r.source, None) for r in rows], [(r.lang, r.text) for r in rows])
+    return [r for r, f in zip(rows, found) if f.accepted or r.doc_id is None]
 
 
 def mixed_by_hand(rows):
