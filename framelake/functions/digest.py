@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
 #: Fixed values of the public hash.
@@ -30,13 +31,26 @@ def audio_frame_parts(pts: int | None, samples: int, planes: list[bytes]) -> Ite
 
 
 def stream_digests(frames: DataFrame, stream: str, order: str) -> DataFrame:
-    """One ordered digest per stream over rows (stream, order, pts, payload binary); a fold, so one ordered task a stream."""
-
-    def fold(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        state = OFFSET_BASIS
-        for pts, payload in zip(rows.column("pts").to_pylist(), rows.column("payload").to_pylist()):
-            state = fnv1a(audio_frame_parts(pts, 1, [payload or b""]), state)
-        return pa.table({stream: pa.array([key[0].as_py()], pa.string()), "frames": pa.array([len(rows)], pa.int64()), "digest": pa.array([f"{state:016x}"])})
-
-    return frames.select(stream, order, "pts", "payload").groupBy(stream).applyInArrow(fold, f"{stream} string, frames long, digest string")
+    """One digest per stream over rows (stream, order, pts, payload binary) in order.
+
+    Each byte changes what the next one does, so a stream is one task, but it is
+    sorted by Spark (which spills) and read in batches; only the state is kept.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([count], pa.int64()), pa.array([f"{state:016x}"])], names=[stream, "frames", "digest"])
+
+        key, count, state = None, 0, OFFSET_BASIS
+        for batch in batches:
+            for name, pts, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if count and name != key:
+                    yield done()
+                    count, state = 0, OFFSET_BASIS
+                key, count = name, count + 1
+                state = fnv1a(audio_frame_parts(pts, 1, [payload or b""]), state)
+        if count:
+            yield done()
+
+    ordered = frames.repartition(stream).sortWithinPartitions(stream, order)
+    return ordered.select(F.col(stream).cast("string"), "pts", "payload").mapInArrow(fold, f"{stream} string, frames long, digest string")

@@ -35,3 +35,11 @@ def box_downsample(pixels: DataFrame, by: str, x: str, y: str, value: str, facto
     bx, by_ = F.floor(F.col(x) / factor).cast("int").alias("bx"), F.floor(F.col(y) / factor).cast("int").alias("by")
     sums = pixels.groupBy(by, bx, by_).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     return sums.where(F.col("n") == factor * factor).select(by, "bx", "by", F.floor(F.col("s") / (factor * factor)).cast("long").alias("v"))
+
+
+def parity(direct: DataFrame, job: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, total, only_direct, only_job): two routes to the same rows, compared as multisets by one grouped sum of signs."""
+    signed = direct.withColumn("_sign", F.lit(1)).unionByName(job.withColumn("_sign", F.lit(-1)))
+    rows = signed.groupBy(*direct.columns).agg(F.sum("_sign").alias("_left"), F.count_if(F.col("_sign") < 0).alias("_given"))
+    surplus = lambda c: F.sum(F.greatest(c, F.lit(0))).cast("long")
+    return rows.groupBy(by).agg(F.sum("_given").alias("n"), F.sum(F.col(value) * F.col("_given")).alias("total"), surplus(F.col("_left")).alias("only_direct"), surplus(-F.col("_left")).alias("only_job"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import pcm_codec
+from .blocked import running
 
 
 def probe(packets: DataFrame, by: str = "stream_key") -> DataFrame:
@@ -28,9 +29,12 @@ def select_streams(packets: DataFrame, keys: list[str] | None, by: str = "stream
     return packets if keys is None else packets.where(F.col(by).isin(*keys))
 
 
-def number(rows: DataFrame, by: str, order: str, name: str = "n") -> DataFrame:
-    """Rows numbered from 0 within ``by``."""
-    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+def number(rows: DataFrame, by: str, order: str | list[str], name: str = "n", width: float | None = None) -> DataFrame:
+    """Rows numbered from 0 within ``by``; with a width, stream by stream in blocks of it."""
+    order = [order] if isinstance(order, str) else order
+    if width is not None:
+        return running(rows, by, order, width, **{name: ("count_before", F.lit(1))})
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
 
 
 def seek(packets: DataFrame, targets: DataFrame, by: str = "stream_key") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocked
+
 
 def running(by: str | list[str], *order: str):
     """Rows from the start of a partition to the current one."""
@@ -21,10 +23,10 @@ def as_of(left: DataFrame, right: DataFrame, by: str, t: str, value: str, slack:
     return merged.where("_side = 1").select(by, F.col("_t").alias(t), *[c for c in left.columns if c not in (by, t)], F.col("_found").alias(value))
 
 
-def late_rows(rows: DataFrame, by: str, order: str, t: str, allowed: int) -> DataFrame:
+def late_rows(rows: DataFrame, by: str, order: str, t: str, allowed: int, width: float = blocked.ORDINALS) -> DataFrame:
     """Adds late: older than the running maximum of earlier arrivals by more than ``allowed``."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("late", F.coalesce(F.col(t) + allowed < F.max(t).over(before), F.lit(False)))
+    seen = blocked.running(rows, by, order, width, _latest=("max_before", F.col(t)))
+    return seen.withColumn("late", F.coalesce(F.col(t) + allowed < F.col("_latest"), F.lit(False))).drop("_latest")
 
 
 def sessions(rows: DataFrame, by: str, t: str, gap: int, tie: str) -> DataFrame:
@@ -42,23 +44,23 @@ def change_runs(rows: DataFrame, by: str, order: str, key: Column) -> DataFrame:
     return rows.withColumn("_changed", changed).withColumn("run", F.sum("_changed").over(running(by, order)).cast("long")).drop("_changed", "_key")
 
 
-def unwrap(rows: DataFrame, by: str, order: str, t: str, bits: int = 33) -> DataFrame:
+def unwrap(rows: DataFrame, by: str, order: str | list[str], t: str, bits: int = 33, width: float = blocked.ORDINALS) -> DataFrame:
     """Adds unwrapped: t made monotone over wraps of a counter of so many bits."""
-    w = Window.partitionBy(by).orderBy(order)
-    step = F.col(t) - F.lag(t).over(w)
+    rows = blocked.running(rows, by, order, width, _last=("lag", F.col(t)))
+    step = F.col(t) - F.col("_last")
     wrap = F.when(step < -(1 << (bits - 1)), F.lit(1 << bits)).when(step > (1 << (bits - 1)), F.lit(-(1 << bits))).otherwise(F.lit(0)).cast("long")
-    return rows.withColumn("_wrap", wrap).withColumn("unwrapped", F.col(t) + F.sum("_wrap").over(running(by, order))).drop("_wrap")
+    wraps = blocked.running(rows.withColumn("_wrap", wrap).drop("_last"), by, order, width, _wraps=("sum", F.col("_wrap")))
+    return wraps.withColumn("unwrapped", F.col(t) + F.col("_wraps")).drop("_wrap", "_wraps")
 
 
-def seek_epochs(rows: DataFrame, by: str, order: str, request: Column, answer: Column) -> DataFrame:
+def seek_epochs(rows: DataFrame, by: str, order: str, request: Column, answer: Column, width: float = blocked.ORDINALS) -> DataFrame:
     """Batch form of the seek state machine: adds pending and epoch.
 
     Rows from a request (generation) up to the barrier that answers the latest
     request are pending and would be discarded; each answered request starts an epoch.
     """
-    w = running(by, order)
-    rows = rows.withColumn("_request", request).withColumn("_answer", answer).withColumn("_asked", F.max("_request").over(w))
-    rows = rows.withColumn("_answered", F.max(F.when(F.col("_answer") == F.col("_asked"), F.col("_answer"))).over(w))
+    rows = blocked.running(rows.withColumn("_request", request).withColumn("_answer", answer), by, order, width, _asked=("max", F.col("_request")))
+    rows = blocked.running(rows, by, order, width, _answered=("max", F.when(F.col("_answer") == F.col("_asked"), F.col("_answer"))))
     pending = F.coalesce(F.col("_asked") > F.coalesce(F.col("_answered"), F.lit(-1)), F.lit(False))
     return rows.withColumn("pending", pending).withColumn("epoch", F.coalesce("_answered", F.lit(0)).cast("long")).drop("_request", "_answer", "_asked", "_answered")
 

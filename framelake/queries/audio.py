@@ -39,7 +39,7 @@ def audio_psnr(spark, sf_dir):
 
 
 @query(f"""
-WITH {_V}, p AS (SELECT a.vec_id, a.s AS a, b.s AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 100),
+WITH {_V}, p AS (SELECT a.vec_id, a.s AS a, b.s AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1),
 r AS (SELECT vec_id, lag::INT AS lag, sqrt(list_sum(list_transform(list_zip(a[lag + 1:], b[1:64 - lag]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / (64 - lag)) AS rms FROM p, range(0, 9) g(lag))
 SELECT vec_id, arg_min(lag, rms) AS lag, round(min(rms), 5) AS rms FROM r GROUP BY 1""")
 def best_lag(spark, sf_dir):
@@ -85,14 +85,15 @@ def downmix_mono(spark, sf_dir):
     return _surround(spark, sf_dir).select("vec_id", "i", F.round(audio.mean_of(every), 5).alias("mean_all"), F.round(audio.mean_of([c for c, n in zip(every, _CHANNELS) if n != "LowFrequency"]), 5).alias("mean_mono"))
 
 
-@query(f"WITH {_V} SELECT vec_id, round(s[1] + s[2] + s[3] + s[5] + s[6], 5) AS kept, round(s[6], 5) AS last, 6::INT AS n FROM v")
+@query(f"WITH {_V}, g AS (SELECT vec_id, i::INT AS i, s[8 * i + 1:8 * i + 8] AS s FROM v, range(0, 8) r(i)) SELECT vec_id, i, round(s[1] + s[2] + s[3] + s[5] + s[6], 5) AS kept, round(s[6], 5) AS last, 6::INT AS n FROM g")
 def generic_downsize(spark, sf_dir):
     """First of 8 channels to 5 without low frequency; padding repeats the last when 6 of 6 are asked from 5."""
     names = F.array(*map(F.lit, _CHANNELS))
-    first = F.slice("samples", 1, 8)
+    frames = tables.vectors(spark, sf_dir).select(F.col("frame_no").alias("vec_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"), "samples")
+    first = F.slice("samples", F.col("i") * 8 + 1, 8)
     five = audio.fit_channels(first, names, 5)
     six = audio.fit_channels(F.slice(first, 1, 6), F.slice(names, 1, 6), 6)
-    return tables.vectors(spark, sf_dir).select(F.col("frame_no").alias("vec_id"), F.round(F.aggregate(five, F.lit(0.0), lambda a, x: a + x), 5).alias("kept"), F.round(F.element_at(six, -1), 5).alias("last"), F.size(six).alias("n"))
+    return frames.select("vec_id", "i", F.round(F.aggregate(five, F.lit(0.0), lambda a, x: a + x), 5).alias("kept"), F.round(F.element_at(six, -1), 5).alias("last"), F.size(six).alias("n"))
 
 
 @query("""

@@ -15,7 +15,8 @@ ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
 
-def _read(spark, uri):
+def read_packets(spark, uri):
+    """``events`` as packets of two media types."""
     return tables.packets(spark, uri.removeprefix("packets:")).withColumn("media_type", F.when(F.col("stream_key") == "click", "Video").otherwise("Audio"))
 
 
@@ -23,7 +24,7 @@ def _read(spark, uri):
 def job_graph_run(spark, sf_dir):
     """A job that copies every stream to the null sink gives what a plain selection gives."""
     job = Job.from_json(json.dumps({"@null": {"all": [{"from": f"packets:{sf_dir}"}]}}))
-    return compile_job(spark, job, _read)["@null"].select("stream_key", "ordinal", "pts", "size")
+    return compile_job(spark, job, read_packets)["@null"].select("stream_key", "ordinal", "pts", "size")
 
 
 @query("""
@@ -35,5 +36,5 @@ def job_filter_tracks(spark, sf_dir):
         "@in": {"all": [{"from": f"packets:{sf_dir}"}]},
         "@out": {"audio": [{"filter": "volume", "params": {"gain_db": -3}, "input": {"from": f"packets:{sf_dir}"}}], "video": [{"codec": "vp8", "filter": "keyframes", "input": {"from": f"packets:{sf_dir}"}}]},
     }))
-    out = compile_job(spark, job, _read)["@out"]
+    out = compile_job(spark, job, read_packets)["@out"]
     return out.select("track_no", "ordinal", F.round("value", 6).alias("value"), "codec_id")

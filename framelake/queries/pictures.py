@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import mesh, pixel
 from ..operators import metrics
+from ..operators.blocked import ORDINALS
+from ..operators.streams import number
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -53,7 +54,7 @@ def vertex_pool(spark, sf_dir):
     t = _triples(spark, sf_dir).join(labels, "vec_id")
     cell = [F.floor(F.col(a) * 2).cast("int").alias(a) for a in "xyz"]
     pool = t.groupBy("label", *cell).agg(F.min(F.col("vec_id") * 100 + F.col("i")).alias("seen"), F.count(F.lit(1)).alias("uses"))
-    return pool.select("label", "x", "y", "z", "uses", (F.row_number().over(Window.partitionBy("label").orderBy("seen")) - 1).cast("long").alias("vertex"))
+    return pool.select("label", "x", "y", "z", "uses", "seen").transform(lambda p: number(p, "label", "seen", "vertex", ORDINALS)).drop("seen")
 
 
 @query(f"""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..operators.metrics import parity
+from ..plans.job import Job, compile_job
+from .jobs import read_packets
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -52,10 +57,11 @@ def customers_with_orders(spark, sf_dir):
     return c.join(o.where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
 def customers_without_large_orders(spark, sf_dir):
     c, o = _t(spark, sf_dir, "customer", "orders")
-    return c.join(o.where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = o.where("o_totalprice > 100000")
+    return c.join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey, count(o_orderkey)::BIGINT AS n, coalesce(round(sum(o_totalprice), 2), 0) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -96,9 +102,21 @@ def grouping_sets(spark, sf_dir):
 SELECT c_mktsegment, c_custkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)::INT AS quarter FROM customer
 WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)""")
 def rank_customers(spark, sf_dir):
+    """Ranks within few, large segments: balances are cut into blocks, which keep equal ones together."""
     (c,) = _t(spark, sf_dir, "customer")
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"))
-    return c.select("c_mktsegment", "c_custkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.ntile(4).over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("quarter"))
+    c = c.select("c_mktsegment", "c_custkey", (-F.col("c_acctbal")).alias("_key"), F.floor(-F.col("c_acctbal") / 100).alias("_block"))
+    tied = Window.partitionBy("c_mktsegment", "_block").orderBy("_key")
+    c = c.withColumns({"_r": F.rank().over(tied), "_d": F.dense_rank().over(tied), "_n": F.row_number().over(Window.partitionBy("c_mktsegment", "_block").orderBy("_key", "c_custkey"))})
+    blocks = c.groupBy("c_mktsegment", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.max("_d").alias("_values"))
+    before = Window.partitionBy("c_mktsegment").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    none, every = F.lit(0).cast("long"), F.sum("_rows").over(Window.partitionBy("c_mktsegment"))
+    ahead = blocks.select("c_mktsegment", "_block", F.coalesce(F.sum("_rows").over(before), none).alias("_ahead"), F.coalesce(F.sum("_values").over(before), none).alias("_ahead_values"), every.alias("_all"))
+    c = c.join(ahead, ["c_mktsegment", "_block"]).withColumn("_at", F.col("_ahead") + F.col("_n") - 1)
+    # quarters differ by one row at most, the longer ones first
+    short, longer = F.expr("_all div 4"), F.col("_all") % 4
+    head = longer * (short + 1)
+    quarter = F.when(F.col("_at") < head, F.floor(F.col("_at") / (short + 1))).otherwise(longer + F.floor((F.col("_at") - head) / F.greatest(short, F.lit(1))))
+    return c.select("c_mktsegment", "c_custkey", (F.col("_ahead") + F.col("_r")).alias("r"), (F.col("_ahead_values") + F.col("_d")).alias("d"), (quarter + 1).cast("int").alias("quarter"))
 
 
 @query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
@@ -113,14 +131,17 @@ def except_all_keys(spark, sf_dir):
     return c.select(F.col("c_nationkey").alias("k")).exceptAll(s.select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT event_id, value FROM events EXCEPT ALL SELECT event_id, value FROM events WHERE event_id >= 0))::BIGINT AS only_serial, 0::BIGINT AS only_pipelined")
+@query("""
+SELECT event_type AS stream_key, count(*)::BIGINT AS n, round(sum(value * power(10, -3 / 20.0)), 3) AS total, 0::BIGINT AS only_direct, 0::BIGINT AS only_job FROM events GROUP BY 1""")
 def parity_check(spark, sf_dir):
-    """Rows that only one of two routes to the same packets gives: one grouped sum of signs, no join."""
-    p = tables.packets(spark, sf_dir).select("ordinal", "value")
-    signed = p.withColumn("sign", F.lit(1)).unionByName(p.repartition(7, "ordinal").withColumn("sign", F.lit(-1)))
-    left = signed.groupBy("ordinal", "value").agg(F.sum("sign").alias("n"))
-    over = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0)).cast("long")
-    return left.agg(over(F.col("n")).alias("only_serial"), over(-F.col("n")).alias("only_pipelined"))
+    """A gain by a job over two tracks against the same gain as one expression: what each gives, and rows of only one."""
+    address = f"packets:{sf_dir}"
+    track = {"filter": "volume", "params": {"gain_db": -3}, "input": {"from": address}}
+    job = Job.from_json(json.dumps({"@null": {"audio": [track], "video": [track]}}))
+    piped = compile_job(spark, job, read_packets)["@null"]
+    direct = tables.packets(spark, sf_dir).withColumn("value", F.col("value") * 10 ** (-3 / 20))
+    pick = lambda df: df.select("stream_key", "ordinal", "pts", F.round("value", 9).alias("value"))
+    return parity(pick(direct), pick(piped), "stream_key", "value").withColumn("total", F.round("total", 3))
 
 
 @query("SELECT o_orderpriority, count(DISTINCT o_custkey)::BIGINT AS customers, count(DISTINCT o_orderstatus)::BIGINT AS statuses, round(stddev_samp(o_totalprice), 2) AS spread, round(quantile_cont(o_totalprice, 0.5), 2) AS median FROM orders GROUP BY 1")

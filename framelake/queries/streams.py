@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import streams as op
+from ..operators.blocked import MICROS, ORDINALS
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ SELECT stream_key, n, ordinal FROM (
   SELECT event_type AS stream_key, event_id AS ordinal, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::BIGINT AS n, event_id % 4 = 0 AS k FROM events)
 WHERE k""")
 def keyframe_ordinals(spark, sf_dir):
-    return op.number(tables.packets(spark, sf_dir), "stream_key", "ordinal").where("keyframe").select("stream_key", "n", "ordinal")
+    return op.number(tables.packets(spark, sf_dir), "stream_key", "ordinal", width=ORDINALS).where("keyframe").select("stream_key", "n", "ordinal")
 
 
 @query("""
@@ -86,7 +87,7 @@ WITH a AS (SELECT user_id, event_type, event_id, strlen(props) AS n, epoch_us(ts
 SELECT x.i AS n, x.n::BIGINT AS size_a, y.n::BIGINT AS size_b, x.pts - y.pts AS pts_diff, (x.event_id % 4 = 0) = (y.event_id % 4 = 0) AS same_key
 FROM (SELECT * FROM a WHERE event_type = 'click') x JOIN (SELECT * FROM a WHERE event_type = 'view') y USING (i)""")
 def frame_compare(spark, sf_dir):
-    p = op.number(tables.packets(spark, sf_dir).withColumn("at", F.struct("pts", "ordinal")), "stream_key", "at", "i").withColumn("n", F.col("i") + 1)
+    p = op.number(tables.packets(spark, sf_dir), "stream_key", ["pts", "ordinal"], "i", MICROS).withColumn("n", F.col("i") + 1)
     x, y = p.where("stream_key = 'click'").alias("x"), p.where("stream_key = 'view'").alias("y")
     return x.join(y, "n").select("n", F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"), (F.col("x.pts") - F.col("y.pts")).alias("pts_diff"), (F.col("x.keyframe") == F.col("y.keyframe")).alias("same_key"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..operators import blocked
 from ..operators import timeline as op
+from ..operators.streams import number
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -42,7 +44,7 @@ WINDOW w AS (PARTITION BY event_type, epoch ORDER BY event_id ROWS UNBOUNDED PRE
 def audio_end_running(spark, sf_dir):
     """Running end of the audio, restarted at each seek, and the preroll latch."""
     p = tables.packets(spark, sf_dir)
-    p = p.withColumn("epoch", F.sum((F.col("ordinal") % 97 == 0).cast("long")).over(op.running("stream_key", "ordinal")))
+    p = blocked.running(p, "stream_key", "ordinal", blocked.ORDINALS, epoch=("sum", (F.col("ordinal") % 97 == 0).cast("long")))
     w = op.running(["stream_key", "epoch"], "ordinal")
     p = p.withColumn("buffered", F.sum("size").over(w))
     return p.select(F.col("ordinal").alias("event_id"), "epoch", "buffered", F.max(F.col("buffered") >= 100).over(w).alias("started"))
@@ -91,8 +93,7 @@ d AS (SELECT *, wrapped - lag(wrapped) OVER (PARTITION BY event_type ORDER BY t,
 SELECT event_id, wrapped, (wrapped + sum(CASE WHEN step < -4294967296 THEN 8589934592 WHEN step > 4294967296 THEN -8589934592 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS unwrapped FROM d""")
 def pts_unwrap(spark, sf_dir):
     p = tables.packets(spark, sf_dir).withColumn("t", F.expr("pts div 1000")).withColumn("wrapped", F.col("t") % 8589934592)
-    p = p.withColumn("at", F.struct("t", "ordinal"))
-    return op.unwrap(p, "stream_key", "at", "wrapped").select(F.col("ordinal").alias("event_id"), "wrapped", "unwrapped")
+    return op.unwrap(p, "stream_key", ["t", "ordinal"], "wrapped", width=blocked.MICROS // 1000).select(F.col("ordinal").alias("event_id"), "wrapped", "unwrapped")
 
 
 @query("""
@@ -148,16 +149,17 @@ SELECT event_id, round(max(abs(value)) OVER w / nullif(sqrt(avg(value * value) O
 WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)""")
 def sliding_meters(spark, sf_dir):
     """Crest factor and zero crossings over the last 16 samples."""
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    w = order.rowsBetween(-15, 0)
     e = tables.table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") - 50).alias("value"))
+    e = blocked.with_halo(number(e, "event_type", "event_id", width=blocked.ORDINALS), "n", 16)
+    order = Window.partitionBy("event_type", "_block").orderBy("n")
+    w = order.rowsBetween(-15, 0)
     e = e.withColumn("crossed", (F.col("value") >= 0) != (F.lag("value").over(order) >= 0))
     crest = F.max(F.abs("value")).over(w) / F.nullif(F.sqrt(F.avg(F.col("value") * F.col("value")).over(w)), F.lit(0.0))
-    return e.select("event_id", F.round(crest, 4).alias("crest"), F.count_if("crossed").over(w).alias("crossings"))
+    return e.select("event_id", F.round(crest, 4).alias("crest"), F.count_if("crossed").over(w).alias("crossings"), "_own").where("_own").drop("_own")
 
 
 @query(f"""
-WITH {_P}, s AS (SELECT user_id, pts // 60000000 AS slot, max(value) AS value FROM p WHERE user_id < 20 GROUP BY 1, 2), g AS (SELECT *, lead(slot) OVER (PARTITION BY user_id ORDER BY slot) AS nxt FROM s)
+WITH {_P}, s AS (SELECT user_id, pts // 60000000 AS slot, max(value) AS value FROM p GROUP BY 1, 2), g AS (SELECT *, lead(slot) OVER (PARTITION BY user_id ORDER BY slot) AS nxt FROM s)
 SELECT user_id, pos AS slot, CASE WHEN pos = slot THEN value END AS value, pos <> slot AS concealed FROM (SELECT *, unnest(range(slot, coalesce(nxt, slot + 1), 1)) AS pos FROM g)""")
 def loss_concealment(spark, sf_dir):
     """Missing minutes between a user's first and last, filled in and marked."""
