@@ -27,6 +27,43 @@ def gray_of(r: Column, g: Column, b: Column, matrix: str = "bt709") -> Column:
     return kr * r + (1 - kr - kb) * g + kb * b
 
 
+#: Order of a pixel's stored values: red, green, blue, alpha; luma and chroma; gray.
+STORED = {"rgb24": "rgb", "bgr24": "bgr", "rgba": "rgba", "bgra": "bgra", "rgb48le": "rgb", "yuv420p": "yuv", "yuv422p": "yuv", "yuv444p": "yuv", "nv12": "yuv", "nv21": "yvu", "gray8": "g", "gray16le": "g"}
+#: Chroma samples of formats that share them: columns and rows of pixels.
+SHARED_CHROMA = {"yuv420p": (2, 2), "nv12": (2, 2), "nv21": (2, 2), "yuv422p": (2, 1)}
+
+
+def top_value(name: str) -> int:
+    """The largest stored value of a format."""
+    return 65535 if name in ("rgb48le", "gray16le") else 255
+
+
+def rgb_of(stored: Column, name: str) -> list[Column]:
+    """Red, green, blue and alpha from 0 to 1 of a pixel's stored values."""
+    part = {c: F.get(stored, i) / float(top_value(name)) for i, c in enumerate(STORED[name])}
+    if "y" in part:
+        red, green, blue = yuv_to_rgb_709(part["y"], part["u"], part["v"])
+    elif "g" in part and "r" not in part:
+        red = green = blue = part["g"]
+    else:
+        red, green, blue = part["r"], part["g"], part["b"]
+    return [red, green, blue, part.get("a", F.lit(1.0))]
+
+
+def stored_of(rgba: list[Column], name: str) -> Column:
+    """A pixel's stored values, rounded to the format's steps and held to its range."""
+    red, green, blue, alpha = rgba
+    order = STORED[name]
+    if "y" in order:
+        part = dict(zip("yuv", rgb_to_yuv(red, green, blue)))
+    elif order == "g":
+        part = {"g": gray_of(red, green, blue)}
+    else:
+        part = {"r": red, "g": green, "b": blue, "a": alpha}
+    top = top_value(name)
+    return F.array(*(F.least(F.lit(top), F.greatest(F.lit(0), F.round(part[c] * top).cast("int"))) for c in order))
+
+
 def pixel_format(name: Column) -> Column:
     """The known format of a name in any case, or null."""
     low = F.lower(name)
@@ -66,6 +103,30 @@ def pq_to_linear(e: Column) -> Column:
     return F.pow(F.greatest(p - c1, F.lit(0.0)) / (c2 - c3 * p), F.lit(1 / m1))
 
 
+def linear_to_pq(light: Column) -> Column:
+    """The way back."""
+    m1, m2, c1, c2, c3 = 2610 / 16384, 2523 / 4096 * 128, 3424 / 4096, 2413 / 4096 * 32, 2392 / 4096 * 32
+    p = F.pow(light, F.lit(m1))
+    return F.pow((c1 + c2 * p) / (1 + c3 * p), F.lit(m2))
+
+
+def hlg_to_linear(e: Column) -> Column:
+    """ARIB STD-B67, inverse of the camera curve: signal to scene light of 0 to 1."""
+    a, b, c = 0.17883277, 0.28466892, 0.55991073
+    return F.when(e <= 0.5, e * e / 3).otherwise((F.exp((e - c) / a) + b) / 12)
+
+
+def linear_to_hlg(light: Column) -> Column:
+    a, b, c = 0.17883277, 0.28466892, 0.55991073
+    return F.when(light <= 1 / 12, F.sqrt(3 * light)).otherwise(a * F.log(F.greatest(12 * light - b, F.lit(1e-12))) + c)
+
+
+def bt1886_to_linear(v: Column, black: float = 0.0, white: float = 1.0) -> Column:
+    """The reference display curve of exponent 2.4 between a black and a white luminance."""
+    lo, hi = black ** (1 / 2.4), white ** (1 / 2.4)
+    return F.pow(F.greatest(v * (hi - lo) + lo, F.lit(0.0)), F.lit(2.4))
+
+
 def over(src: Column, src_alpha: Column, dst: Column, dst_alpha: Column) -> Column:
     """Porter-Duff source over destination, straight alpha: struct(value, alpha)."""
     alpha = src_alpha + dst_alpha * (1 - src_alpha)

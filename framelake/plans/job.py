@@ -9,17 +9,23 @@ is a tree of nodes: {"from": address or "@alias"}, {"filter", "params", "input"}
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
-from ..functions.pixel import PIXEL_FORMATS
+from ..functions.pixel import PIXEL_FORMATS, SHARED_CHROMA, STORED, rgb_of, stored_of
+from ..operators import filters
+from ..sources.codecs import register_all
 
 SINKS = ("@null", "@display", "@out")
 GROUPS = ("audio", "video", "subtitle", "all")
 FILTERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+REGISTRY = register_all()
 
 
 class JobError(ValueError):
@@ -36,6 +42,71 @@ def filter_named(name: str) -> Callable:
     return add
 
 
+#: Columns by which filters know a stream of samples, and a picture.
+STREAM, ORDER, PICTURE = "stream_key", "ordinal", "frame_no"
+
+
+def _numbers(params: dict, **defaults: float) -> dict:
+    """The parameters that a filter knows, as numbers of its defaults' kind; others are an error."""
+    unknown = sorted(set(params) - set(defaults))
+    if unknown:
+        raise JobError(f"unknown parameter {unknown[0]}")
+    return {name: type(value)(params.get(name, value)) for name, value in defaults.items()}
+
+
+@filter_named("noise_gate")
+def _noise_gate(frames: DataFrame, params: dict) -> DataFrame:
+    return filters.noise_gate(frames, STREAM, ORDER, **_numbers(params, threshold=0.05, attack=4, hold=16, release=16))
+
+
+@filter_named("echo")
+def _echo(frames: DataFrame, params: dict) -> DataFrame:
+    return filters.echo(frames, STREAM, ORDER, **_numbers(params, delay=1, mix=0.5, feedback=0.0))
+
+
+@filter_named("resample")
+def _resample(frames: DataFrame, params: dict) -> DataFrame:
+    rates = _numbers(params, source_rate=48_000, target_rate=44_100, half=16)
+    return filters.resample(frames.select(STREAM, ORDER, "value"), STREAM, ORDER, **rates)
+
+
+@filter_named("spectrogram")
+def _spectrogram(frames: DataFrame, params: dict) -> DataFrame:
+    return filters.spectrogram(frames, STREAM, ORDER, **_numbers(params, width=256, hop=128))
+
+
+def _section(kind: str) -> Callable[[DataFrame, dict], DataFrame]:
+    return lambda frames, params: filters.biquad(frames, STREAM, ORDER, kind, **_numbers(params, freq=1000.0, rate=48_000.0, q=0.7071, gain_db=0.0))
+
+
+for _kind in ("lowpass", "highpass", "bandpass", "notch", "peak"):
+    filter_named(_kind)(_section(_kind))
+
+
+@filter_named("blur")
+def _blur(frames: DataFrame, params: dict) -> DataFrame:
+    _numbers(params)
+    return filters.convolve(frames, PICTURE, filters.BOX_BLUR)
+
+
+@filter_named("edge")
+def _edge(frames: DataFrame, params: dict) -> DataFrame:
+    _numbers(params)
+    return filters.edges(frames, PICTURE)
+
+
+@filter_named("resize")
+def _resize(frames: DataFrame, params: dict) -> DataFrame:
+    kind = params.get("kind", "nearest")
+    sizes = _numbers({k: v for k, v in params.items() if k != "kind"}, w=0, h=0, new_w=0, new_h=0)
+    return filters.resize(frames, PICTURE, **sizes, kind=kind)
+
+
+@filter_named("morphology")
+def _morphology(frames: DataFrame, params: dict) -> DataFrame:
+    return filters.morphology(frames, PICTURE, params.get("kind", "dilate"), int(params.get("reach", 1)))
+
+
 @filter_named("volume")
 def _volume(frames: DataFrame, params: dict) -> DataFrame:
     scale = float(params["scale"]) if "scale" in params else 10 ** (float(params.get("gain_db", 0)) / 20)
@@ -138,18 +209,78 @@ class Job:
         return f"OK: {len(self.to_dag().roots)} output(s)"
 
 
+def format_at(node: Node, source_formats: dict[str, str]) -> str | None:
+    """The pixel format that leaves a node, or null where nobody knows it."""
+    if node.kind == "convert":
+        return node.value
+    if node.kind == "demuxer":
+        return source_formats.get(node.value)
+    found = {format_at(i, source_formats) for i in node.inputs}
+    return found.pop() if len(found) == 1 else None
+
+
 def insert_conversions(dag: Dag, accepted: dict[str, tuple[str, ...]], formats: Callable[[Node], str | None]) -> Dag:
     """Adds a convert below an encoder that does not accept what reaches it."""
 
     def visit(node: Node) -> Node:
         inputs = tuple(map(visit, node.inputs))
-        if node.kind == "encode" and node.value in accepted and formats(inputs[0]) not in accepted[node.value]:
+        if node.kind == "encode" and node.value in accepted and formats(inputs[0]) not in (None, *accepted[node.value]):
             inputs = (Node("convert", accepted[node.value][0], inputs=inputs, group=node.group),)
         return Node(node.kind, node.value, node.params, inputs, node.group)
 
     return Dag({k: visit(n) for k, n in dag.roots.items()})
 
 
+def convert_pixels(frames: DataFrame, target: str) -> DataFrame:
+    """Rows (picture, x, y, pixel_format, stored array<int>) in another format.
+
+    Each source format is one branch of an expression.  Formats that share chroma
+    take the mean of the pixels that share it, one window over small squares.
+    """
+    if target not in STORED:
+        raise JobError(f"no conversion to {target}")
+    branches = [F.when(F.col("pixel_format") == source, F.col("stored") if source == target else stored_of(rgb_of(F.col("stored"), source), target)) for source in STORED]
+    out = frames.withColumns({"stored": F.coalesce(*branches), "pixel_format": F.lit(target), "_was": F.col("pixel_format")})
+    if target in SHARED_CHROMA and {PICTURE, "x", "y"} <= set(out.columns):
+        wide, high = SHARED_CHROMA[target]
+        square = Window.partitionBy(PICTURE, F.floor(F.col("x") / wide), F.floor(F.col("y") / high))
+        shared = F.array(F.get("stored", 0), *(F.round(F.avg(F.get("stored", i)).over(square)).cast("int") for i in (1, 2)))
+        out = out.withColumn("stored", F.when(F.col("_was") == target, F.col("stored")).otherwise(shared))
+    return out.drop("_was")
+
+
+def encode_samples(frames: DataFrame, codec: str) -> DataFrame:
+    """frames with samples array in a codec's payload: data binary in their place."""
+    encode = REGISTRY.resolve(codec, "encode").encode
+    at = frames.columns.index("samples")
+    names = [*frames.columns[:at], *frames.columns[at + 1 :], "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [None if s is None else encode(np.array(s, np.float64)) for s in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(data, pa.binary())], names=names)
+
+    return frames.mapInArrow(run, StructType([*(f for f in frames.schema.fields if f.name != "samples"), StructField("data", BinaryType())]))
+
+
+def decode_payloads(frames: DataFrame) -> DataFrame:
+    """The way back, by each row's codec_id: samples array<double> in place of data."""
+    at, by = frames.columns.index("data"), frames.columns.index("codec_id")
+    names = [*(c for c in frames.columns if c != "data"), "samples"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = [None if d is None else REGISTRY.resolve(codec, "decode").decode(d).astype(np.float64) for codec, d in zip(batch.column(by).to_pylist(), batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(samples, pa.list_(pa.float64()))], names=names)
+
+    return frames.mapInArrow(run, StructType([*(f for f in frames.schema.fields if f.name != "data"), StructField("samples", ArrayType(DoubleType()))]))
+
+
+@filter_named("decode")
+def _decode(frames: DataFrame, params: dict) -> DataFrame:
+    return decode_payloads(frames)
+
+
 def conversion_path(edges: dict[str, set[str]], source: str, target: str) -> list[str] | None:
     """Shortest chain of direct conversions, source and target included; None if there is none."""
     paths, seen = [[source]], {source}
@@ -163,9 +294,14 @@ def conversion_path(edges: dict[str, set[str]], source: str, target: str) -> lis
     return None
 
 
-def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], DataFrame]) -> dict[str, DataFrame]:
-    """One lazy DataFrame per output; an alias is compiled once, and unrequested media types are filtered at the scan."""
-    dag, memo = job.to_dag(), {}
+def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], DataFrame], source_formats: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """One lazy DataFrame per output; an alias is compiled once, and unrequested media types are filtered at the scan.
+
+    source_formats: the pixel format of each address; where it is known, a convert is
+    put before an encoder that does not accept what reaches it.
+    """
+    accepted = {c.codec: c.accepted for c in REGISTRY.impls if c.accepted}
+    dag, memo = insert_conversions(job.to_dag(), accepted, lambda node: format_at(node, source_formats or {})), {}
 
     def build(node: Node) -> DataFrame:
         if node in memo:
@@ -179,12 +315,21 @@ def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str
             out = parts[0]
             for part in parts[1:]:
                 out = out.unionByName(part, allowMissingColumns=True)
+            if node.kind == "alias" and node.group != "all" and "media_type" in out.columns:
+                out = out.where(F.lower("media_type") == node.group)
         elif node.kind == "filter":
             out = FILTERS[node.value](build(node.inputs[0]), dict(node.params))
         elif node.kind == "convert":
-            out = build(node.inputs[0]).withColumn("pixel_format", F.lit(node.value))
+            frames = build(node.inputs[0])
+            if "stored" in frames.columns:
+                out = convert_pixels(frames, node.value)
+            else:  # packets: what their pixels are to become, for whoever decodes them
+                out = frames.withColumn("pixel_format", F.lit(node.value))
         else:  # encode: the codec's name travels with the rows; no codec is a plain copy
-            out = build(node.inputs[0]).withColumn("codec_id", F.lit(node.value))
+            frames = build(node.inputs[0])
+            if "samples" in frames.columns and any(c.codec == node.value and c.encode is not None for c in REGISTRY.impls):
+                frames = encode_samples(frames, node.value)
+            out = frames.withColumn("codec_id", F.lit(node.value))
         memo[node] = out
         return out
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..plans.job import Job, compile_job
+from ..plans.job import Job, compile_job, decode_payloads
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -38,3 +38,73 @@ def job_filter_tracks(spark, sf_dir):
     }))
     out = compile_job(spark, job, read_packets)["@out"]
     return out.select("track_no", "ordinal", F.round("value", 6).alias("value"), "codec_id")
+
+
+def _frames(spark, uri):
+    """``embeddings`` as sources: pixels of 8 x 8 pictures, or audio frames of 64 samples."""
+    kind, sf_dir = uri.split(":", 1)
+    v = tables.vectors(spark, sf_dir)
+    if kind == "frames":
+        return v.select("frame_no", (F.col("frame_no") * 64).alias("pts"), "samples")
+    level = lambda s, i: (F.floor(F.abs(F.get(s, i)) * 1000) % 256).cast("int")
+    p = v.select("frame_no", "samples", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    return p.select("frame_no", (F.col("i") % 5).alias("x"), F.floor(F.col("i") / 5).cast("int").alias("y"), F.lit("rgb24").alias("pixel_format"), F.array(*(level("samples", F.col("i") * 3 + n) for n in range(3))).alias("stored"))
+
+
+_PIXELS = """p AS (SELECT vec_id AS frame_no, i, (i % 5)::INT AS x, (i // 5)::INT AS y, list_transform(embedding[3 * i + 1:3 * i + 3], lambda e: (floor(abs(e::DOUBLE) * 1000)::BIGINT % 256) / 255.0) AS c FROM embeddings, range(0, 20) r(i)),
+l AS (SELECT *, 0.2126 * c[1] + (1 - 0.2126 - 0.0722) * c[2] + 0.0722 * c[3] AS luma FROM p),
+s AS (SELECT *, round(luma * 255)::INT AS sy, least(255, greatest(0, round(((c[3] - luma) / (2 * (1 - 0.0722)) + 0.5) * 255)))::INT AS su, least(255, greatest(0, round(((c[1] - luma) / (2 * (1 - 0.2126)) + 0.5) * 255)))::INT AS sv FROM l)"""
+
+
+@query(f"""
+WITH {_PIXELS}
+SELECT 0 AS track_no, frame_no, x, y, 'yuv444p' AS pixel_format, sy AS c0, su AS c1, sv AS c2 FROM s
+UNION ALL SELECT 1, frame_no, x, y, 'gray8', sy, NULL, NULL FROM s
+UNION ALL SELECT 2, frame_no, x, y, 'bgra', round(c[3] * 255)::INT, round(c[2] * 255)::INT, round(c[1] * 255)::INT FROM s
+UNION ALL SELECT 3, frame_no, x, y, 'yuv420p', sy, round(avg(su) OVER q)::INT, round(avg(sv) OVER q)::INT FROM s WINDOW q AS (PARTITION BY frame_no, x // 2, y // 2)""")
+def job_convert(spark, sf_dir):
+    """Pixels converted by four convert nodes, chroma shared in the last."""
+    tracks = [{"convert": name, "input": {"from": f"pixels:{sf_dir}"}} for name in ("yuv444p", "gray8", "bgra", "yuv420p")]
+    out = compile_job(spark, Job.from_json(json.dumps({"@out": {"video": tracks}})), _frames)["@out"]
+    return out.select("track_no", "frame_no", "x", "y", "pixel_format", *(F.get("stored", i).alias(f"c{i}") for i in range(3)))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS s FROM embeddings),
+q AS (SELECT vec_id, list_transform(s, lambda e: least(32767, greatest(-32768, round_even(e * 32768, 0)))) AS s16, list_transform(s, lambda e: least(255, greatest(0, round_even(e * 128 + 128, 0))) - 128) AS u8 FROM v)
+SELECT vec_id AS frame_no, 'pcm_s16le' AS codec_id, 128 AS bytes, list_sum(s16)::BIGINT AS total, list_max(s16)::BIGINT AS top FROM q
+UNION ALL SELECT vec_id, 'pcm_u8', 64, list_sum(u8)::BIGINT, list_max(u8)::BIGINT FROM q""")
+def job_transcode(spark, sf_dir):
+    """Audio frames encoded by a job in two codecs, and what decoding the payloads gives."""
+    tracks = [{"codec": codec, "from": f"frames:{sf_dir}"} for codec in ("pcm_s16le", "pcm_u8")]
+    coded = compile_job(spark, Job.from_json(json.dumps({"@out": {"audio": tracks}})), _frames)["@out"]
+    back = decode_payloads(coded.withColumn("bytes", F.octet_length("data")))
+    steps = F.transform("samples", lambda s: F.round(s * F.when(F.col("codec_id") == "pcm_u8", 128).otherwise(32768)).cast("long"))
+    return back.select("frame_no", "codec_id", "bytes", F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max(steps).alias("top"))
+
+
+@query("""
+WITH g AS (SELECT event_type AS stream_key, event_id AS ordinal, value * 0.5 AS value FROM events)
+SELECT stream_key, ordinal, round(value + 0.25 * coalesce(lag(value, 3) OVER (PARTITION BY stream_key ORDER BY ordinal), 0), 6) AS value FROM g""")
+def job_filter_chain(spark, sf_dir):
+    """A gain, then an echo of three samples."""
+    tree = {"filter": "echo", "params": {"delay": 3, "mix": 0.25}, "input": {"filter": "volume", "params": {"scale": 0.5}, "input": {"from": f"packets:{sf_dir}"}}}
+    out = compile_job(spark, Job.from_json(json.dumps({"@out": {"all": [tree]}})), read_packets)["@out"]
+    return out.select("stream_key", "ordinal", F.round("value", 6).alias("value"))
+
+
+@query("""
+SELECT 'a.mkv' AS output, 0 AS track_no, event_type AS stream_key, count(*)::BIGINT AS n, round(sum(value), 3) AS total FROM events WHERE event_type <> 'click' GROUP BY 3
+UNION ALL SELECT 'b.mkv', 0, event_type, count(*)::BIGINT, round(sum(value * 2), 3) FROM events WHERE event_type <> 'click' GROUP BY 3
+UNION ALL SELECT 'b.mkv', 1, event_type, count(*)::BIGINT, round(sum(value), 3) FROM events WHERE event_type = 'click' AND event_id % 4 = 0 GROUP BY 3""")
+def job_fan_out(spark, sf_dir):
+    """Two outputs from one alias: every output is a plan of its own over one scan."""
+    source = {"from": "@in"}
+    job = Job.from_json(json.dumps({
+        "@in": {"all": [{"from": f"packets:{sf_dir}"}]},
+        "a.mkv": {"audio": [source]},
+        "b.mkv": {"audio": [{"filter": "volume", "params": {"scale": 2}, "input": source}], "video": [{"filter": "keyframes", "input": source}]},
+    }))
+    built = compile_job(spark, job, read_packets)
+    sums = [df.groupBy(F.lit(name).alias("output"), "track_no", "stream_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total")) for name, df in built.items()]
+    return sums[0].unionByName(sums[1])

@@ -66,3 +66,64 @@ def test_compile(spark):
     assert built["@null"].count() == 2
     rows = built["o"].orderBy("track_no").select("track_no", "n", "value", F.col("codec_id"), "pixel_format").collect()
     assert [tuple(r) for r in rows] == [(0, 1, 4.0, None, None), (1, 2, 4.0, "vp8", "rgb24")]
+
+
+def test_pixels_are_converted_there_and_back(spark):
+    from framelake.plans.job import convert_pixels
+
+    rows = [(0, i % 4, i // 4, "rgb24", [(i * 37) % 256, (i * 91) % 256, (i * 53) % 256]) for i in range(16)]
+    pixels = spark.createDataFrame(rows, "frame_no long, x int, y int, pixel_format string, stored array<int>")
+    at = lambda df: {(r.x, r.y): r.stored for r in df.collect()}
+    first = at(pixels)
+    for name, most in (("bgr24", 0), ("rgba", 0), ("bgra", 0), ("rgb48le", 0), ("yuv444p", 2)):
+        back = at(convert_pixels(convert_pixels(pixels, name), "rgb24"))
+        assert all(max(abs(a - b) for a, b in zip(back[k], first[k])) <= most for k in first), name
+    assert at(convert_pixels(pixels, "bgra"))[0, 1] == [*first[0, 1][::-1], 255]
+    assert at(convert_pixels(pixels, "rgb48le"))[1, 0] == [257 * v for v in first[1, 0]]
+    nv21, nv12 = at(convert_pixels(pixels, "nv21")), at(convert_pixels(pixels, "nv12"))
+    assert all(nv21[k] == [nv12[k][0], nv12[k][2], nv12[k][1]] for k in first)
+    wide = at(convert_pixels(pixels, "yuv422p"))
+    assert wide[0, 0][1:] == wide[1, 0][1:] and nv12[0, 0][1:] == nv12[1, 1][1:]
+    assert at(convert_pixels(convert_pixels(pixels, "yuv420p"), "yuv420p")) == at(convert_pixels(pixels, "yuv420p"))
+    with pytest.raises(JobError, match="no conversion to pal8"):
+        convert_pixels(pixels, "pal8")
+
+
+def test_a_conversion_is_inserted_when_the_job_is_compiled(spark):
+    pixels = spark.createDataFrame([(0, 0, 0, "gray8", [7])], "frame_no long, x int, y int, pixel_format string, stored array<int>")
+    spec = Job.from_json(json.dumps({"@out": {"video": [{"codec": "bmp", "from": "x"}]}}))
+    row = compile_job(spark, spec, lambda *_: pixels, {"x": "gray8"})["@out"].first()
+    assert (row.codec_id, row.pixel_format, row.stored) == ("bmp", "rgb24", [7, 7, 7])
+    assert compile_job(spark, spec, lambda *_: pixels)["@out"].first().pixel_format == "gray8"
+
+
+def test_payloads_by_job(spark):
+    from framelake.plans.job import decode_payloads
+
+    frames = spark.createDataFrame([(0, [0.5, -0.25, 1.5]), (1, None)], "frame_no long, samples array<double>")
+    spec = Job.from_json(json.dumps({"@out": {"audio": [{"codec": "pcm_s16le", "from": "x"}]}}))
+    out = compile_job(spark, spec, lambda *_: frames)["@out"]
+    assert [r.data for r in out.orderBy("frame_no").collect()] == [bytes.fromhex("004000e0ff7f"), None]
+    assert [r.samples for r in decode_payloads(out).orderBy("frame_no").collect()] == [[0.5, -0.25, 32767 / 32768], None]
+
+
+def test_every_filter_runs_by_name(spark):
+    from framelake.plans.job import FILTERS
+
+    samples = spark.range(300).selectExpr("'s' AS stream_key", "id AS ordinal", "sin(id / 5.0) AS value", "true AS keyframe")
+    pixels = spark.range(30).selectExpr("0L AS frame_no", "cast(id % 6 AS int) AS x", "cast(id div 6 AS int) AS y", "cast(id AS double) AS value")
+    params = {"resize": {"w": 6, "h": 5, "new_w": 3, "new_h": 2}, "resample": {"source_rate": 100, "target_rate": 50}, "spectrogram": {"width": 64, "hop": 32}}
+    for name in set(FILTERS) - {"decode"}:
+        source = pixels if name in ("blur", "edge", "resize", "morphology") else samples
+        spec = Job.from_json(json.dumps({"@out": {"all": [{"filter": name, "params": params.get(name, {}), "input": {"from": "x"}}]}}))
+        assert compile_job(spark, spec, lambda *_, s=source: s)["@out"].count() > 0, name
+    bad = Job.from_json(json.dumps({"@out": {"all": [{"filter": "echo", "params": {"dleay": 3}, "input": {"from": "x"}}]}}))
+    with pytest.raises(JobError, match="unknown parameter dleay"):
+        compile_job(spark, bad, lambda *_: samples)
+
+
+def test_an_alias_gives_a_track_its_own_media_type(spark):
+    frames = spark.createDataFrame([("Audio", 1), ("Video", 2)], "media_type string, n int")
+    spec = Job.from_json(json.dumps({"@in": {"all": [{"from": "x"}]}, "a": {"audio": [{"from": "@in"}]}, "b": {"all": [{"from": "@in"}]}}))
+    built = compile_job(spark, spec, lambda *_: frames)
+    assert [r.n for r in built["a"].collect()] == [1] and built["b"].count() == 2
