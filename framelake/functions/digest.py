@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
@@ -54,3 +54,15 @@ def stream_digests(frames: DataFrame, stream: str, order: str) -> DataFrame:
 
     ordered = frames.repartition(stream).sortWithinPartitions(stream, order)
     return ordered.select(F.col(stream).cast("string"), "pts", "payload").mapInArrow(fold, f"{stream} string, frames long, digest string")
+
+
+def verified(payload: Column, crc32: Column | None = None, md5: Column | None = None) -> Column:
+    """Whether a payload has the declared checksums; null where none is declared."""
+    checks = []
+    if crc32 is not None:
+        checks.append(F.crc32(payload.cast("binary")) == crc32)
+    if md5 is not None:
+        checks.append(F.md5(payload.cast("binary")) == F.lower(md5))
+    none = F.lit(None).cast("boolean")
+    given = F.coalesce(*checks, none)
+    return F.when(given.isNotNull(), F.least(*(F.coalesce(c, F.lit(True)) for c in checks), F.lit(True))).otherwise(none)

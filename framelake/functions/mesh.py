@@ -42,3 +42,18 @@ def fbx_metres(properties: Column) -> Column:
 def morph_weights(node: Column, mesh: Column) -> Column:
     """A node's own weights override its mesh's."""
     return F.coalesce(node, mesh)
+
+
+def slerp(a: Column, b: Column, t: Column) -> Column:
+    """The shorter arc between two unit quaternions (arrays of 4); a line where they nearly coincide."""
+    inner = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.transform(F.array(inner), lambda d: _along(a, b, d, t))[0]
+
+
+def _along(a: Column, b: Column, inner: Column, t: Column) -> Column:
+    sign, near = F.when(inner < 0, -1.0).otherwise(1.0), F.abs(inner)
+    angle = F.acos(F.least(near, F.lit(1.0)))
+    close = near > 0.9995
+    wa = F.when(close, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
+    wb = F.when(close, t).otherwise(F.sin(t * angle) / F.sin(angle))
+    return F.zip_with(a, b, lambda x, y: x * wa + y * sign * wb)

@@ -57,3 +57,47 @@ def engine_of(codec: Column) -> Column:
         .when(codec.contains("vdpau"), "vdpau")
         .when(codec.contains("vulkan"), "vulkan")
     )
+
+
+def page_span(uri: Column) -> Column:
+    """struct(uri, first, last) of an address with a page selector behind it: [0] or [2-5]; pages count from 0, null without one."""
+    inner = F.regexp_extract(uri, r"\[(\d+)(?:-(\d+))?\]$", 1)
+    until = F.regexp_extract(uri, r"\[(\d+)-(\d+)\]$", 2)
+    number = lambda c: F.nullif(c, F.lit("")).cast("int")
+    return F.struct(F.regexp_replace(uri, r"\[\d+(-\d+)?\]$", "").alias("uri"), number(inner).alias("first"), F.coalesce(number(until), number(inner)).alias("last"))
+
+
+def numbered_name(template: str, number: Column) -> Column:
+    """A name with the number in the place of its %d or %03d; before the extension where it has none."""
+    if "%" not in template:
+        stem_, dot, tail = template.rpartition(".")
+        template = f"{stem_}-%d{dot}{tail}" if dot else f"{template}-%d"
+    return F.format_string(template, number)
+
+
+def json_escaped(text: Column) -> Column:
+    """A path as it stands between the quotes of a JSON text."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def resolved_path(base: Column, relative: Column) -> Column:
+    """A relative address against the folder of its base; absolute paths and addresses with a scheme stay."""
+    folder = F.regexp_replace(base, r"[^/]*$", "")
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    joined = F.when(relative.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative).when(F.startswith(relative, F.lit("/")), F.concat(origin, relative)).otherwise(F.concat(folder, relative))
+    return F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/[^/]+/\.\./", "/")
+
+
+#: What the keys of a player ask for.
+COMMANDS = {" ": "toggle_pause", "q": "quit", "left": "seek -10", "right": "seek 10", "up": "volume 5", "down": "volume -5", "m": "mute"}
+
+
+def command_of(key: Column) -> Column:
+    """The command of a key in any case; null for others."""
+    low = F.when(key == " ", key).otherwise(F.lower(F.trim(key)))
+    return F.element_at(F.create_map(*(F.lit(x) for pair in COMMANDS.items() for x in pair)), low)
+
+
+def latency_text(milliseconds: Column) -> Column:
+    """none, or milliseconds with one decimal below ten and none from there on."""
+    return F.when(milliseconds.isNull() | (milliseconds <= 0), "none").when(milliseconds < 10, F.concat(_tenths(milliseconds), F.lit(" ms"))).otherwise(F.format_string("%d ms", F.floor(milliseconds).cast("long")))

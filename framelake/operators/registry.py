@@ -64,3 +64,8 @@ def flattened_nodes(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
             return out
         out = out.unionByName(level)
     raise ValueError(f"scene graph deeper than {most_depth}, or not a tree")
+
+
+def bench_order(rows: DataFrame, media: str, *then: str) -> list:
+    """Sort keys of a benchmark listing: video, audio, the rest, then the given columns."""
+    return [F.when(F.col(media) == "Video", 0).when(F.col(media) == "Audio", 1).otherwise(2), *(rows[c] for c in then)]

@@ -65,3 +65,27 @@ def container_duration(streams: DataFrame, own: Column) -> DataFrame:
     """duration_us per asset: the container's, else the longest stream's."""
     ticks = (F.col("duration").cast("decimal(38,0)") * F.col("tb_num") * 1_000_000 / F.col("tb_den")).cast("long")
     return streams.groupBy("asset_id").agg(F.coalesce(F.max(own), F.max(ticks)).alias("duration_us"))
+
+
+def with_stream_params(packets: DataFrame, streams: DataFrame, by: str = "stream_key") -> DataFrame:
+    """packets with their stream's columns and seconds, pts in its time base (tb_num over tb_den); packets of unknown streams keep nulls."""
+    met = packets.join(streams, by, "left")
+    return met.withColumn("seconds", F.col("pts") * F.col("tb_num") / F.col("tb_den"))
+
+
+def first_of(packets: DataFrame, by: str, kind: str, order: str) -> DataFrame:
+    """(by, kind, order): the first packet of every kind in every ``by``, by partial minima."""
+    return packets.groupBy(by, kind).agg(F.min(order).alias(order))
+
+
+def drain_ticks(messages: DataFrame, by: str, order: str, most: int = 32) -> DataFrame:
+    """Adds tick (from 0): a consumer takes at most so many messages of a queue at a time."""
+    return number(messages, by, order, "_n").withColumn("tick", F.floor(F.col("_n") / most)).drop("_n")
+
+
+def ends(packets: DataFrame, by: str, clock: str, picture: str) -> DataFrame:
+    """(by, clock_end, picture_end, end_us, trailing): when each media type runs out, and which one plays on alone."""
+    last = lambda key: F.max(F.when(F.col("stream_key") == key, F.col("pts")))
+    rows = packets.groupBy(by).agg(last(clock).alias("clock_end"), last(picture).alias("picture_end"), F.max("pts").alias("end_us"))
+    trailing = F.when(F.col("clock_end") > F.col("picture_end"), clock).when(F.col("clock_end") < F.col("picture_end"), picture)
+    return rows.withColumn("trailing", trailing)

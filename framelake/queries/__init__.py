@@ -1,7 +1,7 @@
 """Registered queries and the SQL that they are held against."""
 
-from . import audio, jobs, pictures, registry, relational, scalars, streams, timing
+from . import audio, jobs, media, pictures, registry, relational, scalars, streams, timing
 
-MODULES = (streams, scalars, registry, timing, audio, pictures, relational, jobs)
+MODULES = (streams, scalars, registry, timing, audio, pictures, relational, jobs, media)
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -88,8 +88,9 @@ def register_all(registry: Registry | None = None) -> Registry:
     r.register(Codec("pcm_s32le", "Audio", _pcm("S32"), _integers("<i4", 2147483648)))
     r.register(Codec("pcm_f32le", "Audio", _pcm("F32"), lambda x: np.asarray(x, "<f4").tobytes()))
     r.register(Codec("pcm_f64le", "Audio", _pcm("F64"), lambda x: np.asarray(x, "<f8").tobytes()))
-    r.register(Codec("pcm_mulaw", "Audio", lambda d: datasource.decode_ulaw(d).astype(np.float32) / 32768, lossless=False))
-    r.register(Codec("pcm_alaw", "Audio", lambda d: datasource.decode_alaw(d).astype(np.float32) / 32768, lossless=False))
+    whole = lambda x: np.clip(np.round(np.asarray(x, float) * 32768), -32768, 32767)
+    r.register(Codec("pcm_mulaw", "Audio", lambda d: datasource.decode_ulaw(d).astype(np.float32) / 32768, lambda x: datasource.encode_ulaw(whole(x)), lossless=False))
+    r.register(Codec("pcm_alaw", "Audio", lambda d: datasource.decode_alaw(d).astype(np.float32) / 32768, lambda x: datasource.encode_alaw(whole(x)), lossless=False))
     for kind in images.READERS:
         r.register(Codec(kind, "Image", images.READERS[kind], images.WRITERS[kind], accepted=("rgb24", "rgba")))
     for media, names in NAMED.items():

@@ -151,3 +151,21 @@ def decode_alaw(data: bytes) -> np.ndarray:
     exponent, mantissa = ((a & 0x70) >> 4).astype(np.int32), (a & 0x0F).astype(np.int32) << 4
     t = np.where(exponent == 0, mantissa + 8, (mantissa + 0x108) << np.maximum(exponent - 1, 0))
     return np.where(a & 0x80, t, -t).astype(np.int16)
+
+
+def encode_ulaw(samples: np.ndarray) -> bytes:
+    """16-bit samples as G.711 mu-law bytes."""
+    x = samples.astype(np.int32)
+    size = np.minimum(np.abs(x), 32635) + 0x84
+    exponent = np.floor(np.log2(size)).astype(np.int32) - 7
+    mantissa = size >> (exponent + 3) & 0x0F
+    return (~(np.where(x < 0, 0x80, 0) | exponent << 4 | mantissa) & 0xFF).astype(np.uint8).tobytes()
+
+
+def encode_alaw(samples: np.ndarray) -> bytes:
+    """16-bit samples as G.711 A-law bytes."""
+    x = samples.astype(np.int32)
+    size = np.minimum(np.where(x < 0, -x - 1, x), 32767)
+    exponent = np.maximum(np.floor(np.log2(np.maximum(size, 1))).astype(np.int32) - 7, 0)
+    mantissa = size >> np.where(exponent > 0, exponent + 3, 4) & 0x0F
+    return ((np.where(x < 0, 0, 0x80) | exponent << 4 | mantissa) ^ 0x55).astype(np.uint8).tobytes()
