@@ -102,7 +102,7 @@ class Members:
         slot = F.coalesce(F.pmod(F.col(key), F.lit(self.bits)), F.lit(-1))
         part = F.coalesce(F.pmod(F.shiftrightunsigned(F.col(key), 32), F.lit(self.ranges)), F.lit(0)).cast("int")
         placed = df.withColumn("_slot", slot).withColumn("_part", part if self.ranges > 1 else F.lit(0))
-        return placed.withColumns({"_block": F.floor(F.col("_slot") / BLOCK_BITS).cast("int"), "_bit": F.pmod("_slot", F.lit(BLOCK_BITS)).cast("int")}).drop("_slot")
+        return placed.withColumns({"_block": F.shiftright("_slot", BLOCK_BITS.bit_length() - 1).cast("int"), "_bit": F.col("_slot").bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")}).drop("_slot")
 
     def _split(self, df: DataFrame, key: str, inside: bool) -> DataFrame:
         byte = F.conv(F.hex(F.substring("_mask", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("long")
