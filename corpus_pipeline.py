@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
-columns of docs; the mixture repeats rows that it takes more than once.
+columns of docs; the mixture repeats rows that it takes more than once, so that a
+doc_id and piece may come several times out of the last stage.
+
+Cases: a null text is an empty one: language ID rejects it; a row with a null doc_id
+is never dropped; rows that share a doc_id share its verdict, and repeated rows stay
+or go together; other columns pass through all stages but the last; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
