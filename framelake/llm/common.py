@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 
 #: Bits of a membership bitmap for each of its keys, bits of a block (one row of 4 KB), bits broadcast at once.
 BITS_A_KEY, BLOCK_BITS, MOST_BITS = 16, 1 << 15, 1 << 30
+#: Readings of the rows for one set; where more would be needed, one shuffle of all rows costs less.
+MOST_RANGES = 4
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 #: Keys of fewer rows are never hot.
@@ -76,8 +78,10 @@ class Members:
     """Bitmaps of a set of evenly spread 64-bit keys, sized by their number.
 
     With BITS_A_KEY bits a key, 1 - exp(-1 / BITS_A_KEY) of other keys (6.1 %) pass by
-    chance, however many keys there are.  Beyond MOST_BITS bits the keys are dealt to
-    ranges, each with a bitmap of its own and a reading of the rows of its own.
+    chance.  Beyond MOST_BITS bits the keys are dealt to ranges, each with a bitmap of
+    its own and a reading of the rows of its own.  A set that needs more than MOST_RANGES
+    of these has no bitmap: every row with a key may be in it, and the exact test that
+    follows everywhere shuffles them all, once.
     """
 
     def __init__(self, keys: DataFrame, key: str):
@@ -85,6 +89,8 @@ class Members:
         wanted = max(BLOCK_BITS, keys.count() * BITS_A_KEY)
         self.ranges = -(-wanted // MOST_BITS)
         self.bits = min(MOST_BITS, 1 << (-(-wanted // self.ranges) - 1).bit_length())
+        if self.ranges > MOST_RANGES:
+            return
 
         def fill(block: tuple, table: pa.Table) -> pa.Table:
             bits = np.zeros(BLOCK_BITS, np.uint8)
@@ -105,6 +111,8 @@ class Members:
         return placed.withColumns({"_block": F.shiftright("_slot", BLOCK_BITS.bit_length() - 1).cast("int"), "_bit": F.col("_slot").bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")}).drop("_slot")
 
     def _split(self, df: DataFrame, key: str, inside: bool) -> DataFrame:
+        if self.ranges > MOST_RANGES:
+            return df.where(F.col(key).isNotNull() if inside else F.col(key).isNull())
         byte = F.conv(F.hex(F.substring("_mask", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("long")
         hit = F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1
         rows, out = self._placed(df, key), None
@@ -116,7 +124,7 @@ class Members:
         return out.drop("_part", "_block", "_bit", "_mask")
 
     def possibly(self, df: DataFrame, key: str) -> DataFrame:
-        """Rows whose key may be in the set; few others pass."""
+        """Rows whose key may be in the set; few others pass, or all of a set without a bitmap."""
         return self._split(df, key, True)
 
     def surely_not(self, df: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,9 @@
    remainders.  A text that a third of all rows share is one entry in each filter.
 3. Texts whose fingerprint counts above one go on to byte verification: a second
    pass passes only rows whose fingerprint is in a bitmap sized by the number of
-   repeated fingerprints (beyond a bound one pass for each range of them), joins them to the repeated fingerprints' groups and groups them by the text's bytes,
-   with partial aggregation before the shuffle.
+   repeated fingerprints (beyond a bound one pass for each of a few ranges of them,
+   beyond those one pass without a bitmap) and groups them by the text's bytes, with
+   partial aggregation before the shuffle; only groups of repeated fingerprints stay.
 4. Results join back to the rows by fingerprint and digest; the fewer than 1,000
    possible hot groups by broadcast, the others by shuffle.
 

@@ -608,6 +608,7 @@ def test_membership_bitmaps_grow_with_their_keys(spark, monkeypatch):
 
     keys = common.cut(spark.range(40_000).select(F.xxhash64("id").alias("h")))
     others = common.cut(spark.range(40_000, 240_000).select(F.xxhash64("id").alias("h")).unionByName(spark.createDataFrame([(None,)], "h long")))
+    monkeypatch.setattr(common, "MOST_RANGES", 20)
     for most, ranges in ((1 << 30, 1), (1 << 15, 20)):
         monkeypatch.setattr(common, "MOST_BITS", most)
         members = common.Members(keys, "h")
@@ -623,6 +624,22 @@ def test_membership_bitmaps_grow_with_their_keys(spark, monkeypatch):
     assert sorted(r.doc_id for r in exact_dedup(docs).where("kept").collect()) == list(range(1500))
 
 
+def test_sets_too_large_for_bitmaps(spark, docs, monkeypatch):
+    """Every row with a key may be in the set, none without one is, and the exact tests after it give the same rows."""
+    from framelake.llm import common
+    from framelake.llm.exact_dedup import exact_dedup
+
+    drop = docs.where("doc_id % 2 = 0").select("doc_id")
+    pick = lambda df: Counter((key(r.doc_id), r.text) for r in df.collect())
+    verdicts = lambda: Counter(map(str, exact_dedup(docs).collect()))
+    some, kept, all_of = pick(common.only(docs.select("doc_id", "text"), drop, "doc_id")), pick(common.without(docs, drop)), verdicts()
+    monkeypatch.setattr(common, "MOST_RANGES", 0)
+    members = common.Members(drop.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h")), "h")
+    rows = docs.select("doc_id").withColumn("h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+    assert not hasattr(members, "masks") and members.surely_not(rows, "h").count() == docs.where("doc_id IS NULL").count()
+    assert pick(common.only(docs.select("doc_id", "text"), drop, "doc_id")) == some and pick(common.without(docs, drop)) == kept and verdicts() == all_of
+
+
 def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     from types import SimpleNamespace
 
