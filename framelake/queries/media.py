@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..functions import audio, digest, mesh, pixel, text, timebase
 from ..operators import blocked, filters, metrics, registry, streams, timeline
-from ..sources import codecs, datasource, generate, meshes, subtitles
+from ..sources import codecs, datasource, generate, meshes, subtitles, transport
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -37,6 +37,18 @@ def packet_seconds(spark, sf_dir):
     return streams.with_stream_params(p, params).select(F.col("ordinal").alias("event_id"), "stream_index", "seconds")
 
 
+@query("""
+WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS seen FROM events)
+SELECT user_id::VARCHAR AS uri, (dense_rank() OVER (PARTITION BY user_id ORDER BY seen) - 1)::INT AS stream_index, (epoch_us(ts) // 1000 * 90) % 8589934592 AS pts, event_id % 4 = 0 AS keyframe, md5(props || repeat('x', event_id % 400)) AS md5 FROM f""")
+def transport_round_trip(spark, sf_dir):
+    """Every user's packets muxed into a transport stream of five streams at most, and demuxed."""
+    e = tables.table(spark, sf_dir, "events")
+    stream = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type")).cast("int")
+    payload = F.concat("props", F.repeat(F.lit("x"), (F.col("event_id") % 400).cast("int"))).cast("binary")
+    packets = e.select(F.col("user_id").cast("string").alias("uri"), F.col("event_id").alias("at"), stream.alias("stream_index"), (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) * 90).alias("pts"), (F.col("event_id") % 4 == 0).alias("keyframe"), payload.alias("data"))
+    return datasource.demux(transport.mux_ts(packets), "mpegts").select("uri", "stream_index", "pts", "keyframe", F.md5("data").alias("md5"))
+
+
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def first_packets(spark, sf_dir):
     found = streams.first_of(tables.packets(spark, sf_dir), "asset_id", "stream_key", "ordinal")

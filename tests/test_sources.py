@@ -60,6 +60,33 @@ def test_transport_stream():
         list(datasource.ts_packets(b"\0" * 188))
 
 
+def test_transport_streams_written(spark):
+    from framelake.sources import transport
+
+    sizes = (0, 1, 155, 167, 168, 169, 170, 171, 349, 353, 354, 355, 1000, 20_000)
+    units = [("a", 2 * i + s, s, 3000 * i + (1 << 33) - 9000, s == 0 and i % 3 == 0, bytes((31 * k + i) % 251 for k in range(n))) for i, n in enumerate(sizes) for s in (0, 1)]
+    units += [("b", 0, 5, None, True, None)]
+    packets = spark.createDataFrame(units, "uri string, at long, stream_index int, pts long, keyframe boolean, data binary")
+    files = {r.uri: bytes(r.data) for r in transport.mux_ts(packets.repartition(3)).collect()}
+    got = list(datasource.ts_packets(files["a"]))
+    assert [(r[0], r[3], r[6], r[7]) for r in got] == [(s, pts % (1 << 33), key, body) for _, _, s, pts, key, body in units[:-1]]
+    assert [(r[3], r[6], r[7]) for r in datasource.ts_packets(files["b"])] == [(None, True, b"")]
+    cells = [files["a"][i : i + 188] for i in range(0, len(files["a"]), 188)]
+    assert all(c[0] == 0x47 and len(c) == 188 for c in cells)
+    for pid in (256, 257):
+        mine = [c[3] & 15 for c in cells if (c[1] & 31) << 8 | c[2] == pid]
+        assert mine == [i % 16 for i in range(len(mine))]
+
+    def crc(data, value=0xFFFFFFFF):  # bit by bit; a section with its own checksum behind gives 0
+        for bit in (b >> i & 1 for b in data for i in range(7, -1, -1)):
+            value = (value << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (value >> 31) ^ bit else 0)
+        return value
+
+    for cell, pid, table in ((cells[0], 0, 0), (cells[1], transport.MAP_PID, 2)):
+        length = int.from_bytes(cell[6:8], "big") & 0xFFF
+        assert (cell[1] & 31) << 8 | cell[2] == pid and cell[5] == table and crc(cell[5 : 8 + length]) == 0
+
+
 def test_companding():
     assert datasource.decode_ulaw(bytes([0xFF, 0x7F, 0x00, 0x80])).tolist() == [0, 0, -32124, 32124]
     assert datasource.decode_alaw(bytes([0xD5, 0x55, 0xAA, 0x2A])).tolist() == [8, -8, 32256, -32256]
