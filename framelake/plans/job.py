@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, St
 from ..functions.pixel import PIXEL_FORMATS, SHARED_CHROMA, STORED, rgb_of, stored_of
 from ..operators import filters
 from ..sources.codecs import register_all
+from ..streaming.stateful import Sink
 
 SINKS = ("@null", "@display", "@out")
 GROUPS = ("audio", "video", "subtitle", "all")
@@ -334,3 +335,43 @@ def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str
         return out
 
     return {key: build(root) for key, root in dag.roots.items()}
+
+
+class NullSink(Sink):
+    """Runs the plan and keeps nothing."""
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.format("noop").mode("overwrite").save()
+
+
+class ParquetSink(Sink):
+    """A folder of Parquet files, replaced as a whole."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(self.path)
+
+
+def run_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], DataFrame], overrides: dict[str, Sink] | None = None, source_formats: dict[str, str] | None = None) -> list[str]:
+    """Runs every output into its sink, in the job's order, and returns their keys.
+
+    An address is a folder of Parquet files and @null keeps nothing; overrides give
+    sinks to reserved names, and @display and @out have none without one.  A sink's
+    error stops the job: it is not finished, and later outputs do not start.
+    """
+    overrides = overrides or {}
+    for name in overrides:
+        if name not in SINKS:
+            raise JobError(f"{name}: only {', '.join(SINKS)} can be given a sink")
+    built = compile_job(spark, job, read, source_formats)
+    sinks = {key: overrides[key] if key in overrides else NullSink() if key == "@null" else None if key in SINKS else ParquetSink(key) for key in built}
+    for key, sink in sinks.items():
+        if sink is None:
+            raise JobError(f"{key}: needs a sink of its own")
+    for key, sink in sinks.items():
+        sink.start(built[key].columns)
+        sink.write(built[key], 0)
+        sink.finish()
+    return list(sinks)

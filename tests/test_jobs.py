@@ -127,3 +127,39 @@ def test_an_alias_gives_a_track_its_own_media_type(spark):
     spec = Job.from_json(json.dumps({"@in": {"all": [{"from": "x"}]}, "a": {"audio": [{"from": "@in"}]}, "b": {"all": [{"from": "@in"}]}}))
     built = compile_job(spark, spec, lambda *_: frames)
     assert [r.n for r in built["a"].collect()] == [1] and built["b"].count() == 2
+
+
+def test_a_job_runs_into_its_sinks(spark, tmp_path):
+    from framelake.plans.job import run_job
+    from framelake.streaming.stateful import Sink
+
+    calls = []
+
+    class Probe(Sink):
+        def __init__(self, fail=False):
+            self.fail = fail
+
+        def start(self, columns):
+            calls.append(("start", columns))
+
+        def write(self, batch, batch_id):
+            if self.fail:
+                raise RuntimeError("the sink gave up")
+            calls.append(("write", batch.count()))
+
+        def finish(self):
+            calls.append(("finish",))
+
+    frames = spark.range(6).selectExpr("id AS n")
+    track, first, second = {"all": [{"from": "x"}]}, str(tmp_path / "first"), str(tmp_path / "second")
+    made = Job.from_json(json.dumps({first: track, "@out": track, "@null": track}))
+    assert run_job(spark, made, lambda *_: frames, {"@out": Probe()}) == [first, "@out", "@null"]
+    assert calls == [("start", ["n", "track_no"]), ("write", 6), ("finish",)] and spark.read.parquet(first).count() == 6
+    del calls[:]
+    with pytest.raises(RuntimeError, match="gave up"):
+        run_job(spark, Job.from_json(json.dumps({"@null": track, second: track})), lambda *_: frames, {"@null": Probe(fail=True)})
+    assert calls == [("start", ["n", "track_no"])] and not (tmp_path / "second").exists()
+    with pytest.raises(JobError, match="@sink: only"):
+        run_job(spark, made, lambda *_: frames, {"@sink": Probe()})
+    with pytest.raises(JobError, match="@out: needs a sink"):
+        run_job(spark, made, lambda *_: frames)
