@@ -113,6 +113,18 @@ def unsigned_samples(spark, sf_dir):
     return e.select("event_id", F.size("s").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.get("s", 0).cast("double"), 6).alias("first"))
 
 
+@query("""
+WITH b AS (SELECT event_id, props, unnest(range(3, length(props) + 1)) AS i FROM events WHERE length(props) > 2),
+n AS (SELECT event_id, 2 * i AS k, ascii(props[i]) // 16 AS code, ascii(props[2]) AS v FROM b UNION ALL SELECT event_id, 2 * i + 1, ascii(props[i]) % 16, ascii(props[2]) FROM b),
+s AS (SELECT event_id, v + sum([-34, -21, -13, -8, -5, -3, -2, -1, 0, 1, 2, 3, 5, 8, 13, 21][code + 1]) OVER (PARTITION BY event_id ORDER BY k) AS v FROM n)
+SELECT event_id, count(*)::INT AS n, sum(((v + 128) % 256 + 256) % 256 - 128)::BIGINT AS total FROM s GROUP BY 1""")
+def delta_samples(spark, sf_dir):
+    """Payloads read as 8-bit delta-coded samples; those of the header alone have none."""
+    e = tables.table(spark, sf_dir, "events").where(F.length("props") > 2).select(F.lit("e").alias("uri"), F.lit(0).alias("stream_index"), F.col("event_id").alias("pts"), F.col("props").cast("binary").alias("data"))
+    s = codecs.decode_packets(e, codecs.register_all(), "8svx_fib")
+    return s.select(F.col("pts").alias("event_id"), F.size("samples").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 128).cast("long")).alias("total"))
+
+
 @query("SELECT vec_id, i::INT AS i, embedding[(i % 2) * 32 + i // 2 + 1]::DOUBLE AS value FROM embeddings, range(0, 64) r(i)")
 def interleaved_planes(spark, sf_dir):
     v = tables.vectors(spark, sf_dir).select(F.col("frame_no").alias("vec_id"), audio.interleave(F.array(F.slice("samples", 1, 32), F.slice("samples", 33, 32)), F.lit(32)).alias("s"))

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.audio import decode_samples
-from . import datasource, images
+from . import adpcm, datasource, images
 
 IMPLS = "codec string, backend string, media_type string, priority int, seq int, decode boolean, encode boolean, hardware boolean, lossless boolean, accepted array<string>"
 
 #: Public codecs that are known by name only; their entropy coding is no query.
 NAMED = {
-    "Audio": ("flac", "vorbis", "opus", "mp1", "mp2", "mp3", "aac", "celt", "speex", "gsm", "g722", "g723_1", "g726", "g728", "g729", "adpcm_ms", "adpcm_ima_wav", "ilbc", "ac3", "ac4", "midi", "shorten", "tta", "musepack", "cook", "wma", "wavpack", "ape", "dts", "aptx"),
+    "Audio": ("flac", "vorbis", "opus", "mp1", "mp2", "mp3", "aac", "celt", "speex", "gsm", "g722", "g723_1", "g726", "g728", "g729", "adpcm_ms", "ilbc", "ac3", "ac4", "midi", "shorten", "tta", "musepack", "cook", "wma", "wavpack", "ape", "dts", "aptx"),
     "Video": ("mjpeg", "ffv1", "mpeg1", "mpeg2", "mpeg4", "theora", "h261", "h263", "h264", "h265", "h266", "vp6", "vp8", "vp9", "av1", "dirac", "prores", "evc", "huffyuv", "lagarith", "utvideo", "magicyuv", "cinepak", "svq1", "svq3", "indeo3", "indeo5"),
     "Image": ("png", "gif", "webp", "jpeg", "tiff", "ico", "jpeg2000", "jpegxl", "jpegxs", "avif", "dds", "openexr", "hdr", "tga", "wbmp", "pcx", "ilbm"),
 }
@@ -38,6 +38,8 @@ class Codec:
     hardware: bool = False
     lossless: bool = True
     accepted: tuple[str, ...] = ()
+    #: Decodes a batch of payloads at once, where that is faster than one by one.
+    decode_many: Callable[[list[bytes]], list[np.ndarray]] | None = None
 
 
 @dataclass
@@ -91,6 +93,9 @@ def register_all(registry: Registry | None = None) -> Registry:
     whole = lambda x: np.clip(np.round(np.asarray(x, float) * 32768), -32768, 32767)
     r.register(Codec("pcm_mulaw", "Audio", lambda d: datasource.decode_ulaw(d).astype(np.float32) / 32768, lambda x: datasource.encode_ulaw(whole(x)), lossless=False))
     r.register(Codec("pcm_alaw", "Audio", lambda d: datasource.decode_alaw(d).astype(np.float32) / 32768, lambda x: datasource.encode_alaw(whole(x)), lossless=False))
+    ima = lambda blocks: [s.astype(np.float32) / 32768 for s in adpcm.decode_ima(blocks)]
+    r.register(Codec("adpcm_ima_wav", "Audio", lambda d: ima([d])[0], lambda x: adpcm.encode_ima([whole(x).astype(np.int64)])[0], lossless=False, decode_many=ima))
+    r.register(Codec("8svx_fib", "Audio", lambda d: adpcm.decode_delta8(d).astype(np.float32) / 128, lossless=False))
     for kind in images.READERS:
         r.register(Codec(kind, "Image", images.READERS[kind], images.WRITERS[kind], accepted=("rgb24", "rgba")))
     for media, names in NAMED.items():
@@ -100,12 +105,15 @@ def register_all(registry: Registry | None = None) -> Registry:
 
 
 def decode_packets(packets: DataFrame, registry: Registry, codec: str) -> DataFrame:
-    """packets (uri, stream_index, pts, data) with samples array<float> in place of data; packets are decoded one by one."""
-    decode = registry.resolve(codec, "decode").decode
+    """packets (uri, stream_index, pts, data) with samples array<float> in place of data; no packet needs another one."""
+    found = registry.resolve(codec, "decode")
+    many = found.decode_many or (lambda blocks: list(map(found.decode, blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            samples = [None if d is None else decode(d).astype(np.float32) for d in batch.column(3).to_pylist()]
+            data = batch.column(3).to_pylist()
+            decoded = iter(many([d for d in data if d is not None]))
+            samples = [None if d is None else next(decoded).astype(np.float32) for d in data]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(samples, pa.list_(pa.float32()))], names=["uri", "stream_index", "pts", "samples"])
 
     return packets.select("uri", "stream_index", "pts", "data").mapInArrow(run, "uri string, stream_index int, pts long, samples array<float>")

@@ -40,3 +40,33 @@ def test_pcm_round_trips(spark, codec, step):
     r = register_all()
     back = codecs.decode_packets(codecs.encode_packets(frames, r, codec), r, codec).orderBy("pts").collect()
     assert np.abs(np.array(back[0].samples) - x).max() <= step and np.abs(np.array(back[1].samples) - [1, -1]).max() <= step and back[2].samples is None
+
+
+def test_difference_codecs(spark):
+    from framelake.sources import adpcm
+
+    def by_hand(block):
+        value, at = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for code in (c for b in block[4:] for c in (b % 16, b // 16)):
+            step = int(adpcm.STEPS[at])
+            move = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+            value = max(-32768, min(32767, value - move if code & 8 else value + move))
+            at = max(0, min(88, at + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+            out.append(value)
+        return out
+
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (4, 5, 256, 77)] + [b"\xff\x7f\x58\0" + b"\x77" * 40, b"\0\x80\xff\0" + b"\xff" * 40]
+    assert [d.tolist() for d in adpcm.decode_ima(blocks)] == [by_hand(b) for b in blocks] and adpcm.decode_ima([]) == []
+    waves = [np.round(9000 * np.sin(np.arange(n) / 9)).astype(int) for n in (1, 2, 505, 1000)]
+    for wave, back in zip(waves, adpcm.decode_ima(adpcm.encode_ima(waves))):
+        assert len(back) == len(wave) + (len(wave) - 1) % 2 and np.sqrt(np.mean((back[40 : len(wave)] - wave[40:]) ** 2.0)) < 400 if len(wave) > 40 else len(back) >= len(wave)
+    assert adpcm.decode_delta8(bytes([0, 127, 0x9F, 0x07])).tolist() == [-128, -107, 115, 114]
+    for bad in (lambda: adpcm.decode_ima([b"abc"]), lambda: adpcm.encode_ima([np.array([], int)]), lambda: adpcm.decode_delta8(b"a")):
+        with pytest.raises(ValueError):
+            bad()
+    r = register_all()
+    frames = spark.createDataFrame([("u", 0, 0, (waves[2] / 32768).tolist()), ("u", 0, 1, None), ("u", 0, 2, [0.25])], "uri string, stream_index int, pts long, samples array<float>")
+    back = {x.pts: x.samples for x in codecs.decode_packets(codecs.encode_packets(frames, r, "adpcm_ima_wav"), r, "adpcm_ima_wav").collect()}
+    assert back[1] is None and back[2] == [0.25] and len(back[0]) == 505
