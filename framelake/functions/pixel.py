@@ -134,20 +134,29 @@ def over(src: Column, src_alpha: Column, dst: Column, dst_alpha: Column) -> Colu
     return F.struct(value.alias("value"), alpha.alias("alpha"))
 
 
-def letterbox_uniform(w: Column, h: Column, out_w: Column, out_h: Column) -> Column:
-    """struct(sx, sy, ox, oy): scale and offset that fit a picture's aspect into a surface."""
-    surface, content = out_w / F.greatest(out_h, F.lit(1)), w / F.greatest(h, F.lit(1))
+def letterbox_fractions(w: Column, h: Column, out_w: Column, out_h: Column) -> Column:
+    """struct(sx, sy, ox, oy) of struct(num, den): the exact fractions of letterbox_uniform(), all sizes whole."""
+    at_least_one = lambda c: F.greatest(c.cast("long"), F.lit(1).cast("long"))
+    content, surface = w.cast("long") * at_least_one(out_h), out_w.cast("long") * at_least_one(h)
     wide = content > surface
-    part = F.when(wide, surface / content).otherwise(content / surface)
-    one, rest = F.lit(1.0), (1 - part) / 2
+    small, large = F.least(content, surface), F.greatest(content, surface)
+    fraction = lambda num, den: F.struct(num.cast("long").alias("num"), den.cast("long").alias("den"))
+    one, none = fraction(F.lit(1), F.lit(1)), fraction(F.lit(0), F.lit(1))
+    grown, rest = fraction(large, small), fraction(large - small, 2 * large)
     return F.struct(
-        F.when(wide, one).otherwise(1 / part).alias("sx"),
-        F.when(wide, 1 / part).otherwise(one).alias("sy"),
-        F.when(wide, 0.0).otherwise(rest).alias("ox"),
-        F.when(wide, rest).otherwise(0.0).alias("oy"),
+        F.when(wide, one).otherwise(grown).alias("sx"),
+        F.when(wide, grown).otherwise(one).alias("sy"),
+        F.when(wide, none).otherwise(rest).alias("ox"),
+        F.when(wide, rest).otherwise(none).alias("oy"),
     )
 
 
+def letterbox_uniform(w: Column, h: Column, out_w: Column, out_h: Column) -> Column:
+    """struct(sx, sy, ox, oy): scale and offset that fit a picture's aspect into a surface; null for a side of a size of 0."""
+    exact = letterbox_fractions(w, h, out_w, out_h)
+    return F.struct(*((exact[c]["num"] / F.nullif(exact[c]["den"], F.lit(0))).alias(c) for c in ("sx", "sy", "ox", "oy")))
+
+
 def plane_tight(data: Column, stride: Column, w: Column, h: Column) -> Column:
     """A plane without the padding of its rows; rows that the data does not hold are left out."""
     whole = F.least(h, F.when(F.octet_length(data) >= w, F.floor((F.octet_length(data) - w) / F.greatest(stride, F.lit(1))) + 1).otherwise(0)).cast("int")

@@ -35,6 +35,13 @@ def rescale(ticks: Column, from_num: int, from_den: int, to_num: int, to_den: in
     return F.when(product < 0, -whole).otherwise(whole).cast("long")
 
 
+def rounded_fraction(num: Column, den: Column, digits: int) -> Column:
+    """num / den of non-negative whole numbers, rounded half up to so many digits without a binary fraction on the way."""
+    doubled = 2 * num.cast("long") * 10**digits + den
+    whole = (doubled - doubled % (2 * den)) / (2 * den)  # an exact quotient, so the double is exact too
+    return whole / float(10**digits)
+
+
 def clock_hours(micros: Column) -> Column:
     """HH:MM:SS.cc; the seconds are rounded by formatting, so 59.999 s reads 60.00."""
     hours, minutes = F.floor(micros / 3_600_000_000), F.floor(micros / 60_000_000) % 60

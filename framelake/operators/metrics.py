@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,12 @@ def psnr(a: Column, b: Column, peak: float) -> Column:
     return F.when(n == 0, F.lit(0.0)).when(mse <= 0, F.lit(float("inf"))).otherwise(10 * F.log10(peak * peak / mse))
 
 
+def correlation(a: str, b: str, window: WindowSpec) -> Column:
+    """Pearson correlation of two channels over a window; null where it has one row or a channel does not vary."""
+    spread = F.var_pop(a).over(window) * F.var_pop(b).over(window)
+    return F.covar_pop(a, b).over(window) / F.nullif(F.sqrt(F.greatest(spread, F.lit(0.0))), F.lit(0.0))
+
+
 def best_lag(pairs: DataFrame, a: str, b: str, most: int, step: int = 1) -> DataFrame:
     """Adds lag and rms: of lags 0, step, ... most, the first with the least RMS of a[lag:] against b."""
     tried = F.transform(F.sequence(F.lit(0), F.lit(most), F.lit(step)), lambda lag: F.struct(rms(F.slice(F.col(a), lag + 1, F.size(a)), F.col(b)).alias("rms"), lag.alias("lag")))

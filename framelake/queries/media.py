@@ -174,8 +174,8 @@ def stereo_correlation(spark, sf_dir):
     e = tables.packets(spark, sf_dir).select("ordinal", "stream_key", "value", (F.col("ordinal") % 7).cast("double").alias("other"))
     e = blocked.with_halo(streams.number(e, "stream_key", "ordinal", width=blocked.ORDINALS), "n", 15)
     w = Window.partitionBy("stream_key", "_block").orderBy("n").rowsBetween(-15, 0)
-    e = e.select("ordinal", "_own", F.round(F.coalesce(F.corr("value", "other").over(w), F.lit(0.0)), 3).alias("correlation"), F.count(F.lit(1)).over(w).alias("rows"))
-    return e.where("_own AND rows = 16").select(F.col("ordinal").alias("event_id"), "correlation")
+    e = e.select("ordinal", "_own", metrics.correlation("value", "other", w).alias("c"), F.count(F.lit(1)).over(w).alias("rows"))
+    return e.where("_own AND rows = 16").select(F.col("ordinal").alias("event_id"), F.round(F.coalesce("c", F.lit(0.0)), 3).alias("correlation"))
 
 
 # Time
@@ -304,11 +304,14 @@ def transfer_curves(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_size * 40.0 AS w, (p_partkey % 9 + 1) * 100.0 AS h FROM part), q AS (SELECT *, 1920 / 1080.0 AS s, w / h AS c FROM p)
-SELECT p_partkey, round(CASE WHEN c > s THEN 1 ELSE s / c END, 5) AS sx, round(CASE WHEN c > s THEN c / s ELSE 1 END, 5) AS sy, round(CASE WHEN c > s THEN 0 ELSE (1 - c / s) / 2 END, 5) AS ox, round(CASE WHEN c > s THEN (1 - s / c) / 2 ELSE 0 END, 5) AS oy FROM q""")
+WITH p AS (SELECT p_partkey, p_size * 40 * 1080 AS c, (p_partkey % 9 + 1) * 100 * 1920 AS s FROM part),
+q AS (SELECT p_partkey, c > s AS wide, (200000 * greatest(c, s) + least(c, s)) // (2 * least(c, s)) / 100000.0 AS grown, (100000 * abs(c - s) + greatest(c, s)) // (2 * greatest(c, s)) / 100000.0 AS rest FROM p)
+SELECT p_partkey, CASE WHEN wide THEN 1 ELSE grown END::DOUBLE AS sx, CASE WHEN wide THEN grown ELSE 1 END::DOUBLE AS sy, CASE WHEN wide THEN 0 ELSE rest END::DOUBLE AS ox, CASE WHEN wide THEN rest ELSE 0 END::DOUBLE AS oy FROM q""")
 def letterbox(spark, sf_dir):
-    u = pixel.letterbox_uniform(F.col("p_size") * 40, (F.col("p_partkey") % 9 + 1) * 100, F.lit(1920), F.lit(1080))
-    return tables.table(spark, sf_dir, "part").select("p_partkey", u.alias("u")).select("p_partkey", *(F.round(F.col("u")[c], 5).alias(c) for c in ("sx", "sy", "ox", "oy")))
+    """Scale and offset as exact fractions, of which half are ties at the digit that they are rounded to."""
+    u = pixel.letterbox_fractions(F.col("p_size") * 40, (F.col("p_partkey") % 9 + 1) * 100, F.lit(1920), F.lit(1080))
+    shown = (timebase.rounded_fraction(F.col("u")[c]["num"], F.col("u")[c]["den"], 5).alias(c) for c in ("sx", "sy", "ox", "oy"))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", u.alias("u")).select("p_partkey", *shown)
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Scalar functions, metrics and digests against known values."""
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -131,3 +132,14 @@ def test_planes(spark):
 def test_scene_values(spark):
     props = F.array(F.struct(F.lit("UnitScaleFactor").alias("name"), F.lit("2.54").alias("value")))
     assert one(spark, mesh.fbx_metres(props), mesh.fbx_metres(F.slice(props, 1, 0)), mesh.morph_weights(F.lit(None).cast("double"), F.lit(0.25))) == pytest.approx((0.0254, 0.01, 0.25))
+
+
+def test_fractions_round_half_up_exactly(spark):
+    from framelake.functions import pixel, timebase
+
+    cases = [(1, 8, 2), (5, 1000, 2), (225, 1000_00, 5), (9, 40_000, 5), (0, 7, 3), (2, 3, 4)]
+    for num, den, digits in cases:
+        want = float((Decimal(num) / Decimal(den)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+        assert one(spark, timebase.rounded_fraction(F.lit(num), F.lit(den), digits))[0] == want
+    found = one(spark, pixel.letterbox_fractions(F.lit(160), F.lit(900), F.lit(1920), F.lit(1080)))[0]
+    assert tuple(found.ox) == (1728000 - 172800, 2 * 1728000) and tuple(found.sy) == (1, 1)

@@ -44,3 +44,16 @@ def test_seek_epochs_ignore_stale_barriers(spark):
     rows = spark.createDataFrame([("s", *e) for e in events], "s string, n int, ask int, got int")
     out = timeline.seek_epochs(rows, "s", "n", F.col("ask"), F.col("got")).orderBy("n").collect()
     assert [r.pending for r in out] == [False, True, True, True, True, False, False] and [r.epoch for r in out] == [0, 0, 0, 0, 0, 2, 2]
+
+
+def test_correlation_of_constant_and_short_windows(spark):
+    from pyspark.sql import Window
+
+    from framelake.operators import metrics
+
+    rows = [(1, 1.0, 5.0), (2, 2.0, 5.0), (3, 4.0, 5.0), (4, 4.0, 6.0), (5, 4.0, 7.0), (6, 5.0, 8.0)]
+    frame = spark.createDataFrame(rows, "n int, a double, b double")
+    found = frame.select("n", metrics.correlation("a", "b", Window.orderBy("n").rowsBetween(-1, 0)).alias("two"), metrics.correlation("a", "b", Window.orderBy("n").rowsBetween(-2, 0)).alias("three")).orderBy("n").collect()
+    assert [r.two for r in found] == [None, None, None, None, None, pytest.approx(1.0)]
+    assert [r.three for r in found][:5] == [None, None, None, pytest.approx(0.5), None]
+    assert found[5].three == pytest.approx(3**0.5 / 2)
