@@ -17,6 +17,8 @@ which there are fewer than 1,000; other hosts by shuffle.
 Cases: a null or empty text, or one with fewer than LEAST_GRAMS trigrams of
 letters or of no learnt language, is not accepted and its language comes from the other evidence; a null
 declared language or host is no evidence; repeated rows give repeated results;
+a comment, script, style or tag that is not closed runs to the end of its page; a
+page is read in time linear in its length, whatever it holds;
 other columns are ignored; with no labelled rows every language is null.
 """
 
@@ -29,11 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import cut, join_with_hot_keys, schema_with, small_batches
 from .kernels import chunks, row_sums
 
 BUCKETS, MOST_ROWS = 1 << 14, 20_000
+#: A task sends its counts of a language in pieces of CHUNK buckets, which are added up in two steps.
+CHUNK, SALTS = 1 << 12, 64
 #: Trigrams that count as independent evidence, at most; trigrams a text needs; the prior rows of a parent level.
 EFFECTIVE_GRAMS, LEAST_GRAMS, PARENT_ROWS, MIN_POSTERIOR = 60.0, 1, 10.0, 0.5
 #: Share of each language's mass spread evenly over the buckets, so that an unseen trigram weighs the same in all; the log probability of a trigram in an unknown language.
@@ -59,15 +64,19 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ((code[at] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64), np.searchsorted(at, offsets)
 
 
+#: One pass, no step of which is taken back: what opens a comment, script, style or tag and is not closed runs to the end.
+_MARKUP = r"(?is)<!--(?:.*?-->|.*)|<(script|style)\b[^>]*+(?:>(?:.*?</\1\s*+>|.*)|\z)|<[a-z/!?][^>]*+(?:>|\z)|&[a-z#0-9]{1,8}+;"
+
+
 def plain_text(html: Column) -> Column:
-    """The text between tags, without scripts, styles and comments."""
-    bare = F.regexp_replace(html, r"(?is)<script\b[^>]*+>.*?</script>|<style\b[^>]*+>.*?</style>|<!--.*?-->", " ")
-    return F.regexp_replace(bare, r"<[^>]*+>|&[a-zA-Z#0-9]{1,8}+;", " ")
+    """The text between tags, without scripts, styles and comments, in time linear in its length."""
+    return F.regexp_replace(html, _MARKUP, " ")
 
 
 def declared_language(html: Column) -> Column:
-    """Primary subtag of the root element's lang attribute, or null."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+    """Primary subtag of the lang attribute in the first html tag, or null."""
+    root = F.regexp_extract(html, r"(?i)<html\b([^>]*+)", 1)
+    found = F.lower(F.regexp_extract(root, r"(?i)\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})\b", 1))
     return F.when(found != "", found)
 
 
@@ -99,15 +108,23 @@ class TextModel:
                     for name in set(names[first : first + len(offsets) - 1]):
                         mine = buckets[names[owner] == name] if len(owner) else buckets
                         total[name] = total.get(name, 0) + np.bincount(mine, minlength=BUCKETS)
+            salt = TaskContext.get().partitionId() % SALTS
             for name, n in total.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
+                pieces = n.astype(np.int64).reshape(-1, CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces), pa.string()), pa.array(range(len(pieces)), pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["lang", "chunk", "salt", "n"])
+
+        def add(rows: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("n"))
+            return rows.slice(0, 1).set_column(3, "n", pa.array([total.tobytes()], pa.binary()))
 
-        counted = sample.select("lang", "_text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x BUCKETS rows at most
+        schema = "lang string, chunk int, salt int, n binary"
+        counted = sample.select("lang", "_text").mapInArrow(count, schema).groupBy("lang", "chunk", "salt").applyInArrow(add, schema).groupBy("lang", "chunk").applyInArrow(add, schema).collect()  # an array of BUCKETS counts a language
         languages = sorted({r.lang for r in counted})
         table = np.zeros((BUCKETS, len(languages)))
-        for lang, bucket, n in counted:
-            table[bucket, languages.index(lang)] += n
+        for lang, chunk, _, n in counted:
+            table[chunk * CHUNK : (chunk + 1) * CHUNK, languages.index(lang)] = np.frombuffer(bytes(n), np.int64)
+        found = table.sum(0) > 0
+        languages, table = [x for x, ok in zip(languages, found) if ok], table[:, found]
         return cls(languages, np.log((1 - UNSEEN) * table / table.sum(0) + UNSEEN / BUCKETS))
 
 

@@ -1,13 +1,16 @@
 """Language identification against plain Python: all evidence, on documents and pages, and its accuracy."""
 
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import language_id as l
 
@@ -75,12 +78,27 @@ def identify_by_hand(rows, labelled):
 def plain(html):
     if html is None:
         return None
-    bare = re.sub(r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", " ", html)
-    return re.sub(r"<[^>]*>|&[a-zA-Z#0-9]{1,8};", " ", bare)
+    out, at = "", 0
+    while at < len(html):
+        closed = re.compile(r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>").match(html, at)
+        if closed:
+            end = closed.end()
+        elif re.compile(r"(?i)<!--|<(script|style)\b").match(html, at):
+            end = len(html)
+        elif re.compile(r"(?i)<[a-z/!?]").match(html, at):
+            end = html.find(">", at) + 1 or len(html)
+        elif entity := re.compile(r"&[a-zA-Z#0-9]{1,8};").match(html, at):
+            end = entity.end()
+        else:
+            out, at = out + html[at], at + 1
+            continue
+        out, at = out + " ", end
+    return out
 
 
 def declared(html):
-    found = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", html or "")
+    root = re.search(r"(?i)<html\b[^>]*", html or "")
+    found = re.search(r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", root[0]) if root else None
     return found[1].lower() if found else None
 
 
@@ -114,6 +132,32 @@ def test_pages_by_hand(spark):
     assert 0 < sum(r.accepted for r in got) < len(got)
 
 
+OPENERS = ["<!--", "<script>", "<script ", "<style>", "<html ", "<html lang ", "<a ", "<", "</", "<!", "&", "&a", "</script", "<script></script ", "<html lang=", "<a href='"]
+
+
+def test_markup_by_hand(spark):
+    """Random mixtures of openers and closers, and whether they are closed or not."""
+    rng = random.Random(2)
+    parts = [*OPENERS, ">", "-->", "</script>", "</STYLE >", "&amp;", "word ", "3 < 5 ", "'de'", "lang='fr'", "\n"]
+    pages = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(2000)]
+    frame = spark.createDataFrame(pages, "i int, html string").select("i", l.plain_text(F.col("html")).alias("text"), l.declared_language(F.col("html")).alias("declared"))
+    for r in frame.collect():
+        assert (r.text, r.declared) == (plain(pages[r.i][1]), declared(pages[r.i][1])), pages[r.i][1]
+
+
+@pytest.mark.parametrize("opener", OPENERS)
+def test_a_page_of_openers_takes_linear_time(spark, opener):
+    size = 1 << 20
+    page = spark.createDataFrame([(opener * (size // len(opener)),)], "html string").cache()
+    page.count()
+    read = page.select(F.length(l.plain_text(F.col("html"))).alias("n"), l.declared_language(F.col("html")).alias("lang"))
+    read.collect()
+    start = time.monotonic()
+    read.collect()
+    assert time.monotonic() - start < 1
+    page.unpersist()
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
 def test_accuracy_on_labels_that_were_not_learnt(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
