@@ -156,6 +156,11 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     return members.surely_not(marked, "_h").select("_row.*").unionByName(doubtful.select("_row.*"))
 
 
+def hot_bound(total: int, least: int = HOT_ROWS) -> int:
+    """A key of more rows than this is hot, of ``total`` rows."""
+    return max(least, total // HOT_SHARE)
+
+
 def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = HOT_ROWS) -> DataFrame:
     """df left-joined with groups, one row a key at most; ``size`` is the key's number of rows, ``total`` that of df.
 
@@ -166,7 +171,7 @@ def join_with_hot_keys(df: DataFrame, groups: DataFrame, keys: list[str], size:
     """
     if total <= least:  # no key can be hot
         return df.join(groups.hint("merge"), keys, "left")
-    hot = F.col(size) > F.lit(max(least, total // HOT_SHARE))
+    hot = F.col(size) > F.lit(hot_bound(total, least))
     few, many = groups.where(hot), groups.where(~hot)
     heavy = df.join(F.broadcast(few), keys)
     light = df.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many.hint("merge"), keys, "left")

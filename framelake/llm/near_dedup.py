@@ -18,10 +18,16 @@
    shingles (a prefix filter on the full sets, without loss), the smaller one being
    posted under the classes of size that its bound reaches, the larger one under its
    own.  Signatures are counted against LEAST_MATCHES, and what is left is confirmed
-   on full sets.  Keys of many postings go by broadcast or are dealt to squares of
-   SQUARE_ROWS a side, so no task owns one.
+   on full sets.  Keys of many postings, whether one component or several have them,
+   go by broadcast or are dealt to squares of SQUARE_ROWS a side, and a document of
+   many pairs meets its signature and its set in shares of about HUB_PAIRS of them, so
+   no key of a join has more than max(HOT_ROWS, rows / HOT_SHARE) rows in a task, no
+   document more than max(HUB_PAIRS, pairs / HOT_SHARE) pairs.
 5. Components of the links, and the result back to every document.
 
+Families whose members all share more of their text with each other than a link
+needs, but not the same parts of it, are compared pair by pair.
+
 With 96 coordinates and 52 matches a pair of similarity 0.75 is missed with a
 probability of about 3e-6; more similar pairs less.
 
@@ -38,10 +44,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_with_hot_keys, only, small_batches
+from .common import cut, hot_bound, join_with_hot_keys, only, small_batches
 from .components import components
 from .kernels import TextChunk, chunks, mix64, seeded, windows
 
@@ -55,6 +61,8 @@ KEY_BITS = 48
 PART_ROWS = 1000
 #: Postings of one key that meet in a task, on either side.
 SQUARE_ROWS = 1000
+#: Pairs of one document that meet its signature or set in a task, about.
+HUB_PAIRS = 1000
 #: Each class of sizes ends at this multiple of where it begins.
 SIZE_STEP = 1.05
 _A, _B = seeded(COORDINATES, 11) | np.uint64(1), seeded(COORDINATES, 12)
@@ -251,6 +259,31 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("_id", "_text").mapInArrow(sets, "rep long, v binary")
 
 
+def _wanted_or_hot(groups: DataFrame, wanted: Column, verdict: str, size: str, total: int) -> DataFrame:
+    """The wanted groups, and every hot one with a null verdict, so that join_with_hot_keys() drops its rows where they are."""
+    return groups.withColumn(verdict, F.when(wanted, F.col(verdict))).where(F.col(verdict).isNotNull() | (F.col(size) > hot_bound(total)))
+
+
+def _with_ends(pairs: DataFrame, values: DataFrame, value: str, at_x: str, at_y: str) -> DataFrame:
+    """pairs (x, y, checkpointed) with the values of both ends from (rep, value).
+
+    The pairs of a hub, an end of more than HUB_PAIRS of them, are dealt by a hash
+    of the other end to shares of about HUB_PAIRS, each with a copy of the hub's value.
+    """
+    total, dealt, copies = pairs.count(), pairs.select("x", "y"), {}
+    for end, other, name in (("x", "y", at_x), ("y", "x", at_y)):
+        hubs = cut(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_pairs")).where(F.col("_pairs") > HUB_PAIRS))
+        found = values.select(F.col("rep").alias(end), F.col(value).alias(name))
+        if hubs.isEmpty():
+            copies[end] = found.withColumn(f"_share_{end}", F.lit(0).cast("long"))
+            dealt = dealt.withColumn(f"_share_{end}", F.lit(0).cast("long"))
+            continue
+        last = F.floor(F.coalesce("_pairs", F.lit(0)) / HUB_PAIRS)
+        copies[end] = found.join(hubs, end, "left").select(end, name, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(f"_share_{end}"))
+        dealt = join_with_hot_keys(dealt, hubs, [end], "_pairs", total).withColumn(f"_share_{end}", F.pmod(F.xxhash64(other), last + 1)).drop("_pairs")
+    return dealt.join(copies["y"], ["y", "_share_y"]).join(copies["x"], ["x", "_share_x"]).select("x", "y", at_x, at_y)
+
+
 def _pairs_of_sizes(alive: DataFrame) -> DataFrame:
     """(x, y), x < y, of documents of different components that share a rare code and fit in size.
 
@@ -261,8 +294,9 @@ def _pairs_of_sizes(alive: DataFrame) -> DataFrame:
     posted = alive.select("rep", "n", "component", "u", "most", F.posexplode("rare").alias("at", "k"))
     # Under each code the members of its largest component are compared with the others only, never among themselves.
     members = posted.groupBy("k", "component").agg(F.count(F.lit(1)).alias("m"))
-    known = members.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("m")).where("c > 1").select("k", "main", "m")
     rows = alive.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
+    known = members.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"))
+    known = _wanted_or_hot(known, F.col("c") > 1, "main", "m", rows).select("k", "main", "m")
     placed = join_with_hot_keys(posted, known, ["k"], "m", rows).where("main IS NOT NULL").withColumn("major", F.col("component") == F.col("main"))
     # Postings of a code are dealt to squares: the larger documents by row, the smaller ones by column.
     placed = placed.withColumn("squares", F.floor(F.col("m") / SQUARE_ROWS)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("squares") + 1)).drop("main", "m")
@@ -305,36 +339,39 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     close = f"100 * least(nx, ny) >= {SIMILAR} * greatest(nx, ny)"
 
     def scored(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(marks.select(F.col("rep").alias("x"), F.col("signature").alias("sx")), "x").join(marks.select(F.col("rep").alias("y"), F.col("signature").alias("sy")), "y")
-        return sided.select("x", "y", "sx", "sy").mapInArrow(_count_matches, "x long, y long, matches int").coalesce(parts)
+        sided = _with_ends(cut(pairs.select("x", "y")), marks, "signature", "sx", "sy")
+        return sided.mapInArrow(_count_matches, "x long, y long, matches int").coalesce(parts)
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sided = pairs.select("x", "y").join(sets.select(F.col("rep").alias("y"), F.col("v").alias("vy")), "y").join(sets.select(F.col("rep").alias("x"), F.col("v").alias("vx")), "x")
-        return sided.select("x", "y", "vx", "vy").mapInArrow(_confirm, "a long, b long").coalesce(parts)
+        return _with_ends(pairs, sets, "v", "vx", "vy").mapInArrow(_confirm, "a long, b long").coalesce(parts)
 
     # The stars: each posting against the most central member of its list, and the rarest also against one by a hash.
     posts = found.select(F.posexplode("prefix").alias("i", "k"), "rep", "n", "central")
-    postings = found.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    sizes = (F.size("prefix"), F.least(F.size("prefix"), F.lit(STAR_KEYS)))
+    postings, first_postings = found.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in sizes)).first()
     hashed = F.min_by(F.struct("rep", "n"), F.xxhash64("k", "rep")).alias("c")
     central = F.max_by(F.struct("rep", "n"), F.struct("central", F.negative("rep"))).alias("c")
 
-    def stars(rows: DataFrame, centre) -> DataFrame:
+    def stars(rows: DataFrame, total: int, centre: Column) -> DataFrame:
         middle = rows.groupBy("k").agg(centre, F.count(F.lit(1)).alias("m")).where("m > 1")
-        paired = join_with_hot_keys(rows, middle, ["k"], "m", postings).where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
+        paired = join_with_hot_keys(rows, middle, ["k"], "m", total).where("rep <> c.rep").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny"))
         return paired.where(close).select("x", "y").coalesce(parts).distinct().coalesce(parts)
 
-    tried = cut(scored(stars(posts, central).unionByName(stars(posts.where(f"i < {STAR_KEYS}"), hashed)).distinct()))
+    tried = cut(scored(stars(posts, postings, central).unionByName(stars(posts.where(f"i < {STAR_KEYS}"), first_postings, hashed)).distinct()))
     links = cut(confirmed(tried, sets))
     joined = components(links, parts).select(F.col("id").alias("rep"), "component")
     label = cut(found.join(joined, "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("component")).coalesce(parts))
 
     # What remains: pairs that share any prefix key and lie in different components.
     posted_by = label.select(F.explode("prefix").alias("k"), "rep", "n", "component")
-    mixed = posted_by.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("k", "least", "m")
+    mixed = posted_by.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m"))
+    mixed = _wanted_or_hot(mixed, F.expr("lo <> hi"), "least", "m", postings).select("k", "least", "m")
     rest = cut(join_with_hot_keys(posted_by, mixed, ["k"], "m", postings).where("least IS NOT NULL").groupBy("rep", "n", "component").agg(F.min("least").alias("least")).coalesce(parts))
     codes = cut(rest.join(sets, "rep").select("rep", "component", "n", "v").mapInArrow(_exploded, "rep long, component long, code long").coalesce(parts))
-    common = codes.groupBy("code").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code", "f")
-    ordered = join_with_hot_keys(codes, common, ["code"], "f", codes.count()).where("f IS NOT NULL").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "code"))).alias("codes"))
+    shown = codes.count()
+    common = codes.groupBy("code").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).withColumn("f", F.col("m"))
+    common = _wanted_or_hot(common, F.expr("lo <> hi"), "f", "m", shown).select("code", "f", "m")
+    ordered = join_with_hot_keys(codes, common, ["code"], "m", shown).where("f IS NOT NULL").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "code"))).alias("codes"))
     # similarity >= s needs an intersection >= s / (1 + s) * (nx + ny); u shingles are common with others
     needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))) * SIMILAR / (100 + SIMILAR)).cast("int")
     alive = rest.join(ordered, "rep").withColumns({"u": F.size("codes"), "needed": needed}).where("u >= needed")

@@ -213,6 +213,54 @@ def test_near_dedup_chains_and_families(spark):
     assert got == components_of({i: shingles(t) for i, t in rows})
 
 
+def test_near_dedup_has_no_heavy_key_in_a_shuffle(spark, monkeypatch):
+    """3,000 near copies of a template, 40 texts that share a part of it, 960 others: every joined key is counted."""
+    from framelake.llm import common
+    from framelake.llm import near_dedup as n
+
+    rng = random.Random(3)
+    template = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(3000):
+        text = list(template)
+        text[rng.randrange(60)] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(text)))
+    rows += [(3000 + i, " ".join(template[:30]) + " " + words(rng, 30)) for i in range(40)]
+    rows += [(4000 + i, words(rng, 40)) for i in range(960)]
+    seen = []
+
+    def counted(df, groups, keys, size, total, least=common.HOT_ROWS):
+        assert total == df.count()
+        hot = groups.where(F.col(size) > common.hot_bound(total, least)) if total > least else groups.limit(0)
+        rest = df.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        seen.append((keys, total, rest))
+        return common.join_with_hot_keys(df, groups, keys, size, total, least)
+
+    def shared(pairs, values, value, at_x, at_y):
+        out = with_ends(pairs, values, value, at_x, at_y)
+        assert out.count() == pairs.count()
+        return out
+
+    with_ends = n._with_ends
+    monkeypatch.setattr(n, "join_with_hot_keys", counted)
+    monkeypatch.setattr(n, "_with_ends", shared)
+    got = {r.doc_id: r.component_id for r in n.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(seen) >= 5 and {("k",), ("code",)} <= {tuple(keys) for keys, _, _ in seen}
+    for keys, total, most in seen:
+        assert most <= max(common.hot_bound(total), n.HUB_PAIRS if keys in (["x"], ["y"]) else 0), (keys, total, most)
+    assert got == components_of({i: shingles(t) for i, t in rows})
+
+
+def test_a_hub_meets_its_set_in_shares(spark, monkeypatch):
+    from framelake.llm import near_dedup as n
+
+    monkeypatch.setattr(n, "HUB_PAIRS", 10)
+    pairs = [(0, i) for i in range(1, 300)] + [(i, 300) for i in range(1, 150)] + [(5, 6), (7, 8)]
+    values = spark.createDataFrame([(i, f"v{i}") for i in range(301)], "rep long, v string")
+    got = n._with_ends(n.cut(spark.createDataFrame(pairs, "x long, y long")), values, "v", "vx", "vy").collect()
+    assert sorted(map(tuple, got)) == sorted((x, y, f"v{x}", f"v{y}") for x, y in pairs)
+
+
 def test_components(spark):
     from framelake.llm.components import components
 
