@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,4 +48,34 @@ a0 AS (SELECT t.*, source_size, target, times, CASE WHEN times < 3 THEN floor(ta
 SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN times + ({taken})::INT ELSE 0 END::INT AS repeats, (size * CASE WHEN size > 0 THEN times + ({taken})::INT ELSE 0 END)::BIGINT AS taken FROM a{mixing.PASSES}"""
 
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op10_mixing": mixing_sql()}
+FILTER_AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+m AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, FALSE)::INT AS mask FROM w JOIN g USING (t)),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, list_sum(bits[1:step]) - bits[step] AS before FROM o, range(1, 6) r(step)),
+p AS (SELECT part, filter_order, step, bit, n, good, toxic, mask & bit > 0 AS fails, mask & before::INT > 0 AS gone, mask = bit AS alone, 120 // greatest(bit_count(mask::INT), 1) AS share FROM h, s)
+SELECT part, filter_order, step, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(CASE WHEN fails THEN n * share ELSE 0 END)::BIGINT AS shapley
+FROM p GROUP BY 1, 2, 3"""
+
+
+def warc_sql() -> str:
+    """Records by windows over equal payloads; base32 digit by digit from the hex of SHA-1; the position by a sort."""
+    digit = "(strpos('0123456789abcdef', substr(h, {}, 1)) - 1)"
+    value = "({} * 65536 + {} * 4096 + {} * 256 + {} * 16 + {})".format(*(digit.format(f"5 * (i // 4) + {k}") for k in range(1, 6)))
+    base32 = f"array_to_string(list_transform(range(0, 32), lambda i: substr('{warc.BASE32}', (({value} >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '')"
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(?:www\d{{0,3}}\.)?', '') AS bare FROM pages),
+k AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last,
+  CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(regexp_extract(bare, '^([^/:?#]*)', 1), '.')), ',') || ')' || coalesce(nullif(regexp_extract(bare, '^[^/?#]*([^#]*)', 1), ''), '/') END AS url_key FROM p)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, {base32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to,
+  url_key, row_number() OVER (ORDER BY url_key COLLATE C, page_id & 4294967295, page_id) - 1 AS position FROM k"""
+
+
+ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op10_mixing": mixing_sql(), "op11_filter_audit": FILTER_AUDIT, "op12_warc": warc_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from . import alignment, exact_dedup, filter_audit, language_id, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, sharding, warc
 from .common import documents
 
 #: Only a stand-in: a real deployment passes its own secret.
@@ -71,6 +71,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back, with their places in the order of (URL key, time)."""
+    index = warc.archived(warc.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    number = lambda c: F.expr(f"try_cast({c} AS long)")
+    return index.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "url_key", "position")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,5 +94,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_exact_dedup, op3_quality_rules, op4_near_dedup, op5_language_id, op6_quality_classifier, op7_sharding, op8_packing, op9_pii, op10_mixing, pipeline)
+    for f in (op1_secret_scan, op2_exact_dedup, op3_quality_rules, op4_near_dedup, op5_language_id, op6_quality_classifier, op7_sharding, op8_packing, op9_pii, op10_mixing, op11_filter_audit, op12_warc, op13_alignment, pipeline)
 }

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op9_pii": ["doc_id", "text"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op12_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position"],
+    "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "pipeline": ["doc_id", "piece", "sequence_id"],
 }
 
