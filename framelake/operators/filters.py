@@ -1,7 +1,7 @@
 """Audio and picture filters over ordered samples and pixel grids.
 
-Filters with a finite reach are windows; those with feedback are recurrences over
-one ordered stream (applyInArrow), so a stream is the unit of parallel work.
+Filters with a finite reach are windows over blocks; those with feedback are state
+machines, scanned in parallel block by block (:mod:`.scan`).
 """
 
 from __future__ import annotations
@@ -13,51 +13,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocked, scan
 
-def _recurrence(samples: DataFrame, by: str, order: str, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """samples (by, order long, value double) with value replaced, stream by stream."""
-
-    def apply(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        return rows.set_column(rows.schema.get_field_index("value"), "value", pa.array(run(rows.column("value").to_numpy())))
-
-    return samples.select(by, order, F.col("value").cast("double")).groupBy(by).applyInArrow(apply, samples.select(by, order, F.col("value").cast("double").alias("value")).schema)
-
-
-def gate(x: np.ndarray, threshold: float, attack: int, hold: int, release: int) -> np.ndarray:
+def noise_gate(samples: DataFrame, by: str, order: str, threshold: float = 0.05, attack: int = 4, hold: int = 16, release: int = 16, width: int = blocked.ORDINALS) -> DataFrame:
     """Opens over ``attack`` samples above the threshold, stays ``hold``, closes over ``release``."""
-    out, gain, held = np.empty_like(x), 0.0, 0
-    for i, v in enumerate(x):
-        if abs(v) >= threshold:
-            gain, held = min(1.0, gain + 1.0 / max(attack, 1)), hold
-        elif held:
-            held -= 1
-        else:
-            gain = max(0.0, gain - 1.0 / max(release, 1))
-        out[i] = v * gain
-    return out
-
+    return scan.run(samples, by, order, scan.Gate(threshold, attack, hold, release), width=width)
 
-def noise_gate(samples: DataFrame, by: str, order: str, threshold: float = 0.05, attack: int = 4, hold: int = 16, release: int = 16) -> DataFrame:
-    return _recurrence(samples, by, order, lambda x: gate(x, threshold, attack, hold, release))
 
+def echo(samples: DataFrame, by: str, order: str, delay: int, mix: float, feedback: float = 0.0, width: int = blocked.ORDINALS) -> DataFrame:
+    """Delayed copies: without feedback a window over blocks, with it a recurrence.
 
-def echo(samples: DataFrame, by: str, order: str, delay: int, mix: float, feedback: float = 0.0) -> DataFrame:
-    """Delayed copies: without feedback a window, with it a recurrence."""
+    Samples ``delay`` apart are a stream of their own, in which the delay line is the
+    last sample and what came back to it.
+    """
+    rows = blocked.running(samples, by, order, width, _n=("count_before", F.lit(1)))
     if feedback == 0:
-        w = Window.partitionBy(by).orderBy(order)
-        return samples.withColumn("value", F.col("value") + mix * F.coalesce(F.lag("value", delay).over(w), F.lit(0.0)))
-
-    def run(x: np.ndarray) -> np.ndarray:
-        line = x.astype(float).copy()
-        for at in range(delay, len(x), delay):  # block by block: a delay line feeds only later blocks
-            to = min(at + delay, len(x))
-            line[at:to] += feedback * line[at - delay : to - delay]
-        out = x.astype(float).copy()
-        out[delay:] += mix * line[:-delay] if delay < len(x) else 0
-        return out
-
-    return _recurrence(samples, by, order, run)
+        block = max(width, delay)
+        w = Window.partitionBy(by, "_block").orderBy("_n")
+        late = F.coalesce(F.lag("value", delay).over(w), F.lit(0.0))
+        return blocked.with_halo(rows, "_n", delay, block).withColumn("value", F.col("value") + mix * late).where("_own").drop("_n", "_block", "_own")
+    line = scan.Linear(np.array([[feedback]]), np.array([1.0]), np.array([[mix]]), np.array([1.0]))
+    dealt = rows.select(by, order, "value", F.floor(F.col("_n") / delay).alias("_turn"), F.pmod("_n", F.lit(delay)).alias("_voice"))
+    heard = scan.run(dealt, [by, "_voice"], "_turn", line, width=width)
+    return dealt.drop("value").join(heard, [by, "_voice", "_turn"]).select(by, order, "value")
 
 
 def biquad_coefficients(kind: str, freq: float, rate: float, q: float = 0.7071, gain_db: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -72,25 +50,47 @@ def biquad_coefficients(kind: str, freq: float, rate: float, q: float = 0.7071,
         b, a = [alpha, 0, -alpha], [1 + alpha, -2 * c, 1 - alpha]
     elif kind == "notch":
         b, a = [1, -2 * c, 1], [1 + alpha, -2 * c, 1 - alpha]
+    elif kind == "allpass":
+        b, a = [1 - alpha, -2 * c, 1 + alpha], [1 + alpha, -2 * c, 1 - alpha]
     elif kind == "peak":
         b, a = [1 + alpha * amp, -2 * c, 1 - alpha * amp], [1 + alpha / amp, -2 * c, 1 - alpha / amp]
+    elif kind in ("lowshelf", "highshelf"):
+        s, root = 1 if kind == "lowshelf" else -1, 2 * np.sqrt(amp) * alpha
+        b = [amp * (amp + 1 - s * (amp - 1) * c + root), s * 2 * amp * (amp - 1 - s * (amp + 1) * c), amp * (amp + 1 - s * (amp - 1) * c - root)]
+        a = [amp + 1 + s * (amp - 1) * c + root, -s * 2 * (amp - 1 + s * (amp + 1) * c), amp + 1 + s * (amp - 1) * c - root]
     else:
         raise ValueError(f"unknown section {kind}")
     return np.array(b) / a[0], np.array(a) / a[0]
 
 
-def biquad(samples: DataFrame, by: str, order: str, kind: str, freq: float, rate: float, q: float = 0.7071, gain_db: float = 0.0) -> DataFrame:
-    b, a = biquad_coefficients(kind, freq, rate, q, gain_db)
+def biquad(samples: DataFrame, by: str, order: str, kind: str, freq: float, rate: float, q: float = 0.7071, gain_db: float = 0.0, width: int = blocked.ORDINALS) -> DataFrame:
+    return scan.run(samples, by, order, scan.section(*biquad_coefficients(kind, freq, rate, q, gain_db)), width=width)
+
+
+def equalizer(samples: DataFrame, by: str, order: str, rate: float, bands: list[tuple[str, float, float, float]], width: int = blocked.ORDINALS) -> DataFrame:
+    """Second-order sections (kind, freq, q, gain_db) one after another, in one reading of the samples."""
+    machine = None
+    for kind, freq, q, gain_db in bands:
+        one = scan.section(*biquad_coefficients(kind, freq, rate, q, gain_db))
+        machine = one if machine is None else machine.then(one)
+    return samples if machine is None else scan.run(samples, by, order, machine, width=width)
+
+
+def state_variable(samples: DataFrame, by: str, order: str, freq: float, rate: float, q: float = 0.7071, width: int = blocked.ORDINALS) -> DataFrame:
+    """(by, order, low, band, high): three outputs of one state-variable filter with trapezoidal integrators."""
+    g, k = np.tan(np.pi * freq / rate), 1 / q
+    a1 = 1 / (1 + g * (g + k))
+    a2, a3 = g * a1, g * g * a1
+    A = np.array([[2 * a1 - 1, -2 * a2], [2 * a2, 1 - 2 * a3]])
+    C = np.array([[a2, 1 - a3], [a1, -a2], [-k * a1 - a2, k * a2 - 1 + a3]])
+    machine = scan.Linear(A, np.array([2 * a2, 2 * a3]), C, np.array([a3, a2, 1 - k * a2 - a3]), ("low", "band", "high"))
+    return scan.run(samples, by, order, machine, width=width)
 
-    def run(x: np.ndarray) -> np.ndarray:
-        out, s1, s2 = np.empty(len(x)), 0.0, 0.0
-        for i, v in enumerate(x):
-            y = b[0] * v + s1
-            s1, s2 = b[1] * v - a[1] * y + s2, b[2] * v - a[2] * y
-            out[i] = 0.0 if abs(y) < 1e-30 else y
-        return out
 
-    return _recurrence(samples, by, order, run)
+def crossover(samples: DataFrame, by: str, order: str, freq: float, rate: float, width: int = blocked.ORDINALS) -> DataFrame:
+    """(by, order, low, high): two bands of fourth order, each two equal sections, which add up to an all-pass."""
+    low, high = (scan.section(*biquad_coefficients(kind, freq, rate, np.sqrt(0.5))) for kind in ("lowpass", "highpass"))
+    return scan.run(samples, by, order, low.then(low).beside(high.then(high), ("low", "high")), width=width)
 
 
 def spectrogram(samples: DataFrame, by: str, order: str, width: int = 256, hop: int = 128) -> DataFrame:
