@@ -64,6 +64,32 @@ def stored_of(rgba: list[Column], name: str) -> Column:
     return F.array(*(F.least(F.lit(top), F.greatest(F.lit(0), F.round(part[c] * top).cast("int"))) for c in order))
 
 
+#: Red, green and blue of two colour maps as polynomials of the level, constant first.
+COLOUR_MAPS = {
+    "viridis": (
+        (0.2777273272, 0.1050930431, -0.3308618287, -4.6342304990, 6.2282699363, 4.7763849977, -5.4354558559),
+        (0.0054073445, 1.4046135299, 0.2148475595, -5.7991009734, 14.1799333668, -13.7451453777, 4.6458526122),
+        (0.3340998053, 1.3845901626, 0.0950951630, -19.3324409563, 56.6905526007, -65.3530326334, 26.3124352495),
+    ),
+    "magma": (
+        (-0.0021364851, 0.2516605407, 8.3537172792, -27.6687330858, 52.1761398123, -50.7685253647, 18.6557050659),
+        (-0.0007496551, 0.6775232437, -3.5777195150, 14.2647307810, -27.9436060717, 29.0465828213, -11.4897735200),
+        (-0.0053861279, 2.4940265993, 0.3144679030, -13.6492131881, 12.9441694424, 4.2341529938, -5.6019615087),
+    ),
+}
+
+
+def colour_of(level: Column, colours: str = "viridis") -> list[Column]:
+    """Red, green and blue of 0 to 1 for a level of 0 to 1."""
+    out = []
+    for coefficients in COLOUR_MAPS[colours]:
+        value = F.lit(0.0)
+        for c in reversed(coefficients):
+            value = value * level + c
+        out.append(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+    return out
+
+
 def pixel_format(name: Column) -> Column:
     """The known format of a name in any case, or null."""
     low = F.lower(name)

@@ -127,6 +127,15 @@ def convolve(pixels: DataFrame, by: str, kernel: list[list[float]], edge: str =
 
 
 BOX_BLUR = [[1 / 9] * 3] * 3
+
+
+def gaussian(sigma: float) -> list[float]:
+    """Weights of a bell curve out to three times its width."""
+    reach = max(1, int(np.ceil(3 * sigma)))
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return (weights / weights.sum()).tolist()
+
+
 EDGE_X, EDGE_Y = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 
 

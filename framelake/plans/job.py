@@ -2,8 +2,12 @@
 
 A job maps output keys to groups of tracks (audio, video, subtitle, all); a track
 is a tree of nodes: {"from": address or "@alias"}, {"filter", "params", "input"},
-{"convert", "input"}, optionally with "codec" at its root.  Keys that start with
+{"convert", "input"}, optionally with "codec" at its root.  A filter of several
+outputs gives the first one, or the one that "port" names.  Keys that start with
 @ are aliases unless they name a sink (@null, @display, @out).
+
+No node only labels rows: an encode needs an encoder, or packets that carry the codec
+already; a convert needs pixels.
 """
 
 from __future__ import annotations
@@ -18,14 +22,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
-from ..functions.pixel import PIXEL_FORMATS, SHARED_CHROMA, STORED, rgb_of, stored_of
-from ..operators import filters
+from ..functions.pixel import COLOUR_MAPS, PIXEL_FORMATS, SHARED_CHROMA, STORED, bayer_level, colour_of, rgb_of, stored_of
+from ..operators import filters, pictures
+from ..sources import images
 from ..sources.codecs import register_all
 from ..streaming.stateful import Sink
 
 SINKS = ("@null", "@display", "@out")
 GROUPS = ("audio", "video", "subtitle", "all")
-FILTERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+FILTERS: dict[str, Callable[[DataFrame, dict], DataFrame | dict[str, DataFrame]]] = {}
+#: The outputs of filters that have several, the first of them the usual one.
+PORTS: dict[str, tuple[str, ...]] = {}
 REGISTRY = register_all()
 
 
@@ -33,11 +40,13 @@ class JobError(ValueError):
     """A job that cannot be accepted; the message names the output and the value."""
 
 
-def filter_named(name: str) -> Callable:
-    """Registers a filter (frames, params) -> frames under a name."""
+def filter_named(name: str, *ports: str) -> Callable:
+    """Registers a filter (frames, params) -> frames, or a dict of frames by port, under a name."""
 
-    def add(f: Callable[[DataFrame, dict], DataFrame]) -> Callable:
+    def add(f: Callable[[DataFrame, dict], DataFrame | dict[str, DataFrame]]) -> Callable:
         FILTERS[name] = f
+        if ports:
+            PORTS[name] = ports
         return f
 
     return add
@@ -52,7 +61,13 @@ def _numbers(params: dict, **defaults: float) -> dict:
     unknown = sorted(set(params) - set(defaults))
     if unknown:
         raise JobError(f"unknown parameter {unknown[0]}")
-    return {name: type(value)(params.get(name, value)) for name, value in defaults.items()}
+    out = {}
+    for name, value in defaults.items():
+        try:
+            out[name] = type(value)(params.get(name, value))
+        except (TypeError, ValueError) as e:
+            raise JobError(f"parameter {name} is no number: {params[name]!r}") from e
+    return out
 
 
 @filter_named("noise_gate")
@@ -71,23 +86,65 @@ def _resample(frames: DataFrame, params: dict) -> DataFrame:
     return filters.resample(frames.select(STREAM, ORDER, "value"), STREAM, ORDER, **rates)
 
 
-@filter_named("spectrogram")
-def _spectrogram(frames: DataFrame, params: dict) -> DataFrame:
-    return filters.spectrogram(frames, STREAM, ORDER, **_numbers(params, width=256, hop=128))
+@filter_named("spectrogram", "bins", "samples", "picture")
+def _spectrogram(frames: DataFrame, params: dict) -> dict[str, DataFrame]:
+    """Powers, the samples as they came, and a picture a stream: time to the right, low notes below, decibels as colours."""
+    colours, floor = params.get("colours", "viridis"), _numbers({k: v for k, v in params.items() if k == "floor"}, floor=-80.0)["floor"]
+    if colours not in COLOUR_MAPS:
+        raise JobError(f"unknown colours {colours}")
+    sizes = _numbers({k: v for k, v in params.items() if k not in ("colours", "floor")}, width=256, hop=128)
+    bins = filters.spectrogram(frames, STREAM, ORDER, **sizes)
+    loud = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - 10 * F.log10(F.greatest("power", F.lit(1e-30)) / (sizes["width"] / 4) ** 2) / floor))
+    stored = F.array(*(F.round(c * 255).cast("int") for c in colour_of(loud, colours)))
+    picture = bins.select(F.col(STREAM).alias(PICTURE), F.col("frame").cast("int").alias("x"), (sizes["width"] // 2 - F.col("bin")).cast("int").alias("y"), F.lit("rgb24").alias("pixel_format"), stored.alias("stored"))
+    return {"bins": bins, "samples": frames, "picture": picture}
+
+
+def _split_bands(frames: DataFrame, params: dict) -> dict[str, DataFrame]:
+    found = filters.crossover(frames, STREAM, ORDER, **_numbers(params, freq=1000.0, rate=48_000.0))
+    return {port: found.select(STREAM, ORDER, F.col(port).alias("value")) for port in ("low", "high")}
+
+
+def _split_state(frames: DataFrame, params: dict) -> dict[str, DataFrame]:
+    found = filters.state_variable(frames, STREAM, ORDER, **_numbers(params, freq=1000.0, rate=48_000.0, q=0.7071))
+    return {port: found.select(STREAM, ORDER, F.col(port).alias("value")) for port in ("low", "band", "high")}
+
+
+filter_named("crossover", "low", "high")(_split_bands)
+filter_named("state_variable", "low", "band", "high")(_split_state)
 
 
 def _section(kind: str) -> Callable[[DataFrame, dict], DataFrame]:
     return lambda frames, params: filters.biquad(frames, STREAM, ORDER, kind, **_numbers(params, freq=1000.0, rate=48_000.0, q=0.7071, gain_db=0.0))
 
 
-for _kind in ("lowpass", "highpass", "bandpass", "notch", "peak"):
+for _kind in ("lowpass", "highpass", "bandpass", "notch", "allpass", "peak", "lowshelf", "highshelf"):
     filter_named(_kind)(_section(_kind))
 
 
 @filter_named("blur")
 def _blur(frames: DataFrame, params: dict) -> DataFrame:
-    _numbers(params)
-    return filters.convolve(frames, PICTURE, filters.BOX_BLUR)
+    """A box of nine pixels, or a Gaussian of ``sigma``, along rows and then columns."""
+    sigma = _numbers(params, sigma=0.0)["sigma"]
+    if sigma == 0:
+        return filters.convolve(frames, PICTURE, filters.BOX_BLUR)
+    taps = filters.gaussian(sigma)
+    return filters.convolve(filters.convolve(frames, PICTURE, [taps]), PICTURE, [[t] for t in taps])
+
+
+@filter_named("quantize")
+def _quantize(frames: DataFrame, params: dict) -> DataFrame:
+    """Values of 0 to 1 in ``colours`` even steps: by rounding, an ordered pattern or diffused errors."""
+    dither = params.get("dither", "none")
+    levels = _numbers({k: v for k, v in params.items() if k != "dither"}, colours=256)["colours"]
+    if levels < 2:
+        raise JobError(f"{levels} colours are too few")
+    if dither == "diffusion":
+        return pictures.error_diffusion(frames, PICTURE, levels).select(PICTURE, "x", "y", (F.col("step") / (levels - 1)).alias("value"))
+    steps = {"none": filters.uniform_palette(F.col("value"), levels), "ordered": bayer_level(F.col("value"), F.col("x"), F.col("y"), levels)}
+    if dither not in steps:
+        raise JobError(f"unknown dither {dither}")
+    return frames.withColumn("value", steps[dither] / (levels - 1))
 
 
 @filter_named("edge")
@@ -99,18 +156,24 @@ def _edge(frames: DataFrame, params: dict) -> DataFrame:
 @filter_named("resize")
 def _resize(frames: DataFrame, params: dict) -> DataFrame:
     kind = params.get("kind", "nearest")
+    if kind != "nearest" and kind not in filters.KERNELS:
+        raise JobError(f"unknown kernel {kind}")
     sizes = _numbers({k: v for k, v in params.items() if k != "kind"}, w=0, h=0, new_w=0, new_h=0)
     return filters.resize(frames, PICTURE, **sizes, kind=kind)
 
 
 @filter_named("morphology")
 def _morphology(frames: DataFrame, params: dict) -> DataFrame:
-    return filters.morphology(frames, PICTURE, params.get("kind", "dilate"), int(params.get("reach", 1)))
+    kind = params.get("kind", "dilate")
+    if kind not in ("dilate", "erode"):
+        raise JobError(f"unknown kind {kind}")
+    return filters.morphology(frames, PICTURE, kind, **_numbers({k: v for k, v in params.items() if k != "kind"}, reach=1))
 
 
 @filter_named("volume")
 def _volume(frames: DataFrame, params: dict) -> DataFrame:
-    scale = float(params["scale"]) if "scale" in params else 10 ** (float(params.get("gain_db", 0)) / 20)
+    given = _numbers(params, scale=1.0, gain_db=0.0)
+    scale = given["scale"] if "scale" in params else 10 ** (given["gain_db"] / 20)
     return frames.withColumn("value", F.col("value") * scale)
 
 
@@ -153,6 +216,8 @@ class Job:
         if not isinstance(raw, dict):
             raise JobError("job is not an object")
         threads = raw.pop("threads", 0)
+        if not isinstance(threads, int):
+            raise JobError(f"threads is no number: {threads!r}")
         return cls(raw, threads)
 
     @property
@@ -162,16 +227,23 @@ class Job:
     def _resolve(self, key: str, tree: dict, group: str, path: tuple[str, ...]) -> Node:
         if not isinstance(tree, dict):
             raise JobError(f"{key}: a track is not an object: {tree!r}")
+        below = lambda: self._resolve(key, tree.get("input", {}), group, path)
         if "convert" in tree:
             if str(tree["convert"]).lower() not in PIXEL_FORMATS:
                 raise JobError(f"{key}: unknown pixel format {tree['convert']}")
-            node = Node("convert", str(tree["convert"]).lower(), inputs=(self._resolve(key, tree.get("input", {}), group, path),), group=group)
+            node = Node("convert", str(tree["convert"]).lower(), inputs=(below(),), group=group)
         elif "filter" in tree:
-            if tree["filter"] not in FILTERS:
-                raise JobError(f"{key}: unknown filter {tree['filter']}")
-            node = Node("filter", tree["filter"], tuple(sorted(tree.get("params", {}).items())), (self._resolve(key, tree.get("input", {}), group, path),), group)
+            name = self._text(key, tree, "filter")
+            if name not in FILTERS:
+                raise JobError(f"{key}: unknown filter {name}")
+            node = Node("filter", name, self._params(key, tree, "params"), (below(),), group)
+            ports = PORTS.get(name, ())
+            if "port" in tree and tree["port"] not in ports:
+                raise JobError(f"{key}: {name} has no port {tree['port']}")
+            if ports:
+                node = Node("port", tree.get("port", ports[0]), inputs=(node,), group=group)
         elif "from" in tree:
-            source = tree["from"]
+            source = self._text(key, tree, "from")
             if source.startswith("@"):
                 if source in path:
                     raise JobError(f"{key}: alias cycle {' -> '.join((*path, source))}")
@@ -183,16 +255,38 @@ class Job:
         else:
             raise JobError(f"{key}: a track needs from, filter or convert: {tree!r}")
         if "codec" in tree:
-            node = Node("encode", tree["codec"], tuple(sorted(tree.get("codec_params", {}).items())), (node,), group)
+            node = Node("encode", self._text(key, tree, "codec"), self._params(key, tree, "codec_params"), (node,), group)
         return node
 
+    @staticmethod
+    def _text(key: str, tree: dict, name: str) -> str:
+        if not isinstance(tree[name], str):
+            raise JobError(f"{key}: {name} is no text: {tree[name]!r}")
+        return tree[name]
+
+    @staticmethod
+    def _params(key: str, tree: dict, name: str) -> tuple:
+        """Parameters in the order of their names; lists become tuples, so that nodes can be compared."""
+        given = tree.get(name, {})
+        if not isinstance(given, dict):
+            raise JobError(f"{key}: {name} is not an object: {given!r}")
+
+        def fixed(value: object) -> object:
+            if isinstance(value, dict):
+                raise JobError(f"{key}: {name} holds an object: {value!r}")
+            return tuple(map(fixed, value)) if isinstance(value, list) else value
+
+        return tuple((k, fixed(v)) for k, v in sorted(given.items()))
+
     def _tracks(self, key: str, path: tuple[str, ...]) -> tuple[Node, ...]:
         groups = self.outputs[key]
         if not isinstance(groups, dict):
             raise JobError(f"{key}: not an object")
-        for group in groups:
+        for group, tracks in groups.items():
             if group not in GROUPS:
                 raise JobError(f"{key}: unknown track group {group}")
+            if not isinstance(tracks, list):
+                raise JobError(f"{key}: {group} is no list of tracks: {tracks!r}")
         return tuple(self._resolve(key, track, group, path) for group, tracks in groups.items() for track in tracks)
 
     def to_dag(self) -> Dag:
@@ -201,6 +295,8 @@ class Job:
         for key in self.outputs:
             tracks = self._tracks(key, (key,) if key.startswith("@") else ())
             if key in self.sinks:
+                if not tracks:
+                    raise JobError(f"{key}: has no track")
                 roots[key] = Node("mux", key, inputs=tracks)
         if not roots:
             raise JobError("job has no output")
@@ -264,6 +360,19 @@ def encode_samples(frames: DataFrame, codec: str) -> DataFrame:
     return frames.mapInArrow(run, StructType([*(f for f in frames.schema.fields if f.name != "samples"), StructField("data", BinaryType())]))
 
 
+def encode_pictures(frames: DataFrame, codec: str) -> DataFrame:
+    """Pixel rows as one payload a picture: (PICTURE, pixel_format, data); formats that the codec does not take stop the job."""
+    accepted = next(c.accepted for c in REGISTRY.impls if c.codec == codec)
+    known = F.when(F.col("pixel_format").isin(*accepted), F.col("pixel_format")).otherwise(F.raise_error(F.concat(F.lit(f"{codec} does not take "), F.coalesce("pixel_format", F.lit("pixels of no format")))))
+    rows = frames.select(PICTURE, "x", "y", known.alias("pixel_format"), "stored")
+    grouped = rows.groupBy(PICTURE, "pixel_format").agg(F.sort_array(F.collect_list(F.struct("y", "x", "stored"))).alias("_p"))
+    last = F.element_at("_p", -1)
+    flat = grouped.select(F.struct(PICTURE, "pixel_format").alias("uri"), (last["x"] + 1).cast("int").alias("width"), (last["y"] + 1).cast("int").alias("height"), F.size(last["stored"]).alias("channels"), F.lit(8).alias("depth"), F.flatten(F.transform("_p", lambda p: p["stored"])).alias("pixels"))
+    texts = flat.withColumn("uri", F.to_json("uri"))
+    kinds = flat.schema["uri"].dataType
+    return images.encode(texts, codec).select(F.from_json("uri", kinds).alias("u"), "data").select("u.*", "data")
+
+
 def decode_payloads(frames: DataFrame) -> DataFrame:
     """The way back, by each row's codec_id: samples array<double> in place of data."""
     at, by = frames.columns.index("data"), frames.columns.index("codec_id")
@@ -304,7 +413,19 @@ def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str
     accepted = {c.codec: c.accepted for c in REGISTRY.impls if c.accepted}
     dag, memo = insert_conversions(job.to_dag(), accepted, lambda node: format_at(node, source_formats or {})), {}
 
-    def build(node: Node) -> DataFrame:
+    def encoded(frames: DataFrame, codec: str) -> DataFrame:
+        """Payloads of the codec; packets that carry it already are copied, others stop the job."""
+        made = any(c.codec == codec and c.encode is not None for c in REGISTRY.impls)
+        if made and "samples" in frames.columns:
+            return encode_samples(frames, codec).withColumn("codec_id", F.lit(codec))
+        if made and {"stored", PICTURE, "x", "y"} <= set(frames.columns):
+            return encode_pictures(frames, codec).withColumn("codec_id", F.lit(codec))
+        if "codec_id" not in frames.columns:
+            raise JobError(f"nothing can encode {codec} from ({', '.join(frames.columns)})")
+        other = F.raise_error(F.concat(F.lit(f"nothing can encode {codec} from "), F.coalesce("codec_id", F.lit("rows of no codec"))))
+        return frames.withColumn("codec_id", F.when(F.col("codec_id") == codec, F.col("codec_id")).otherwise(other))
+
+    def build(node: Node) -> DataFrame | dict[str, DataFrame]:
         if node in memo:
             return memo[node]
         if node.kind == "demuxer":
@@ -320,17 +441,15 @@ def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str
                 out = out.where(F.lower("media_type") == node.group)
         elif node.kind == "filter":
             out = FILTERS[node.value](build(node.inputs[0]), dict(node.params))
+        elif node.kind == "port":
+            out = build(node.inputs[0])[node.value]
         elif node.kind == "convert":
             frames = build(node.inputs[0])
-            if "stored" in frames.columns:
-                out = convert_pixels(frames, node.value)
-            else:  # packets: what their pixels are to become, for whoever decodes them
-                out = frames.withColumn("pixel_format", F.lit(node.value))
-        else:  # encode: the codec's name travels with the rows; no codec is a plain copy
-            frames = build(node.inputs[0])
-            if "samples" in frames.columns and any(c.codec == node.value and c.encode is not None for c in REGISTRY.impls):
-                frames = encode_samples(frames, node.value)
-            out = frames.withColumn("codec_id", F.lit(node.value))
+            if "stored" not in frames.columns:
+                raise JobError(f"a conversion to {node.value} needs pixels, not packets")
+            out = convert_pixels(frames, node.value)
+        else:
+            out = encoded(build(node.inputs[0]), node.value)
         memo[node] = out
         return out
 

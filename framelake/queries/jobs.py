@@ -7,6 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..operators import blocked
+from ..plans.convert import parse_convert
 from ..plans.job import Job, compile_job, decode_payloads
 from .registrar import registrar
 
@@ -16,8 +18,9 @@ query = registrar(QUERIES, ORACLES)
 
 
 def read_packets(spark, uri):
-    """``events`` as packets of two media types."""
-    return tables.packets(spark, uri.removeprefix("packets:")).withColumn("media_type", F.when(F.col("stream_key") == "click", "Video").otherwise("Audio"))
+    """``events`` as packets of two media types and their codecs."""
+    video = F.col("stream_key") == "click"
+    return tables.packets(spark, uri.removeprefix("packets:")).withColumns({"media_type": F.when(video, "Video").otherwise("Audio"), "codec_id": F.when(video, "vp8").otherwise("pcm_s16le")})
 
 
 @query("SELECT event_type AS stream_key, event_id AS ordinal, epoch_us(ts) AS pts, strlen(props)::BIGINT AS size FROM events")
@@ -28,10 +31,10 @@ def job_graph_run(spark, sf_dir):
 
 
 @query("""
-SELECT 0 AS track_no, event_id AS ordinal, round(value * power(10, -3 / 20.0), 6) AS value, NULL::VARCHAR AS codec_id FROM events WHERE event_type <> 'click'
+SELECT 0 AS track_no, event_id AS ordinal, round(value * power(10, -3 / 20.0), 6) AS value, 'pcm_s16le' AS codec_id FROM events WHERE event_type <> 'click'
 UNION ALL SELECT 1, event_id, round(value, 6), 'vp8' FROM events WHERE event_type = 'click' AND event_id % 4 = 0""")
 def job_filter_tracks(spark, sf_dir):
-    """An alias shared by two tracks: audio with a gain, video keyframes encoded."""
+    """An alias shared by two tracks: audio with a gain, video keyframes copied in the codec that they have."""
     job = Job.from_json(json.dumps({
         "@in": {"all": [{"from": f"packets:{sf_dir}"}]},
         "@out": {"audio": [{"filter": "volume", "params": {"gain_db": -3}, "input": {"from": f"packets:{sf_dir}"}}], "video": [{"codec": "vp8", "filter": "keyframes", "input": {"from": f"packets:{sf_dir}"}}]},
@@ -108,3 +111,46 @@ def job_fan_out(spark, sf_dir):
     built = compile_job(spark, job, read_packets)
     sums = [df.groupBy(F.lit(name).alias("output"), "track_no", "stream_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total")) for name, df in built.items()]
     return sums[0].unionByName(sums[1])
+
+
+_KERNEL = "k AS (SELECT t - 3 AS d, exp(-0.5 * ((t - 3) / 0.8) * ((t - 3) / 0.8)) AS w FROM range(0, 7) r(t)), kn AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k)"
+
+
+@query(f"""
+WITH g AS (SELECT vec_id AS f, (i % 8)::INT AS x, (i // 8)::INT AS y, (floor(abs(embedding[i + 1]::DOUBLE) * 1000)::BIGINT % 256) / 255.0 AS v FROM embeddings, range(0, 64) r(i)), {_KERNEL},
+r AS (SELECT f, x // 2 AS x, y // 2 AS y, avg(v) AS v FROM g GROUP BY 1, 2, 3),
+s AS (SELECT a.f, a.x, a.y, sum(b.v * (b.x - a.x) * (2 - abs(b.y - a.y))) AS gx, sum(b.v * (b.y - a.y) * (2 - abs(b.x - a.x))) AS gy FROM r a JOIN r b ON a.f = b.f AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3),
+e AS (SELECT f, x, y, sqrt(gx * gx + gy * gy) AS v FROM s),
+h AS (SELECT e.f, e.x + d AS x, e.y, sum(v * w) AS v FROM e, kn WHERE e.x + d BETWEEN 0 AND 3 GROUP BY 1, 2, 3), b AS (SELECT h.f, h.x, h.y + d AS y, sum(v * w) AS v FROM h, kn WHERE h.y + d BETWEEN 0 AND 3 GROUP BY 1, 2, 3),
+d AS (SELECT *, (xor(x, y) & 1) * 32 + (y & 1) * 16 + ((xor(x, y) >> 1) & 1) * 8 + ((y >> 1) & 1) * 4 + ((xor(x, y) >> 2) & 1) * 2 + ((y >> 2) & 1) AS rank FROM b)
+SELECT f AS frame_no, x, y, least(4, floor(v * 4 + (rank + 0.5) / 64)) / 4.0 AS value FROM d""")
+def convert_command(spark, sf_dir):
+    """A command of five operations over planes of 8 x 8."""
+    job = parse_convert(f"levels:{sf_dir} -resize 4x4 -edge 1 -blur 0x0.8 -dither ordered -colors 5 -strip @null", (8, 8))
+    return compile_job(spark, job, _planes)["@null"].select("frame_no", "x", "y", "value")
+
+
+def _planes(spark, uri):
+    v = tables.vectors(spark, uri.removeprefix("levels:")).select("frame_no", F.posexplode("samples").alias("i", "v"))
+    return v.select("frame_no", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), ((F.floor(F.abs("v") * 1000) % 256) / 255).alias("value"))
+
+
+@query("""
+WITH s AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1)::BIGINT AS n, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(0, 64) r(i)),
+f AS (SELECT label, n // 16 - k AS frame, n - (n // 16 - k) * 16 AS place, v FROM s, range(0, 2) r(k) WHERE n // 16 - k >= 0),
+w AS (SELECT label, frame, b AS bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * place / 31)) * cos(2 * pi() * b * place / 32)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * place / 31)) * sin(2 * pi() * b * place / 32)) AS im FROM f, range(0, 17) r(b) GROUP BY 1, 2, 3)
+SELECT 'bins' AS port, label::VARCHAR AS stream, frame, bin::BIGINT AS bin, round(re * re + im * im, 4) AS number FROM w
+UNION ALL SELECT 'samples', label::VARCHAR, n, NULL, round(v, 4) FROM s""")
+def spectrogram_ports(spark, sf_dir):
+    """One filter with two of its outputs in one job: powers, and the samples as they came; every label is a stream."""
+
+    def read(spark, uri):
+        v = tables.vectors(spark, uri).select("stream_index", "frame_no", F.posexplode("samples").alias("i", "value"))
+        numbered = blocked.running(v, "stream_index", ["frame_no", "i"], 256, ordinal=("count_before", F.lit(1)))
+        return numbered.select(F.col("stream_index").cast("string").alias("stream_key"), "ordinal", "value")
+
+    tree = {"filter": "spectrogram", "params": {"width": 32, "hop": 16}, "input": {"from": sf_dir}}
+    built = compile_job(spark, Job.from_json(json.dumps({"@out": {"audio": [tree, tree | {"port": "samples"}]}})), read)["@out"]
+    bins = built.where("track_no = 0").select(F.lit("bins").alias("port"), F.col("stream_key").alias("stream"), "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("number"))
+    samples = built.where("track_no = 1").select(F.lit("samples").alias("port"), F.col("stream_key").alias("stream"), F.col("ordinal").alias("frame"), F.lit(None).cast("long").alias("bin"), F.round("value", 4).alias("number"))
+    return bins.unionByName(samples)

@@ -1,6 +1,7 @@
 """Job graphs: parsing, errors by name, description, rewriting, compilation."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,15 +28,30 @@ def test_description():
         ({"o": {"smell": []}}, "unknown track group smell"),
         ({"o": {"all": [{}]}}, "needs from, filter or convert"),
         ({"@a": {"all": [{"from": "x"}]}}, "no output"),
+        ({"o": {"all": [{"from": 5}]}}, "o: from is no text: 5"),
+        ({"o": {"all": {"from": "x"}}}, "o: all is no list of tracks"),
+        ({"o": {"all": "x"}}, "o: all is no list of tracks"),
+        ({"o": {"all": []}}, "o: has no track"),
+        ({"o": {"all": ["x"]}}, "o: a track is not an object"),
+        ({"o": ["x"]}, "o: not an object"),
+        ({"o": {"all": [{"filter": ["volume"], "input": {"from": "x"}}]}}, "o: filter is no text"),
+        ({"o": {"all": [{"filter": "volume", "params": [1], "input": {"from": "x"}}]}}, "o: params is not an object"),
+        ({"o": {"all": [{"filter": "volume", "params": {"scale": {"a": 1}}, "input": {"from": "x"}}]}}, "o: params holds an object"),
+        ({"o": {"all": [{"codec": 3, "from": "x"}]}}, "o: codec is no text"),
+        ({"o": {"all": [{"codec": "bmp", "codec_params": "x", "from": "x"}]}}, "o: codec_params is not an object"),
+        ({"o": {"all": [{"filter": "volume", "input": 7}]}}, "o: a track is not an object"),
+        ({"o": {"all": [{"convert": ["rgb24"], "input": {"from": "x"}}]}}, "o: unknown pixel format"),
+        ({"o": {"all": [{"filter": "volume", "port": "low", "input": {"from": "x"}}]}}, "o: volume has no port low"),
+        ({"o": {"all": [{"filter": "crossover", "port": ["low"], "input": {"from": "x"}}]}}, "o: crossover has no port"),
     ],
 )
 def test_errors_name_the_output(outputs, said):
-    with pytest.raises(JobError, match=said.replace("(", r"\(")):
+    with pytest.raises(JobError, match=re.escape(said)):
         Job.from_json(json.dumps(outputs)).validate()
 
 
 def test_text_errors():
-    for bad in ("", "[]", "{"):
+    for bad in ("", "[]", "{", '{"threads": "x", "o": {"all": [{"from": "x"}]}}'):
         with pytest.raises(JobError):
             Job.from_json(bad)
     assert Job.from_json('{"threads": 4, "o": {"all": [{"from": "x"}]}}').validate() == "OK: 1 output(s)"
@@ -54,18 +70,108 @@ def test_conversion_path():
 
 
 def test_compile(spark):
-    frames = spark.createDataFrame([("Audio", 1, 2.0, True), ("Video", 2, 4.0, False)], "media_type string, n int, value double, keyframe boolean")
+    frames = spark.createDataFrame([("Audio", 1, 2.0, True, "pcm"), ("Video", 2, 4.0, False, "vp8")], "media_type string, n int, value double, keyframe boolean, codec_id string")
     opened = []
 
     def read(_, address):
         opened.append(address)
         return frames
 
-    outputs = {"@in": {"all": [{"from": "x"}]}, "@null": {"all": [{"from": "@in"}]}, "o": {"audio": [{"filter": "volume", "params": {"scale": 2}, "input": {"from": "x"}}], "video": [{"codec": "vp8", "convert": "rgb24", "input": {"from": "x"}}]}}
+    outputs = {"@in": {"all": [{"from": "x"}]}, "@null": {"all": [{"from": "@in"}]}, "o": {"audio": [{"filter": "volume", "params": {"scale": 2}, "input": {"from": "x"}}], "video": [{"codec": "vp8", "from": "x"}]}}
     built = compile_job(spark, Job.from_json(json.dumps(outputs)), read)
     assert built["@null"].count() == 2
-    rows = built["o"].orderBy("track_no").select("track_no", "n", "value", F.col("codec_id"), "pixel_format").collect()
-    assert [tuple(r) for r in rows] == [(0, 1, 4.0, None, None), (1, 2, 4.0, "vp8", "rgb24")]
+    rows = built["o"].orderBy("track_no").select("track_no", "n", "value", F.col("codec_id")).collect()
+    assert [tuple(r) for r in rows] == [(0, 1, 4.0, "pcm"), (1, 2, 4.0, "vp8")]
+
+
+def test_no_node_only_labels_rows(spark):
+    """An encoder that is not there, and pixels that are not there, stop a job; packets in the codec are copied."""
+    packets = spark.createDataFrame([("vp8", b"a"), ("vp9", b"b")], "codec_id string, data binary")
+    made = lambda tree: compile_job(spark, Job.from_json(json.dumps({"@out": {"all": [tree]}})), lambda *_: packets)["@out"]
+    with pytest.raises(Exception, match="nothing can encode vp8 from vp9"):
+        made({"codec": "vp8", "from": "x"}).collect()
+    packets = packets.where("codec_id = 'vp8'")
+    assert [r.codec_id for r in made({"codec": "vp8", "from": "x"}).collect()] == ["vp8"]
+    with pytest.raises(JobError, match="needs pixels, not packets"):
+        made({"convert": "rgb24", "input": {"from": "x"}})
+    packets = spark.range(3)
+    with pytest.raises(JobError, match=r"nothing can encode h264 from \(id\)"):
+        made({"codec": "h264", "from": "x"})
+
+
+def test_lists_in_parameters(spark):
+    """Equal nodes are compiled once, whatever their parameters hold."""
+    from framelake.plans import job as plans
+
+    seen = []
+    plans.FILTERS["probe"] = lambda frames, params: seen.append(params) or frames
+    try:
+        tree = {"filter": "probe", "params": {"bands": [[1, 2], ["a"]]}, "input": {"from": "x"}}
+        compile_job(spark, Job.from_json(json.dumps({"@out": {"all": [tree, tree]}})), lambda *_: spark.range(2))
+    finally:
+        del plans.FILTERS["probe"]
+    assert seen == [{"bands": ((1, 2), ("a",))}]
+
+
+def test_parameters_that_are_no_numbers(spark):
+    samples = spark.range(4).selectExpr("'s' AS stream_key", "id AS ordinal", "1.0D AS value")
+    for name, params in (("volume", {"scale": "x"}), ("echo", {"delay": [1]}), ("resize", {"w": None}), ("resize", {"kind": "bicubic"}), ("morphology", {"kind": "open"}), ("quantize", {"colours": 1}), ("quantize", {"dither": "x"}), ("spectrogram", {"colours": "jet"})):
+        spec = Job.from_json(json.dumps({"@out": {"all": [{"filter": name, "params": params, "input": {"from": "x"}}]}}))
+        with pytest.raises(JobError):
+            compile_job(spark, spec, lambda *_: samples)
+
+
+def test_ports(spark):
+    """A filter of several outputs runs once, its ports go to tracks of their own; a picture port goes on to an encoder."""
+    from framelake.plans import job as plans
+    from framelake.sources import images
+
+    samples = spark.range(256).selectExpr("concat('s', id % 2) AS stream_key", "id AS ordinal", "sin(id / 3.0) AS value")
+    built = []
+    whole = plans.FILTERS["crossover"]
+    plans.FILTERS["crossover"] = lambda frames, params: built.append(1) or whole(frames, params)
+    try:
+        band = {"filter": "crossover", "params": {"freq": 500}, "input": {"from": "x"}}
+        out = compile_job(spark, Job.from_json(json.dumps({"@out": {"audio": [band, band | {"port": "high"}]}})), lambda *_: samples)["@out"]
+    finally:
+        plans.FILTERS["crossover"] = whole
+    assert built == [1] and [tuple(r) for r in out.groupBy("track_no").count().orderBy("track_no").collect()] == [(0, 256), (1, 256)]
+    picture = {"filter": "spectrogram", "params": {"width": 32, "hop": 16}, "port": "picture", "input": {"from": "x"}}
+    coded = compile_job(spark, Job.from_json(json.dumps({"@out": {"video": [picture | {"codec": "bmp"}]}})), lambda *_: samples)["@out"].collect()
+    assert {r.frame_no for r in coded} == {"s0", "s1"} and {r.codec_id for r in coded} == {"bmp"}
+    shape = images.read_bmp(bytes(coded[0].data)).shape
+    assert shape == (17, 16, 3)
+
+
+def test_colour_maps(spark):
+    from framelake.functions.pixel import colour_of
+
+    known = {"viridis": {0.0: (68, 1, 84), 0.5: (33, 145, 140), 1.0: (253, 231, 37)}, "magma": {0.0: (0, 0, 4), 0.5: (183, 55, 121), 1.0: (252, 253, 191)}}
+    for name, colours in known.items():
+        for level, want in colours.items():
+            got = spark.range(1).select(*colour_of(F.lit(level), name)).first()
+            assert all(abs(255 * g - w) < 5 for g, w in zip(got, want)), (name, level, [255 * g for g in got])
+
+
+def test_convert_commands(spark):
+    from framelake.plans.convert import parse_convert
+    from framelake.sources import images
+
+    job = parse_convert("in.png -resize 4x2 -blur 0x1.5 -edge 1 -dither FloydSteinberg -colors 4 -strip -quality 80 out.bmp", (8, 6))
+    assert [x.strip() for x in job.to_dag().describe().split("\n")] == [
+        "output: out.bmp", "mux(out.bmp)", "encode(bmp) {'quality': 80}", "filter(pixels)", "filter(strip)", "filter(quantize) {'colours': 4, 'dither': 'diffusion'}", "filter(edge)", "filter(blur) {'sigma': 1.5}",
+        "filter(resize) {'h': 6, 'kind': 'bilinear', 'new_h': 2, 'new_w': 4, 'w': 8}", "demuxer(in.png)",
+    ]
+    for bad, said in (("a -rotate 90 b.bmp", "-rotate: not yet implemented"), ("a -crop 1x1 b.bmp", "-crop: not yet"), ("a -flip b.bmp", "-flip: not yet"), ("a -resize big b.bmp", "-resize: cannot take big"), ("a -colors b.bmp", "-colors: needs a value"), ("a b.xyz", "no codec"), ("a", "needs an input"), ("a -dither blue b.bmp", "cannot take blue"), ("a -blur 0x0 b.bmp", "cannot take 0x0")):
+        with pytest.raises(JobError, match=re.escape(said)):
+            parse_convert(bad, (2, 2))
+    pixels = spark.range(48).selectExpr("7L AS frame_no", "cast(id % 8 AS int) AS x", "cast(id div 8 AS int) AS y", "id / 47.0D AS value", "'extra' AS note")
+    row = compile_job(spark, job, lambda *_: pixels)["out.bmp"].first()
+    back = images.read_bmp(bytes(row.data))
+    assert back.shape == (2, 4, 3) and set(back.ravel().tolist()) <= {0, 85, 170, 255}
+    pointwise = compile_job(spark, parse_convert("a -colors 9 -dither ordered -colors 5 -strip @null", (8, 6)), lambda *_: pixels)["@null"]
+    plan = pointwise._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Project") <= 2
 
 
 def test_pixels_are_converted_there_and_back(spark):
@@ -90,11 +196,15 @@ def test_pixels_are_converted_there_and_back(spark):
 
 
 def test_a_conversion_is_inserted_when_the_job_is_compiled(spark):
+    from framelake.sources import images
+
     pixels = spark.createDataFrame([(0, 0, 0, "gray8", [7])], "frame_no long, x int, y int, pixel_format string, stored array<int>")
     spec = Job.from_json(json.dumps({"@out": {"video": [{"codec": "bmp", "from": "x"}]}}))
     row = compile_job(spark, spec, lambda *_: pixels, {"x": "gray8"})["@out"].first()
-    assert (row.codec_id, row.pixel_format, row.stored) == ("bmp", "rgb24", [7, 7, 7])
-    assert compile_job(spark, spec, lambda *_: pixels)["@out"].first().pixel_format == "gray8"
+    assert (row.codec_id, row.pixel_format) == ("bmp", "rgb24")
+    assert images.read_bmp(bytes(row.data)).ravel().tolist() == [7, 7, 7]
+    with pytest.raises(Exception, match="bmp does not take gray8"):
+        compile_job(spark, spec, lambda *_: pixels)["@out"].collect()
 
 
 def test_payloads_by_job(spark):
@@ -114,7 +224,7 @@ def test_every_filter_runs_by_name(spark):
     pixels = spark.range(30).selectExpr("0L AS frame_no", "cast(id % 6 AS int) AS x", "cast(id div 6 AS int) AS y", "cast(id AS double) AS value")
     params = {"resize": {"w": 6, "h": 5, "new_w": 3, "new_h": 2}, "resample": {"source_rate": 100, "target_rate": 50}, "spectrogram": {"width": 64, "hop": 32}}
     for name in set(FILTERS) - {"decode"}:
-        source = pixels if name in ("blur", "edge", "resize", "morphology") else samples
+        source = pixels if name in ("blur", "edge", "resize", "morphology", "quantize", "strip", "pixels") else samples
         spec = Job.from_json(json.dumps({"@out": {"all": [{"filter": name, "params": params.get(name, {}), "input": {"from": "x"}}]}}))
         assert compile_job(spark, spec, lambda *_, s=source: s)["@out"].count() > 0, name
     bad = Job.from_json(json.dumps({"@out": {"all": [{"filter": "echo", "params": {"dleay": 3}, "input": {"from": "x"}}]}}))
