@@ -9,6 +9,7 @@ from .. import tables
 from ..operators import blocked
 from ..operators import timeline as op
 from ..operators.streams import number
+from ..streaming import stateful
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -181,3 +182,14 @@ def event_merge(spark, sf_dir):
     """Driver events before terminal ones, each in its own order."""
     e = tables.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')").select("user_id", F.when(F.col("event_type") == "click", 0).otherwise(1).alias("origin"), "event_id")
     return e.withColumn("seq", F.row_number().over(Window.partitionBy("user_id", "origin").orderBy("event_id")).cast("long"))
+
+
+@query("""
+WITH m AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'opened' WHEN 'error' THEN 'finished' ELSE 'frame' END AS kind FROM events),
+s AS (SELECT user_id, min(ts) FILTER (kind = 'opened') AS opened, min(ts) FILTER (kind = 'started') AS started, arg_min(kind, (ts, event_id)) FILTER (kind <> 'opened') AS first FROM m GROUP BY 1)
+SELECT user_id, CASE WHEN started IS NULL THEN 'never started' WHEN first = 'finished' THEN 'finished early' WHEN first <> 'started' THEN 'out of order' WHEN epoch_us(started) - epoch_us(opened) > 30000000 THEN 'late' END AS fault FROM s""")
+def session_starts(spark, sf_dir):
+    """Every user's messages as a session: is its first one the start, and in time?"""
+    e = tables.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "view", "opened").when(F.col("event_type") == "error", "finished").otherwise("frame")
+    return stateful.start_faults(e.withColumn("kind", kind), "user_id", "ts", "event_id", "kind")
