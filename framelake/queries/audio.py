@@ -97,16 +97,15 @@ def generic_downsize(spark, sf_dir):
 
 
 @query("""
-SELECT src, dev, surround, hp, policy, CASE WHEN policy = 'forbid' OR src = dev THEN 'pass' WHEN policy NOT IN ('auto', 'forbid') THEN policy
+SELECT p_partkey, CASE WHEN policy = 'forbid' OR src = dev THEN 'pass' WHEN policy NOT IN ('auto', 'forbid') THEN policy
   WHEN dev = 2 AND surround THEN CASE WHEN hp = 'yes' THEN 'binaural' ELSE 'loro' END ELSE 'average' END AS routing
-FROM (SELECT unnest([1, 2, 4, 5, 6, 8])::INT AS src) a, (SELECT unnest([1, 2, 6])::INT AS dev) b, (SELECT unnest([true, false]) AS surround) c,
-  (SELECT unnest(['yes', 'no', 'unknown']) AS hp) d, (SELECT unnest(['auto', 'forbid', 'ltrt', 'average']) AS policy) e""")
+FROM (SELECT p_partkey, p_size % 8 + 1 AS src, [1, 2, 6][p_partkey % 3 + 1] AS dev, p_partkey % 2 = 0 AS surround, ['yes', 'no', 'unknown'][p_size % 3 + 1] AS hp, ['auto', 'forbid', 'ltrt', 'average', 'auto'][p_partkey % 5 + 1] AS policy FROM part)""")
 def route_decision(spark, sf_dir):
-    """The decision table over all small inputs."""
-    one = spark.range(1)
-    for name, values in (("src", (1, 2, 4, 5, 6, 8)), ("dev", (1, 2, 6)), ("surround", (True, False)), ("hp", ("yes", "no", "unknown")), ("policy", ("auto", "forbid", "ltrt", "average"))):
-        one = one.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return one.drop("id").withColumn("routing", audio.routing(F.col("src"), F.col("dev"), F.col("surround"), F.col("hp"), F.col("policy")))
+    """Every part as a device, a source and a policy: how its channels go."""
+    p = tables.table(spark, sf_dir, "part")
+    pick = lambda by, *values: F.get(F.array(*map(F.lit, values)), (F.col(by) % len(values)).cast("int"))
+    dev, hp, policy = pick("p_partkey", 1, 2, 6), pick("p_size", "yes", "no", "unknown"), pick("p_partkey", "auto", "forbid", "ltrt", "average", "auto")
+    return p.select("p_partkey", audio.routing(F.col("p_size") % 8 + 1, dev, F.col("p_partkey") % 2 == 0, hp, policy).alias("routing"))
 
 
 @query(f"""

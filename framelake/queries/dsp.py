@@ -105,3 +105,16 @@ def echo_blocks(spark, sf_dir):
     """A delay line of seven samples with feedback."""
     out = filters.echo(_samples(spark, sf_dir), "stream_key", "ordinal", 7, 0.4, 0.6, WIDTH)
     return out.select(F.col("ordinal").alias("event_id"), F.round("value", 4).alias("value"))
+
+
+@query("""
+WITH e AS (SELECT event_type AS k, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events),
+o AS (SELECT p, j, j - p / 4.0 AS o FROM range(0, 4) a(p), range(-11, 13) b(j)),
+w AS (SELECT p, j, CASE WHEN o = 0 THEN 1 ELSE sin(pi() * o) / (pi() * o) * cos(pi() * o / 26) * cos(pi() * o / 26) END AS w FROM o),
+t AS (SELECT p, j, w / sum(w) OVER (PARTITION BY p) AS w FROM w),
+y AS (SELECT e.k, e.n, t.p, sum(t.w * coalesce(f.x, 0)) AS y FROM e CROSS JOIN t LEFT JOIN e f ON f.k = e.k AND f.n = e.n + t.j GROUP BY 1, 2, 3)
+SELECT y.k AS stream_key, y.n // 256 AS block, round(max(abs(y)), 4) AS true_peak, round(max(abs(e.x)), 4) AS sample_peak FROM y JOIN e USING (k, n) GROUP BY 1, 2""")
+def true_peak_meter(spark, sf_dir):
+    """The highest level between samples in blocks of 256, by fourfold oversampling."""
+    found = filters.true_peaks(_samples(spark, sf_dir), "stream_key", "ordinal", 256)
+    return found.select("stream_key", "block", F.round("true_peak", 4).alias("true_peak"), F.round("sample_peak", 4).alias("sample_peak"))

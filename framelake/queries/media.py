@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import audio, digest, mesh, pixel, text, timebase
-from ..operators import blocked, filters, metrics, registry, streams, timeline
+from ..operators import blocked, filters, metrics, registry, skeleton, streams, timeline
 from ..sources import codecs, datasource, generate, meshes, subtitles, transport
 from .registrar import registrar
 
@@ -135,22 +135,22 @@ def interleaved_planes(spark, sf_dir):
 SELECT kind, n, round(CASE kind WHEN 'sine' THEN sin(2 * pi() * 440 * t) WHEN 'chirp' THEN sin(2 * pi() * t * (440 + 200 * t)) WHEN 'ringmod' THEN sin(2 * pi() * 440 * t) * sin(2 * pi() * 30 * t)
   WHEN 'tremolo' THEN sin(2 * pi() * 440 * t) * (1 - 0.25 * (1 + sin(2 * pi() * 5 * t))) WHEN 'dtmf' THEN 0.5 * sin(2 * pi() * 770 * t) + 0.5 * sin(2 * pi() * 1336 * t)
   WHEN 'multitone' THEN (sin(2 * pi() * 220 * t) + sin(2 * pi() * 440 * t) + sin(2 * pi() * 660 * t)) / 3 WHEN 'impulse' THEN CASE WHEN n % 100 = 0 THEN 1 ELSE 0 END ELSE 0.5 END, 5) AS value
-FROM (SELECT n, n / 8000.0 AS t, unnest(['sine', 'chirp', 'ringmod', 'tremolo', 'dtmf', 'multitone', 'impulse', 'dc']) AS kind FROM range(0, 4000) r(n))""")
+FROM (SELECT event_id AS n, event_id / 8000.0 AS t, unnest(['sine', 'chirp', 'ringmod', 'tremolo', 'dtmf', 'multitone', 'impulse', 'dc']) AS kind FROM events)""")
 def generated_audio(spark, sf_dir):
-    """Eight generators of half a second each."""
+    """Eight generators at the sample of every event."""
     kinds = ("sine", "chirp", "ringmod", "tremolo", "dtmf", "multitone", "impulse", "dc")
-    out = None
-    for kind in kinds:
-        rows = generate.open_generator(spark, f"generate://audio/{kind}?samples=4000&rate=8000").select(F.lit(kind).alias("kind"), "n", F.round(F.col("value").cast("double"), 5).alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    n = F.col("n")
+    values = (F.struct(F.lit(kind).alias("kind"), generate.audio_value(kind, n / 8000.0, n, {}).cast("double").alias("value")) for kind in kinds)
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("n"))
+    return e.select("n", F.explode(F.array(*values)).alias("g")).select("g.kind", "n", F.round("g.value", 5).alias("value"))
 
 
-@query("SELECT f AS frame_no, x, y, round(((x + 2 * f) % 32) / 31.0, 6) AS value FROM range(0, 5) a(f), range(0, 32) b(x), range(0, 24) c(y)")
+@query("SELECT vec_id AS frame_no, x, y, round(((x + 2 * vec_id) % 16) / 15.0, 6) AS value FROM embeddings, range(0, 16) b(x), range(0, 12) c(y)")
 def generated_video(spark, sf_dir):
-    """A gradient that moves by two pixels a frame."""
-    rows = generate.open_generator(spark, "generate://video/gradient?w=32&h=24&frames=5&speed=2")
-    return rows.select("frame_no", "x", "y", F.round("value", 6).alias("value"))
+    """A gradient that moves by two pixels a frame, as long as there are vectors."""
+    pixels = tables.vectors(spark, sf_dir).select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(191))).alias("i"))
+    pixels = pixels.select("frame_no", (F.col("i") % 16).cast("long").alias("x"), F.floor(F.col("i") / 16).alias("y"))
+    return pixels.select("frame_no", "x", "y", F.round(generate.image_value("gradient", F.pmod(F.col("x") + 2 * F.col("frame_no"), F.lit(16)), F.col("y"), 16, 12, {}), 6).alias("value"))
 
 
 @query("""
@@ -359,6 +359,33 @@ def mesh_normals(spark, sf_dir):
     return out.select("uri", F.col("vtx").cast("int").alias("vtx"), *(F.round(c, 4).alias(c) for c in ("nx", "ny", "nz")))
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT vec_id, j, CASE WHEN j > 0 THEN (j - 1) // 2 END AS parent, embedding[j + 1]::DOUBLE AS a, embedding[j + 9]::DOUBLE AS tx, embedding[j + 17]::DOUBLE AS ty FROM embeddings, range(0, 8) r(j)),
+w AS (SELECT vec_id, j, a, tx, ty FROM n WHERE parent IS NULL UNION ALL SELECT n.vec_id, n.j, w.a + n.a, w.tx + cos(w.a) * n.tx - sin(w.a) * n.ty, w.ty + sin(w.a) * n.tx + cos(w.a) * n.ty FROM w JOIN n ON n.vec_id = w.vec_id AND n.parent = w.j),
+v AS (SELECT vec_id, i, embedding[25 + 3 * i]::DOUBLE AS x, embedding[26 + 3 * i]::DOUBLE AS y, embedding[27 + 3 * i]::DOUBLE AS z, abs(embedding[i + 1]::DOUBLE) AS w1, greatest(embedding[i + 2]::DOUBLE, 0) AS w2 FROM embeddings, range(0, 13) r(i)),
+f AS (SELECT vec_id, i, x, y, z, i % 8 AS j, w1 / (w1 + w2) AS k FROM v UNION ALL SELECT vec_id, i, x, y, z, (i + 3) % 8, w2 / (w1 + w2) FROM v)
+SELECT vec_id, i AS vtx, round(sum(k * (cos(a) * (x - 0.1 * f.j) - sin(a) * y + tx)), 5) AS x, round(sum(k * (sin(a) * (x - 0.1 * f.j) + cos(a) * y + ty)), 5) AS y, round(sum(k * z), 5) AS z FROM f JOIN w USING (vec_id, j) GROUP BY 1, 2""")
+def skinned_vertices(spark, sf_dir):
+    """Thirteen vertices a mesh, each moved by two of eight joints of a tree; weights below zero count as none."""
+    v = tables.vectors(spark, sf_dir).select(F.col("frame_no").alias("vec_id"), "samples")
+    e = lambda i: F.get("samples", i)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    j = F.col("node")
+    nodes = v.select("vec_id", "samples", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("node"))
+    c, s = F.cos(e(j)), F.sin(e(j))
+    matrix = F.array(c, s, zero, zero, -s, c, zero, zero, zero, zero, one, zero, e(j + 8), e(j + 16), zero, one)
+    inverse = F.array(*(F.lit(x) for x in skeleton.IDENTITY[:12]), j * -0.1, zero, zero, one)
+    nodes = nodes.select("vec_id", "node", F.when(j > 0, F.floor((j - 1) / 2).cast("int")).alias("parent"), matrix.alias("matrix"), inverse.alias("inverse"))
+    joints = skeleton.world_matrices(nodes, "vec_id", rounds=2).join(nodes.select("vec_id", "node", "inverse"), ["vec_id", "node"])
+    i = F.col("vtx")
+    points = v.select("vec_id", "samples", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("vtx"))
+    pairs = F.explode(F.array(F.struct((i % 8).alias("joint"), F.abs(e(i)).alias("weight")), F.struct(((i + 3) % 8).alias("joint"), e(i + 1).alias("weight"))))
+    influences = points.select("vec_id", "vtx", pairs.alias("p")).select("vec_id", "vtx", "p.*")
+    vertices = points.select("vec_id", "vtx", *(e(i * 3 + 24 + k).alias(c) for k, c in enumerate("xyz")))
+    moved = skeleton.skinned(vertices, influences, joints, "vec_id", "vtx")
+    return moved.select("vec_id", F.col("vtx").cast("long").alias("vtx"), *(F.round(c, 5).alias(c) for c in "xyz"))
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 1 END / 100.0 AS metres, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 7 END AS weight FROM part""")
 def scene_units(spark, sf_dir):

@@ -107,11 +107,11 @@ def morph_and_uv(spark, sf_dir):
     return t.select("vec_id", "i", F.round(F.get("m", 0), 5).alias("mx"), F.round(F.get("m", 1), 5).alias("my"), F.round("t.u", 5).alias("u"), F.round("t.v", 5).alias("v"))
 
 
-@query("""
-SELECT id // 64 AS y, id % 64 AS x, CASE WHEN id % 64 < 0 THEN 0 ELSE round((id % 64) / 63.0, 6) END AS gradient, (((id % 64) // 8 + (id // 64) // 8) % 2)::DOUBLE AS pattern FROM range(0, 3072) r(id)""")
+@query("SELECT l_orderkey, l_linenumber, round((l_partkey % 64) / 63.0, 6) AS gradient, (((l_partkey % 64) // 8 + (l_suppkey % 48) // 8) % 2)::DOUBLE AS pattern FROM lineitem")
 def generated_pictures(spark, sf_dir):
+    """Two generators at the pixel of every line."""
     from ..sources import generate
 
-    a = generate.image(spark, "gradient", 64, 48).withColumnRenamed("value", "gradient")
-    b = generate.image_value("pattern", F.col("x"), F.col("y"), 64, 48, {})
-    return a.select("y", "x", F.round("gradient", 6).alias("gradient"), b.alias("pattern"))
+    x, y = F.col("l_partkey") % 64, F.col("l_suppkey") % 48
+    gradient, pattern = (generate.image_value(kind, x, y, 64, 48, {}) for kind in ("gradient", "pattern"))
+    return tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(gradient, 6).alias("gradient"), pattern.alias("pattern"))
