@@ -67,6 +67,13 @@ def probe_bytes(data: bytes, extension: str | None = None) -> str:
     return max(scored, default=(1, False, "text"))[2]
 
 
+def format_of(path: Column) -> Column:
+    """format_for_path() of a column, null where that is an error."""
+    known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    last = F.element_at(F.split(F.get(F.split(F.element_at(F.split(path, "/"), -1), r"\?"), 0), r"\."), -1)
+    return F.when(F.get(F.split(F.element_at(F.split(path, "/"), -1), r"\?"), 0).contains("."), F.try_element_at(known, F.lower(last)))
+
+
 def format_for_path(path: str) -> str:
     """The writer of a path's extension."""
     last = path.split("/")[-1].split("?")[0]

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from urllib.parse import unquote, unquote_to_bytes
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import generate
@@ -76,6 +76,35 @@ READERS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
 }
 
 
+#: Slices of one address, one inside another.
+SLICE = r"slice:(\d+)\+(\d+)!"
+
+
+def data_bytes(uri: Column) -> Column:
+    """The bytes of a data: address, base64 or percent-encoded; null for any other."""
+    head, body = F.regexp_extract(uri, r"^data:([^,]*),", 1), F.regexp_replace(uri, r"^data:[^,]*,", "")
+    plain = F.url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))
+    return F.when(uri.rlike(r"(?s)^data:[^,]*,"), F.when(F.endswith(head, F.lit(";base64")), F.unbase64(F.url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))))).otherwise(plain.cast("binary")))
+
+
+def resolved(addresses: DataFrame, uri: str = "uri") -> DataFrame:
+    """addresses with data: what each row's data:, slice: or concat: address holds, as column expressions.
+
+    Slices may stand inside slices, and in the parts of a concat; a part of another
+    scheme, or none, makes the whole null.
+    """
+    outer = F.col(uri)
+    parts = F.when(F.startswith(outer, F.lit("concat:")), F.split(F.substring(outer, 8, F.lit(1 << 30)), r"\|")).otherwise(F.array(outer))
+
+    def one(part: Column) -> Column:
+        cuts = F.reverse(F.regexp_extract_all(F.regexp_extract(part, f"^((?:{SLICE.replace('(', '(?:')})*)", 1), F.lit(r"slice:(\d+\+\d+)!"), F.lit(1)))
+        inner = data_bytes(F.regexp_replace(part, f"^(?:{SLICE.replace('(', '(?:')})*", ""))
+        number = lambda cut, i: F.get(F.split(cut, r"\+"), i).cast("int")
+        return F.aggregate(cuts, inner, lambda data, cut: F.substring(data, number(cut, 0) + 1, number(cut, 1)))
+
+    return addresses.withColumn("data", F.aggregate(F.transform(parts, one), F.lit(b""), lambda a, x: F.concat(a, x)))
+
+
 def scheme_of(uri: str) -> str:
     m = re.match(r"([a-z][a-z0-9+.-]*):", uri)
     return m[1] if m else "file"

@@ -57,3 +57,24 @@ def test_correlation_of_constant_and_short_windows(spark):
     assert [r.two for r in found] == [None, None, None, None, None, pytest.approx(1.0)]
     assert [r.three for r in found][:5] == [None, None, None, pytest.approx(0.5), None]
     assert found[5].three == pytest.approx(3**0.5 / 2)
+
+
+def test_cheapest_paths(spark):
+    """Against a plain search over random relations, with ties, two parts and loops."""
+    import random
+
+    from framelake.operators import paths
+
+    rng = random.Random(1)
+    edges = [(a, b, rng.randint(1, 9)) for a in "abcdefg" for b in "abcdefg" if rng.random() < 0.3] + [("x", "y", 2), ("y", "x", 2), ("x", "x", 1), ("x", "y", 5)]
+    best = {(n, n): (0, 1, [n]) for a, b, _ in edges if a != b for n in (a, b)}
+    changed = True
+    while changed:
+        changed = False
+        for (a, b), (cost, _, path) in list(best.items()):
+            for c, d, more in edges:
+                found = (cost + more, len(path) + 1, [*path, d])
+                if c == b and d not in path and found < best.get((a, d), (10**9,)):
+                    best[a, d], changed = found, True
+    got = {(r.a, r.b): (r.cost, len(r.path), r.path) for r in paths.cheapest_paths(spark.createDataFrame(edges, "a string, b string, cost long"), 3).collect()}
+    assert got == best

@@ -1,5 +1,6 @@
 """Containers, addresses, subtitles and generators."""
 
+import base64
 import struct
 
 import numpy as np
@@ -178,3 +179,30 @@ def test_tags(spark):
     assert tags.vorbis_comments(block) == [("title", "a"), ("k", "b")]
     rows = tags.tags(spark.createDataFrame([("a", bytearray(two)), ("b", bytearray(one)), ("c", None)], "uri string, data binary")).collect()
     assert [(r.uri, r.ord, r.k) for r in rows][:4] == [("a", 0, "title"), ("a", 1, "artist"), ("a", 2, "comment"), ("b", 0, "title")]
+
+
+def test_addresses_of_a_column(spark):
+    """Rows give what open_uri() gives one by one, and null where that is an error."""
+
+    b64 = base64.b64encode(bytes(range(60))).decode()
+    good = [f"data:;base64,{b64}", "data:text/plain,a+b%20c%2Bd", "data:,", f"slice:3+10!data:x;base64,{b64}", f"slice:2+3!slice:10+20!data:;base64,{b64}", f"slice:50+99!data:;base64,{b64}", f"concat:data:,x|slice:1+2!data:;base64,{b64}|data:,y", "data:,line%0Abreak"]
+    bad = ["mem://x", "slice:1!data:,abc", "concat:data:,x|http://y", "", None]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "i int, uri string")
+    got = {r.i: None if r.data is None else bytes(r.data) for r in uri.resolved(rows).collect()}
+    for i, u in enumerate(good):
+        assert got[i] == bytes(uri.open_uri(spark, u).first().data), u
+    assert [got[len(good) + i] for i in range(len(bad))] == [None] * len(bad)
+
+
+def test_formats_of_a_column(spark):
+
+    paths = ["a.wav", "x/y.b/c.PPM?d.wav", "none", "dir.wav/none", "a.xyz", None, "", ".srt"]
+    got = [r.f for r in spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", formats.format_of(F.col("p")).alias("f")).orderBy("i").collect()]
+
+    def one(path):
+        try:
+            return formats.format_for_path(path) if path is not None else None
+        except formats.FormatNotFound:
+            return None
+
+    assert got == [one(p) for p in paths] and got[:2] == ["wav", "pnm"]
