@@ -446,3 +446,36 @@ def subtitle_lines(spark, sf_dir):
         rows = rows.withColumn("kind", F.lit(kind))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_PAIRS = ("srt_to_webvtt", "webvtt_to_srt", "srt_to_ass", "webvtt_to_ass", "ass_to_srt", "ass_to_webvtt")
+
+
+@query(f"""
+WITH {_CUES} SELECT k AS kind, uri, cue_no, cue_no * 4000000 AS start_us, cue_no * 4000000 + 2000000 AS end_us, line || chr(10) || 'and "more", <' || role || '>' AS text FROM (SELECT c.*, role FROM c JOIN conversations v ON v.conv_id = c.conv_id AND v.turn = c.turn), (SELECT unnest(['subviewer', 'ttml', 'aqtitle', 'pjs', 'microdvd', 'mpl2']) AS k)""")
+def subtitle_formats(spark, sf_dir):
+    """Cues of two lines written in six more formats and read again."""
+    c = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("uri"), F.col("turn"), F.col("role"))
+    number = F.row_number().over(Window.partitionBy("uri").orderBy("turn")).cast("long")
+    roles = c.select("uri", number.alias("cue_no"), "role")
+    rows = _cues(spark, sf_dir).join(roles, ["uri", "cue_no"])
+    text = F.concat("line", F.lit('\nand "more", <'), "role", F.lit(">"))
+    rows = rows.select("uri", "cue_no", (F.col("cue_no") * 4_000_000).alias("start_us"), (F.col("cue_no") * 4_000_000 + 2_000_000).alias("end_us"), text.alias("text"))
+    out = None
+    for kind in ("subviewer", "ttml", "aqtitle", "pjs", "microdvd", "mpl2"):
+        back = subtitles.PARSERS[kind](subtitles.write_cues(rows, kind)).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(f"""
+WITH {_CUES} SELECT k AS pair, uri, cue_no, cue_no * 3500000 AS start_us, cue_no * 3500000 + 1250000 AS end_us, '<i>' || line || '</i>' || chr(10) || 'and, <b>more</b>' AS text FROM c, (SELECT unnest([{", ".join(f"'{p}'" for p in _PAIRS)}]) AS k)""")
+def subtitle_pairs(spark, sf_dir):
+    """Six conversions between three formats, markup and line breaks kept."""
+    rows = _cues(spark, sf_dir).select("uri", "cue_no", (F.col("cue_no") * 3_500_000).alias("start_us"), (F.col("cue_no") * 3_500_000 + 1_250_000).alias("end_us"), F.concat(F.lit("<i>"), "line", F.lit("</i>\nand, <b>more</b>")).alias("text"))
+    names, out = {"srt": "subrip", "webvtt": "webvtt", "ass": "ass"}, None
+    for pair in _PAIRS:
+        source, target = (names[n] for n in pair.split("_to_"))
+        back = subtitles.PARSERS[target](subtitles.converted(subtitles.write_cues(rows, source), source, target)).withColumn("pair", F.lit(pair))
+        out = back if out is None else out.unionByName(back)
+    return out

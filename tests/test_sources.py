@@ -206,3 +206,40 @@ def test_formats_of_a_column(spark):
             return None
 
     assert got == [one(p) for p in paths] and got[:2] == ["wav", "pnm"]
+
+
+def test_ass_files(spark):
+    """Columns in the order that a file names, commas and codes in texts, other lines ignored."""
+    text = """\ufeff[Script Info]\r
+Title: Dialogue: none\r
+[V4+ Styles]
+Format: Name, Fontname
+Style: Default,Sans
+[Events]
+Format: Start, End, Layer, Text
+Comment: 0:00:00.00,0:00:01.00,0,not shown
+Dialogue: 0:00:01.50,1:02:03.04,0,one, {\\i1}two{\\i0}\\Nthree{\\pos(1,2)} {\\b1}four{\\b}
+Dialogue: x,0:00:03.00,0,bad time
+Dialogue: 0:00:05.00,0:00:06.00,0,
+"""
+    bare = "[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,a, b"
+    got = [tuple(r) for r in subtitles.parse_ass(spark.createDataFrame([("u", text), ("v", bare), ("w", ""), ("x", None)], "uri string, text string")).orderBy("uri", "cue_no").collect()]
+    assert got == [("u", 1, 1_500_000, 3_723_040_000, "one, <i>two</i>\nthree <b>four</b>"), ("u", 2, 5_000_000, 6_000_000, ""), ("v", 1, 1_000_000, 2_000_000, "a, b")]
+
+
+@pytest.mark.parametrize("kind", ["subrip", "webvtt", "ass", "pjs", "microdvd", "mpl2", "aqtitle", "subviewer", "ttml"])
+def test_every_writer_is_read_back(spark, kind):
+    rows = [("u", 1, 0, 1_000_000, "first"), ("u", 2, 3_600_000_000, 3_601_000_000, "two\nlines, with <commas> & marks" if kind == "ttml" else "two\nlines, with commas"), ("v", 1, 5_000_000, 7_000_000, "<i>x</i>" if kind in ("subrip", "webvtt", "ass") else "x")]
+    cues = spark.createDataFrame(rows, "uri string, cue_no long, start_us long, end_us long, text string")
+    back = subtitles.PARSERS[kind](subtitles.write_cues(cues, kind))
+    assert sorted(map(tuple, back.collect())) == rows
+    with pytest.raises(ValueError):
+        subtitles.write_cues(cues, "sami")
+
+
+def test_timed_text_times_and_marks(spark):
+    text = """<tt><body><p begin="1.5s" end='2500ms' xml:id="a"><span tts:color="red">a</span><br/>b &amp;lt; c</p><p begin="00:00:03.25" end="00:00:04">d</p><p begin="x" end="1s">e</p><p>never closed"""
+    got = [tuple(r)[1:] for r in subtitles.parse_ttml(spark.createDataFrame([("u", text)], "uri string, text string")).orderBy("cue_no").collect()]
+    assert got == [(1, 1_500_000, 2_500_000, "a\nb &lt; c"), (2, 3_250_000, 4_000_000, "d")]
+    aq = "-->> 25\nline one\nline two\n\n-->> 50\n\n-->> 100\nlast"
+    assert [tuple(r)[1:] for r in subtitles.parse_aqtitle(spark.createDataFrame([("u", aq)], "uri string, text string")).orderBy("cue_no").collect()] == [(1, 1_000_000, 2_000_000, "line one\nline two"), (2, 4_000_000, 8_000_000, "last")]
