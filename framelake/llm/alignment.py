@@ -39,7 +39,7 @@ MOST_PAIRS, TASK_PAIRS, MOST_LINKS = 1 << 21, 1 << 21, 1 << 20
 #: A group of more links is counted by distinct ids.
 WIDE_GROUP = 1 << 14
 LETTERS = np.frombuffer(b"nabc", np.uint8)
-_SPAN = re.compile(rb"[nab]*c")
+_SPAN = re.compile(rb"[ab]*c")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -50,6 +50,21 @@ def byte_level_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+class Spelling:
+    """The bytes of every id of a vocabulary, end to end."""
+
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(x) for x in entries], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the ids, where each id ends)."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.data[np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)], ends
+
+
 class Encoders:
     """Both tokenizers, with the bytes of every id.
 
@@ -75,31 +90,65 @@ class Encoders:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path or public_tokenizers.path("piece_bpe_32k.model"))
         value = byte_level_table()
         spelt = [self.slow.id_to_token(i) or "" for i in range(self.slow.get_vocab_size())]
-        self.a_bytes = [bytes(value[c] for c in t) if all(c in value for c in t) else t.encode() for t in spelt]
+        a_bytes = [bytes(value[c] for c in t) if all(c in value for c in t) else t.encode() for t in spelt]
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
-        self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in names]
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
-
-    def encode(self, text: str) -> tuple[list[int], list[int], int] | None:
-        """(ids of A, ids of B, bytes), or None where a side does not spell space + text."""
+        b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in names]
+        self.a, self.b = Spelling(a_bytes), Spelling(b_bytes)
+        # ids as text, with what follows them inside a group and at its end
+        self.a_names, self.b_names = (np.array([f"{i}{c}" for i in range(len(table)) for c in f",{end}"], object) for table, end in ((a_bytes, "|"), (b_bytes, ";")))
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        """Entries of both vocabularies."""
+        return len(self.a.sizes), len(self.b.sizes)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(ids of A, where each ends, ids of B, where each ends), or None where a side does not spell space + text."""
         if not text:
             return None
         spaced = f" {text}"
-        a = self.slow.encode(spaced, add_special_tokens=False).ids if self.fast is None or self.unusual.search(text) else self.fast.encode_ordinary(spaced)
-        b, want = self.pieces.encode(text), spaced.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
-            return None
-        return a, b, len(want)
+        if self.fast is None or self.unusual.search(text):
+            a = np.array(self.slow.encode(spaced, add_special_tokens=False).ids, np.int64)
+        else:
+            a = np.array(self.fast.encode_ordinary(spaced), np.int64)
+        b, want = np.array(self.pieces.encode(text), np.int64), np.frombuffer(spaced.encode(), np.uint8)
+        (a_spelt, a_ends), (b_spelt, b_ends) = self.a.of(a), self.b.of(b)
+        return (a, a_ends, b, b_ends) if np.array_equal(a_spelt, want) and np.array_equal(b_spelt, want) else None
+
 
+class _Counts(dict):
+    """Tokens of A and of B of a span by its labels, as one number."""
 
-def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[list[int], list[int]]:
-    """Tokens of A and of B in each group, from the label string of a text of ``size`` bytes."""
-    labels = np.zeros(size, np.uint8)
+    def __missing__(self, span: bytes) -> int:
+        out = (span.count(b"a") + 1 << 32) + span.count(b"b") + 1
+        if len(span) < 16:
+            self[span] = out
+        return out
+
+
+_COUNTS = _Counts()
+
+
+def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and of B in each group, from the label string of a text; both end with its last byte."""
+    labels = np.zeros(a_ends[-1], np.uint8)
     labels[a_ends - 1] = 1
     labels[b_ends - 1] += 2
-    spans = _SPAN.findall(LETTERS[labels].tobytes())
-    return [s.count(b"a") + 1 for s in spans], [s.count(b"b") + 1 for s in spans]
+    ends = LETTERS[labels].tobytes().translate(None, b"n")  # where no token ends nothing is counted
+    sizes = np.fromiter(map(_COUNTS.__getitem__, _SPAN.findall(ends)), np.int64)
+    return sizes >> 32, sizes & 0xFFFFFFFF
+
+
+def shown_groups(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, e: Encoders) -> str:
+    """a1,a2|b1;a3|b2,b3: every id stands behind those of earlier groups and, for B, behind its group's ids of A."""
+    a_ends, b_ends = np.cumsum(na), np.cumsum(nb)
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[a_ends - 1] = 1
+    last_b[b_ends - 1] = 1
+    out = np.empty(len(a) + len(b), object)
+    out[np.arange(len(a)) + np.repeat(b_ends - nb, na)] = e.a_names[2 * a + last_a]
+    out[np.arange(len(b)) + np.repeat(a_ends, nb)] = e.b_names[2 * b + last_b]
+    return "".join(out.tolist())[:-1]
 
 
 def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +206,12 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", a_path: st
                 if found is None:
                     rows.append((uid, 0, 0, 0, 0, "", b"", b"", b""))
                 else:
-                    a, b, size = found
-                    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-                    in_a, in_b = group_sizes(np.cumsum(e.a_sizes[ids_a]), np.cumsum(e.b_sizes[ids_b]), size)
-                    na, nb = np.array(in_a, np.int64), np.array(in_b, np.int64)
-                    codes, times = linked_pairs(ids_a, ids_b, na, nb, len(e.b_bytes))
+                    a, a_ends, b, b_ends = found
+                    na, nb = group_sizes(a_ends, b_ends)
+                    codes, times = linked_pairs(a, b, na, nb, e.sizes[1])
                     more = np.flatnonzero(times > 1)
-                    left, right = iter([e.a_names[i] for i in a]), iter([e.b_names[i] for i in b])
-                    shown = ";".join([",".join([next(left) for _ in range(m)]) + "|" + ",".join([next(right) for _ in range(n)]) for m, n in zip(in_a, in_b)])
-                    digest = hashlib.sha256(shown.encode()).hexdigest()
-                    rows.append((uid, len(a), len(b), len(in_a), int(na @ nb), digest, codes.astype("<i8" if len(e.a_bytes) * len(e.b_bytes) >> 32 else "<u4").tobytes(), more.astype("<u4").tobytes(), (times[more] - 1).astype("<u8").tobytes()))
+                    digest = hashlib.sha256(shown_groups(a, b, na, nb, e).encode()).hexdigest()
+                    rows.append((uid, len(a), len(b), len(na), int(na @ nb), digest, codes.astype("<i8" if e.sizes[0] * e.sizes[1] >> 32 else "<u4").tobytes(), more.astype("<u4").tobytes(), (times[more] - 1).astype("<u8").tobytes()))
                 uid += 1
             columns = list(zip(*rows)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=schema.names)
@@ -233,11 +278,11 @@ def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", a_path: str | None = None, b_path: str | None = None, ranks_path: str | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum long, groups_sha256) of every row."""
     vocabulary = Encoders(a_path, b_path, ranks_path)
-    width = len(vocabulary.b_bytes)
-    wide = bool(len(vocabulary.a_bytes) * width >> 32)
+    height, width = vocabulary.sizes
+    wide = bool(height * width >> 32)
     rows = cut(aligned(docs, key, text, a_path, b_path, ranks_path))
     counts = cut(pair_counts(rows, wide))
-    best = np.zeros(len(vocabulary.a_bytes), np.int64)
+    best = np.zeros(height, np.int64)
     for a, n in counts.groupBy(F.expr(f"code div {width}")).agg(F.max("n")).collect():  # a row an id of A
         best[a] = n
     # Counts of ``least`` and more are broadcast: all, or those above a power of two.
