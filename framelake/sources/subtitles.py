@@ -97,8 +97,8 @@ Format: """ + ", ".join(_ASS_FIELDS)
 
 def _hundredths(text: Column) -> Column:
     """H:MM:SS.cc in microseconds."""
-    g = lambda i: F.nullif(F.regexp_extract(text, r"^\s*(\d+):(\d{2}):(\d{2})[.:](\d{2})\s*$", i), F.lit("")).cast("long")
-    return ((g(1) * 60 + g(2)) * 60 + g(3)) * 1_000_000 + g(4) * 10_000
+    parts = F.transform(F.split(F.trim(text), "[:.]"), lambda p: p.try_cast("long"))
+    return F.when(F.size(parts) == 4, F.aggregate(F.zip_with(parts, F.array(*map(F.lit, (3_600_000_000, 60_000_000, 1_000_000, 10_000))), lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def plain_markup(text: Column) -> Column:
@@ -123,8 +123,9 @@ def parse_ass(files: DataFrame) -> DataFrame:
     lines = files.select("uri", fields.alias("f"), F.posexplode(F.split(whole, "\n")).alias("n", "line")).where(F.startswith("line", F.lit("Dialogue:")))
     parts = lines.withColumn("p", F.split(F.regexp_replace("line", "^Dialogue: *", ""), ",", F.size("f")))
     cell = lambda name: F.get("p", (F.array_position("f", name) - 1).cast("int"))
-    rows = parts.select("uri", "n", _hundredths(cell("Start")).alias("s"), _hundredths(cell("End")).alias("e"), F.get("p", F.size("f") - 1).alias("t")).where("s IS NOT NULL AND e IS NOT NULL")
-    return _numbered(rows, F.col("s"), F.col("e"), plain_markup(F.col("t")))
+    rows = parts.select("uri", "n", F.filter(F.array(F.struct(_hundredths(cell("Start")).alias("s"), _hundredths(cell("End")).alias("e"))), lambda t: t["s"].isNotNull() & t["e"].isNotNull()).alias("times"), F.get("p", F.size("f") - 1).alias("t"))
+    rows = rows.select("uri", "n", F.explode("times").alias("time"), "t")  # lines of bad times have none
+    return _numbered(rows, F.col("time.s"), F.col("time.e"), plain_markup(F.col("t")))
 
 
 def _clock_hundredths(us: Column, hours: str) -> Column:
@@ -168,10 +169,10 @@ _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&
 
 def _offset(text: Column) -> Column:
     """A clock time or an offset (12.5s, 1200ms) in microseconds."""
-    g = lambda i: F.nullif(F.regexp_extract(text, r"^(\d+):(\d{2}):(\d{2}(?:\.\d+)?)$", i), F.lit(""))
-    clock = (g(1).cast("long") * 60 + g(2).cast("long")) * 60_000_000 + F.round(g(3).cast("double") * 1e6).cast("long")
-    number = F.nullif(F.regexp_extract(text, r"^(\d+(?:\.\d+)?)(?:ms|s)$", 1), F.lit("")).cast("double")
-    return F.coalesce(clock, F.round(number * F.when(F.endswith(text, F.lit("ms")), 1e3).otherwise(1e6)).cast("long"))
+    parts = F.transform(F.split(F.regexp_replace(text, "m?s$", ""), ":"), lambda p: p.try_cast("double"))
+    unit = F.when(F.endswith(text, F.lit("ms")), 1e3).when(F.endswith(text, F.lit("s")), 1e6)
+    seconds = F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x)
+    return F.round(F.when(F.size(parts) == 3, seconds * 1e6).when(F.size(parts) == 1, seconds * unit)).cast("long")
 
 
 def parse_ttml(files: DataFrame) -> DataFrame:
@@ -182,7 +183,9 @@ def parse_ttml(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("p", "^<p[^>]*+>|</p>$", ""), r"<br\s*+/?>", "\n"), "<[^>]*+>", "")
     for entity, char in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return _numbered(rows.select("uri", "n", time("begin").alias("s"), time("end").alias("e"), text.alias("t")).where("s IS NOT NULL AND e IS NOT NULL"), F.col("s"), F.col("e"), F.col("t"))
+    times = F.filter(F.array(F.struct(time("begin").alias("s"), time("end").alias("e"))), lambda t: t["s"].isNotNull() & t["e"].isNotNull())
+    rows = rows.select("uri", "n", F.explode(times).alias("time"), text.alias("t"))  # paragraphs without both times have none
+    return _numbered(rows, F.col("time.s"), F.col("time.e"), F.col("t"))
 
 
 def _escaped(text: Column) -> Column:
