@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import audio, digest, mesh, pixel, text, timebase
-from ..operators import blocked, filters, metrics, registry, skeleton, streams, timeline
+from ..operators import blocked, extras, filters, metrics, registry, skeleton, streams, timeline
 from ..sources import codecs, datasource, generate, meshes, subtitles, transport
 from .registrar import registrar
 
@@ -479,3 +479,35 @@ def subtitle_pairs(spark, sf_dir):
         back = subtitles.PARSERS[target](subtitles.converted(subtitles.write_cues(rows, source), source, target)).withColumn("pair", F.lit(pair))
         out = back if out is None else out.unionByName(back)
     return out
+
+
+_ATTRIBUTES = "a AS (SELECT event_id, 'position' AS attribute FROM events UNION ALL SELECT event_id, 'material' FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'weights' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'extras' FROM events WHERE event_id % 3 = 0)"
+
+
+def _elements(spark, sf_dir):
+    """Events as elements: a number, a text, a list and their properties as side data."""
+    e = tables.table(spark, sf_dir, "events")
+    value = lambda c: F.parse_json(F.to_json(F.struct(c.alias("v"))))
+    when = lambda every, name, c: F.when(F.col("event_id") % every == 0, F.create_map(F.lit(name), c)).otherwise(F.create_map().cast("map<string, variant>"))
+    maps = (when(1, "position", value(F.col("value"))), when(2, "material", value(F.col("event_type"))), when(5, "weights", value(F.array("value", "value"))), when(3, "extras", F.parse_json("props")))
+    return e.select("event_id", F.map_concat(*maps).alias("attributes"))
+
+
+@query(f"""
+WITH {_ATTRIBUTES}, n AS (SELECT attribute, count(*) AS n FROM a GROUP BY 1), s AS (SELECT unnest(['stl', 'obj', 'gltf']) AS sink),
+k AS (SELECT *, sink = 'gltf' OR attribute = 'position' OR sink = 'obj' AND attribute = 'material' AS keeps FROM n, s)
+SELECT sink, attribute, CASE WHEN keeps THEN n ELSE 0 END AS kept, CASE WHEN keeps THEN 0 ELSE n END AS dropped FROM k""")
+def extras_matrix(spark, sf_dir):
+    """What three mesh formats keep and drop of the attributes that elements bring."""
+    return extras.losses(_elements(spark, sf_dir))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (props::JSON->>'$.k')::INT END AS k, CASE WHEN event_id % 2 = 0 THEN event_type END AS material FROM events")
+def extras_kept(spark, sf_dir):
+    """Side data after a format that keeps it, and after one that keeps the material only."""
+    e = _elements(spark, sf_dir)
+    rich, plain = extras.through(e, "gltf"), extras.through(e, "obj")
+    k = F.variant_get(F.try_element_at("attributes", F.lit("extras")), "$.k", "int")
+    material = F.variant_get(F.try_element_at("attributes", F.lit("material")), "$.v", "string")
+    lost = F.try_element_at("attributes", F.lit("extras")).isNull()
+    return rich.select("event_id", k.alias("k")).join(plain.where(lost).select("event_id", material.alias("material")), "event_id")

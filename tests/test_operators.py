@@ -78,3 +78,15 @@ def test_cheapest_paths(spark):
                     best[a, d], changed = found, True
     got = {(r.a, r.b): (r.cost, len(r.path), r.path) for r in paths.cheapest_paths(spark.createDataFrame(edges, "a string, b string, cost long"), 3).collect()}
     assert got == best
+
+
+def test_extras_through_formats(spark):
+    from framelake.operators import extras
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, {"position": "[1,2]", "extras": '{"a": {"b": [1, null]}}'}), (2, {"material": '"red"'}), (3, {}), (4, None)], "id int, a map<string, string>")
+    elements = rows.select("id", F.transform_values("a", lambda _, v: F.parse_json(v)).alias("attributes"))
+    assert {(r.sink, r.attribute): (r.kept, r.dropped) for r in extras.losses(elements, ("stl", "gltf")).collect()} == {("stl", "position"): (1, 0), ("stl", "material"): (0, 1), ("stl", "extras"): (0, 1), ("gltf", "position"): (1, 0), ("gltf", "material"): (1, 0), ("gltf", "extras"): (1, 0)}
+    kept = {r.id: r.j for r in extras.through(elements, "gltf").select("id", F.transform_values("attributes", lambda _, v: F.to_json(v)).alias("j")).collect()}
+    assert kept == {1: {"position": "[1,2]", "extras": '{"a":{"b":[1,null]}}'}, 2: {"material": '"red"'}, 3: {}, 4: None}
+    assert extras.through(elements, "stl").where("id = 1").select(F.map_keys("attributes")).first()[0] == ["position"]
