@@ -139,10 +139,34 @@ def gaussian(sigma: float) -> list[float]:
 EDGE_X, EDGE_Y = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 
 
+def _neighbours(pixels: DataFrame, by: str, reach: int, weights: dict[str, list[list[float]]] | None = None) -> DataFrame:
+    """Every pixel sent to those within ``reach``: (by, x, y, value, here, and a weight column for each kernel)."""
+    steps = range(-reach, reach + 1)
+    taps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), *(F.lit(float(k[dy + reach][dx + reach])).alias(name) for name, k in (weights or {}).items())) for dy in steps for dx in steps))
+    spread = pixels.select(by, "x", "y", "value", F.explode(taps).alias("t"))
+    return spread.select(by, (F.col("x") - F.col("t.dx")).alias("x"), (F.col("y") - F.col("t.dy")).alias("y"), "value", ((F.col("t.dx") == 0) & (F.col("t.dy") == 0)).alias("here"), *(F.col(f"t.{name}").alias(name) for name in weights or {}))
+
+
 def edges(pixels: DataFrame, by: str) -> DataFrame:
-    """Gradient magnitude of two 3 x 3 derivatives."""
-    a, b = convolve(pixels, by, EDGE_X).withColumnRenamed("value", "gx"), convolve(pixels, by, EDGE_Y).withColumnRenamed("value", "gy")
-    return a.join(b, [by, "x", "y"]).select(by, "x", "y", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("value"))
+    """Gradient magnitude of two 3 x 3 derivatives, both from one grouped sum."""
+    sent = _neighbours(pixels, by, 1, {"kx": EDGE_X, "ky": EDGE_Y})
+    sums = sent.groupBy(by, "x", "y").agg(F.sum(F.col("value") * F.col("kx")).alias("gx"), F.sum(F.col("value") * F.col("ky")).alias("gy"), F.bool_or("here").alias("here"))
+    return sums.where("here").select(by, "x", "y", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("value"))
+
+
+def gabor(wavelength: float, theta: float, sigma: float, phase: float = 0.0) -> list[list[float]]:
+    """A wave of one direction under a bell, for convolve(): it answers stripes of this width and slope."""
+    reach = max(1, int(np.ceil(2.5 * sigma)))
+    y, x = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+    along = x * np.cos(theta) + y * np.sin(theta)
+    return (np.exp(-(x * x + y * y) / (2 * sigma * sigma)) * np.cos(2 * np.pi * along / wavelength + phase)).tolist()
+
+
+def niblack(pixels: DataFrame, by: str, reach: int = 1, k: float = -0.2) -> DataFrame:
+    """1 where a pixel exceeds the mean of its neighbourhood by k deviations or more, else 0; edges take the neighbours that exist."""
+    sent = _neighbours(pixels, by, reach)
+    stats = sent.groupBy(by, "x", "y").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.max(F.when(F.col("here"), F.col("value"))).alias("v"), F.bool_or("here").alias("here"))
+    return stats.where("here").select(by, "x", "y", (F.col("v") >= F.col("m") + k * F.col("s")).cast("double").alias("value"))
 
 
 def _cubic(b: float, c: float) -> Callable[[F.Column], F.Column]:
@@ -308,11 +332,9 @@ def true_peaks(samples: DataFrame, by: str, order: str, block: int = 4096, half:
 
 def morphology(pixels: DataFrame, by: str, kind: str, reach: int = 1) -> DataFrame:
     """dilate (maximum) or erode (minimum) over the neighbours within ``reach`` that exist."""
-    steps = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
-    moved = pixels.select(by, "x", "y", "value", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
-    moved = moved.select(by, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "value")
     best = {"dilate": F.max, "erode": F.min}[kind]
-    return moved.groupBy(by, "x", "y").agg(best("value").alias("value")).join(pixels.select(by, "x", "y"), [by, "x", "y"])
+    sums = _neighbours(pixels, by, reach).groupBy(by, "x", "y").agg(best("value").alias("value"), F.bool_or("here").alias("here"))
+    return sums.where("here").select(by, "x", "y", "value")
 
 
 def tone_map(level: F.Column, kind: str = "reinhard", white: float = 4.0) -> F.Column:

@@ -132,6 +132,16 @@ def _blur(frames: DataFrame, params: dict) -> DataFrame:
     return filters.convolve(filters.convolve(frames, PICTURE, [taps]), PICTURE, [[t] for t in taps])
 
 
+@filter_named("gabor")
+def _gabor(frames: DataFrame, params: dict) -> DataFrame:
+    return filters.convolve(frames, PICTURE, filters.gabor(**_numbers(params, wavelength=4.0, theta=0.0, sigma=1.0, phase=0.0)))
+
+
+@filter_named("niblack")
+def _niblack(frames: DataFrame, params: dict) -> DataFrame:
+    return filters.niblack(frames, PICTURE, **_numbers(params, reach=1, k=-0.2))
+
+
 @filter_named("quantize")
 def _quantize(frames: DataFrame, params: dict) -> DataFrame:
     """Values of 0 to 1 in ``colours`` even steps: by rounding, an ordered pattern or diffused errors."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..operators import pictures
+from ..operators import filters, pictures
 from .registrar import registrar
 
 QUERIES: dict = {}
@@ -72,3 +72,21 @@ def octree_colours(spark, sf_dir):
     level = lambda n: (F.floor(F.abs(F.get("samples", F.col("i") * 3 + n)) * 1000) % 256).cast("int")
     mapped = pictures.octree_mapped(v.select("p", *(level(n).alias(c) for n, c in enumerate("rgb"))), "p", 40)
     return mapped.groupBy("p", "slot", *(F.round(c, 4).alias(c) for c in ("pr", "pg", "pb"))).agg(F.count(F.lit(1)).alias("pixels"))
+
+
+_W = "exp(-(dx * dx + dy * dy) / 1.28) * cos(2 * pi() * (dx * cos(0.5) + dy * sin(0.5)) / 3 + 0.25)"
+
+
+@query(f"""
+WITH {_LEVELS}, t AS (SELECT a.d AS dx, b.d AS dy FROM (SELECT d - 2 AS d FROM range(0, 5) r(d)) a, (SELECT d - 2 AS d FROM range(0, 5) r(d)) b), w AS (SELECT dx, dy, {_W} AS w FROM t)
+SELECT a.vec_id AS frame_no, a.x, a.y, round(sum(b.k * w), 3) AS value FROM g a JOIN g b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 JOIN w ON w.dx = b.x - a.x AND w.dy = b.y - a.y GROUP BY 1, 2, 3""")
+def gabor_planes(spark, sf_dir):
+    """Planes answered by a wave of one direction."""
+    out = filters.convolve(_levels(spark, sf_dir), "frame_no", filters.gabor(3.0, 0.5, 0.8, 0.25))
+    return out.select("frame_no", "x", "y", F.round("value", 3).alias("value"))
+
+
+@query(f"""
+WITH {_LEVELS} SELECT a.vec_id AS frame_no, a.x, a.y, (a.k >= avg(b.k) + 0.3 * stddev_pop(b.k))::INT::DOUBLE AS value FROM g a JOIN g b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY 1, 2, 3, a.k""")
+def local_thresholds(spark, sf_dir):
+    return filters.niblack(_levels(spark, sf_dir), "frame_no", 2, 0.3).select("frame_no", "x", "y", "value")

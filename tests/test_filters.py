@@ -144,3 +144,23 @@ def test_morphology_and_tone_maps(spark):
     assert grid_of(filters.morphology(frame, "p", "dilate"), (4, 4)).sum() == 45 and grid_of(filters.morphology(frame, "p", "erode"), (4, 4)).sum() == 0
     got = spark.range(1).select(filters.tone_map(F.lit(4.0)), filters.tone_map(F.lit(0.0)), filters.tone_map(F.lit(1.0), "gamma")).first()
     assert tuple(got) == pytest.approx((1.0, 0.0, 1.0))
+
+
+def test_gabor_and_niblack(spark):
+    rng = np.random.default_rng(3)
+    grid = rng.random((7, 9))
+    frame = picture(spark, grid)
+    kernel = np.array(filters.gabor(3.0, 0.7, 0.9, 0.2))
+    reach = len(kernel) // 2
+    padded = np.pad(grid, reach)
+    want = sum(kernel[i, j] * padded[i : i + 7, j : j + 9] for i in range(len(kernel)) for j in range(len(kernel)))
+    assert np.allclose(grid_of(filters.convolve(frame, "p", kernel.tolist()), (7, 9)), want)
+    stripes = np.tile(np.cos(2 * np.pi * np.arange(24) / 4), (24, 1))
+    answer = lambda g, theta: np.abs(grid_of(filters.convolve(picture(spark, g), "p", filters.gabor(4.0, theta, 2.0)), (24, 24))[6:18, 6:18]).sum()
+    assert answer(stripes, 0.0) > 10 * answer(stripes.T, 0.0) and answer(stripes.T, np.pi / 2) > 10 * answer(stripes, np.pi / 2)
+    near = np.full((7, 9), 0.0)
+    for y in range(7):
+        for x in range(9):
+            part = grid[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3]
+            near[y, x] = grid[y, x] >= part.mean() + 0.1 * part.std()
+    assert (grid_of(filters.niblack(frame, "p", 2, 0.1), (7, 9)) == near).all()

@@ -224,7 +224,7 @@ def test_every_filter_runs_by_name(spark):
     pixels = spark.range(30).selectExpr("0L AS frame_no", "cast(id % 6 AS int) AS x", "cast(id div 6 AS int) AS y", "cast(id AS double) AS value")
     params = {"resize": {"w": 6, "h": 5, "new_w": 3, "new_h": 2}, "resample": {"source_rate": 100, "target_rate": 50}, "spectrogram": {"width": 64, "hop": 32}}
     for name in set(FILTERS) - {"decode"}:
-        source = pixels if name in ("blur", "edge", "resize", "morphology", "quantize", "strip", "pixels") else samples
+        source = pixels if name in ("blur", "edge", "resize", "morphology", "quantize", "strip", "pixels", "gabor", "niblack") else samples
         spec = Job.from_json(json.dumps({"@out": {"all": [{"filter": name, "params": params.get(name, {}), "input": {"from": "x"}}]}}))
         assert compile_job(spark, spec, lambda *_, s=source: s)["@out"].count() > 0, name
     bad = Job.from_json(json.dumps({"@out": {"all": [{"filter": "echo", "params": {"dleay": 3}, "input": {"from": "x"}}]}}))
