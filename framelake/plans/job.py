@@ -13,14 +13,17 @@ already; a convert needs pixels.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
+from pyspark.status import SparkJobInfo
 
 from ..functions.pixel import COLOUR_MAPS, PIXEL_FORMATS, SHARED_CHROMA, STORED, bayer_level, colour_of, rgb_of, stored_of
 from ..operators import filters, pictures
@@ -34,6 +37,7 @@ FILTERS: dict[str, Callable[[DataFrame, dict], DataFrame | dict[str, DataFrame]]
 #: The outputs of filters that have several, the first of them the usual one.
 PORTS: dict[str, tuple[str, ...]] = {}
 REGISTRY = register_all()
+_NO_STAGES = SparkJobInfo(-1, [], "UNKNOWN")
 
 
 class JobError(ValueError):
@@ -77,7 +81,10 @@ def _noise_gate(frames: DataFrame, params: dict) -> DataFrame:
 
 @filter_named("echo")
 def _echo(frames: DataFrame, params: dict) -> DataFrame:
-    return filters.echo(frames, STREAM, ORDER, **_numbers(params, delay=1, mix=0.5, feedback=0.0))
+    given = _numbers(params, delay=1, mix=0.5, feedback=0.0)
+    if given["delay"] < 1:
+        raise JobError(f"a delay of {given['delay']} samples is too short")
+    return filters.echo(frames, STREAM, ORDER, **given)
 
 
 @filter_named("resample")
@@ -169,6 +176,9 @@ def _resize(frames: DataFrame, params: dict) -> DataFrame:
     if kind != "nearest" and kind not in filters.KERNELS:
         raise JobError(f"unknown kernel {kind}")
     sizes = _numbers({k: v for k, v in params.items() if k != "kind"}, w=0, h=0, new_w=0, new_h=0)
+    for name, size in sizes.items():
+        if size < 1:
+            raise JobError(f"resize needs {name}, not {size}")
     return filters.resize(frames, PICTURE, **sizes, kind=kind)
 
 
@@ -483,12 +493,13 @@ class ParquetSink(Sink):
         batch.write.mode("overwrite").parquet(self.path)
 
 
-def run_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], DataFrame], overrides: dict[str, Sink] | None = None, source_formats: dict[str, str] | None = None) -> list[str]:
+def run_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], DataFrame], overrides: dict[str, Sink] | None = None, source_formats: dict[str, str] | None = None, between: Callable[[str], None] = lambda key: None) -> list[str]:
     """Runs every output into its sink, in the job's order, and returns their keys.
 
     An address is a folder of Parquet files and @null keeps nothing; overrides give
     sinks to reserved names, and @display and @out have none without one.  A sink's
     error stops the job: it is not finished, and later outputs do not start.
+    ``between`` is called with each key before its output starts; it may raise.
     """
     overrides = overrides or {}
     for name in overrides:
@@ -500,7 +511,71 @@ def run_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], D
         if sink is None:
             raise JobError(f"{key}: needs a sink of its own")
     for key, sink in sinks.items():
+        between(key)
         sink.start(built[key].columns)
         sink.write(built[key], 0)
         sink.finish()
     return list(sinks)
+
+
+class JobAborted(RuntimeError):
+    """A job that was stopped from outside."""
+
+
+class JobHandle:
+    """A job in the background: its progress, its end, and a way to stop it.
+
+    All Spark work of the job runs under one job group of its own.
+    """
+
+    def __init__(self, spark: SparkSession, work: Callable[[Callable[[str], None]], list[str]]):
+        self._context, self.group = spark.sparkContext, f"framelake-{uuid.uuid4().hex}"
+        self._started: list[str] = []
+        self._aborted, self._result, self._error = False, None, None
+        self._thread = InheritableThread(target=self._run, args=(work,), daemon=True)
+        self._thread.start()
+
+    def _run(self, work: Callable[[Callable[[str], None]], list[str]]) -> None:
+        self._context.setJobGroup(self.group, "framelake job", interruptOnCancel=True)
+        try:
+            self._result = work(self._between)
+        except BaseException as e:  # told to whoever waits
+            self._error = e
+
+    def _between(self, key: str) -> None:
+        if self._aborted:
+            raise JobAborted(f"aborted before {key}")
+        self._started.append(key)
+
+    def abort(self) -> None:
+        """Stops running tasks; outputs that have not started do not start.  After the end it changes nothing."""
+        if self._thread.is_alive():
+            self._aborted = True
+            self._context.cancelJobGroup(self.group)
+
+    def progress(self) -> dict[str, object]:
+        """state (running, finished, failed, aborted), the outputs that have started, and tasks done and in all of the group's stages."""
+        tracker, done, total = self._context.statusTracker(), 0, 0
+        for job in tracker.getJobIdsForGroup(self.group):
+            for stage in (tracker.getJobInfo(job) or _NO_STAGES).stageIds:
+                info = tracker.getStageInfo(stage)
+                done, total = (done + info.numCompletedTasks, total + info.numTasks) if info else (done, total)
+        alive = self._thread.is_alive()
+        state = "running" if alive else "aborted" if self._aborted and self._error else "failed" if self._error else "finished"
+        return {"state": state, "outputs": list(self._started), "tasks_done": done, "tasks": total}
+
+    def wait(self, seconds: float | None = None) -> list[str]:
+        """The job's keys; its error is raised here, as JobAborted if it was stopped."""
+        self._thread.join(seconds)
+        if self._thread.is_alive():
+            raise TimeoutError("the job is still running")
+        if self._error is not None and self._aborted:
+            raise JobAborted("the job was aborted") from self._error
+        if self._error is not None:
+            raise self._error
+        return self._result
+
+
+def spawn_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str], DataFrame], overrides: dict[str, Sink] | None = None, source_formats: dict[str, str] | None = None) -> JobHandle:
+    """run_job() in the background."""
+    return JobHandle(spark, lambda between: run_job(spark, job, read, overrides, source_formats, between))

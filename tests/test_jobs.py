@@ -115,7 +115,7 @@ def test_lists_in_parameters(spark):
 
 def test_parameters_that_are_no_numbers(spark):
     samples = spark.range(4).selectExpr("'s' AS stream_key", "id AS ordinal", "1.0D AS value")
-    for name, params in (("volume", {"scale": "x"}), ("echo", {"delay": [1]}), ("resize", {"w": None}), ("resize", {"kind": "bicubic"}), ("morphology", {"kind": "open"}), ("quantize", {"colours": 1}), ("quantize", {"dither": "x"}), ("spectrogram", {"colours": "jet"})):
+    for name, params in (("volume", {"scale": "x"}), ("echo", {"delay": [1]}), ("resize", {"w": None}), ("resize", {"kind": "bicubic"}), ("resize", {"w": 4, "h": 4, "new_w": 0, "new_h": 2}), ("echo", {"delay": 0}), ("morphology", {"kind": "open"}), ("quantize", {"colours": 1}), ("quantize", {"dither": "x"}), ("spectrogram", {"colours": "jet"})):
         spec = Job.from_json(json.dumps({"@out": {"all": [{"filter": name, "params": params, "input": {"from": "x"}}]}}))
         with pytest.raises(JobError):
             compile_job(spark, spec, lambda *_: samples)
@@ -273,3 +273,49 @@ def test_a_job_runs_into_its_sinks(spark, tmp_path):
         run_job(spark, made, lambda *_: frames, {"@sink": Probe()})
     with pytest.raises(JobError, match="@out: needs a sink"):
         run_job(spark, made, lambda *_: frames)
+
+
+def test_a_job_in_the_background(spark, tmp_path):
+    from framelake.plans.job import spawn_job
+
+    track, path = {"all": [{"from": "x"}]}, str(tmp_path / "out")
+    handle = spawn_job(spark, Job.from_json(json.dumps({path: track, "@null": track})), lambda *_: spark.range(40, numPartitions=4))
+    assert handle.wait(120) == [path, "@null"]
+    progress = handle.progress()
+    assert progress["state"] == "finished" and progress["outputs"] == [path, "@null"] and progress["tasks_done"] == progress["tasks"] >= 8
+    handle.abort()
+    assert handle.progress()["state"] == "finished" and spark.read.parquet(path).count() == 40
+    failing = spawn_job(spark, Job.from_json(json.dumps({"@out": track})), lambda *_: spark.range(3))
+    with pytest.raises(JobError, match="needs a sink"):
+        failing.wait(60)
+    assert failing.progress()["state"] == "failed"
+
+
+def test_a_job_is_aborted(spark):
+    """Running tasks are stopped, and the output after them does not start."""
+    import time
+
+    from framelake.plans.job import JobAborted, spawn_job
+
+    def slow(batches):
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    frames = spark.range(4, numPartitions=2).mapInArrow(slow, "id long")
+    track = {"all": [{"from": "x"}]}
+    handle = spawn_job(spark, Job.from_json(json.dumps({"@null": track, "/nowhere/else": track})), lambda *_: frames)
+    for _ in range(100):
+        if handle.progress()["tasks"]:
+            break
+        time.sleep(0.1)
+    with pytest.raises(TimeoutError):
+        handle.wait(0.1)
+    start = time.monotonic()
+    handle.abort()
+    with pytest.raises(JobAborted):
+        handle.wait(50)
+    assert time.monotonic() - start < 50
+    progress = handle.progress()
+    assert progress["state"] == "aborted" and progress["outputs"] == ["@null"]
+    assert spark.range(3).count() == 3
