@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed luma weights (red, blue) of the usual matrices.
 MATRICES = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722), "bt2020": (0.2627, 0.0593)}
-PIXEL_FORMATS = ("yuv420p", "yuv422p", "yuv444p", "nv12", "nv21", "rgb24", "bgr24", "rgba", "bgra", "gray8", "gray16le", "pal8", "rgb48le")
+PIXEL_FORMATS = ("yuv420p", "yuv422p", "yuv440p", "yuv444p", "yuv420p10le", "yuv422p10le", "yuv444p10le", "yuv444p16le", "p010le", "nv12", "nv16", "nv21", "nv24", "rgb24", "bgr24", "rgba", "bgra", "rgba64le", "gray8", "gray10le", "gray12le", "gray16le", "pal8", "rgb48le", "bgr48le")
 
 
 def yuv_to_rgb_709(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
@@ -28,40 +28,83 @@ def gray_of(r: Column, g: Column, b: Column, matrix: str = "bt709") -> Column:
 
 
 #: Order of a pixel's stored values: red, green, blue, alpha; luma and chroma; gray.
-STORED = {"rgb24": "rgb", "bgr24": "bgr", "rgba": "rgba", "bgra": "bgra", "rgb48le": "rgb", "yuv420p": "yuv", "yuv422p": "yuv", "yuv444p": "yuv", "nv12": "yuv", "nv21": "yvu", "gray8": "g", "gray16le": "g"}
+STORED = {
+    **{name: "rgb" for name in ("rgb24", "rgb48le")},
+    **{name: "bgr" for name in ("bgr24", "bgr48le")},
+    **{name: "rgba" for name in ("rgba", "rgba64le")},
+    "bgra": "bgra",
+    **{name: "yuv" for name in ("yuv420p", "yuv422p", "yuv440p", "yuv444p", "nv12", "nv16", "nv24", "yuv420p10le", "yuv422p10le", "yuv444p10le", "yuv444p16le", "p010le")},
+    "nv21": "yvu",
+    **{name: "g" for name in ("gray8", "gray10le", "gray12le", "gray16le")},
+}
 #: Chroma samples of formats that share them: columns and rows of pixels.
-SHARED_CHROMA = {"yuv420p": (2, 2), "nv12": (2, 2), "nv21": (2, 2), "yuv422p": (2, 1)}
+SHARED_CHROMA = {"yuv420p": (2, 2), "nv12": (2, 2), "nv21": (2, 2), "yuv420p10le": (2, 2), "p010le": (2, 2), "yuv422p": (2, 1), "yuv422p10le": (2, 1), "nv16": (2, 1), "yuv440p": (1, 2)}
+#: Bits of a stored value where they are not 8, and the place of its lowest bit where that is not 0.
+BITS = {"rgb48le": 16, "bgr48le": 16, "rgba64le": 16, "gray16le": 16, "yuv444p16le": 16, "yuv420p10le": 10, "yuv422p10le": 10, "yuv444p10le": 10, "p010le": 10, "gray10le": 10, "gray12le": 12}
+SHIFTED = {"p010le": 6}
+
+
+def value_step(name: str) -> int:
+    """How far two neighbouring stored values lie apart."""
+    return 1 << SHIFTED.get(name, 0)
 
 
 def top_value(name: str) -> int:
-    """The largest stored value of a format."""
-    return 65535 if name in ("rgb48le", "gray16le") else 255
+    """The largest stored value of a format, in its steps."""
+    return (1 << BITS.get(name, 8)) - 1
 
 
-def rgb_of(stored: Column, name: str) -> list[Column]:
-    """Red, green, blue and alpha from 0 to 1 of a pixel's stored values."""
-    part = {c: F.get(stored, i) / float(top_value(name)) for i, c in enumerate(STORED[name])}
-    if "y" in part:
-        red, green, blue = yuv_to_rgb_709(part["y"], part["u"], part["v"])
-    elif "g" in part and "r" not in part:
-        red = green = blue = part["g"]
-    else:
-        red, green, blue = part["r"], part["g"], part["b"]
-    return [red, green, blue, part.get("a", F.lit(1.0))]
+def _by_format(name: Column, values: dict[str, object]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), name)
+
+
+def unit_values(stored: Column, name: Column, limited: bool = False) -> Column:
+    """A pixel's stored values as struct(order, v): 0 to 1 each, luma and chroma of a limited range spread out; null for a format that is not known."""
+    values = F.transform(stored, lambda v: v / _by_format(name, {f: float(top_value(f) * value_step(f)) for f in STORED}))
+    order = _by_format(name, STORED)
+    if limited:
+        unit = _by_format(name, {f: (top_value(f) + 1) / 256 / top_value(f) for f in STORED})
+        spread = F.transform(values, lambda v, i: F.when(i == 0, (v - 16 * unit) / (219 * unit)).otherwise((v - 128 * unit) / (224 * unit) + 0.5))
+        values = F.when(F.contains(order, F.lit("y")), spread).otherwise(values)
+    return F.when(order.isNotNull(), F.struct(order.alias("order"), values.alias("v")))
+
+
+def rgb_of(unit: Column, matrix: str = "bt709", exact: bool = False) -> Column:
+    """struct(r, g, b, a) of unit_values(): one branch an order of values, however many formats have it.
+
+    exact: the matrix by its weights; else full-range BT.709 by its usual coefficients.
+    """
+    v = lambda i: F.get(unit["v"], i)
+    kr, kb = MATRICES[matrix]
+
+    def colours(order: str) -> Column:
+        part = {c: v(i) for i, c in enumerate(order)}
+        if "y" in part and exact:
+            red, blue = part["y"] + 2 * (1 - kr) * (part["v"] - 0.5), part["y"] + 2 * (1 - kb) * (part["u"] - 0.5)
+            green = (part["y"] - kr * red - kb * blue) / (1 - kr - kb)
+        elif "y" in part:
+            red, green, blue = yuv_to_rgb_709(part["y"], part["u"], part["v"])
+        else:
+            red, green, blue = (part.get(c, part.get("g")) for c in "rgb")
+        return F.struct(red.alias("r"), green.alias("g"), blue.alias("b"), part.get("a", F.lit(1.0)).alias("a"))
+
+    return F.coalesce(*(F.when(unit["order"] == order, colours(order)) for order in dict.fromkeys(STORED.values())))
 
 
-def stored_of(rgba: list[Column], name: str) -> Column:
+def stored_of(rgba: list[Column], name: str, matrix: str = "bt709", limited: bool = False) -> Column:
     """A pixel's stored values, rounded to the format's steps and held to its range."""
     red, green, blue, alpha = rgba
-    order = STORED[name]
+    order, top, step = STORED[name], top_value(name), value_step(name)
     if "y" in order:
-        part = dict(zip("yuv", rgb_to_yuv(red, green, blue)))
+        part = dict(zip("yuv", rgb_to_yuv(red, green, blue, matrix)))
+        if limited:
+            unit = (top + 1) / 256 / top
+            part = {c: v * (219 * unit) + 16 * unit if c == "y" else (v - 0.5) * (224 * unit) + 128 * unit for c, v in part.items()}
     elif order == "g":
         part = {"g": gray_of(red, green, blue)}
     else:
         part = {"r": red, "g": green, "b": blue, "a": alpha}
-    top = top_value(name)
-    return F.array(*(F.least(F.lit(top), F.greatest(F.lit(0), F.round(part[c] * top).cast("int"))) for c in order))
+    return F.array(*(F.least(F.lit(top), F.greatest(F.lit(0), F.round(part[c] * top).cast("int"))) * step for c in order))
 
 
 #: Red, green and blue of two colour maps as polynomials of the level, constant first.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 from pyspark.status import SparkJobInfo
 
-from ..functions.pixel import COLOUR_MAPS, PIXEL_FORMATS, SHARED_CHROMA, STORED, bayer_level, colour_of, rgb_of, stored_of
+from ..functions.pixel import COLOUR_MAPS, MATRICES, PIXEL_FORMATS, SHARED_CHROMA, STORED, bayer_level, colour_of, rgb_of, stored_of, unit_values, value_step
 from ..operators import filters, pictures
 from ..sources import images
 from ..sources.codecs import register_all
@@ -251,7 +251,11 @@ class Job:
         if "convert" in tree:
             if str(tree["convert"]).lower() not in PIXEL_FORMATS:
                 raise JobError(f"{key}: unknown pixel format {tree['convert']}")
-            node = Node("convert", str(tree["convert"]).lower(), inputs=(below(),), group=group)
+            colours = tuple((name, tree[name]) for name in ("matrix", "range", "from_matrix", "from_range") if name in tree)
+            for name, value in colours:
+                if value not in (MATRICES if name.endswith("matrix") else ("full", "limited")):
+                    raise JobError(f"{key}: unknown {name} {value}")
+            node = Node("convert", str(tree["convert"]).lower(), colours, (below(),), group)
         elif "filter" in tree:
             name = self._text(key, tree, "filter")
             if name not in FILTERS:
@@ -348,22 +352,29 @@ def insert_conversions(dag: Dag, accepted: dict[str, tuple[str, ...]], formats:
     return Dag({k: visit(n) for k, n in dag.roots.items()})
 
 
-def convert_pixels(frames: DataFrame, target: str) -> DataFrame:
+def convert_pixels(frames: DataFrame, target: str, matrix: str = "bt709", limited: bool = False, from_matrix: str = "bt709", from_limited: bool = False) -> DataFrame:
     """Rows (picture, x, y, pixel_format, stored array<int>) in another format.
 
-    Each source format is one branch of an expression.  Formats that share chroma
-    take the mean of the pixels that share it, one window over small squares.
+    Each order of values is one branch of an expression.  Formats that share chroma
+    take the mean of the pixels that share it, one window over small squares.  Matrix and
+    range count for luma and chroma, on either side; rows that are in the target format
+    already stay as they are if neither changes.
     """
     if target not in STORED:
         raise JobError(f"no conversion to {target}")
-    branches = [F.when(F.col("pixel_format") == source, F.col("stored") if source == target else stored_of(rgb_of(F.col("stored"), source), target)) for source in STORED]
-    out = frames.withColumns({"stored": F.coalesce(*branches), "pixel_format": F.lit(target), "_was": F.col("pixel_format")})
+    same = (matrix, limited) == (from_matrix, from_limited)
+    rows = frames.withColumns({"_was": F.col("pixel_format"), "_stored": F.col("stored")})  # names that no column below takes again
+    source = F.transform(F.array(unit_values(F.col("_stored"), F.col("_was"), from_limited)), lambda unit: rgb_of(unit, from_matrix, (from_matrix, from_limited) != ("bt709", False)))
+    stored = F.get(F.transform(source, lambda c: stored_of([c[x] for x in "rgba"], target, matrix, limited)), 0)
+    stored = F.when((F.col("_was") == target) & F.lit(same), F.col("_stored")).when(F.col("_was").isin(*STORED), stored)
+    out = rows.withColumns({"stored": stored, "pixel_format": F.lit(target)})
     if target in SHARED_CHROMA and {PICTURE, "x", "y"} <= set(out.columns):
         wide, high = SHARED_CHROMA[target]
         square = Window.partitionBy(PICTURE, F.floor(F.col("x") / wide), F.floor(F.col("y") / high))
-        shared = F.array(F.get("stored", 0), *(F.round(F.avg(F.get("stored", i)).over(square)).cast("int") for i in (1, 2)))
-        out = out.withColumn("stored", F.when(F.col("_was") == target, F.col("stored")).otherwise(shared))
-    return out.drop("_was")
+        step = value_step(target)
+        shared = F.array(F.get("stored", 0), *(F.round(F.avg(F.get("stored", i)).over(square) / step).cast("int") * step for i in (1, 2)))
+        out = out.withColumn("stored", F.when((F.col("_was") == target) & F.lit(same), F.col("stored")).otherwise(shared))
+    return out.drop("_was", "_stored")
 
 
 def encode_samples(frames: DataFrame, codec: str) -> DataFrame:
@@ -467,7 +478,8 @@ def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str
             frames = build(node.inputs[0])
             if "stored" not in frames.columns:
                 raise JobError(f"a conversion to {node.value} needs pixels, not packets")
-            out = convert_pixels(frames, node.value)
+            colours = {"matrix": "bt709", "range": "full", "from_matrix": "bt709", "from_range": "full"} | dict(node.params)
+            out = convert_pixels(frames, node.value, colours["matrix"], colours["range"] == "limited", colours["from_matrix"], colours["from_range"] == "limited")
         else:
             out = encoded(build(node.inputs[0]), node.value)
         memo[node] = out

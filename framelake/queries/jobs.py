@@ -154,3 +154,23 @@ def spectrogram_ports(spark, sf_dir):
     bins = built.where("track_no = 0").select(F.lit("bins").alias("port"), F.col("stream_key").alias("stream"), "frame", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("number"))
     samples = built.where("track_no = 1").select(F.lit("samples").alias("port"), F.col("stream_key").alias("stream"), F.col("ordinal").alias("frame"), F.lit(None).cast("long").alias("bin"), F.round("value", 4).alias("number"))
     return bins.unionByName(samples)
+
+
+#: The middle weights as the same binary fractions that the columns have.
+_DEEP = """p AS (SELECT vec_id AS frame_no, (i % 5)::INT AS x, (i // 5)::INT AS y, list_transform(embedding[3 * i + 1:3 * i + 3], lambda e: (floor(abs(e::DOUBLE) * 1000)::BIGINT % 256) / 255.0) AS c FROM embeddings, range(0, 20) r(i)),
+l AS (SELECT *, 0.2627 * c[1] + 0.678::DOUBLE * c[2] + 0.0593 * c[3] AS a, 0.299 * c[1] + 0.5870000000000001::DOUBLE * c[2] + 0.114 * c[3] AS b FROM p),
+d AS (SELECT *, round(64 + 876 * a)::INT * 64 AS dy, round(512 + 896 * (c[3] - a) / (2 * (1 - 0.0593)))::INT * 64 AS du, round(512 + 896 * (c[1] - a) / (2 * (1 - 0.2627)))::INT * 64 AS dv,
+  round(255 * b)::INT AS sy, least(255, greatest(0, round(255 * ((c[3] - b) / 1.772::DOUBLE + 0.5))))::INT AS su, least(255, greatest(0, round(255 * ((c[1] - b) / 1.4020000000000001::DOUBLE + 0.5))))::INT AS sv FROM l)"""
+
+
+@query(f"""
+WITH {_DEEP}
+SELECT 0 AS track_no, frame_no, x, y, 'p010le' AS pixel_format, dy AS c0, round(avg(du) OVER q / 64)::INT * 64 AS c1, round(avg(dv) OVER q / 64)::INT * 64 AS c2 FROM d WINDOW q AS (PARTITION BY frame_no, x // 2, y // 2)
+UNION ALL SELECT 1, frame_no, x, y, 'nv16', sy, round(avg(su) OVER q)::INT, round(avg(sv) OVER q)::INT FROM d WINDOW q AS (PARTITION BY frame_no, x // 2, y)
+UNION ALL SELECT 2, frame_no, x, y, 'yuv440p', sy, round(avg(su) OVER q)::INT, round(avg(sv) OVER q)::INT FROM d WINDOW q AS (PARTITION BY frame_no, x, y // 2)""")
+def job_convert_deep(spark, sf_dir):
+    """Ten bits in limited range under one matrix, and two semi-planar or tall layouts under another."""
+    source = {"from": f"pixels:{sf_dir}"}
+    tracks = [{"convert": "p010le", "matrix": "bt2020", "range": "limited", "input": source}, *({"convert": name, "matrix": "bt601", "input": source} for name in ("nv16", "yuv440p"))]
+    out = compile_job(spark, Job.from_json(json.dumps({"@out": {"video": tracks}})), _frames)["@out"]
+    return out.select("track_no", "frame_no", "x", "y", "pixel_format", *(F.get("stored", i).alias(f"c{i}") for i in range(3)))

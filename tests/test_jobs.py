@@ -319,3 +319,30 @@ def test_a_job_is_aborted(spark):
     progress = handle.progress()
     assert progress["state"] == "aborted" and progress["outputs"] == ["@null"]
     assert spark.range(3).count() == 3
+
+
+def test_deep_formats_matrices_and_ranges(spark):
+    """There and back within a step, under every matrix and range; black and white where they belong."""
+    from framelake.functions.pixel import MATRICES, STORED, top_value, value_step
+    from framelake.plans.job import convert_pixels
+
+    rows = [(0, i % 4, i // 4, "rgb24", [(i * 37) % 256, (i * 91) % 256, (i * 53) % 256]) for i in range(16)] + [(1, 0, 0, "rgb24", [0, 0, 0]), (1, 2, 2, "rgb24", [255, 255, 255])]
+    pixels = spark.createDataFrame(rows, "frame_no long, x int, y int, pixel_format string, stored array<int>")
+    at = lambda df: {(r.frame_no, r.x, r.y): r.stored for r in df.collect()}
+    first = at(pixels)
+    for matrix in MATRICES:
+        for limited in (False, True):
+            deep = convert_pixels(pixels, "yuv444p16le", matrix, limited)
+            back = at(convert_pixels(deep, "rgb24", from_matrix=matrix, from_limited=limited))
+            assert all(max(abs(a - b) for a, b in zip(back[k], first[k])) <= (1 if matrix == "bt709" else 0) for k in first), (matrix, limited)
+    for name, order in STORED.items():
+        got = at(convert_pixels(pixels, name))
+        assert all(len(v) == len(order) and all(0 <= x <= top_value(name) * value_step(name) and x % value_step(name) == 0 for x in v) for v in got.values())
+    ten = at(convert_pixels(pixels, "p010le", "bt2020", True))
+    assert ten[1, 0, 0] == [64 << 6, 512 << 6, 512 << 6] and ten[1, 2, 2] == [940 << 6, 512 << 6, 512 << 6]
+    changed = at(convert_pixels(convert_pixels(pixels, "yuv444p"), "yuv444p", limited=True))
+    assert changed[1, 2, 2] == [235, 128, 128]
+    with pytest.raises(JobError, match="unknown matrix bt470"):
+        Job.from_json(json.dumps({"o": {"all": [{"convert": "nv12", "matrix": "bt470", "input": {"from": "x"}}]}})).validate()
+    with pytest.raises(JobError, match="unknown from_range tv"):
+        Job.from_json(json.dumps({"o": {"all": [{"convert": "nv12", "from_range": "tv", "input": {"from": "x"}}]}})).validate()
