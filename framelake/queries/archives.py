@@ -43,8 +43,10 @@ k AS (SELECT user_id % 4 AS title, event_type, event_id, md5(props || repeat('x'
 SELECT 'user/' || t.title AS title, t.event_id, k.event_id AS key_id, k.md5 FROM t ASOF LEFT JOIN k ON t.title = k.title AND t.event_type = k.event_type AND t.event_id >= k.event_id""")
 def indexed_seek(spark, sf_dir):
     """Every fiftieth packet's time is sought in its stream by an index of all keyframes: of the titles only the packets that the index names are read again."""
-    units = segments.read_titles(spark, _written(spark, sf_dir), RANGE)
-    folder = scratch_folder(spark, "index")
+    # the archive is read once: what is known of its packets is a table, from which the index follows
+    table = scratch_folder(spark, "packets")
+    segments.read_titles(spark, _written(spark, sf_dir), RANGE).drop("data").write.parquet(table)
+    units, folder = spark.read.parquet(table), scratch_folder(spark, "index")
     segments.seek_index(units).write.parquet(folder)
     e = tables.table(spark, sf_dir, "events").where("event_id % 50 = 7")
     pid = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type")).cast("int") + 0x100

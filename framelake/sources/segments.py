@@ -252,7 +252,9 @@ def as_packets(units: DataFrame) -> DataFrame:
 def seek_index(units: DataFrame, every: int = 1) -> DataFrame:
     """(title, pid, ticks, file, offset, extents): every so many keyframes of each stream of joined() units, by their times with wraps undone.
 
-    Written as a table it is a small part of the archive, and nothing else is read to find a place.
+    Written as a table it is a small part of the archive, and nothing else is read to
+    find a place.  units are read several times, so what they are without their data
+    should be a table first.
     """
     rows = units.where("pts IS NOT NULL").select("title", "pid", "file", "offset", "pts", "keyframe", "extents").withColumn("stream", F.concat_ws("/", "title", "pid"))
     # segments are numbered by eight digits, so a place in the title is one number
