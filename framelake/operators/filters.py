@@ -6,6 +6,7 @@ machines, scanned in parallel block by block (:mod:`.scan`).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -169,56 +170,67 @@ def niblack(pixels: DataFrame, by: str, reach: int = 1, k: float = -0.2) -> Data
     return stats.where("here").select(by, "x", "y", (F.col("v") >= F.col("m") + k * F.col("s")).cast("double").alias("value"))
 
 
-def _cubic(b: float, c: float) -> Callable[[F.Column], F.Column]:
+def _cubic(b: float, c: float) -> Callable[[float], float]:
     """The two-parameter family of cubic kernels."""
 
-    def weight(d: F.Column) -> F.Column:
-        x = F.abs(d)
-        inner = ((12 - 9 * b - 6 * c) * x * x * x + (-18 + 12 * b + 6 * c) * x * x + (6 - 2 * b)) / 6
-        outer = ((-b - 6 * c) * x * x * x + (6 * b + 30 * c) * x * x + (-12 * b - 48 * c) * x + (8 * b + 24 * c)) / 6
-        return F.when(x < 1, inner).when(x < 2, outer).otherwise(0.0)
+    def weight(d: float) -> float:
+        x = abs(d)
+        if x < 1:
+            return ((12 - 9 * b - 6 * c) * x * x * x + (-18 + 12 * b + 6 * c) * x * x + (6 - 2 * b)) / 6
+        return ((-b - 6 * c) * x * x * x + (6 * b + 30 * c) * x * x + (-12 * b - 48 * c) * x + (8 * b + 24 * c)) / 6 if x < 2 else 0.0
 
     return weight
 
 
-def _lanczos(d: F.Column) -> F.Column:
-    x = F.abs(d) * float(np.pi)
-    return F.when(x < 1e-9, 1.0).when(F.abs(d) < 3, 3 * F.sin(x) * F.sin(x / 3) / F.greatest(x * x, F.lit(1e-18))).otherwise(0.0)
+def _lanczos(d: float) -> float:
+    x = abs(d) * np.pi
+    if x < 1e-9:
+        return 1.0
+    return float(3 * np.sin(x) * np.sin(x / 3) / (x * x)) if abs(d) < 3 else 0.0
 
 
 #: Pixels on either side, and the weight of one at a distance.
-KERNELS: dict[str, tuple[int, Callable[[F.Column], F.Column]]] = {
-    "box": (1, lambda d: F.when((d >= -0.5) & (d < 0.5), 1.0).otherwise(0.0)),
-    "bilinear": (1, lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))),
-    "hermite": (1, lambda d: F.greatest((2 * F.abs(d) - 3) * d * d + 1, F.lit(0.0))),
+KERNELS: dict[str, tuple[int, Callable[[float], float]]] = {
+    "box": (1, lambda d: float(-0.5 <= d < 0.5)),
+    "bilinear": (1, lambda d: max(1 - abs(d), 0.0)),
+    "hermite": (1, lambda d: max((2 * abs(d) - 3) * d * d + 1, 0.0)),
     "catmull": (2, _cubic(0.0, 0.5)),
     "mitchell": (2, _cubic(1 / 3, 1 / 3)),
     "lanczos3": (3, _lanczos),
 }
 
 
+def _taps(n: int, new_n: int, kind: str) -> F.Column:
+    """For each of n places of a line the ones of new_n that take it: array<array<struct<at, k>>>, weights of repeated edges added up."""
+    taken: list[dict[int, float]] = [{} for _ in range(n)]
+    for at in range(new_n):
+        f = (at + 0.5) * (n / new_n) - 0.5
+        if kind == "nearest":
+            near = [((2 * at + 1) * n // (2 * new_n), 1.0)]
+        else:
+            reach, weight = KERNELS[kind]
+            low = int(np.floor(f))
+            near = [(low + i, weight(f - low - i)) for i in range(1 - reach, reach + 1)]
+        for old, k in near:
+            place = taken[min(max(old, 0), n - 1)]
+            place[at] = place.get(at, 0.0) + k
+    text = json.dumps([[{"at": at, "k": k} for at, k in place.items()] for place in taken])
+    return F.from_json(F.lit(text), "array<array<struct<at:int,k:double>>>")  # a constant of the plan
+
+
 def resize(pixels: DataFrame, by: str, w: int, h: int, new_w: int, new_h: int, kind: str = "nearest") -> DataFrame:
-    """Each new pixel joins the old ones under its kernel: nearest, or one of KERNELS.
+    """Each old pixel is sent to the new ones under whose kernel it lies, one grouped sum: nearest, or one of KERNELS.
 
     Beyond the edges the outermost pixels repeat; when a picture shrinks the kernel
-    is not widened.
+    is not widened.  Sums begin in the tasks that read the pixels, and nothing is
+    joined, so nothing is broadcast however many pictures there are.
     """
     if kind != "nearest" and kind not in KERNELS:
         raise ValueError(f"unknown kernel {kind}")
-    grid = pixels.select(by).distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(new_w - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(new_h - 1))))
-    fx, fy = (F.col("x") + 0.5) * (w / new_w) - 0.5, (F.col("y") + 0.5) * (h / new_h) - 0.5
-    clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
-    if kind == "nearest":
-        asked = grid.select(by, "x", "y", clamp(F.round(fx), w).alias("sx"), clamp(F.round(fy), h).alias("sy"), F.lit(1.0).alias("k"))
-    else:
-        reach, weight = KERNELS[kind]
-        near = F.explode(F.sequence(F.lit(1 - reach), F.lit(reach)))
-        taps = grid.select(by, "x", "y", fx.alias("fx"), fy.alias("fy"), near.alias("i")).select("*", near.alias("j"))
-        taps = taps.withColumns({"dx": F.col("fx") - F.floor("fx") - F.col("i"), "dy": F.col("fy") - F.floor("fy") - F.col("j")})
-        k = (weight(F.col("dx")) * weight(F.col("dy"))).alias("k")
-        asked = taps.select(by, "x", "y", clamp(F.floor("fx") + F.col("i"), w).alias("sx"), clamp(F.floor("fy") + F.col("j"), h).alias("sy"), k)
-    old = pixels.select(by, F.col("x").cast("int").alias("sx"), F.col("y").cast("int").alias("sy"), "value")
-    return asked.join(old, [by, "sx", "sy"]).groupBy(by, "x", "y").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"))
+    sent = pixels.select(by, "y", "value", F.explode(F.get(_taps(w, new_w, kind), F.col("x").cast("int"))).alias("tx"))
+    sent = sent.select(by, "value", "tx", F.explode(F.get(_taps(h, new_h, kind), F.col("y").cast("int"))).alias("ty"))
+    sent = sent.select(by, F.col("tx.at").alias("x"), F.col("ty.at").alias("y"), "value", (F.col("tx.k") * F.col("ty.k")).alias("k"))
+    return sent.groupBy(by, "x", "y").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"))
 
 
 def resample_chroma(pixels: DataFrame, by: str, fx: int, fy: int) -> DataFrame:

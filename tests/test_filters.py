@@ -85,6 +85,22 @@ def test_resize_and_chroma(spark):
     assert np.allclose(grid_of(filters.resample_chroma(frame, "p", 2, 2), (2, 2)), [[2.5, 4.5], [10.5, 12.5]])
 
 
+@pytest.mark.parametrize("kind", ["nearest", *filters.KERNELS])
+def test_resize_joins_nothing(spark, kind):
+    """Every kernel against its definition, on a picture with a hole; no side of a join may reach the driver."""
+    grid = np.arange(20.0).reshape(4, 5) ** 1.3
+    frame = picture(spark, grid).where("x <> 1 OR y <> 2")
+    small = filters.resize(frame, "p", 5, 4, 3, 7, kind)
+    assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()
+    reach, weight = filters.KERNELS.get(kind, filters.KERNELS["box"])
+    for r in small.collect():
+        fx, fy = (r.x + 0.5) * (5 / 3) - 0.5, (r.y + 0.5) * (4 / 7) - 0.5
+        near = range(1 - reach, reach + 1)
+        taps = [(min(max(int(np.floor(fx)) + i, 0), 4), min(max(int(np.floor(fy)) + j, 0), 3), weight(fx - np.floor(fx) - i) * weight(fy - np.floor(fy) - j)) for i in near for j in near]
+        taps = [t for t in taps if t[:2] != (1, 2)]
+        assert r.value == pytest.approx(sum(grid[y, x] * k for x, y, k in taps) / sum(k for *_, k in taps))
+
+
 def test_palettes(spark):
     colours = spark.createDataFrame([("p", r, 0, 0) for r in (0, 1, 2, 250, 251, 252)] + [("q", 5, 5, 5)], "p string, r int, g int, b int")
     got = {(r.p, r.r) for r in filters.median_cut(colours, "p", 2).collect()}
