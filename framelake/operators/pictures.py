@@ -38,45 +38,68 @@ def _envelope(columns: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.
     return np.array(kept, np.int64), np.array(first, np.int64)
 
 
-def nearest_sites(pixels: DataFrame, by: str, site: Column) -> DataFrame:
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before."""
+    if pa.types.is_struct(column.type):
+        return np.logical_or.reduce([_changes(column.is_null()), *map(_changes, column.flatten())])
+    codes = column.dictionary_encode().indices.fill_null(-1).to_numpy()
+    return np.concatenate([[False], codes[1:] != codes[:-1]])
+
+
+def _nearest_along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (by, x, y, site_y, value) in order of (by, y, x), each with its columns' nearest sites: the nearest ones of its pixels."""
+
+    def nearest(lines: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        by, xs, ys, sites, values = lines.columns
+        x, y, known = xs.to_numpy(), ys.to_numpy(), sites.is_valid().to_numpy(zero_copy_only=False)
+        site_y = sites.fill_null(0).to_numpy()
+        best = np.full(len(x), -1)
+        for a, b in zip(starts, [*starts[1:], len(x)]):
+            at = a + np.flatnonzero(known[a:b])
+            if len(at):
+                kept, first = _envelope(x[at], site_y[at] - y[a])
+                best[a:b] = at[kept[np.searchsorted(first, x[a:b], side="right") - 1]]
+        none = best < 0
+        found = [(x - x[best]) ** 2 + (y - site_y[best]) ** 2, x[best], site_y[best]]
+        value = values.take(pa.array(best, pa.int64(), mask=none))
+        return pa.RecordBatch.from_arrays([by, xs, ys, *(pa.array(c, pa.int64(), mask=none) for c in found), value], names=[lines.schema.names[0], "x", "y", "distance2", "site_x", "site_y", "value"])
+
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        changed = _changes(batch.column(0)) | _changes(batch.column(2))
+        starts = np.concatenate([[0] * bool(batch.num_rows), np.flatnonzero(changed)]).astype(np.int64)
+        if len(starts) > 1:
+            yield nearest(batch.slice(0, starts[-1]), starts[:-1])
+        rest = batch.slice(starts[-1]) if len(starts) else None  # its line may go on in the next batch
+    if rest is not None:
+        yield nearest(rest, np.zeros(1, np.int64))
+
+
+def nearest_sites(pixels: DataFrame, by: str, site: Column, value: str | None = None) -> DataFrame:
     """(by, x, y, distance2, site_x, site_y): the exact squared distance of every pixel to the nearest site, and which that is.
 
-    Of equally near sites the one of the smallest (x, y) counts.  Two passes over
-    lines, so a line of a picture is the most that a task holds: along columns the
-    sites before and behind, by windows; along rows the lower envelope of the columns'
-    parabolas.  Pixels of a picture without a site have nulls.
+    Of equally near sites the one of the smallest (x, y) counts; with ``value``, that
+    column of it follows.  Two passes over lines, so a line of a picture is the most
+    that a task holds: along columns the sites before and behind, each by a running
+    window; along rows, sorted by Spark and read in batches, the lower envelope of the
+    columns' parabolas.  Pixels of a picture without a site have nulls.
     """
-    above = Window.partitionBy(by, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    below = Window.partitionBy(by, "x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
-    here = F.when(site, F.col("y").cast("long"))
+    running = Window.partitionBy(by, "x").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.when(site, F.struct(F.col("y").cast("long").alias("y"), (F.col(value) if value else F.lit(None).cast("int")).alias("value")))
     rows = pixels.select(by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), here.alias("_site"))
-    rows = rows.withColumns({"_a": F.last("_site", ignorenulls=True).over(above), "_b": F.first("_site", ignorenulls=True).over(below)})
-    nearer = F.when(F.col("_b").isNull() | (F.col("y") - F.col("_a") <= F.col("_b") - F.col("y")), F.col("_a")).otherwise(F.col("_b"))
-    rows = rows.select(by, "x", "y", nearer.alias("site_y"))
-
-    def along(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("x")
-        x, y = table.column("x").to_numpy(), key[1].as_py()
-        known = table.filter(table.column("site_y").is_valid())
-        columns, sites = known.column("x").to_numpy(), known.column("site_y").to_numpy()
-        if not len(known):
-            empty = pa.nulls(len(table), pa.int64())
-            found = [empty, empty, empty]
-        else:
-            kept, first = _envelope(columns, sites - y)
-            best = kept[np.searchsorted(first, x, side="right") - 1]
-            found = [pa.array((x - columns[best]) ** 2 + (y - sites[best]) ** 2), pa.array(columns[best]), pa.array(sites[best])]
-        return pa.table([table.column(by), table.column("x"), table.column("y"), *found], names=[by, "x", "y", "distance2", "site_x", "site_y"])
-
-    schema = StructType([rows.schema[by], *(StructField(c, LongType()) for c in ("x", "y", "distance2", "site_x", "site_y"))])
-    return rows.groupBy(by, "y").applyInArrow(along, schema)
+    rows = rows.withColumn("_a", F.last("_site", ignorenulls=True).over(running.orderBy("y"))).withColumn("_b", F.last("_site", ignorenulls=True).over(running.orderBy(F.desc("y"))))
+    nearer = F.when(F.col("_b").isNull() | (F.col("y") - F.col("_a.y") <= F.col("_b.y") - F.col("y")), F.col("_a")).otherwise(F.col("_b"))
+    rows = rows.select(by, "x", "y", nearer.alias("_site")).select(by, "x", "y", F.col("_site.y").alias("site_y"), F.col("_site.value").alias("value"))
+    schema = StructType([rows.schema[by], *(StructField(c, LongType()) for c in ("x", "y", "distance2", "site_x", "site_y")), StructField("value", rows.schema["value"].dataType)])
+    found = rows.repartition(by, "y").sortWithinPartitions(by, "y", "x").mapInArrow(_nearest_along, schema)
+    return found.withColumnRenamed("value", value) if value else found.drop("value")
 
 
 def nearest_fill(pixels: DataFrame, by: str, site: Column) -> DataFrame:
     """(by, x, y, value): every pixel takes the value of its nearest site."""
-    found = nearest_sites(pixels, by, site)
-    sites = pixels.where(site).select(by, F.col("x").cast("long").alias("site_x"), F.col("y").cast("long").alias("site_y"), "value")
-    return found.join(sites, [by, "site_x", "site_y"], "left").select(by, "x", "y", "value")
+    return nearest_sites(pixels, by, site, "value").select(by, "x", "y", "value")
 
 
 # Error diffusion

@@ -74,17 +74,17 @@ def interpolate(rows: DataFrame, by: str, t: str, value: str, tie: str, kind: st
     if kind not in ("step", "linear", "cubic") or (kind == "cubic") != (tangents is not None):
         raise ValueError(f"interpolation {kind} with tangents {tangents}")
     back = running(by, t, tie)
-    ahead = Window.partitionBy(by).orderBy(t, tie).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(by).orderBy(F.desc_nulls_last(t), F.desc_nulls_last(tie)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that ends at the last row costs its length for every row
     known = F.when(F.col(value).isNotNull(), F.col(t))
-    a, b = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)
-    ta, tb = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+    a, b = F.last(value, ignorenulls=True).over(back), F.last(value, ignorenulls=True).over(ahead)
+    ta, tb = F.last(known, ignorenulls=True).over(back), F.last(known, ignorenulls=True).over(ahead)
     rows = rows.withColumns({"_a": a, "_b": b, "_ta": ta, "_tb": tb})
     if kind == "step":
         return rows.withColumn(value, F.coalesce(value, "_a", "_b")).drop("_a", "_b", "_ta", "_tb")
     if kind == "cubic":
         into, out_of = tangents
         known_in, known_out = (F.when(known.isNotNull(), F.col(c)) for c in tangents)
-        rows = rows.withColumns({"_ma": F.last(known_out, ignorenulls=True).over(back), "_mb": F.first(known_in, ignorenulls=True).over(ahead)})
+        rows = rows.withColumns({"_ma": F.last(known_out, ignorenulls=True).over(back), "_mb": F.last(known_in, ignorenulls=True).over(ahead)})
         span = F.nullif(F.col("_tb") - F.col("_ta"), F.lit(0))
         s = (F.col(t) - F.col("_ta")) / span
         curve = (2 * s * s * s - 3 * s * s + 1) * F.col("_a") + (s * s * s - 2 * s * s + s) * span * F.col("_ma") + (3 * s * s - 2 * s * s * s) * F.col("_b") + (s * s * s - s * s) * span * F.col("_mb")

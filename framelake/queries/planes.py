@@ -35,10 +35,7 @@ SELECT m.x, m.y, min((m.x - s.x) * (m.x - s.x) + (m.y - s.y) * (m.y - s.y))::BIG
 def distance_mosaic(spark, sf_dir):
     """All planes as the tiles of one picture, twenty in a row: distances, and the fill by nearest values."""
     tiles = _levels(spark, sf_dir).select(F.lit(0).alias("p"), (F.col("frame_no") % 20 * 8 + F.col("x")).alias("x"), (F.floor(F.col("frame_no") / 20) * 8 + F.col("y")).alias("y"), "value")
-    site = F.col("value") % 29 == 0
-    found = pictures.nearest_sites(tiles, "p", site)
-    filled = pictures.nearest_fill(tiles, "p", site)
-    return found.select("p", "x", "y", "distance2").join(filled, ["p", "x", "y"]).select("x", "y", "distance2", "value")
+    return pictures.nearest_sites(tiles, "p", F.col("value") % 29 == 0, "value").select("x", "y", "distance2", "value")
 
 
 @query(f"""

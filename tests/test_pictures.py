@@ -31,6 +31,24 @@ def test_nearest_sites(spark):
     assert pictures.nearest_sites(pixels.limit(0), "p", F.col("value") == 0).count() == 0
 
 
+def test_nearest_sites_of_long_lines(spark):
+    """Lines cut by the batches that Python reads, pictures named by a struct; windows run one way only, so a column costs its length."""
+    grids = {"a": RNG.integers(0, 6, (9, 14)), "b": RNG.integers(0, 6, (9, 14)), "tall": RNG.integers(0, 30, (60, 2)), "none": np.ones((3, 3))}
+    pixels = frame(spark, grids).select(F.struct("p", F.lit(1).alias("channel")).alias("p"), "x", "y", "value")
+    found = pictures.nearest_sites(pixels, "p", F.col("value") == 0, "value")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == sum(g.size for g in grids.values())
+    for r in rows:
+        sites = [(int(x), int(y)) for y, x in zip(*np.nonzero(grids[r.p.p] == 0))]
+        near = min(((r.x - a) ** 2 + (r.y - b) ** 2, a, b) for a, b in sites) if sites else (None, None, None)
+        assert (r.distance2, r.site_x, r.site_y, r.value) == (*near, 0.0 if sites else None)
+
+
 @settings(max_examples=200, deadline=None)
 @given(heights=st.dictionaries(st.integers(-20, 20), st.integers(-15, 15), min_size=1, max_size=12))
 def test_envelopes(heights):
