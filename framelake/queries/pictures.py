@@ -72,7 +72,8 @@ SELECT vec_id, (x // 3)::INT AS bx, (y // 3)::INT AS by, (sum(v) // 9)::BIGINT A
 def box_downsample(spark, sf_dir):
     """8 x 8 planes by a factor of 3: edges that fill no block are left out."""
     v = tables.vectors(spark, sf_dir).select(F.col("frame_no").alias("vec_id"), F.posexplode("samples").alias("i", "s"))
-    p = v.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), F.round(F.abs("s") * 1000).cast("long").alias("v"))
+    level = F.round(F.abs(F.col("s").cast("float")) * F.lit(1000).cast("float")).cast("long")  # in single precision, which the table has
+    p = v.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), level.alias("v"))
     return metrics.box_downsample(p, "vec_id", "x", "y", "v", 3)
 
 

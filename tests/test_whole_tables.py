@@ -22,3 +22,17 @@ def test_best_lag_covers_every_frame(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: (r.lag, r.rms) for r in QUERIES["best_lag"](spark, str(tmp_path)).collect()}
     assert set(got) == {0, 99, 100, 2500} and all(got[at] == (lag, 0.0) for at, lag in lags.items() if at != 99)
+
+
+def test_box_levels_are_rounded_in_single_precision(spark, tmp_path):
+    """Values a little below a half in double precision, and at it in the table's own."""
+    import duckdb
+
+    from framelake.queries import ORACLES
+
+    rows = [(i, [(2 * (i * 64 + k) + 1) / 2000 for k in range(64)], 0) for i in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["box_downsample"](spark, str(tmp_path)).select("vec_id", "bx", "by", "v").collect())
+    assert got == sorted(connection.sql(f'SELECT vec_id, bx, "by", v FROM ({ORACLES["box_downsample"]})').fetchall())
