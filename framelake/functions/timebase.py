@@ -42,15 +42,31 @@ def rounded_fraction(num: Column, den: Column, digits: int) -> Column:
     return whole / float(10**digits)
 
 
+def _seconds_text(micros: Column) -> Column:
+    """SS.cc of the second within the minute, as printf's %05.2f writes the double: halves by what the double exactly is, equal ones to even.
+
+    Only a half depends on that.  The double's part below one, in steps of 2^-60 (a half
+    is 0.005 or more, so it has no finer ones), is held against the half in whole numbers.
+    """
+    part = micros % 60_000_000
+    cents = F.floor((part + 5000) / 10_000)
+    seconds = part / F.lit(1e6)
+    binary = ((seconds - F.floor(seconds)) * float(1 << 60)).cast("long").cast("decimal(20,0)") * 25
+    half = F.floor(part % 1_000_000 / 5000).cast("decimal(10,0)") * F.lit(1 << 57).cast("decimal(20,0)")
+    down = (part % 10_000 == 5000) & ((binary < half) | ((binary == half) & (cents % 2 == 1)))
+    cents = cents - down.cast("int")
+    return F.format_string("%02d.%02d", F.floor(cents / 100), cents % 100)
+
+
 def clock_hours(micros: Column) -> Column:
     """HH:MM:SS.cc; the seconds are rounded by formatting, so 59.999 s reads 60.00."""
     hours, minutes = F.floor(micros / 3_600_000_000), F.floor(micros / 60_000_000) % 60
-    return F.format_string("%02d:%02d:%05.2f", hours, minutes, (micros % 60_000_000) / F.lit(1e6))
+    return F.format_string("%02d:%02d:%s", hours, minutes, _seconds_text(micros))
 
 
 def clock_minutes(micros: Column) -> Column:
     """MM:SS.cc with unbounded minutes."""
-    return F.format_string("%02d:%05.2f", F.floor(micros / 60_000_000), (micros % 60_000_000) / F.lit(1e6))
+    return F.format_string("%02d:%s", F.floor(micros / 60_000_000), _seconds_text(micros))
 
 
 def overlay_clock(seconds: Column) -> Column:

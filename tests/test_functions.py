@@ -61,6 +61,13 @@ def test_clocks(spark):
     assert got == ("00:00:60.00", "62:05.25", "1:02:05", "1:05")
 
 
+def test_clocks_round_as_printf_does(spark):
+    """Every half of a hundredth in a minute, and their neighbours: 1.005 is a little less than it reads."""
+    at = spark.range(6000).selectExpr("explode(array(id * 10000 + 4999, id * 10000 + 5000, id * 10000 + 5001)) AS us")
+    got = at.select("us", timebase.clock_hours(F.col("us")).alias("h"), timebase.clock_minutes(F.col("us") + 3_600_000_000).alias("m")).collect()
+    assert [(r.h, r.m) for r in got] == [(f"00:00:{r.us / 1e6:05.2f}", f"60:{r.us / 1e6:05.2f}") for r in got]
+
+
 def test_rescale(spark):
     x = lambda v, r="nearest": timebase.rescale(F.lit(v), 1, 1000, 1, 90_000, r)
     y = lambda v, r: timebase.rescale(F.lit(v), 1, 90_000, 1, 1000, r)
