@@ -95,16 +95,18 @@ def stored_of(rgba: list[Column], name: str, matrix: str = "bt709", limited: boo
     """A pixel's stored values, rounded to the format's steps and held to its range."""
     red, green, blue, alpha = rgba
     order, top, step = STORED[name], top_value(name), value_step(name)
-    if "y" in order:
+    if "y" in order and limited:
+        # in steps from the start: a fraction of the top would be rounded once more, which moves halves
+        (kr, kb), scale, luma = MATRICES[matrix], (top + 1) // 256, rgb_to_yuv(red, green, blue, matrix)[0]
+        part = {"y": 16 * scale + 219 * scale * luma, "u": 128 * scale + 224 * scale * (blue - luma) / (2 * (1 - kb)), "v": 128 * scale + 224 * scale * (red - luma) / (2 * (1 - kr))}
+    elif "y" in order:
         part = dict(zip("yuv", rgb_to_yuv(red, green, blue, matrix)))
-        if limited:
-            unit = (top + 1) / 256 / top
-            part = {c: v * (219 * unit) + 16 * unit if c == "y" else (v - 0.5) * (224 * unit) + 128 * unit for c, v in part.items()}
     elif order == "g":
         part = {"g": gray_of(red, green, blue)}
     else:
         part = {"r": red, "g": green, "b": blue, "a": alpha}
-    return F.array(*(F.least(F.lit(top), F.greatest(F.lit(0), F.round(part[c] * top).cast("int"))) * step for c in order))
+    steps = part if "y" in order and limited else {c: v * top for c, v in part.items()}
+    return F.array(*(F.least(F.lit(top), F.greatest(F.lit(0), F.round(steps[c]).cast("int"))) * step for c in order))
 
 
 #: Red, green and blue of two colour maps as polynomials of the level, constant first.

@@ -321,6 +321,14 @@ def test_a_job_is_aborted(spark):
     assert spark.range(3).count() == 3
 
 
+def test_limited_halves(spark):
+    """A luma of 0.625 is 611.5 in ten limited bits, and rounds up."""
+    from framelake.plans.job import convert_pixels
+
+    pixels = spark.createDataFrame([(0, 0, 0, "rgb24", [132, 175, 102])], "frame_no long, x int, y int, pixel_format string, stored array<int>")
+    assert convert_pixels(pixels, "p010le", "bt2020", True).first().stored[0] == 612 << 6
+
+
 def test_deep_formats_matrices_and_ranges(spark):
     """There and back within a step, under every matrix and range; black and white where they belong."""
     from framelake.functions.pixel import MATRICES, STORED, top_value, value_step
