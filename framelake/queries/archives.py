@@ -13,8 +13,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
-#: Bytes of a range, so few that packets are cut by it; segments of all titles.
+#: Bytes of a range, so few that packets are cut by it, and segments of all titles, on small tables.
 RANGE, SEGMENTS = 188 * 1000, 6
+#: Ranges that an archive is cut into at most, up to segments.RANGE_BYTES each; packets of a segment on large tables, about.
+MOST_RANGES, SEGMENT_ROWS = 512, 500_000
 
 
 def _written(spark, sf_dir) -> str:
@@ -24,16 +26,26 @@ def _written(spark, sf_dir) -> str:
     payload = F.concat("props", F.repeat(F.lit("x"), (F.col("event_id") % 400).cast("int"))).cast("binary")
     packets = e.select(F.concat(F.lit("user/"), F.col("user_id") % 4).alias("uri"), F.col("event_id").alias("at"), stream.alias("stream_index"), ((1 << 33) - 3_000_000 + F.col("event_id") * 3003).alias("pts"), (F.col("event_id") % 4 == 0).alias("keyframe"), payload.alias("data"))
     path = scratch_folder(spark, "titles")
-    segments.write_titles(packets, path, SEGMENTS)
+    segments.write_titles(packets, path, max(SEGMENTS, e.count() // SEGMENT_ROWS))
     return path
 
 
+def _pieces(spark, sf_dir, with_data: bool):
+    """The archive's pieces as a table: ranges grow with the archive, and are cut once however often their packets are read."""
+    path, table = _written(spark, sf_dir), scratch_folder(spark, "pieces")
+    total = sum(size for _, _, size in segments.listed(path))
+    pieces = segments.read_pieces(spark, path, min(max(RANGE, total // MOST_RANGES), segments.RANGE_BYTES))
+    pieces = pieces if with_data else pieces.withColumn("data", F.lit(None).cast("binary"))
+    pieces.write.parquet(table)
+    return spark.read.parquet(table)
+
+
 @query("""
 WITH f AS (SELECT *, user_id % 4 AS title, min(event_id) OVER (PARTITION BY user_id % 4, event_type) AS seen FROM events)
 SELECT 'user/' || title AS uri, (dense_rank() OVER (PARTITION BY title ORDER BY seen) - 1)::INT AS stream_index, (8589934592 - 3000000 + event_id * 3003) % 8589934592 AS pts, event_id % 4 = 0 AS keyframe, md5(props || repeat('x', event_id % 400)) AS md5 FROM f""")
 def segmented_round_trip(spark, sf_dir):
     """Packets written by several tasks a title, and read by more tasks than there are files."""
-    packets = segments.as_packets(segments.read_titles(spark, _written(spark, sf_dir), RANGE))
+    packets = segments.as_packets(segments.joined(_pieces(spark, sf_dir, True)))
     return packets.select("uri", "stream_index", "pts", "keyframe", F.md5("data").alias("md5"))
 
 
@@ -45,7 +57,7 @@ def indexed_seek(spark, sf_dir):
     """Every fiftieth packet's time is sought in its stream by an index of all keyframes: of the titles only the packets that the index names are read again."""
     # the archive is read once: what is known of its packets is a table, from which the index follows
     table = scratch_folder(spark, "packets")
-    segments.read_titles(spark, _written(spark, sf_dir), RANGE).drop("data").write.parquet(table)
+    segments.joined(_pieces(spark, sf_dir, False)).drop("data").write.parquet(table)
     units, folder = spark.read.parquet(table), scratch_folder(spark, "index")
     segments.seek_index(units).write.parquet(folder)
     e = tables.table(spark, sf_dir, "events").where("event_id % 50 = 7")

@@ -231,10 +231,15 @@ def joined(pieces: DataFrame) -> DataFrame:
     return pieces.where("kind = 'whole'").select("title", "file", "offset", "pid", "pts", "keyframe", here.alias("extents"), "data").unionByName(again)
 
 
-def read_titles(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """joined() of every title under path, read in ranges of about range_bytes."""
+def read_pieces(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """PIECES of every title under path, read in ranges of about range_bytes."""
     spark.dataSource.register(SegmentSource)
-    return joined(spark.read.format(FORMAT).option("rangeBytes", range_bytes).load(path))
+    return spark.read.format(FORMAT).option("rangeBytes", range_bytes).load(path)
+
+
+def read_titles(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """joined() of every title's pieces, for which the ranges are cut twice."""
+    return joined(read_pieces(spark, path, range_bytes))
 
 
 def as_packets(units: DataFrame) -> DataFrame:

@@ -117,3 +117,24 @@ def test_stream_of_segments(spark, rows, tmp_path):
         query.stop()
     units = segments.joined(spark.createDataFrame(pieces, segments.PIECES))
     assert shown(segments.as_packets(units)) == shown(datasource.demux(transport.mux_ts(packets), "mpegts"))
+
+
+@pytest.mark.parametrize("name", ["segmented_round_trip", "indexed_seek"])
+def test_ranges_grow_with_the_archive(spark, monkeypatch, name):
+    """A larger archive has longer ranges, not more of them, and is cut once."""
+    from framelake.queries import archives
+
+    read, found = archives.segments.read_pieces, []
+
+    def noted(*args):
+        found.append(read(*args).rdd.getNumPartitions())
+        return read(*args)
+
+    monkeypatch.setattr(archives.segments, "read_pieces", noted)
+    want = sorted(map(tuple, archives.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str)
+    monkeypatch.setattr(archives, "RANGE", 188 * 4)
+    monkeypatch.setattr(archives, "MOST_RANGES", 30)
+    monkeypatch.setattr(archives, "SEGMENT_ROWS", 100)
+    got = sorted(map(tuple, archives.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got == want and len(got) > 10
+    assert len(found) == 2 and found[1] <= 30 + 10 + 3  # the last range of each of ten segments, and of those that two titles share, is shorter
