@@ -291,15 +291,16 @@ def _pairs_of_sizes(alive: DataFrame) -> DataFrame:
     ``most``, and ``rare``, the prefix of its codes in ascending order of (f, code).
     """
     size_class = lambda n: F.floor(F.log(n) / float(np.log(SIZE_STEP)))
-    posted = alive.select("rep", "n", "component", "u", "most", F.posexplode("rare").alias("at", "k"))
+    # The lists are spelt out once: what follows reads the postings of all of them up to nine times, at larger sizes more often.
+    posted = cut(alive.select("rep", "n", "component", "u", "most", F.posexplode("rare").alias("at", "k")))
     # Under each code the members of its largest component are compared with the others only, never among themselves.
     members = posted.groupBy("k", "component").agg(F.count(F.lit(1)).alias("m"))
-    rows = alive.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
+    rows = posted.count()
     known = members.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"))
     known = _wanted_or_hot(known, F.col("c") > 1, "main", "m", rows).select("k", "main", "m")
     placed = join_with_hot_keys(posted, known, ["k"], "m", rows).where("main IS NOT NULL").withColumn("major", F.col("component") == F.col("main"))
     # Postings of a code are dealt to squares: the larger documents by row, the smaller ones by column.
-    placed = placed.withColumn("squares", F.floor(F.col("m") / SQUARE_ROWS)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("squares") + 1)).drop("main", "m")
+    placed = cut(placed.withColumn("squares", F.floor(F.col("m") / SQUARE_ROWS)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("squares") + 1)).drop("main", "m"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("squares")))
     named = lambda a: (F.col(c).alias(f"{c}{a}") for c in ("rep", "n", "component", "u", "most", "at", "major"))
     larger = placed.select("k", size_class(F.col("n")).alias("size"), F.col("own").alias("row"), every.alias("column"), *named("x"))

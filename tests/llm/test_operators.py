@@ -295,6 +295,21 @@ def test_components_with_hubs(spark, monkeypatch):
     assert got == want == least
 
 
+def test_near_dedup_spells_rare_lists_out_once(spark):
+    """However often the postings are read, the plan of the pairs does not explode the lists again; pairs equal brute force."""
+    from framelake.llm import near_dedup as n
+
+    rng = random.Random(8)
+    rows = [(i, 40 + i % 3, i % 20, 40, 60, sorted((f, f * 7) for f in rng.sample(range(2, 60), 6))) for i in range(200)]
+    alive = spark.createDataFrame(rows, "rep long, n long, component long, u int, most long, rare array<struct<f long, code long>>")
+    pairs = n._pairs_of_sizes(alive)
+    assert "posexplode(rare" not in pairs._jdf.queryExecution().executedPlan().toString().lower()
+    sets = {r[0]: (r[2], {k: at for at, k in enumerate(r[5])}, r[1]) for r in rows}
+    fits = lambda x, y: any(175 * min(40 - x[1][k], 40 - y[1][k]) >= 75 * (x[2] + y[2]) for k in x[1].keys() & y[1].keys())
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a][0] != sets[b][0] and fits(sets[a], sets[b])}
+    assert want and {tuple(r) for r in pairs.collect()} == want
+
+
 def test_near_dedup_of_a_template_family(spark, monkeypatch):
     """Members just below the similarity, a short document, and copies: the pairs of every size and square, none lost."""
     from framelake.llm import near_dedup as n
