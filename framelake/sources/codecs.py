@@ -110,7 +110,7 @@ def decode_packets(packets: DataFrame, registry: Registry, codec: str) -> DataFr
     many = found.decode_many or (lambda blocks: list(map(found.decode, blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in datasource.slices(batches, datasource.PACKET_ROWS):
             data = batch.column(3).to_pylist()
             decoded = iter(many([d for d in data if d is not None]))
             samples = [None if d is None else next(decoded).astype(np.float32) for d in data]
@@ -124,7 +124,7 @@ def encode_packets(frames: DataFrame, registry: Registry, codec: str) -> DataFra
     encode = registry.resolve(codec, "encode").encode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in datasource.slices(batches, datasource.PACKET_ROWS):
             data = [None if s is None else encode(np.array(s, np.float64)) for s in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["uri", "stream_index", "pts", "data"])
 

@@ -70,3 +70,19 @@ def test_difference_codecs(spark):
     frames = spark.createDataFrame([("u", 0, 0, (waves[2] / 32768).tolist()), ("u", 0, 1, None), ("u", 0, 2, [0.25])], "uri string, stream_index int, pts long, samples array<float>")
     back = {x.pts: x.samples for x in codecs.decode_packets(codecs.encode_packets(frames, r, "adpcm_ima_wav"), r, "adpcm_ima_wav").collect()}
     assert back[1] is None and back[2] == [0.25] and len(back[0]) == 505
+
+
+def test_packets_are_decoded_in_slices(spark):
+    """No more packets at once than PACKET_ROWS, whatever the session's batches hold."""
+    most = 256
+
+    def many(blocks):
+        if len(blocks) > most:
+            raise ValueError(f"{len(blocks)} packets at once")
+        return [np.frombuffer(b, np.uint8) for b in blocks]
+
+    r = Registry()
+    r.register(Codec("x", "Audio", decode=len, decode_many=many))
+    packets = spark.range(0, 3000, 1, 2).selectExpr("'a' AS uri", "0 AS stream_index", "id AS pts", "IF(id % 7 = 0, NULL, CAST(string(id) AS BINARY)) AS data")
+    got = {row.pts: row.samples for row in codecs.decode_packets(packets, r, "x").collect()}
+    assert got == {n: None if n % 7 == 0 else [float(b) for b in str(n).encode()] for n in range(3000)}
