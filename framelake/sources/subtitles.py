@@ -120,10 +120,14 @@ def parse_ass(files: DataFrame) -> DataFrame:
     whole = normal_breaks(F.col("text"))
     named = F.split(F.trim(F.regexp_extract(whole, r"(?s)\[Events\][^\[]*?\nFormat: *([^\n]*)", 1)), r" *, *")
     fields = F.when(F.size(named) > 1, named).otherwise(F.array(*map(F.lit, _ASS_FIELDS)))
-    lines = files.select("uri", fields.alias("f"), F.posexplode(F.split(whole, "\n")).alias("n", "line")).where(F.startswith("line", F.lit("Dialogue:")))
-    parts = lines.withColumn("p", F.split(F.regexp_replace("line", "^Dialogue: *", ""), ",", F.size("f")))
-    cell = lambda name: F.get("p", (F.array_position("f", name) - 1).cast("int"))
-    rows = parts.select("uri", "n", F.filter(F.array(F.struct(_hundredths(cell("Start")).alias("s"), _hundredths(cell("End")).alias("e"))), lambda t: t["s"].isNotNull() & t["e"].isNotNull()).alias("times"), F.get("p", F.size("f") - 1).alias("t"))
+    once = lambda value: F.explode(F.array(value))  # noqa: E731: a row's value, computed once however often it is used after
+    place = lambda name: (F.array_position("h.f", name) - 1).cast("int")
+    heads = files.select("uri", once(F.struct(fields.alias("f"), F.split(whole, "\n").alias("lines"))).alias("h"))
+    heads = heads.select("uri", once(F.struct(F.size("h.f").alias("size"), place("Start").alias("start"), place("End").alias("end"))).alias("f"), F.col("h.lines").alias("lines"))
+    lines = heads.select("uri", "f", F.posexplode("lines").alias("n", "line")).where(F.startswith("line", F.lit("Dialogue:")))
+    parts = lines.select("uri", "n", "f", once(F.split(F.regexp_replace("line", "^Dialogue: *", ""), ",", F.col("f.size"))).alias("p"))
+    cell = lambda name: F.get("p", F.col(f"f.{name}"))
+    rows = parts.select("uri", "n", F.filter(F.array(F.struct(_hundredths(cell("start")).alias("s"), _hundredths(cell("end")).alias("e"))), lambda t: t["s"].isNotNull() & t["e"].isNotNull()).alias("times"), F.get("p", F.col("f.size") - 1).alias("t"))
     rows = rows.select("uri", "n", F.explode("times").alias("time"), "t")  # lines of bad times have none
     return _numbered(rows, F.col("time.s"), F.col("time.e"), plain_markup(F.col("t")))
 

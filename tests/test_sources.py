@@ -243,3 +243,13 @@ def test_timed_text_times_and_marks(spark):
     assert got == [(1, 1_500_000, 2_500_000, "a\nb &lt; c"), (2, 3_250_000, 4_000_000, "d")]
     aq = "-->> 25\nline one\nline two\n\n-->> 50\n\n-->> 100\nlast"
     assert [tuple(r)[1:] for r in subtitles.parse_aqtitle(spark.createDataFrame([("u", aq)], "uri string, text string")).orderBy("cue_no").collect()] == [(1, 1_000_000, 2_000_000, "line one\nline two"), (2, 4_000_000, 8_000_000, "last")]
+
+
+def test_ass_columns_are_found_once_a_file(spark):
+    """A file's Format line is matched once for all its lines, and their times where they stand."""
+    from framelake.sources import subtitles
+
+    text = "[Events]\nFormat: Layer, End, Start, Text\nDialogue: 0,0:00:02.50,0:00:01.00,a, b\nDialogue: 0,bad,0:00:01.00,c\nDialogue: 0,0:00:09.00,0:00:08.01,d"
+    rows = subtitles.parse_ass(spark.createDataFrame([("x", text), ("y", None), ("z", "Dialogue: 0,0:00:00.10,0:00:00.20,,,,,,,e")], "uri string, text string"))
+    assert sorted(map(tuple, rows.collect())) == [("x", 1, 1_000_000, 2_500_000, "a, b"), ("x", 2, 8_010_000, 9_000_000, "d"), ("z", 1, 100_000, 200_000, "e")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("[Events") <= 3
