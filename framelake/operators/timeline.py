@@ -93,11 +93,24 @@ def interpolate(rows: DataFrame, by: str, t: str, value: str, tie: str, kind: st
     return rows.withColumn(value, F.coalesce(value, line, "_a", "_b")).drop("_a", "_b", "_ta", "_tb")
 
 
-def fill_gaps(rows: DataFrame, by: str, t: str, step: int) -> DataFrame:
-    """Rows every ``step`` between those of a stream, with concealed set on the added ones."""
-    w = Window.partitionBy(by).orderBy(t)
-    ahead = F.coalesce(F.lead(t).over(w), F.col(t) + step)
-    spread = rows.withColumn("_ahead", ahead).withColumn("_at", F.explode(F.sequence(F.col(t), F.greatest(F.col("_ahead") - 1, F.col(t)), F.lit(step))))
+#: Steps of one stream that fill_gaps gives in one go.
+RUN = 1440
+
+
+def fill_gaps(rows: DataFrame, by: str, t: str, step: int, run: int = RUN) -> DataFrame:
+    """Rows every ``step`` between those of a stream, with concealed set on the added ones.
+
+    A gap is cut at the multiples of ``run`` steps, and within a partition the streams
+    take turns from one multiple to the next.  So the same few times come again and again, and
+    rows that are nearly all times are stored in a fraction of their size; only the cut gaps are sorted.
+    """
+    w, span = Window.partitionBy(by).orderBy(t), run * step
+    last = F.greatest(F.coalesce(F.lead(t).over(w), F.col(t) + step) - 1, F.col(t))
+    gaps = rows.withColumn("_until", last).withColumn("_until", F.col("_until") - F.pmod(F.col("_until") - F.col(t), F.lit(step)))
+    cut = gaps.withColumn("_run", F.explode(F.sequence(*(F.floor(F.col(c) / span) for c in (t, "_until"))))).sortWithinPartitions("_run", by, t)
+    start = F.col("_run") * span
+    start = F.greatest(F.col(t), start + F.pmod(F.col(t) - start, F.lit(step)))
+    spread = cut.withColumn("_at", F.explode(F.sequence(start, F.least(F.col("_until"), (F.col("_run") + 1) * span - 1), F.lit(step).cast("long"))))
     added = F.col("_at") != F.col(t)
     kept = [F.when(~added, F.col(c)).alias(c) for c in rows.columns if c not in (by, t)]
     return spread.select(by, F.col("_at").alias(t), *kept, added.alias("concealed"))
