@@ -54,3 +54,10 @@ def test_pairs_at_the_edges_of_ranges(spark, tmp_path):
         connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES["interval_join"](spark, str(tmp_path)).collect())
     assert got and got == sorted(connection.sql(ORACLES["interval_join"]).fetchall())
+
+
+def test_convert_command_joins_nothing(spark, tmp_path):
+    """A join of pixels with taps once held most of a task's memory."""
+    spark.createDataFrame([(i, [0.01 * k for k in range(64)], 0) for i in range(3)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["convert_command"](spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 48
