@@ -117,13 +117,21 @@ def spectrogram(samples: DataFrame, by: str, order: str, width: int = 256, hop:
     return dealt.groupBy(by, "frame").applyInArrow(transform, f"{by} {kind}, frame long, bin int, power double")
 
 
-def convolve(pixels: DataFrame, by: str, kernel: list[list[float]], edge: str = "zero") -> DataFrame:
-    """(by, x, y, value): a small kernel by scattering every pixel to its neighbours, one grouped sum."""
+def _inside(sent: DataFrame, size: tuple[int, int] | None) -> DataFrame:
+    """What is sent to places of a picture of ``size`` (width, height); all of it where that is unknown."""
+    return sent if size is None else sent.where(F.col("x").between(0, size[0] - 1) & F.col("y").between(0, size[1] - 1))
+
+
+def convolve(pixels: DataFrame, by: str, kernel: list[list[float]], edge: str = "zero", size: tuple[int, int] | None = None) -> DataFrame:
+    """(by, x, y, value): a small kernel by scattering every pixel to its neighbours, one grouped sum.
+
+    With the pictures' ``size``, no sum is begun for places beyond their edges.
+    """
     ry, rx = len(kernel) // 2, len(kernel[0]) // 2
     taps = F.array(*(F.struct(F.lit(j - rx).alias("dx"), F.lit(i - ry).alias("dy"), F.lit(float(k)).alias("k")) for i, row in enumerate(kernel) for j, k in enumerate(row) if k))
     spread = pixels.select(by, "x", "y", "value", F.explode(taps).alias("t"))
     moved = spread.select(by, (F.col("x") - F.col("t.dx")).alias("x"), (F.col("y") - F.col("t.dy")).alias("y"), (F.col("value") * F.col("t.k")).alias("v"), F.when((F.col("t.dx") == 0) & (F.col("t.dy") == 0), True).alias("here"))
-    sums = moved.groupBy(by, "x", "y").agg(F.sum("v").alias("value"), F.max("here").alias("here"))
+    sums = _inside(moved, size).groupBy(by, "x", "y").agg(F.sum("v").alias("value"), F.max("here").alias("here"))
     return sums.where("here").select(by, "x", "y", "value") if kernel[ry][rx] else sums.join(pixels.select(by, "x", "y"), [by, "x", "y"]).select(by, "x", "y", "value")
 
 
@@ -148,9 +156,9 @@ def _neighbours(pixels: DataFrame, by: str, reach: int, weights: dict[str, list[
     return spread.select(by, (F.col("x") - F.col("t.dx")).alias("x"), (F.col("y") - F.col("t.dy")).alias("y"), "value", ((F.col("t.dx") == 0) & (F.col("t.dy") == 0)).alias("here"), *(F.col(f"t.{name}").alias(name) for name in weights or {}))
 
 
-def edges(pixels: DataFrame, by: str) -> DataFrame:
-    """Gradient magnitude of two 3 x 3 derivatives, both from one grouped sum."""
-    sent = _neighbours(pixels, by, 1, {"kx": EDGE_X, "ky": EDGE_Y})
+def edges(pixels: DataFrame, by: str, size: tuple[int, int] | None = None) -> DataFrame:
+    """Gradient magnitude of two 3 x 3 derivatives, both from one grouped sum; ``size`` as for convolve()."""
+    sent = _inside(_neighbours(pixels, by, 1, {"kx": EDGE_X, "ky": EDGE_Y}), size)
     sums = sent.groupBy(by, "x", "y").agg(F.sum(F.col("value") * F.col("kx")).alias("gx"), F.sum(F.col("value") * F.col("ky")).alias("gy"), F.bool_or("here").alias("here"))
     return sums.where("here").select(by, "x", "y", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("value"))
 

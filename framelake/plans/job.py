@@ -36,6 +36,8 @@ GROUPS = ("audio", "video", "subtitle", "all")
 FILTERS: dict[str, Callable[[DataFrame, dict], DataFrame | dict[str, DataFrame]]] = {}
 #: The outputs of filters that have several, the first of them the usual one.
 PORTS: dict[str, tuple[str, ...]] = {}
+#: Filters that take the size of pictures, w and h, where it is known, and others that leave it as it is.
+SIZED, SAME_SIZE = ("blur", "edge"), ("strip", "pixels", "gabor", "niblack", "quantize", "morphology")
 REGISTRY = register_all()
 _NO_STAGES = SparkJobInfo(-1, [], "UNKNOWN")
 
@@ -129,14 +131,22 @@ for _kind in ("lowpass", "highpass", "bandpass", "notch", "allpass", "peak", "lo
     filter_named(_kind)(_section(_kind))
 
 
+def _size(given: dict) -> tuple[int, int] | None:
+    """(width, height) of pictures, or null where a job does not say it."""
+    if given["w"] < 0 or given["h"] < 0 or (given["w"] > 0) != (given["h"] > 0):
+        raise JobError(f"a size of {given['w']} x {given['h']} is none")
+    return (given["w"], given["h"]) if given["w"] else None
+
+
 @filter_named("blur")
 def _blur(frames: DataFrame, params: dict) -> DataFrame:
     """A box of nine pixels, or a Gaussian of ``sigma``, along rows and then columns."""
-    sigma = _numbers(params, sigma=0.0)["sigma"]
-    if sigma == 0:
-        return filters.convolve(frames, PICTURE, filters.BOX_BLUR)
-    taps = filters.gaussian(sigma)
-    return filters.convolve(filters.convolve(frames, PICTURE, [taps]), PICTURE, [[t] for t in taps])
+    given = _numbers(params, sigma=0.0, w=0, h=0)
+    size = _size(given)
+    if given["sigma"] == 0:
+        return filters.convolve(frames, PICTURE, filters.BOX_BLUR, size=size)
+    taps = filters.gaussian(given["sigma"])
+    return filters.convolve(filters.convolve(frames, PICTURE, [taps], size=size), PICTURE, [[t] for t in taps], size=size)
 
 
 @filter_named("gabor")
@@ -166,8 +176,7 @@ def _quantize(frames: DataFrame, params: dict) -> DataFrame:
 
 @filter_named("edge")
 def _edge(frames: DataFrame, params: dict) -> DataFrame:
-    _numbers(params)
-    return filters.edges(frames, PICTURE)
+    return filters.edges(frames, PICTURE, _size(_numbers(params, w=0, h=0)))
 
 
 @filter_named("resize")
@@ -340,6 +349,17 @@ def format_at(node: Node, source_formats: dict[str, str]) -> str | None:
     return found.pop() if len(found) == 1 else None
 
 
+def size_at(node: Node) -> tuple[int, int] | None:
+    """(width, height) of the pictures that leave a node: what the last resize made, or null where there is none."""
+    if node.kind == "filter" and node.value == "resize":
+        made = dict(node.params)
+        return int(made["new_w"]), int(made["new_h"])
+    if node.kind in ("demuxer", "port") or node.kind == "filter" and node.value not in SIZED + SAME_SIZE:
+        return None
+    found = {size_at(i) for i in node.inputs}
+    return found.pop() if len(found) == 1 else None
+
+
 def insert_conversions(dag: Dag, accepted: dict[str, tuple[str, ...]], formats: Callable[[Node], str | None]) -> Dag:
     """Adds a convert below an encoder that does not accept what reaches it."""
 
@@ -471,7 +491,9 @@ def compile_job(spark: SparkSession, job: Job, read: Callable[[SparkSession, str
             if node.kind == "alias" and node.group != "all" and "media_type" in out.columns:
                 out = out.where(F.lower("media_type") == node.group)
         elif node.kind == "filter":
-            out = FILTERS[node.value](build(node.inputs[0]), dict(node.params))
+            frames, params = build(node.inputs[0]), dict(node.params)
+            size = size_at(node.inputs[0]) if node.value in SIZED else None
+            out = FILTERS[node.value](frames, params | ({"w": size[0], "h": size[1]} if size else {}))
         elif node.kind == "port":
             out = build(node.inputs[0])[node.value]
         elif node.kind == "convert":

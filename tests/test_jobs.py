@@ -232,6 +232,30 @@ def test_every_filter_runs_by_name(spark):
         compile_job(spark, bad, lambda *_: samples)
 
 
+def test_filters_after_a_resize_know_the_size(spark):
+    """With the size, as without it: on a picture with a hole, and where no resize tells it."""
+    from framelake.operators import filters
+    from framelake.plans.job import size_at
+
+    pixels = spark.range(48).where("id <> 17").selectExpr("7L AS frame_no", "cast(id % 8 AS int) AS x", "cast(id div 8 AS int) AS y", "id * id / 47.0D AS value")
+    at = lambda df: {(r.x, r.y): round(r.value, 9) for r in df.collect()}
+    taps = filters.gaussian(1.2)
+    for one in ([taps], [[t] for t in taps], filters.BOX_BLUR):
+        assert at(filters.convolve(pixels, "frame_no", one, size=(8, 6))) == at(filters.convolve(pixels, "frame_no", one))
+    assert at(filters.edges(pixels, "frame_no", (8, 6))) == at(filters.edges(pixels, "frame_no")) and len(at(pixels)) == 47
+
+    resize = {"filter": "resize", "params": {"w": 8, "h": 6, "new_w": 5, "new_h": 9, "kind": "bilinear"}, "input": {"from": "x"}}
+    edge = lambda below: {"filter": "edge", "input": {"filter": "quantize", "input": below}}
+    for tree, size in ((edge(resize), (5, 9)), (edge({"from": "x"}), None), (edge({"filter": "volume", "input": resize}), None)):
+        assert size_at(Job({"@out": {"video": [tree]}}).to_dag().roots["@out"]) == size
+    got = compile_job(spark, Job({"@out": {"video": [edge(resize)]}}), lambda *_: pixels)["@out"]
+    small = filters.resize(pixels, "frame_no", 8, 6, 5, 9, "bilinear")
+    known = compile_job(spark, Job({"@out": {"video": [edge({"from": "x"})]}}), lambda *_: small)["@out"]
+    assert at(got) == at(known) and len(at(got)) == 45
+    with pytest.raises(JobError, match="size of 5 x 0"):
+        compile_job(spark, Job({"@out": {"video": [{"filter": "blur", "params": {"w": 5}, "input": {"from": "x"}}]}}), lambda *_: pixels)
+
+
 def test_an_alias_gives_a_track_its_own_media_type(spark):
     frames = spark.createDataFrame([("Audio", 1), ("Video", 2)], "media_type string, n int")
     spec = Job.from_json(json.dumps({"@in": {"all": [{"from": "x"}]}, "a": {"audio": [{"from": "@in"}]}, "b": {"all": [{"from": "@in"}]}}))

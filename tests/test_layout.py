@@ -61,3 +61,24 @@ def test_convert_command_joins_nothing(spark, tmp_path):
     spark.createDataFrame([(i, [0.01 * k for k in range(64)], 0) for i in range(3)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     out = QUERIES["convert_command"](spark, str(tmp_path))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 48
+
+
+def shuffled(df) -> list[int]:
+    """Runs a DataFrame; the rows that each of its exchanges wrote."""
+
+    def below(node):
+        name = node.nodeName()
+        if name == "Exchange":
+            yield node.metrics().apply("shuffleRecordsWritten").value()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        for each in inner:
+            yield from below(each)
+
+    df.collect()
+    return list(below(df._jdf.queryExecution().executedPlan()))
+
+
+def test_convert_command_sums_nothing_beyond_its_pictures(spark, tmp_path):
+    """Sums for places outside the pictures once were more than half of the rows that a task held."""
+    spark.createDataFrame([(i, [0.01 * k for k in range(64)], 0) for i in range(3)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert shuffled(QUERIES["convert_command"](spark, str(tmp_path))) == [3 * 16] * 4
