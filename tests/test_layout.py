@@ -5,6 +5,7 @@ from datetime import datetime
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from framelake.operators import timeline
 from framelake.queries import ORACLES, QUERIES
@@ -82,3 +83,17 @@ def test_convert_command_sums_nothing_beyond_its_pictures(spark, tmp_path):
     """Sums for places outside the pictures once were more than half of the rows that a task held."""
     spark.createDataFrame([(i, [0.01 * k for k in range(64)], 0) for i in range(3)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert shuffled(QUERIES["convert_command"](spark, str(tmp_path))) == [3 * 16] * 4
+
+
+@pytest.mark.parametrize("name", ["resize_box"])
+def test_resizes_send_nothing_to_the_driver(spark, tmp_path, name):
+    """All pixels once went through the driver, as the small side of a join."""
+    rng = random.Random(3)
+    spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(64)], 0) for i in range(20)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    got = {tuple(r)[:3]: r.value for r in out.collect()}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {tuple(r[:3]): r[3] for r in connection.sql(ORACLES[name]).fetchall()}
+    assert len(want) == 20 * 30 and got == pytest.approx(want, abs=1.1e-4)
