@@ -85,7 +85,7 @@ def test_convert_command_sums_nothing_beyond_its_pictures(spark, tmp_path):
     assert shuffled(QUERIES["convert_command"](spark, str(tmp_path))) == [3 * 16] * 4
 
 
-@pytest.mark.parametrize("name", ["resize_box"])
+@pytest.mark.parametrize("name", ["resize_box", "resize_hermite"])
 def test_resizes_send_nothing_to_the_driver(spark, tmp_path, name):
     """All pixels once went through the driver, as the small side of a join."""
     rng = random.Random(3)
